@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for bench runs and tests; a cluster brings its own."""
+    os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, os.environ.get("PYTHONPATH")) if p)
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
