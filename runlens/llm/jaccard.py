@@ -185,42 +185,72 @@ class RTree:
                     yield self.order[a + x], other.order[c + y], bound[x, y]
 
 
-def _pairs_in(share: int, best: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Finds pairs of different components in one block or between two; with `best` the two best partners of each set only."""
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["fp", "side"])
-        vecs = [np.frombuffer(v, "<u2") for v in pdf["vec"]]
-        groups = min(map(len, vecs))
-        points, size = np.stack([fold(v, groups) for v in vecs]), pdf["n"].to_numpy()
-        fp, root, side = pdf["fp"].to_numpy(), pdf["root"].to_numpy(), pdf["side"].to_numpy()
-        left = np.flatnonzero(side == 0)
-        right = left if pdf["x"].iloc[0] == pdf["y"].iloc[0] else np.flatnonzero(side == 1)
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        if not len(left) or not len(right):
-            return none
-        one, two = RTree(size[left], points[left]), RTree(size[right], points[right])
-        found = []
-        for x, y, bound in one.join(two, share):
-            x, y = left[x], right[y]
-            ok = (root[x] != root[y]) & (fp[x] != fp[y])
-            if ok.any():
-                found.append(np.column_stack((x[ok], y[ok], bound[ok] * 1000 // (size[x[ok]] + size[y[ok]]))))
-        if not found:
-            return none
-        x, y, good = np.concatenate(found).T
-        if best:
-            keep = np.zeros(len(x), bool)
-            for own in (x, y):
-                order = np.lexsort((-good, own))
-                rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
-                keep[order[rank < 2]] = True
-            x, y = x[keep], y[keep]
-        return pd.DataFrame({"a": np.minimum(fp[x], fp[y]), "b": np.maximum(fp[x], fp[y])}).drop_duplicates()
+def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray, vecs: list[np.ndarray], within: bool, share: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components in one block (`within`) or between two; with `best` the two best partners of each set only."""
+    _, one = np.unique(np.column_stack((fp, side)), axis=0, return_index=True)
+    fp, root, side, n, vecs = fp[one], root[one], side[one], n[one], [vecs[i] for i in one]
+    left = np.flatnonzero(side == 0)
+    right = left if within else np.flatnonzero(side == 1)
+    none = np.zeros(0, np.int64)
+    if not len(left) or not len(right) or (root == root[0]).all():
+        return none, none
+    groups = min(map(len, vecs))
+    points = np.stack([fold(v, groups) for v in vecs])
+    found = []
+    for x, y, bound in RTree(n[left], points[left]).join(RTree(n[right], points[right]), share):
+        x, y = left[x], right[y]
+        ok = root[x] != root[y]
+        if ok.any():
+            found.append(np.column_stack((x[ok], y[ok], bound[ok] * 1000 // (n[x[ok]] + n[y[ok]]))))
+    if not found:
+        return none, none
+    x, y, good = np.concatenate(found).T
+    if best:
+        keep = np.zeros(len(x), bool)
+        for own in (x, y):
+            order = np.lexsort((-good, own))
+            rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
+            keep[order[rank < 2]] = True
+        x, y = x[keep], y[keep]
+    return np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])
+
+
+def _pairs_in(share: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Takes rows sorted by (h, band, x, y) and finds pairs in each such group. A group has at most two blocks, so what is held is bounded."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+            if held is None or not held.num_rows:
+                continue
+            c = {k: held.column(k).to_numpy() for k in ("h", "band", "x", "y", "fp", "root", "side", "n")}
+            vecs = [np.frombuffer(v, "<u2") for v in held.column("vec").to_pylist()]
+            change = np.zeros(held.num_rows, bool)
+            change[0] = True
+            for k in ("h", "band", "x", "y"):
+                change[1:] |= c[k][1:] != c[k][:-1]
+            edges = np.append(np.flatnonzero(change), held.num_rows)
+            if batch is not None:
+                edges = edges[:-1]  # the last group may go on in the next batch
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                out.append(_pairs_of(c["fp"][a:b], c["root"][a:b], c["side"][a:b], c["n"][a:b], vecs[a:b], c["x"][a] == c["y"][a], share, best))
+            held = held.slice(edges[-1]) if batch is not None else None
+            if out:
+                pairs = np.unique(np.column_stack([np.concatenate(z) for z in zip(*out, strict=True)]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return find
 
 
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFrame:
     """(a, b, linked) of the pairs (a, b), from whole texts."""
     spark = docs.sparkSession
@@ -287,13 +317,17 @@ def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
         placed = near.join(nodes.select("fp", "n"), "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         placed = placed.select("h", "fp", F.coalesce("root", "fp").alias("root"), F.explode(F.array(band, band + 1)).alias("band"))
         placed = materialise(spark, placed)
-        apart = placed.groupBy("h", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 <> r1").select("h", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        same = [F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("s0"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("s1"), F.count("*").alias("m")]  # names the members
+        apart = placed.groupBy("h", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *same).where("r0 <> r1")
+        apart = apart.groupBy("s0", "s1", "m").agg(F.min_by("h", F.struct("h", "band")).alias("h"), F.min_by("band", F.struct("h", "band")).alias("band"))  # parts of the same members count once
+        apart = apart.select("h", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
         left = placed.join(materialise(spark, apart), ["h", "band"])
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
         left = left.select("h", "band", "fp", "root", block.alias("k"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
         left = left.select("h", "band", "fp", "root", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), (F.col("k") > F.col("j")).cast("int").alias("side"))
         left = left.join(nodes.select("fp", "n", "vec"), "fp")
-        pairs = left.groupBy("h", "band", "x", "y").applyInPandas(_pairs_in(share, best), "a bigint, b bigint").distinct()
+        left = left.repartition("h", "band", "x", "y").sortWithinPartitions("h", "band", "x", "y")
+        pairs = left.mapInArrow(_pairs_in(share, best), "a bigint, b bigint").distinct()
         pairs = materialise(spark, pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         tested = materialise(spark, tested.unionByName(_checked(docs, nodes, pairs, words, share)))
         roots = components(spark, tested.where("linked").select("a", "b"))
