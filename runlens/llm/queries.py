@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontam, langid, token_files, toxicity
+from runlens.llm import decontam, jaccard, langid, token_files, toxicity
 from runlens.session import importable, shared_dir, table
 
 
@@ -47,11 +47,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_toxicity": op4_toxicity,
     "op6_token_files": op6_token_files,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
