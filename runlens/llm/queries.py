@@ -7,30 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontam, jaccard, langid, token_files, toxicity
+from runlens.llm import decontam, jaccard, langid, lines, mixing, pages, sql, token_counts, token_files, toxicity, vectors
 from runlens.session import importable, shared_dir, table
 
 
-def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    importable(spark)
-    found = decontam.measure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), "contaminated",
-    )
-
-
-def tokenizer_path() -> str:
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    importable(spark)
-    path = shared_dir(spark)
-    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
-    return token_files.read_tokens(spark, path, digest=True)
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +25,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,17 +42,53 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    path = shared_dir(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, path, digest=True)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    found = decontam.measure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model")).drop("text")
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return vectors.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_language_id": op1_language_id,
-    "op4_toxicity": op4_toxicity,
-    "op6_token_files": op6_token_files,
-    "op7_benchmark_decontamination": op7_benchmark_decontamination,
-    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_line_dedup, op3_html_extraction, op4_toxicity, op5_source_mixing, op6_token_files,
+        op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_token_counts, op10_exact_top_k,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": lines.SQL,
+    "op5_source_mixing": mixing.SQL,
+    "op7_benchmark_decontamination": sql.DECONTAMINATION,
+    "op8_ngram_jaccard_join": sql.JACCARD,
+    "op10_exact_top_k": sql.TOP_K,
 }
-
-ORACLES: dict[str, str] = {}
