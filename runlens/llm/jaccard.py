@@ -341,7 +341,12 @@ def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """Of each component the rows of its smallest doc_id stay, columns as they were; rows of null id or without words stay."""
+    """Of each component the row of its smallest doc_id stays, columns as they were; rows of null id or without words stay."""
     spark = docs.sparkSession
+    held = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     goes = materialise(spark, link(docs, words, share).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(goes, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    twice = materialise(spark, docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.join(held(goes), "doc_id", "left_anti")
+    if not twice.isEmpty():  # repeated rows
+        kept = kept.join(held(twice), "doc_id", "left_anti").unionByName(kept.join(held(twice), "doc_id", "left_semi").dropDuplicates())
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
