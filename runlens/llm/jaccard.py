@@ -42,6 +42,7 @@ FREQUENT = 1000  # a shingle is frequent from one in so many documents on
 MOST_FREQUENT = 500_000  # of them steer the order; the bound of what is broadcast
 BLOCK, LEAF = 2048, 32
 BROADCAST_ROWS = 1_000_000
+MEET = 16  # of a set of n, 1 + n // MEET indexed shingles at least stand in a linked set's index too
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,15 +90,34 @@ def names_of(key: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """Groups of the count vector of a set of n: a power of 4 times 64, so that a finer vector folds into a coarser one."""
-    g = 64
-    while n >= 1000 * (g // 64) ** 1.5 and g < 16384:
-        g *= 4
-    return g
+    """Groups of the count vector of a set of n: powers of two, so that a finer vector folds into a coarser one."""
+    return next((g for g, most in ((512, 250), (1024, 1000), (4096, 4000), (16384, 16000)) if n < most), 65536)
+
+
+_SHIFT = np.array([0, 2, 4, 6], np.uint8)
+_OPEN = (np.arange(256, dtype=np.uint8)[:, None] >> _SHIFT) & 3
+
+
+def pack(key: np.ndarray) -> bytes:
+    """The count vector of a set: counts up to 3 in two bits each, after what the larger ones exceed it by (4 bytes)."""
+    groups = groups_for(len(key))
+    counts = np.bincount((key & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    low = np.minimum(counts, 3).astype(np.uint8)
+    return int(len(key) - low.sum(dtype=np.int64)).to_bytes(4, "little") + np.bitwise_or.reduce(low.reshape(-1, 4) << _SHIFT, axis=1).tobytes()
+
+
+def unpack(vec: bytes) -> tuple[int, np.ndarray]:
+    """(excess, counts)"""
+    return int.from_bytes(vec[:4], "little"), _OPEN[np.frombuffer(vec, np.uint8, offset=4)].ravel()
 
 
 def fold(v: np.ndarray, groups: int) -> np.ndarray:
-    return v if len(v) == groups else v.reshape(-1, groups).sum(0, dtype=np.uint16)
+    return v if len(v) == groups else v.reshape(-1, groups).sum(0, dtype=np.uint8 if len(v) <= 64 * groups else np.uint16)
+
+
+def first_keys(n: np.ndarray, share: int) -> np.ndarray:
+    """How many keys of a set are indexed: two linked sets have least_met(smaller) of these in common."""
+    return np.where(n > 0, np.minimum(n, n * (100 - share) // 100 + 1 + n // MEET), 0)
 
 
 def need(a: np.ndarray | int, b: np.ndarray | int, share: int):
@@ -137,10 +157,9 @@ def _sketch(docs: DataFrame, words: int, share: int) -> DataFrame:
             for i, j in runs_of(col):
                 key, at = sets_of(col.slice(i, j - i), words, frequent)
                 n = np.diff(at)
-                plain = key & np.uint64((1 << 63) - 1)
                 fp = names_of(key, at)
-                vecs = [np.bincount((plain[a:b] & np.uint64(groups_for(b - a) - 1)).astype(np.int64), minlength=groups_for(b - a)).astype("<u2").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                first = np.where(n > 0, n * (100 - share) // 100 + 1, 0)
+                vecs = [pack(key[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                first = first_keys(n, share)
                 rank = np.arange(len(key)) - np.repeat(at[:-1], n)
                 some = rank < np.repeat(first, n)
                 offsets = np.zeros(len(n) + 1, np.int32)
@@ -156,36 +175,38 @@ def _possible(na: pd.Series, va: pd.Series, nb: pd.Series, vb: pd.Series, share:
     """Whether sizes and count vectors allow a link."""
     out = []
     for a, x, b, y, s in zip(na, va, nb, vb, share, strict=True):
-        x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+        (more_x, x), (more_y, y) = unpack(x), unpack(y)
         g = min(len(x), len(y))
-        out.append(min(int(np.minimum(fold(x, g), fold(y, g)).sum(dtype=np.int64)), a, b) >= need(a, b, s))
+        out.append(min(int(np.minimum(fold(x, g), fold(y, g)).sum(dtype=np.int64)) + min(more_x, more_y), a, b) >= need(a, b, s))
     return pd.Series(out, dtype=bool)
 
 
 class RTree:
-    """Points in leaves of LEAF by size and counts, each with a box; joined with itself leaf by leaf."""
+    """Points in leaves of LEAF by size and counts, each with a box; joined with another tree leaf by leaf."""
 
-    def __init__(self, size: np.ndarray, points: np.ndarray) -> None:
+    def __init__(self, size: np.ndarray, points: np.ndarray, more: np.ndarray) -> None:
         spread = np.argsort(-points.std(0), kind="stable")[:3]
         self.order = np.lexsort((*(points[:, d] for d in spread), size))
-        self.size, self.points = size[self.order], points[self.order]
+        self.size, self.points, self.more = size[self.order], points[self.order], more[self.order]
         self.at = np.append(np.arange(0, len(size), LEAF), len(size))
         self.high = np.maximum.reduceat(self.points, self.at[:-1], axis=0)
-        self.least, self.most = np.minimum.reduceat(self.size, self.at[:-1]), np.maximum.reduceat(self.size, self.at[:-1])
+        self.least, self.most, self.top_more = np.minimum.reduceat(self.size, self.at[:-1]), np.maximum.reduceat(self.size, self.at[:-1]), np.maximum.reduceat(self.more, self.at[:-1])
 
     def join(self, other: RTree, share: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(places in self, places in other, bound) of the pairs that a link is possible for, a leaf of self at a time."""
+        """(places in self, places in other, bound) of the pairs that a link is possible for, a pair of leaves at a time."""
         for i, (a, b) in enumerate(zip(self.at[:-1], self.at[1:], strict=True)):
-            top = np.minimum(np.minimum(other.high, self.high[i]).sum(1, dtype=np.int64), np.minimum(other.most, self.most[i]))
+            top = np.minimum(other.high, self.high[i]).sum(1, dtype=np.uint32) + np.minimum(other.top_more, self.top_more[i])
+            top = np.minimum(top, np.minimum(other.most, self.most[i]))
             for j in np.flatnonzero(top >= need(self.least[i], other.least, share)):
                 c, d = other.at[j], other.at[j + 1]
-                bound = np.minimum(self.points[a:b, None, :], other.points[None, c:d, :]).sum(2, dtype=np.int64)
-                x, y = np.nonzero(np.minimum(bound, np.minimum(self.size[a:b, None], other.size[None, c:d])) >= need(self.size[a:b, None], other.size[None, c:d], share))
+                bound = np.minimum(self.points[a:b, None, :], other.points[None, c:d, :]).sum(2, dtype=np.uint32) + np.minimum(self.more[a:b, None], other.more[None, c:d])
+                bound = np.minimum(bound, np.minimum(self.size[a:b, None], other.size[None, c:d]))
+                x, y = np.nonzero(bound >= need(self.size[a:b, None], other.size[None, c:d], share))
                 if len(x):
                     yield self.order[a + x], other.order[c + y], bound[x, y]
 
 
-def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray, vecs: list[np.ndarray], within: bool, share: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray, vecs: list[bytes], within: bool, share: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different components in one block (`within`) or between two; with `best` the two best partners of each set only."""
     _, one = np.unique(np.column_stack((fp, side)), axis=0, return_index=True)
     fp, root, side, n, vecs = fp[one], root[one], side[one], n[one], [vecs[i] for i in one]
@@ -194,10 +215,11 @@ def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray,
     none = np.zeros(0, np.int64)
     if not len(left) or not len(right) or (root == root[0]).all():
         return none, none
-    groups = min(map(len, vecs))
-    points = np.stack([fold(v, groups) for v in vecs])
+    opened = [unpack(v) for v in vecs]
+    groups = min(len(v) for _, v in opened)
+    points, more = np.stack([fold(v, groups) for _, v in opened]), np.array([e for e, _ in opened])
     found = []
-    for x, y, bound in RTree(n[left], points[left]).join(RTree(n[right], points[right]), share):
+    for x, y, bound in RTree(n[left], points[left], more[left]).join(RTree(n[right], points[right], more[right]), share):
         x, y = left[x], right[y]
         ok = root[x] != root[y]
         if ok.any():
@@ -227,7 +249,7 @@ def _pairs_in(share: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             if held is None or not held.num_rows:
                 continue
             c = {k: held.column(k).to_numpy() for k in ("h", "band", "x", "y", "fp", "root", "side", "n")}
-            vecs = [np.frombuffer(v, "<u2") for v in held.column("vec").to_pylist()]
+            vecs = held.column("vec").to_pylist()
             change = np.zeros(held.num_rows, bool)
             change[0] = True
             for k in ("h", "band", "x", "y"):
@@ -296,13 +318,14 @@ def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
 
     rows = full.select(F.explode("keys").alias("h"), "fp")
     parts = rows.groupBy("h").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub <> last").select("h", "hub")
-    near = materialise(spark, rows.join(materialise(spark, parts), "h").select("h", "fp", "hub"))  # with repeats of equal sets
+    near = rows.join(materialise(spark, parts), "h").groupBy("fp").agg(F.collect_set(F.struct("h", "hub")).alias("parts"))  # no longer than a set's index
+    own = full.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("vec").alias("vec"))
+    smaller = F.floor((F.col("n") * share + 99) / 100)  # the least size of a linked set
+    nodes = materialise(spark, own.join(near, "fp").where(F.size("parts") >= F.least(smaller, 1 + F.floor(smaller / MEET))))
 
-    met = near.where("fp <> hub").groupBy("fp", "hub").count().groupBy("fp").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    met = materialise(spark, met)
-    known = met.select("fp").unionAll(met.select(F.col("hub").alias("fp"))).distinct()
-    own = full.select("fp", "n", "vec", "doc_id").where("doc_id is not null").join(known, "fp", "left_semi")
-    nodes = materialise(spark, own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("vec").alias("vec")))
+    hubs = F.transform(F.filter("parts", lambda x: x["hub"] != F.col("fp")), lambda x: x["hub"])
+    most = F.array_max(F.transform(F.array_distinct(hubs), lambda u: F.struct(F.size(F.filter(hubs, lambda v: v == u)), u.alias("hub"))))["hub"]
+    met = nodes.select("fp", most.alias("hub")).where("hub is not null")
 
     side = lambda name: nodes.select(F.col("fp").alias(name), F.col("n").alias(f"n{name}"), F.col("vec").alias(f"v{name}"))
     stars = met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
@@ -311,10 +334,10 @@ def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     roots = components(spark, tested.where("linked").select("a", "b"))
 
     step = np.log(100 / share) * (1 + 1e-9)  # sizes of linked sets are less than a step apart
-    near = near.select("h", "fp").distinct()
+    places = nodes.select("fp", "n", F.explode("parts.h").alias("h"))
     for best in (True, False):
         band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)))
-        placed = near.join(nodes.select("fp", "n"), "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+        placed = places.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         placed = placed.select("h", "fp", F.coalesce("root", "fp").alias("root"), F.explode(F.array(band, band + 1)).alias("band"))
         placed = materialise(spark, placed)
         same = [F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("s0"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("s1"), F.count("*").alias("m")]  # names the members
