@@ -12,14 +12,20 @@ gives an empty one; extra columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.session import materialise
 
 SITES = 5
 MARGIN = 0.3  # four standard errors of a sketch of 2 ** LOG_K registers
 LOG_K = 8
+HELD = 1_000_000  # hashes that are broadcast; beyond that texts and hashes are joined
 
 
 def line_key(line: Column) -> Column:
@@ -38,20 +44,48 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     return spread.where(F.col("about") > sites * (1 + MARGIN)).select("h").unionByName(exact)
 
 
-def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """The documents with boilerplate lines taken out of `text`, and n_lines and n_removed."""
-    spark = docs.sparkSession
-    common = materialise(spark, boilerplate(docs, sites))
+def _clean_here(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """For a set of hashes that every worker can hold: texts are cleaned where they are."""
+    held = docs.sparkSession.sparkContext.broadcast(common.toArrow().column("h").to_numpy())
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = set(held.value.tolist())
+        digest = xxhash.xxh64_intdigest  # as Spark's xxhash64 of one string, but unsigned
+        sign = lambda h: h - (1 << 64) if h >> 63 else h
+        for batch in batches:
+            row = batch.column("row")
+            texts, counts, removed = [], [], []
+            for text in row.field("text").to_pylist():
+                lines = [] if text is None else text.split("\n")
+                kept = [x for x in lines if sign(digest(x.strip(" "), 42)) not in gone]
+                texts.append(None if text is None else text if len(kept) == len(lines) else "\n".join(kept))
+                counts.append(len(lines))
+                removed.append(len(lines) - len(kept))
+            yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "n_lines", "n_removed"])
+
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    longs = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed")]
+    df = df.mapInArrow(step, T.StructType([df.schema["row"], T.StructField("text", T.StringType()), *longs]))
+    return df.select(*("text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+
+
+def _clean_by_join(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """For any number of hashes: those to remove are sent to their documents."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")  # rows that share an id share the list, which holds boilerplate only
     rows = docs.select(key, F.explode(F.split("text", "\n", -1)).alias("line")).select("_key", line_key(F.col("line")).alias("h"))
-    drop = materialise(spark, rows.join(common, "h", "left_semi").groupBy("_key").agg(F.collect_set("h").alias("_drop")))
-    lines = F.split("text", "\n", -1)
+    drop = materialise(docs.sparkSession, rows.join(common, "h", "left_semi").groupBy("_key").agg(F.collect_set("h").alias("_drop")))
+    lines, none = F.split("text", "\n", -1), F.col("text").isNull()
     kept = F.filter(lines, lambda x: F.col("_drop").isNull() | ~F.array_contains("_drop", line_key(x)))
-    out = docs.withColumn("_key", key).join(drop, "_key", "left")
-    out = out.withColumns({"_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "_kept": kept})
-    out = out.withColumn("_lines", F.when(F.col("text").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("_lines")))
-    removed = F.when(F.col("text").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("_lines") - F.size("_kept"))
-    return out.select(*(F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")), F.col("_lines").alias("n_lines"), removed.cast("bigint").alias("n_removed"))
+    out = docs.withColumn("_key", key).join(drop, "_key", "left").withColumn("_kept", kept)
+    count = lambda x: F.when(none, 0).otherwise(x).cast("bigint")
+    columns = [F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*columns, count(F.size(lines)).alias("n_lines"), count(F.size(lines) - F.size("_kept")).alias("n_removed"))
+
+
+def without_boilerplate(docs: DataFrame, sites: int = SITES, held: int = HELD) -> DataFrame:
+    """The documents with boilerplate lines taken out of `text`, and n_lines and n_removed."""
+    common = materialise(docs.sparkSession, boilerplate(docs, sites))
+    return (_clean_here if common.count() <= held else _clean_by_join)(docs, common)
 
 
 #: DuckDB's answer for the registered query.

@@ -26,6 +26,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     found = lines.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
