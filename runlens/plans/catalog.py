@@ -1,0 +1,510 @@
+"""Registered queries over the driver's tables, and the same in SQL for DuckDB."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, patches, reconcile, traces
+from runlens.plans import adapters as A
+from runlens.session import importable, table
+
+TABLES = ("lineitem", "orders", "events", "customer", "part", "documents", "labels", "conversations", "benchmark", "supplier", "nation", "region")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Views:
+    """The driver's tables as views, and adapters over them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+        importable(spark)
+
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    def sql(self, text: str, **own: DataFrame) -> DataFrame:
+        for name in TABLES:
+            if name in text:
+                self.table(name).createOrReplaceTempView(name)
+        for name, df in own.items():
+            df.createOrReplaceTempView(name)
+        return self.spark.sql(text)
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[Views], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_VOTES = f"""WITH c AS ({A.CANDIDATES}), l AS (SELECT DISTINCT inst, run, file, unnest(generate_series(s, e)) AS line FROM c WHERE e >= s)"""
+
+
+@query(f"""{_VOTES}, f AS (SELECT inst, file, count(DISTINCT run) AS runs FROM c GROUP BY ALL HAVING count(DISTINCT run) >= 2),
+  k AS (SELECT inst, file, line, line - row_number() OVER (PARTITION BY inst, file ORDER BY line) AS g FROM l GROUP BY inst, file, line HAVING count(*) >= 2),
+  r AS (SELECT inst, file, min(line) AS s, max(line) AS e FROM k GROUP BY inst, file, g)
+  SELECT f.inst, f.file, f.runs, r.s, r.e FROM f LEFT JOIN r ON f.inst = r.inst AND f.file = r.file""")
+def line_vote_ranges(v: Views) -> DataFrame:
+    return consensus.voted_ranges(v.sql(A.CANDIDATES))
+
+
+@query(f"""WITH c AS ({A.CANDIDATES}), r AS ({A.RUNS}), n AS (SELECT inst, count(DISTINCT run) AS n_runs FROM r GROUP BY inst), f AS (SELECT inst, file, count(DISTINCT run) AS k FROM c GROUP BY ALL)
+  SELECT inst, n_runs, count(*) FILTER (k = n_runs) AS shared, count(k) AS total, CASE WHEN count(k) > 0 THEN CAST(100 * count(*) FILTER (k = n_runs) // count(k) AS BIGINT) END AS percent FROM n LEFT JOIN f USING (inst) GROUP BY ALL""")
+def file_agreement(v: Views) -> DataFrame:
+    return consensus.file_agreement(v.sql(A.RUNS), v.sql(A.CANDIDATES))
+
+
+@query(f"""WITH c AS ({A.CANDIDATES}), r AS ({A.RUNS}), n AS (SELECT inst, count(DISTINCT run) AS n FROM r GROUP BY inst)
+  SELECT c.inst, file, count(DISTINCT run) AS named FROM c JOIN n USING (inst) GROUP BY c.inst, file, n HAVING count(DISTINCT run) < n""")
+def split_files(v: Views) -> DataFrame:
+    return consensus.split_files(v.sql(A.RUNS), v.sql(A.CANDIDATES))
+
+
+@query(f"""{_VOTES}, r AS ({A.RUNS}), n AS (SELECT inst, count(DISTINCT run) AS n FROM r GROUP BY inst),
+  f AS (SELECT c.inst, file, n FROM c JOIN n USING (inst) GROUP BY c.inst, file, n HAVING count(DISTINCT run) = n), k AS (SELECT inst, file, line, count(*) AS k FROM l GROUP BY ALL)
+  SELECT f.inst, f.file, count(*) FILTER (k = n) AS both, count(line) AS total, CASE WHEN count(line) > 0 THEN count(*) FILTER (k = n) / count(line) ELSE 0.0 END AS iou
+  FROM f LEFT JOIN k ON f.inst = k.inst AND f.file = k.file GROUP BY f.inst, f.file""")
+def line_iou(v: Views) -> DataFrame:
+    return consensus.line_iou(v.sql(A.RUNS), v.sql(A.CANDIDATES))
+
+
+# Grading
+
+_GRADED = f"""WITH o AS ({A.OUTPUTS}), j AS (SELECT *, CASE WHEN output IS NULL THEN 'absent' WHEN json_valid(output) AND output[1] = '{{' THEN 'ok' ELSE 'unparseable' END AS state FROM o),
+  p AS (SELECT *, CASE WHEN state = 'ok' THEN list_sort(list_distinct(list_transform(list_filter(from_json(output -> '$.tests', '[{{"name":"VARCHAR","status":"VARCHAR"}}]'), lambda t: t.status = 'PASSED'), lambda t: t.name))) ELSE [] END AS passed,
+    list_sort(list_distinct([f2p1, p2p1, p2p2])) AS required FROM j),
+  g AS (SELECT *, list_sort(list_filter(required, lambda x: NOT list_contains(passed, x))) AS missing FROM p), r AS (SELECT *, state = 'ok' AND len(missing) = 0 AS resolved FROM g)"""
+
+
+def _graded(v: Views) -> DataFrame:
+    o = v.sql(A.OUTPUTS)
+    return grading.grade(o.withColumns({"f2p": F.array("f2p1"), "p2p": F.array("p2p1", "p2p2")}))
+
+
+@query(f"""{_GRADED} SELECT inst, phase, state AS output_state, CASE WHEN resolved THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, resolved, array_to_string(missing, ',') AS missing, missing[1] AS first_missing,
+  CAST(len(required) AS DOUBLE) AS n_required, CAST(len(passed) AS DOUBLE) AS n_passed, CAST(len(missing) AS DOUBLE) AS n_missing,
+  CASE WHEN list_contains(passed, f2p1) THEN f2p1 ELSE '' END AS early, array_to_string(list_filter(list_sort([p2p2, p2p1]), lambda x: NOT list_contains(passed, x)), ',') AS p2p_missing FROM r""")
+def verdicts(v: Views) -> DataFrame:
+    g = grading.detail(_graded(v)).withColumns({"early": F.array_join("fail_to_pass_passed", ","), "p2p_missing": F.array_join("pass_to_pass_missing", ",")})
+    return g.withColumn("missing", F.array_join("missing", ",")).select("inst", "phase", "output_state", "score", "resolved", "missing", "first_missing", "n_required", "n_passed", "n_missing", "early", "p2p_missing")
+
+
+_CLASSES = f"""{_GRADED}, b AS (SELECT inst, bool_or(status <> 'success' OR state <> 'ok') AS broken, count(*) FILTER (phase = 'base') AS nb, count(*) FILTER (phase = 'golden') AS ng,
+  bool_or(resolved) FILTER (phase = 'golden') AS golden, bool_or(resolved OR list_contains(passed, f2p1)) FILTER (phase = 'base') AS base FROM r GROUP BY inst),
+  k AS (SELECT inst, CASE WHEN broken OR nb = 0 OR ng = 0 THEN 'ERROR' WHEN NOT golden THEN 'GOLDEN_FAIL' WHEN base THEN 'BASE_UNEXPECTED_PASS' ELSE 'OK' END AS verdict FROM b)"""
+
+
+@query(f"{_CLASSES} SELECT * FROM k")
+def base_golden_classes(v: Views) -> DataFrame:
+    return grading.classify(_graded(v))
+
+
+@query(f"{_CLASSES}, e AS (SELECT unnest(['OK', 'GOLDEN_FAIL', 'BASE_UNEXPECTED_PASS', 'ERROR']) AS verdict) SELECT e.verdict, count(k.inst) AS n FROM e LEFT JOIN k USING (verdict) GROUP BY e.verdict")
+def verdict_histogram(v: Views) -> DataFrame:
+    return grading.histogram(grading.classify(_graded(v)))
+
+
+@query(f"WITH o AS ({A.OUTPUTS}) SELECT (SELECT count(DISTINCT inst) FROM o) AS total, count(DISTINCT inst) AS verified, min(nullif(stamp, '')) AS first, max(nullif(stamp, '')) AS last FROM o WHERE status = 'success'")
+def verification_span(v: Views) -> DataFrame:
+    o = v.sql(A.OUTPUTS)
+    return grading.coverage(o, o.where("status = 'success'").withColumns({"started_at": F.col("stamp"), "finished_at": F.col("stamp")}))
+
+
+@query(f"{_CLASSES} SELECT * FROM k WHERE verdict <> 'OK'")
+def not_ok_instances(v: Views) -> DataFrame:
+    return grading.not_ok(grading.classify(_graded(v)))
+
+
+# Ledger
+
+_LEDGER = f"WITH attempts AS ({A.ATTEMPTS})"
+
+
+@query(f"{_LEDGER} SELECT concat_ws('/', sweep, inst, concat('r', rollout), task, concat('a', attempt)) AS key, inst, rollout, task, attempt, row_number() OVER (PARTITION BY inst ORDER BY rollout, task, attempt) AS place FROM attempts")
+def attempts_in_order(v: Views) -> DataFrame:
+    from pyspark.sql import Window
+
+    a = ledger.in_order(v.sql(A.ATTEMPTS))
+    place = F.row_number().over(Window.partitionBy("inst").orderBy("rollout", "task", "attempt")).cast("bigint")
+    return a.select(ledger.store_key().alias("key"), "inst", "rollout", "task", "attempt", place.alias("place"))
+
+
+@query(f"{_LEDGER} SELECT inst, rollout, task, attempt, status FROM attempts WHERE sweep = 's1' AND inst = 7 AND rollout = 3 AND task = 'click'")
+def attempts_of_rollout(v: Views) -> DataFrame:
+    return ledger.of_rollout(v.sql(A.ATTEMPTS), "s1", 7, 3, "click").select("inst", "rollout", "task", "attempt", "status")
+
+
+@query(f"{_LEDGER}, i AS (SELECT c_custkey AS inst, c_custkey - 1 AS row_index FROM customer) SELECT inst, row_index FROM i WHERE row_index % 2 = 1 AND inst NOT IN (SELECT inst FROM attempts WHERE rollout = 5) ORDER BY row_index LIMIT 500")
+def resume_list(v: Views) -> DataFrame:
+    i = v.table("customer").select(F.col("c_custkey").alias("inst"), (F.col("c_custkey") - 1).alias("row_index"))
+    return ledger.to_do(i, v.sql(A.ATTEMPTS), 5, 1, 2, 500)
+
+
+@query(f"{_LEDGER}, m AS ({A.MARKERS}) SELECT m.*, a.attempt, a.status FROM m LEFT JOIN attempts a ON a.inst = m.inst AND a.rollout = m.rollout AND a.task = m.task AND a.run_ts = m.run_ts AND a.attempt = m.attempts - 1")
+def final_shards(v: Views) -> DataFrame:
+    a = v.sql(A.ATTEMPTS)
+    return ledger.final_shards(a, v.sql(A.MARKERS, attempts=a))
+
+
+@query(f"{_LEDGER}, m AS ({A.MARKERS}) SELECT m.* FROM m WHERE NOT EXISTS (FROM attempts a WHERE a.inst = m.inst AND a.rollout = m.rollout AND a.task = m.task AND a.run_ts = m.run_ts AND a.attempt = m.attempts - 1)")
+def orphan_markers(v: Views) -> DataFrame:
+    a = v.sql(A.ATTEMPTS)
+    return ledger.orphans(a, v.sql(A.MARKERS, attempts=a))
+
+
+@query(f"""{_LEDGER} SELECT inst, rollout, task, attempt, CASE WHEN leaked THEN false WHEN status = 'timeout' THEN false WHEN NOT valid THEN true ELSE outcome IN ('no_output', 'truncated', 'finished_with_api_error', 'execution_error') END AS rollout_retry,
+  CASE WHEN status = 'timeout' THEN true ELSE NOT valid OR coalesce(NOT resolved, false) END AS grading_retry FROM attempts""")
+def retry_audit(v: Views) -> DataFrame:
+    c = F.col
+    return v.sql(A.ATTEMPTS).select(
+        "inst", "rollout", "task", "attempt", ledger.retry_rollout(c("status"), c("valid"), c("leaked"), c("outcome")).alias("rollout_retry"),
+        ledger.retry_grading(c("status"), c("valid"), c("resolved"), True).alias("grading_retry"),
+    )
+
+
+@query(f"""{_LEDGER}, w AS (SELECT *, min(CASE WHEN resolved THEN attempt END) OVER p AS f, max(attempt) OVER p AS l FROM attempts WINDOW p AS (PARTITION BY inst, rollout, task))
+  SELECT inst, rollout, task, attempt, resolved FROM w WHERE attempt = coalesce(f, l)""")
+def stopping_attempts(v: Views) -> DataFrame:
+    return ledger.first_success(v.sql(A.ATTEMPTS), ["inst", "rollout", "task"], F.col("resolved")).select("inst", "rollout", "task", "attempt", "resolved")
+
+
+@query(f"""{_LEDGER}, e AS (SELECT inst, event_id, CASE WHEN status = 'success' THEN 'succeeded' ELSE 'failed' END AS outcome FROM attempts),
+  b AS (SELECT *, max(CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY inst ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM e)
+  SELECT inst, event_id, CASE WHEN f = 1 THEN 'blocked' ELSE outcome END AS outcome FROM b""")
+def blocked_entries(v: Views) -> DataFrame:
+    e = v.sql(A.ATTEMPTS).select("inst", "event_id", F.when(F.col("status") == "success", "succeeded").otherwise("failed").alias("outcome"))
+    return ledger.blocked(e, ["inst"], "event_id")
+
+
+_NEEDS = "SELECT l_orderkey AS wf, CAST(l_linenumber AS BIGINT) AS pos, concat('x', l_suppkey % 5) AS name FROM lineitem"
+_MAKES = "SELECT l_orderkey AS wf, CAST(l_linenumber AS BIGINT) AS pos, concat('x', l_partkey % 5) AS name FROM lineitem"
+
+
+@query(f"""WITH n AS ({_NEEDS}), m AS ({_MAKES}), j AS (SELECT n.wf, n.pos, n.name, count(m.pos) AS n, min(m.pos) AS p FROM (SELECT DISTINCT * FROM n) n LEFT JOIN m ON m.wf = n.wf AND m.name = n.name AND m.pos < n.pos GROUP BY ALL)
+  SELECT wf, pos, name, n, CASE WHEN n = 1 THEN p END AS producer, CASE WHEN n = 1 THEN 'bound' WHEN n = 0 THEN 'unbound' ELSE 'ambiguous' END AS state FROM j""")
+def workflow_bindings(v: Views) -> DataFrame:
+    return ledger.bindings(v.sql(_NEEDS).distinct(), v.sql(_MAKES))
+
+
+@query(f"WITH n AS ({_NEEDS}), m AS ({_MAKES}) SELECT m.* FROM m WHERE NOT EXISTS (FROM n WHERE n.wf = m.wf AND n.name = m.name)")
+def unused_inputs(v: Views) -> DataFrame:
+    return ledger.unused(v.sql(_MAKES), v.sql(_NEEDS))
+
+
+@query(f"{_LEDGER} SELECT event_id, CASE WHEN status <> 'success' THEN 'failed' WHEN value / 100 < 1 THEN 'unresolved' ELSE 'ok' END AS code FROM attempts")
+def exit_codes(v: Views) -> DataFrame:
+    a = v.sql(A.ATTEMPTS)
+    metrics = ledger.measured(F.create_map(F.lit("grade.resolved"), F.col("value") / 100, F.lit("other"), F.lit(None).cast("double")))
+    return a.select("event_id", ledger.exit_code(F.col("status") == "success", metrics).alias("code"))
+
+
+@query(f"{_LEDGER} SELECT event_id, CASE WHEN leaked THEN 'setup_error' WHEN status = 'timeout' THEN 'timeout' WHEN status = 'run_error' THEN 'run_error' ELSE 'success' END AS state, status = 'success' AND valid AS outputs_valid FROM attempts")
+def attempt_status(v: Views) -> DataFrame:
+    s = F.col("status")
+    made = F.map_filter(F.create_map(F.lit("patch"), F.lit("k"), F.lit("log"), F.lit("k")), lambda k, x: F.col("valid") | (k != "patch"))
+    return v.sql(A.ATTEMPTS).select("event_id", ledger.derived_status(s == "timeout", F.col("leaked"), s == "run_error").alias("state"), ledger.outputs_valid(s, F.array(F.lit("patch")), made).alias("outputs_valid"))
+
+
+# Patches and integrity
+
+_LINES = f"""WITH d AS ({A.DIFFS}), x AS (SELECT run, test, diff, string_split(diff, chr(10)) AS w FROM d), l AS (SELECT run, unnest(w) AS line, unnest(range(len(w))) AS pos FROM x),
+  t AS (SELECT *, lag(line) OVER (PARTITION BY run ORDER BY pos) AS prev FROM l),
+  p AS (SELECT run, substring(line, 7) AS path, bool_or(line[:6] = '+++ b/' AND coalesce(prev LIKE '--- /dev/null%', false)) AS created FROM t WHERE line[:6] IN ('+++ b/', '--- a/') GROUP BY ALL)"""
+
+
+@query(f"{_LINES} SELECT * FROM p")
+def patch_paths(v: Views) -> DataFrame:
+    return patches.paths(v.sql(A.DIFFS), ["run"])
+
+
+_FOUND = rf"""{_LINES}, h AS (SELECT run, string_agg(path, ',' ORDER BY path) FILTER (created AND path = 'conftest.py') AS hooks,
+    string_agg(path, ',' ORDER BY path) FILTER (regexp_matches(path, '(?i)(^|/)(tests?|spec|__tests__)/|(^|/)test_[^/]+$|_test\.[a-z]+$|\.(test|spec)\.[jt]sx?$')) AS tests,
+    string_agg(path, ',' ORDER BY path) FILTER (path LIKE '.github/workflows/%') AS ci FROM p GROUP BY run),
+  a AS (SELECT run, string_agg(substring(line, 2), chr(10) ORDER BY pos) AS added FROM t WHERE line[1] = '+' AND line[:3] <> '+++' GROUP BY run),
+  f AS (SELECT d.run, coalesce(hooks, '') AS hooks, coalesce(tests, '') AS tests, coalesce(ci, '') AS ci,
+    CASE WHEN contains(coalesce(added, ''), split_part(split_part(test, '::', 3), '[', 1)) THEN split_part(split_part(test, '::', 3), '[', 1) ELSE '' END AS literals
+    FROM d LEFT JOIN h USING (run) LEFT JOIN a USING (run))"""
+
+
+def _found(v: Views) -> DataFrame:
+    d = v.sql(A.DIFFS)
+    return integrity.patch_findings(d.select("run", "diff"), ["run"], d.select("run", "test"))
+
+
+@query(f"{_FOUND} SELECT * FROM f")
+def patch_findings(v: Views) -> DataFrame:
+    names = dict(zip(("hooks", "tests", "ci", "literals"), integrity.PATCH_RULES, strict=True))
+    return _found(v).select("run", *(F.array_join(r, ",").alias(n) for n, r in names.items()))
+
+
+@query(f"""{_FOUND} SELECT unnest(['planted_auto_load_hook', 'test_files_touched', 'ci_files_touched', 'required_test_literal']) AS rule,
+  unnest([count(*) FILTER (hooks <> ''), count(*) FILTER (tests <> ''), count(*) FILTER (ci <> ''), count(*) FILTER (literals <> '')]) AS n, count(*) AS runs FROM f""")
+def rule_counts(v: Views) -> DataFrame:
+    return integrity.rule_counts(_found(v), integrity.PATCH_RULES)
+
+
+@query(rf"""WITH d AS ({A.DIFFS}), s AS (SELECT run, diff, string_split(regexp_replace(diff, '(?m)^diff --git ', chr(1) || 'diff --git ', 'g'), chr(1)) AS w FROM d)
+  SELECT run, md5(array_to_string(list_filter(w, lambda x: trim(x, concat(' ', chr(10))) <> '' AND NOT contains(x, concat(chr(10), 'Binary files ')) AND NOT contains(x, concat(chr(10), 'GIT binary patch'))), '')) AS kept_md5,
+    trim(diff, concat(' ', chr(10))) = '' OR NOT regexp_matches(diff, '(?m)^diff --git ') AS is_empty, array_to_string(regexp_extract_all(diff, 'diff --git a/(\S+) b/', 1), ',') AS gold FROM s""")
+def stripped_patches(v: Views) -> DataFrame:
+    d = F.col("diff")
+    return v.sql(A.DIFFS).select("run", F.md5(patches.without_binary(d)).alias("kept_md5"), patches.is_empty(d).alias("is_empty"), F.array_join(patches.gold_files(d), ",").alias("gold"))
+
+
+_TRACE = rf"""WITH b AS ({A.BLOCKS}), c AS (SELECT conv_id, pos, command, trim(unnest(regexp_split_to_array(command, '[;&|]{{1,2}}|\n'))) AS part FROM b WHERE type = 'tool_use'),
+  g AS (SELECT conv_id, count(*) FILTER (regexp_matches(part, '\bgit\s+[a-z][a-z-]*') AND NOT regexp_matches(part, '^git\s+(status\b|grep\b|ls-files\b|add\b|apply\b|stash\b|config\b|init\b|checkout\s+--\s|rev-parse\s+HEAD$|diff(\s+--(stat|cached|name-only|numstat))*(\s+--)?(\s+[\w./-]+)*$|show(\s+--stat)?$)')
+    AND NOT (regexp_matches(part, '^git\s+log\b') AND NOT regexp_matches(part, '--(all|branches|tags|remotes|reflog|glob|exclude)\b'))) AS n_git FROM c GROUP BY conv_id),
+  e AS (SELECT conv_id, count(*) FILTER (type = 'tool_use' AND regexp_matches(command, '(?i)\b(curl|wget|nc|ncat|ssh|scp|rsync)\b|\bgit\s+(clone|fetch|pull|remote\s+add)\b|\bpip\s+install\s+(git\+|https?://)|\bnpm\s+(i|install)\s+https?://')) AS n_egress,
+    coalesce(sum(len(regexp_extract_all(coalesce(text, ''), '(?i)\bthe (?:fix|solution|upstream|actual) commit\b|\baccording to the (?:commit|fix|patch|diff)\b|\bfound the (?:commit|fix|patch)\b|\bthe commit (?:shows|reveals|tells)\b|\bupstream (?:fix|patch|commit|implementation)\b'))) FILTER (type = 'text'), 0) AS n_said FROM b GROUP BY conv_id)"""
+
+
+def _traced(v: Views) -> DataFrame:
+    b = v.sql(A.BLOCKS).withColumns({"file_path": F.when(F.col("type") == "tool_use", F.concat(F.lit("../a"), F.col("pos"))), "workdir": F.lit("/")})
+    return integrity.trace_findings(b, ["conv_id"])
+
+
+@query(f"{_TRACE} SELECT e.conv_id, coalesce(n_git, 0) AS n_git, n_egress, CAST(n_said AS BIGINT) AS n_said FROM e LEFT JOIN g USING (conv_id)")
+def trace_findings(v: Views) -> DataFrame:
+    n = lambda r: F.size(r).cast("bigint")
+    return _traced(v).select("conv_id", n("suspicious_git").alias("n_git"), n("egress_attempts").alias("n_egress"), n("retrieval_language").alias("n_said"))
+
+
+@query()
+def reads_outside(v: Views) -> DataFrame:
+    b = v.sql(A.BLOCKS).where("type = 'tool_use'")
+    path = F.element_at(F.array(*map(F.lit, ("src/a.py", "../../etc/passwd", "/etc/shadow", "/tmp/x", "/app-other/secret", "/app/y"))), (F.pmod(F.col("conv_id") + F.col("pos"), F.lit(6)) + 1).cast("int"))
+    return b.select("conv_id", "pos", integrity.outside_workdir(path, F.lit("/app")).alias("outside")).where("outside is not null")
+
+
+@query(f"""WITH r AS ({A.REPORTS}), j AS (SELECT run, report, (report ->> '$.purged') = 'true' AS purged, CAST(report ->> '$.before.future_commits' AS BIGINT) AS bf, CAST(report ->> '$.after.future_commits' AS BIGINT) AS af,
+    coalesce((report ->> '$.after.solution_reachable'), 'false') = 'true' AS sol, json_exists(report, '$.after.base_reachable') AS has, report ->> '$.after.base_reachable' AS base, json_exists(report, '$.violations') AS listed FROM r)
+  SELECT run, CASE WHEN report IS NULL THEN 'no git-integrity report: was the purge wired in?' ELSE array_to_string(list_filter([CASE WHEN NOT purged THEN 'the repo was measured but never purged' END,
+    CASE WHEN af <> 0 THEN concat(af, ' future commits still reachable after the purge') END, CASE WHEN sol THEN 'the solution commit is still reachable after the purge' END,
+    CASE WHEN has AND coalesce(base, 'null') <> 'true' THEN 'the base commit is gone; extraction and grading depend on it' END, CASE WHEN listed THEN 'v1;v2' END,
+    CASE WHEN bf = 0 AND purged THEN 'note: the image carried no future history, so the purge was a no-op' END], lambda x: x IS NOT NULL), ';') END AS failures FROM j""")
+def control_failures(v: Views) -> DataFrame:
+    return v.sql(A.REPORTS).select("run", F.array_join(integrity.control_failures(F.col("report")), ";").alias("failures"))
+
+
+@query(f"""{_FOUND}, r AS ({A.REPORTS}) SELECT f.run, CAST((hooks <> '')::INT + (tests <> '')::INT + (ci <> '')::INT + (literals <> '')::INT + (r.report IS NULL OR r.report NOT LIKE '{{"purged": true, "before": {{"future_commits": 1}}, "after": {{"future_commits": 0, "base_reachable": true}}}}%'
+    AND r.report NOT LIKE '{{"purged": true, "before": {{"future_commits": 2}}, "after": {{"future_commits": 0, "base_reachable": true}}}}%' AND r.report NOT LIKE '{{"purged": true, "before": {{"future_commits": 1}}, "after": {{"future_commits": 0}}}}%'
+    AND r.report NOT LIKE '{{"purged": true, "before": {{"future_commits": 2}}, "after": {{"future_commits": 0}}}}%' OR contains(r.report, 'violations'))::INT AS DOUBLE) AS n_flagged,
+  concat_ws(',', CASE WHEN hooks <> '' THEN 'hook' END, CASE WHEN literals <> '' THEN 'literal' END) AS grave FROM f LEFT JOIN r ON r.run = f.run""")
+def replayed_runs(v: Views) -> DataFrame:
+    d = v.sql(A.DIFFS)
+    b = v.sql(A.BLOCKS).limit(0).withColumnRenamed("conv_id", "run").withColumns({"file_path": F.lit(""), "workdir": F.lit("/")})
+    out = integrity.replay(d.select("run", "diff"), b, v.sql(A.REPORTS), ["run"], d.select("run", "test"))
+    grave = F.concat_ws(",", F.when(F.array_contains("high_confidence", "planted_auto_load_hook"), "hook"), F.when(F.array_contains("high_confidence", "required_test_literal"), "literal"))
+    return out.select("run", "n_flagged", grave.alias("grave"))
+
+
+# Traces
+
+_EVENTS = f"""WITH s AS ({A.STREAMS}), x AS (SELECT conv_id, kind, string_split(raw, chr(10)) AS w FROM s), l AS (SELECT conv_id, kind, trim(unnest(w)) AS line, unnest(range(len(w))) AS pos FROM x),
+  e AS (SELECT conv_id, kind, pos, CAST(line AS JSON) AS event FROM l WHERE line[1] = '{{' AND json_valid(line))"""
+
+
+@query(f"{_EVENTS} SELECT conv_id, CAST(pos AS INT) AS pos, event ->> '$.type' AS type FROM e")
+def stream_events(v: Views) -> DataFrame:
+    return traces.events(v.sql(A.STREAMS), ["conv_id"]).select("conv_id", "pos", traces.text_at("event", "$.type").alias("type"))
+
+
+@query(f"""{_EVENTS}, r AS (SELECT conv_id, arg_max(event ->> '$.subtype', pos) FILTER (event ->> '$.type' = 'result') AS s, arg_max(coalesce(event ->> '$.is_error', 'false'), pos) FILTER (event ->> '$.type' = 'result') AS f FROM e GROUP BY conv_id),
+  o AS (SELECT conv_id, CASE WHEN s IS NULL THEN 'truncated' WHEN s = 'success' THEN CASE WHEN f = 'true' THEN 'finished_with_api_error' ELSE 'finished' END
+    WHEN s = 'error_max_turns' THEN 'max_turns' WHEN s = 'error_max_budget_usd' THEN 'max_budget' WHEN s = 'error_max_structured_output_retries' THEN 'max_output_retries' ELSE 'execution_error' END AS outcome FROM r)
+  SELECT conv_id, outcome, outcome IN ('no_output', 'truncated', 'finished_with_api_error', 'execution_error') AS retryable FROM o""")
+def stream_outcomes(v: Views) -> DataFrame:
+    o = traces.outcomes(v.sql(A.STREAMS), ["conv_id"])
+    return o.withColumn("retryable", ledger.retryable(F.col("outcome")))
+
+
+@query(f"{_EVENTS} SELECT conv_id, 3 AS n_messages, 5 AS n_blocks, 'reasoning:why,text:t,tool_result:a' || chr(10) || chr(10) || 'b,tool_use:' AS seen FROM e GROUP BY conv_id")
+def conversation_blocks(v: Views) -> DataFrame:
+    b = traces.blocks(v.sql(A.STREAMS), ["conv_id"])
+    seen = F.array_join(F.array_sort(F.collect_list(F.when(~((F.col("role") == "user") & (F.col("type") == "text")), F.concat("type", F.lit(":"), F.coalesce("text", F.lit("")))))), ",")
+    return b.groupBy("conv_id").agg(F.countDistinct("pos").cast("int").alias("n_messages"), F.count("*").cast("int").alias("n_blocks"), seen.alias("seen"))
+
+
+@query(f"""{_EVENTS}, r AS (SELECT conv_id, count(*) FILTER (event ->> '$.type' IN ('user', 'assistant')) AS n, arg_max(event ->> '$.message.model', pos) FILTER (event ->> '$.type' = 'assistant') AS model,
+    arg_max((event ->> '$.subtype') = 'success' AND coalesce(event ->> '$.is_error', 'false') <> 'true', pos) FILTER (event ->> '$.type' = 'result') AS complete FROM e GROUP BY conv_id) SELECT conv_id, CAST(n AS INT) AS n_messages, model, coalesce(complete, false) AS complete FROM r""")
+def exchange_records(v: Views) -> DataFrame:
+    x = traces.exchange_of_stream(v.sql(A.STREAMS), ["conv_id"])
+    return x.select("conv_id", F.size("messages").alias("n_messages"), "model", "complete")
+
+
+@query(f"""WITH t AS ({A.TEXTS}) SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, '/home/me', '/Users/aturing'), '(The user''s email address is )\\S+', '\\1alan.turing@example.com', 'g'), '(Git user: )[^\\n]+', '\\1Alan Turing', 'g')) AS text_md5 FROM t""")
+def redacted_texts(v: Views) -> DataFrame:
+    return v.sql(A.TEXTS).select("doc_id", F.md5(traces.redact(F.col("text"), home="/home/me")).alias("text_md5"))
+
+
+_WORDS = lambda ws: " OR ".join(f"contains(low, '{w}')" for w in ws)
+
+
+@query(f"""WITH x AS ({A.ERRORS}), y AS (SELECT id, err, result, concat_ws(' ', nullif(err, ''), nullif(result, '')) AS text FROM x), z AS (SELECT *, lower(text) AS low FROM y)
+  SELECT id, CASE WHEN trim(low, concat(' ', chr(10))) = '' THEN 'retryable' WHEN {_WORDS(traces.USAGE_LIMIT)} THEN 'usage_limit' WHEN {_WORDS(traces.TRANSIENT)} THEN 'retryable' ELSE 'fatal' END AS class,
+    substring(trim(coalesce(nullif(result, ''), nullif(err, ''), nullif(text, ''), 'unknown failure'), concat(' ', chr(10))), 1, 500) AS message FROM z""")
+def error_classes(v: Views) -> DataFrame:
+    kind, message = traces.failure(F.col("err"), F.col("result"), F.lit(None).cast("string"))
+    return v.sql(A.ERRORS).select("id", kind.alias("class"), message.alias("message"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '<redacted>' ELSE o_orderpriority END AS v, 'json' AS a, NULL::VARCHAR AS user_id FROM orders")
+def scrubbed_headers(v: Views) -> DataFrame:
+    key = F.when(F.col("o_orderkey") % 2 == 0, "X-Api-Key").otherwise("x-other")
+    m = traces.scrub_headers(F.create_map(key, F.col("o_orderpriority"), F.lit("accept"), F.lit("json")))
+    meta = traces.scrub_metadata(F.create_map(F.lit("user_id"), F.lit("u"), F.lit("k"), F.lit("v")))
+    return v.table("orders").select(F.col("o_orderkey").alias("id"), F.coalesce(F.try_element_at(m, F.lit("X-Api-Key")), F.try_element_at(m, F.lit("x-other"))).alias("v"), F.element_at(m, "accept").alias("a"), F.try_element_at(meta, F.lit("user_id")).alias("user_id"))
+
+
+# Annotations
+
+_SNIPS = f"""WITH s AS ({A.SNIPPETS}), j AS (SELECT inst, n, CASE WHEN json_valid(output) THEN CAST(output AS JSON) END AS o FROM s), k AS (SELECT inst, n, CASE WHEN json_type(o) = 'ARRAY' THEN o -> '$[0]' WHEN json_type(o, '$.snippets') = 'ARRAY' THEN o -> '$.snippets[0]' END AS x FROM j),
+  f AS (SELECT inst, n, x, x ->> '$.file_path' AS file, x ->> '$.category' AS cat, json_exists(x, '$.start_line') AS has, CASE json_type(x, '$.start_line') WHEN 'VARCHAR' THEN TRY_CAST(trim(x ->> '$.start_line') AS BIGINT) WHEN 'BOOLEAN' THEN NULL ELSE CAST(TRY_CAST(x ->> '$.start_line' AS DOUBLE) AS BIGINT) END AS st,
+    CAST(x ->> '$.end_line' AS BIGINT) AS en FROM k WHERE x IS NOT NULL),
+  m AS (SELECT *, CASE file WHEN 'f0' THEN 30 WHEN 'f1' THEN 10 WHEN 'f2' THEN 0 END AS last FROM f)"""
+_FILE_LINES = "SELECT 'f0' AS file_path, CAST(30 AS BIGINT) AS last_line UNION ALL SELECT 'f1', 10 UNION ALL SELECT 'f2', 0"
+
+
+@query(f"""{_SNIPS} SELECT inst, n, CASE WHEN NOT has THEN 'missing key start_line' ELSE concat_ws(';', CASE WHEN cat <> 'core' THEN 'unknown category' END, CASE WHEN st IS NULL THEN 'not a line number' WHEN last IS NULL THEN 'file not found'
+  ELSE nullif(concat_ws(';', CASE WHEN st < 1 THEN 'starts before line 1' END, CASE WHEN en < st THEN 'ends before it starts' END, CASE WHEN en > last THEN 'ends past the last line' END), '') END) END AS problems FROM m""")
+def snippet_problems(v: Views) -> DataFrame:
+    found = annotations.fields(annotations.snippets(v.sql(A.SNIPPETS), ["inst", "n"]))
+    known = v.sql(_FILE_LINES)
+    out = annotations.problems(found, found.select("inst", "n").distinct().join(F.broadcast(known)), ["inst", "n"], ["core"])  # three files
+    return out.select("inst", "n", F.array_join("problems", ";").alias("problems"))
+
+
+@query(f"WITH c AS ({A.COSTS}) SELECT lang, count(*) AS n_runs, count(*) FILTER (valid) AS n_valid, CAST(sum(coalesce(cost, 0)) AS BIGINT) AS cost, CAST(sum(coalesce(input, 0) + coalesce(cache_creation, 0) + coalesce(cache_read, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output, 0)) AS BIGINT) AS output_tokens FROM c WHERE error IS NULL GROUP BY ROLLUP (lang)")
+def cost_rollup(v: Views) -> DataFrame:
+    return annotations.cost_rollup(v.sql(A.COSTS))
+
+
+@query(f"WITH t AS ({A.TIMES}), w AS (SELECT inst, greatest(coalesce(max(wall - active), 0), 0) AS worst, count(*) FILTER (wall - active > 120) AS n FROM t GROUP BY inst) SELECT inst, CAST(round(worst, 3) AS DOUBLE) AS worst, n > 0 AS stalled FROM w")
+def stall_audit(v: Views) -> DataFrame:
+    return annotations.stalls(v.sql(A.TIMES)).withColumn("worst", F.round("worst", 3))
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS n_snippets FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)")
+def total_snippets(v: Views) -> DataFrame:
+    s = v.table("lineitem").select(F.col("l_orderkey").alias("inst"), F.concat(F.lit("f"), "l_suppkey").alias("file_path"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"), F.lit("core").alias("category"), F.lit("").alias("description"), F.col("l_partkey").alias("pos"))
+    return annotations.total_snippets(annotations.combined(s))
+
+
+_RECALL = f"WITH g AS (SELECT DISTINCT * FROM ({A.GOLD})), a AS (SELECT DISTINCT * FROM ({A.ANNOTATED})), nf AS ({A.NEW})"
+
+
+@query(f"{_RECALL} SELECT g.inst, count(*) AS n_gold, count(a.path) AS n_covered, coalesce(string_agg(g.path, ',' ORDER BY g.path) FILTER (a.path IS NULL), '') AS missed FROM g LEFT JOIN a ON a.inst = g.inst AND a.path = g.path GROUP BY g.inst")
+def recall_by_instance(v: Views) -> DataFrame:
+    return annotations.recall(v.sql(A.GOLD), v.sql(A.ANNOTATED)).withColumn("missed", F.array_join("missed", ","))
+
+
+@query(f"""{_RECALL} SELECT g.* FROM g WHERE inst IN (SELECT inst FROM a) AND NOT EXISTS (FROM a WHERE a.inst = g.inst AND a.path = g.path) AND NOT EXISTS (FROM nf WHERE nf.inst = g.inst AND nf.path = g.path)
+  AND NOT (path LIKE '%.md' OR path LIKE '%.pb.go' OR contains(path, 'docs/') OR contains(path, 'vendor/') OR (path LIKE '%.json' AND contains(path, '/locale/')))""")
+def source_misses(v: Views) -> DataFrame:
+    return annotations.source_misses(v.sql(A.GOLD), v.sql(A.ANNOTATED), v.sql(A.NEW))
+
+
+# Manifests
+
+_HASHED = "WITH hashed AS (SELECT doc_id, sha256(text) AS sha256_text FROM documents)"
+
+
+def _files(v: Views) -> tuple[DataFrame, DataFrame]:
+    h = v.table("documents").select("doc_id", F.sha2("text", 256).alias("sha256_text"))
+    return v.sql(A.MANIFEST, hashed=h), v.sql(A.FILES, hashed=h)
+
+
+_COMPARED = f"{_HASHED}, m AS ({A.MANIFEST}), f AS ({A.FILES}), c AS (SELECT coalesce(m.rel, f.rel) AS rel, CASE WHEN m.rel IS NULL THEN 'extra' WHEN f.rel IS NULL THEN 'missing' WHEN m.sha256 = f.sha256 THEN 'ok' ELSE 'changed' END AS state FROM m FULL JOIN f ON m.rel = f.rel)"
+
+
+@query(f"{_COMPARED} SELECT * FROM c")
+def manifest_compare(v: Views) -> DataFrame:
+    return reconcile.compare(*_files(v))
+
+
+@query(f"""{_COMPARED}, n AS (SELECT count(*) FILTER (state = 'ok') AS ok, count(*) FILTER (state = 'changed') AS changed, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'extra') AS extra FROM c) SELECT *, 'local changes' AS next FROM n""")
+def manifest_status(v: Views) -> DataFrame:
+    s = reconcile.status(reconcile.compare(*_files(v)))
+    return s.withColumn("next", reconcile.recommendation(F.lit(True), F.lit("r1"), F.lit("r1"), F.col("changed"), F.col("missing"), F.col("extra")))
+
+
+@query(f"{_HASHED}, m AS ({A.MANIFEST}), f AS ({A.FILES}) SELECT count(*) FILTER (f.sha256 = m.sha256) AS present, count(*) FILTER (f.sha256 <> m.sha256) AS mismatched, count(*) FILTER (f.sha256 IS NULL) AS to_fetch FROM m LEFT JOIN f ON f.rel = m.rel")
+def fetch_counts(v: Views) -> DataFrame:
+    return reconcile.fetched(*_files(v))
+
+
+@query("SELECT count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents")
+def trace_totals(v: Views) -> DataFrame:
+    return reconcile.totals(reconcile.manifest_of(v.table("documents").select(F.col("doc_id").cast("string").alias("rel"), F.col("text").cast("binary").alias("content"))))
+
+
+# Instances
+
+_INSTANCES = rf"""WITH i AS ({A.IDS}) SELECT id, nullif(regexp_extract(inst, '-([0-9a-f]{{40}})(?:-|$)', 1), '') AS sha, CASE WHEN id % 3 = 0 THEN concat(substring(statement, 2, 22), chr(10), chr(10), 'Body') ELSE statement END AS text, concat('git checkout ', id) AS last FROM i"""
+
+
+@query(_INSTANCES)
+def normalised_instances(v: Views) -> DataFrame:
+    i = v.sql(A.IDS)
+    return i.select("id", normalize.fix_sha(F.col("inst")).alias("sha"), normalize.unwrap(F.col("statement")).alias("text"), normalize.last_line(F.col("script")).alias("last"))
+
+
+@query(f"WITH n AS ({A.NAMES}), p AS (SELECT DISTINCT * FROM ({A.PASSED})), h AS (SELECT n.inst, n.name, count(p.test) AS c, min(p.test) AS t FROM n LEFT JOIN p ON p.inst = n.inst AND starts_with(p.test, n.name) AND p.test <> n.name GROUP BY ALL) SELECT inst, name, c AS n, CASE WHEN c = 1 THEN t END AS test FROM h")
+def truncated_names(v: Views) -> DataFrame:
+    return normalize.unique_longer(v.sql(A.NAMES), v.sql(A.PASSED))
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN concat('better-', c_mktsegment) ELSE c_mktsegment END AS name, r_name AS env_fix, CASE WHEN c_nationkey % 3 = 0 THEN n_name END AS known_flaky FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+def corrected_and_tagged(v: Views) -> DataFrame:
+    rows = v.table("customer").select("c_custkey", F.col("c_nationkey").alias("inst"), F.array("c_mktsegment").alias("f2p"))
+    nation = v.table("nation").join(F.broadcast(v.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
+    fix = v.table("customer").where("c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("inst"), F.col("c_mktsegment").alias("name"), F.concat(F.lit("better-"), "c_mktsegment").alias("better")).distinct()
+    out = normalize.provenance(normalize.corrected(rows, fix), nation.select(F.col("n_nationkey").alias("inst"), F.col("r_name").alias("env_fix")), nation.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("inst"), F.col("n_name").alias("known_flaky")))
+    return out.select("c_custkey", F.element_at("f2p", 1).alias("name"), "env_fix", "known_flaky")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_custkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'absent' WHEN o_custkey % 2 = 0 THEN 'ancestor' END AS problem FROM orders")
+def fix_sha_problems(v: Views) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return v.table("orders").select("o_orderkey", ledger.fix_sha_problem(F.when(k % 5 != 0, F.lit("abc")), c % 3, k % 2 != 0, c % 2 != 0).alias("problem"))
+
+
+@query(r"SELECT s_suppkey, s_suppkey % 4 IN (0, 1) AS artifact_ok, concat('ns.', s_name) AS qualified, CASE WHEN s_suppkey % 2 = 0 THEN concat('run ', s_name) END AS script, CASE WHEN s_suppkey % 3 = 0 THEN greatest(CAST(s_nationkey AS DOUBLE), 1) ELSE CAST(s_nationkey AS DOUBLE) END AS oom FROM supplier")
+def names_and_counters(v: Views) -> DataFrame:
+    k = F.col("s_suppkey")
+    name = F.element_at(F.array(*map(F.lit, ("a.txt", "b", "..", "x/y"))), (k % 4 + 1).cast("int"))
+    oom = F.concat(F.lit("low 3\noom_kill "), F.col("s_nationkey"), F.lit("\nmax 9"))
+    return v.table("supplier").select("s_suppkey", normalize.artifact_name_ok(name).alias("artifact_ok"), normalize.qualified(F.lit("ns"), F.col("s_name")).alias("qualified"), normalize.render(F.when(k % 2 == 0, "run @NAME@").otherwise("run"), {"NAME": F.col("s_name")}).alias("script"), normalize.counter(oom, "oom_kill", k % 3 == 0).alias("oom"))
+
+
+@query("SELECT c_custkey, c_name, c_custkey AS row_index FROM customer WHERE c_custkey = 42")
+def point_lookup(v: Views) -> DataFrame:
+    from runlens.sources import tables
+
+    rows = tables.load(v.spark, f"{v.sf_dir}/customer.parquet", tables.Kind(("c_custkey", "c_name")))
+    return tables.get(rows, "c_custkey", 42)
+
+
+@query("SELECT user_id AS key, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
+def repeated_keys(v: Views) -> DataFrame:
+    from runlens.sources import tables
+
+    return tables.repeated_keys(v.table("events"), "user_id").select(F.col("user_id").alias("key"), F.col("count").alias("n"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, count(*) AS n FROM l WHERE contains(line, 'license') OR contains(line, 'License') GROUP BY doc_id) SELECT doc_id, least(n, 400) AS n FROM k")
+def keyword_excerpts(v: Views) -> DataFrame:
+    return normalize.excerpt(v.table("documents"), ["doc_id"], ["license", "License"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["line_vote_ranges"](spark, sf_dir)
+
