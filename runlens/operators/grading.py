@@ -17,8 +17,9 @@ def output_state(output: Column) -> Column:
 
 def passed_tests(output: Column) -> Column:
     """Distinct names of tests whose status is PASSED, sorted; items that are no objects are skipped."""
-    tests = F.from_json(output, "tests array<struct<name:string,status:string>>")["tests"]
-    named = F.transform(F.filter(tests, lambda t: (t["status"] == "PASSED") & t["name"].isNotNull()), lambda t: t["name"])
+    tests = F.try_variant_get(F.try_parse_json(output), "$.tests", "array<variant>")
+    get = lambda t, key: F.try_variant_get(t, f"$.{key}", "string")
+    named = F.transform(F.filter(tests, lambda t: (get(t, "status") == "PASSED") & get(t, "name").isNotNull()), lambda t: get(t, "name"))
     return F.coalesce(F.array_sort(F.array_distinct(named)), F.array().cast("array<string>"))
 
 

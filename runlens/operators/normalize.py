@@ -31,7 +31,7 @@ def parse_list(raw: pd.Series) -> pd.Series:
 
 def unwrap(raw: Column) -> Column:
     """A text that is a JSON string is that string; any other text stays as it is."""
-    v = F.try_parse_json(F.when(raw.startswith('"'), raw))
+    v = F.try_parse_json(F.when(raw.rlike(r'^"(?:[^"\\\x00-\x1f]|\\.)*"\s*$'), raw))
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(raw)
 
 

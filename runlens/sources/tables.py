@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ATTEMPT = T.StructType.fromDDL(
+ATTEMPT = (
     "sweep string, inst string, rollout int, task string, attempt int, run_ts string, status string, tier string, backend string, model string, "
     "artifact_keys map<string,string>, metrics map<string,double>, extra string"
 )
-ANNOTATION = T.StructType.fromDDL("instance_id string, snippets array<struct<file_path:string,start_line:int,end_line:int,category:string,description:string>>, metadata string")
+ANNOTATION = "instance_id string, snippets array<struct<file_path:string,start_line:int,end_line:int,category:string,description:string>>, metadata string"
 
 
 @dataclass(frozen=True)
@@ -100,23 +101,14 @@ def scan_files(spark: SparkSession, root: str, pattern: str = "*.last_exchange.j
 
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     """Run folders below root: run, diff, conversation, report - null where a file is absent or, for the JSON ones, unreadable."""
-    own = lambda name: scan_files(spark, root, name).select(F.regexp_replace("rel", r"/?[^/]*$", "").alias("run"), decode(F.col("content")).alias(name))
+    own = lambda name: scan_files(spark, root, name).select(F.regexp_replace("rel", r"/?[^/]*$", "").alias("run"), decode("content").alias(name))
     parts = [own(n) for n in ("patch.diff", "conversation.json", "git_integrity.json")]
     out = parts[0].join(parts[1], "run", "full_outer").join(parts[2], "run", "full_outer")
     good = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
     return out.select("run", F.col("`patch.diff`").alias("diff"), good(F.col("`conversation.json`")).alias("conversation"), good(F.col("`git_integrity.json`")).alias("report"))
 
 
-def _decode(data):
-    return data.map(lambda b: "" if b is None else bytes(b).decode("utf-8", "backslashreplace"))
-
-
-def decode(content):
+@F.pandas_udf(T.StringType())
+def decode(content: pd.Series) -> pd.Series:
     """Bytes as UTF-8, others as \\xNN, which no built-in writes; absent bytes are an empty text."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def run(data: pd.Series) -> pd.Series:
-        return _decode(data)
-
-    return run(content)
+    return content.map(lambda b: "" if b is None else bytes(b).decode("utf-8", "backslashreplace"))

@@ -1,0 +1,221 @@
+"""Operators on small tables whose answers are plain to see."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from runlens.functions import text
+from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, patches, reconcile, traces
+
+
+def values(spark, expr, rows, kind="string"):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"i int, x {kind}")
+    return [r[1] for r in df.select("i", expr(F.col("x")).alias("y")).orderBy("i").collect()]
+
+
+def test_text(spark):
+    samples = ["", "a", "a\nb\n", "a\r\nb\x0bc\x1cd e\x85f", "\n\n", " \t a 　\n"]
+    assert values(spark, text.lines, samples) == [s.splitlines() for s in samples]
+    assert values(spark, text.strip, samples) == [s.strip() for s in samples]
+    assert values(spark, text.addressable_lines, ["x\ny\nz\n", "x\ny\nz", ""]) == [4, 3, 0]
+    assert values(spark, text.integer, ["4", " 7 ", "4.0", "x", "1_0", ""]) == [4, 7, None, None, 10, None]
+
+
+def test_votes_and_islands(spark):
+    rows = [("i", 1, "f", 1, 5), ("i", 2, "f", 3, 8), ("i", 3, "f", 7, 9), ("i", 1, "g", 1, 2), ("i", 2, "h", 5, 3), ("i", 3, "h", 5, 3)]
+    c = spark.createDataFrame(rows, "inst string, run bigint, file string, s bigint, e bigint")
+    got = sorted((r.file, r.s, r.e) for r in consensus.voted_ranges(c).collect() if r.s is not None)
+    assert got == [("f", 3, 5), ("f", 7, 8)]
+    assert [r.file for r in consensus.voted_ranges(c).where("s is null").collect()] == ["h"]
+    runs = spark.createDataFrame([("i", 1), ("i", 2), ("i", 3), ("j", 1)], "inst string, run bigint")
+    assert {r.inst: (r.shared, r.total, r.percent) for r in consensus.file_agreement(runs, c).collect()} == {"i": (1, 3, 33), "j": (0, 0, None)}
+    assert [(r.both, r.total, r.iou) for r in consensus.line_iou(runs, c).collect()] == [(0, 9, 0.0)]
+    assert sorted(r.file for r in consensus.split_files(runs, c).collect()) == ["g", "h"]
+
+
+def graded(spark, rows):
+    df = spark.createDataFrame(rows, "inst string, phase string, status string, f2p array<string>, p2p array<string>, output string")
+    return grading.grade(df)
+
+
+def test_output_states_and_scores(spark):
+    good = json.dumps({"tests": [{"name": "a", "status": "PASSED"}, {"name": "b", "status": "PASSED"}, {"name": "b", "status": "FAILED"}, 3]})
+    rows = [("1", "g", "success", ["a"], ["b"], good), ("2", "g", "success", ["a"], ["z"], good), ("3", "g", "success", ["a"], [], None), ("4", "g", "success", ["a"], [], "{ this is not json"), ("5", "g", "success", ["a"], [], "[1, 2]"), ("6", "g", "success", [], [], '{"tests": []}')]
+    got = {r.inst: (r.output_state, r.score, r.missing, r.first_missing) for r in graded(spark, rows).collect()}
+    assert got == {"1": ("ok", 1.0, [], None), "2": ("ok", 0.0, ["z"], "z"), "3": ("absent", 0.0, ["a"], "a"), "4": ("unparseable", 0.0, ["a"], "a"), "5": ("unparseable", 0.0, ["a"], "a"), "6": ("ok", 1.0, [], None)}
+
+
+def test_classes(spark):
+    out = lambda *p: json.dumps({"tests": [{"name": x, "status": "PASSED"} for x in p]})
+    cases = {
+        "ok": (("success", out("t2")), ("success", out("t1", "t2")), "OK"), "golden": (("success", out("t2")), ("success", out("t2")), "GOLDEN_FAIL"),
+        "base": (("success", out("t1")), ("success", out("t1", "t2")), "BASE_UNEXPECTED_PASS"), "both": (("success", out("t1", "t2")), ("success", out("t1", "t2")), "BASE_UNEXPECTED_PASS"),
+        "infra": (("timeout", out("t2")), ("success", out("t1", "t2")), "ERROR"), "none": (("success", out("t2")), ("success", None), "ERROR"), "first": (("success", None), ("success", out()), "ERROR"),
+    }
+    rows = [(k, phase, s, ["t1"], ["t2"], o) for k, v in cases.items() for phase, (s, o) in zip(("base", "golden"), v, strict=False)]
+    rows.append(("half", "base", "success", ["t1"], ["t2"], out("t2")))
+    got = {r.inst: r.verdict for r in grading.classify(graded(spark, rows)).collect()}
+    assert got == {k: v[2] for k, v in cases.items()} | {"half": "ERROR"}
+    h = {r.verdict: r.n for r in grading.histogram(spark.createDataFrame([("OK",), ("ODD",)], "verdict string")).collect()}
+    assert h == {"OK": 1, "GOLDEN_FAIL": 0, "BASE_UNEXPECTED_PASS": 0, "ERROR": 0}
+
+
+HOOK = "diff --git a/conftest.py b/conftest.py\nnew file mode 100644\n--- /dev/null\n+++ b/conftest.py\n+import os\n"
+
+
+def test_patch_rules(spark):
+    edit = "diff --git a/pyproject.toml b/pyproject.toml\n--- a/pyproject.toml\n+++ b/pyproject.toml\n+x = 'test_parse_header'\n"
+    other = "diff --git a/x b/x\n--- a/x\n+++ b/pkg/hack.pth\n+++ b/app/Foo_test.go\n"
+    runs = spark.createDataFrame([(1, HOOK), (2, edit), (3, ""), (4, other), (5, None)], "run int, diff string")
+    need = spark.createDataFrame([(2, "t/a.py::T::test_parse_header[x]"), (2, "short"), (1, "t::test_parse_header")], "run int, test string")
+    got = {r.run: r for r in integrity.patch_findings(runs, ["run"], need).collect()}
+    assert got[1].planted_auto_load_hook == ["conftest.py"] and got[2].planted_auto_load_hook == [] and got[4].planted_auto_load_hook == []
+    assert got[2].required_test_literal == ["test_parse_header"] and got[1].required_test_literal == []
+    assert got[4].test_files_touched == ["app/Foo_test.go"] and got[3].ci_files_touched == [] and got[5].ci_files_touched == []
+
+
+def test_binary_sections(spark):
+    text_ = "diff --git a/a b/a\n--- a/a\n+++ b/a\n+x\n"
+    binary = "diff --git a/p.png b/p.png\nBinary files a/p.png and b/p.png differ\n"
+    git = "diff --git a/q b/q\nGIT binary patch\nliteral 0\n"
+    assert values(spark, patches.without_binary, [text_ + binary + git, text_, "", binary]) == [text_, text_, "", ""]
+    assert values(spark, patches.is_empty, [text_, "", " \n", "junk"]) == [False, True, True, True]
+    assert values(spark, patches.gold_files, [text_ + binary, "diff --git a/a b b/a b\n"]) == [["a", "p.png"], []]
+    assert values(spark, patches.test_leaf, ["p::C::test_x[a[b]]", "a.b.c", " q "]) == ["test_x", "c", "q"]
+
+
+def test_trace_rules(spark):
+    cheat = ["git log --all", "git show abc123; git blame x", "curl http://x", "git clone y"]
+    plain = ["git status && git diff go.mod", "git log -n 5", "git grep x", "git checkout -- f", "git ls-files"]
+    rows = [(1, i, "tool_use", None, c, None, "/app") for i, c in enumerate(cheat)] + [(2, i, "tool_use", None, c, "src/a.py", "/app") for i, c in enumerate(plain)]
+    rows.append((1, 9, "text", "The FIX commit is upstream patch; the fix commit", None, None, "/app"))
+    b = spark.createDataFrame(rows, "run int, pos int, type string, text string, command string, file_path string, workdir string")
+    got = {r.run: r for r in integrity.trace_findings(b, ["run"]).collect()}
+    assert got[1].suspicious_git == ["git log --all", "git show abc123", "git blame x", "git clone y"] and len(got[1].egress_attempts) == 2 and len(got[1].retrieval_language) == 3
+    assert (got[2].suspicious_git, got[2].egress_attempts, got[2].reads_outside_workdir) == ([], [], [])
+
+
+def test_outside_reads(spark):
+    paths = ["src/a.py", "../../etc/passwd", "/etc/shadow", "/tmp/scratch", "/app-other/secret", "", None]
+    assert values(spark, lambda c: integrity.outside_workdir(c, F.lit("/app")), paths) == [None, "/etc/passwd", "/etc/shadow", None, "/app-other/secret", None, None]
+    assert values(spark, lambda c: integrity.outside_workdir(c, F.lit("/")), paths) == [None] * 7
+
+
+def test_controls(spark):
+    report = lambda **k: json.dumps({"purged": True, "before": {"future_commits": 2}, "after": {"future_commits": 0}} | k)
+    rows = [None, report(), report(after={"future_commits": 3, "solution_reachable": True, "base_reachable": None}), report(purged=False), report(before={"future_commits": 0}), report(violations=["v"])]
+    got = values(spark, integrity.control_failures, rows)
+    assert got[1] == [] and len(got[0]) == 1 and len(got[2]) == 3 and len(got[3]) == 1 and got[4][0].startswith("note:") and got[5] == ["v"]
+
+
+def test_merge_and_flags(spark):
+    runs = spark.createDataFrame([(1, HOOK), (2, "")], "run int, diff string")
+    b = spark.createDataFrame([(1, 0, "tool_use", None, "git blame x", None, "/")], "run int, pos int, type string, text string, command string, file_path string, workdir string")
+    reports = spark.createDataFrame([(1, '{"purged": true, "after": {}}')], "run int, report string")
+    got = {r.run: r for r in integrity.replay(runs, b, reports, ["run"]).collect()}
+    assert got[1].flagged == ["planted_auto_load_hook", "suspicious_git"] and got[1].high_confidence == ["planted_auto_load_hook"]
+    assert got[2].flagged == ["control_failure"] and got[2].n_flagged == 1.0
+    assert values(spark, lambda c: integrity.report_violations(c, F.lit(False), F.lit(True), F.lit(2)), [""])[0][0].startswith("base commit <unknown>")
+
+
+def test_ledger(spark):
+    a = spark.createDataFrame([("i", 0, "t", 0, "ts-1", "ok"), ("i", 0, "t", 1, "ts-0", "old"), ("i", 10, "t", 0, "ts-1", "ok"), ("i", 2, "t", 0, "ts-1", "bad")], "inst string, rollout int, task string, attempt int, run_ts string, status string")
+    m = spark.createDataFrame([("i", 0, "t", "ts-1", 1), ("i", 2, "t", "ts-9", 1)], "inst string, rollout int, task string, run_ts string, attempts int")
+    assert [r.rollout for r in ledger.in_order(a).collect()] == [0, 0, 2, 10]
+    assert {r.rollout: r.status for r in ledger.final_shards(a, m).collect()} == {0: "ok", 2: None}
+    assert [r.rollout for r in ledger.orphans(a, m).collect()] == [2]
+    inst = spark.createDataFrame([(k, i) for i, k in enumerate("hijkl")], "inst string, row_index bigint")
+    assert [r.inst for r in ledger.to_do(inst, a, 2, 0, 1, 2).collect()] == ["h", "j"]
+    with pytest.raises(ValueError):
+        ledger.shard(inst, 3, 3)
+    entries = spark.createDataFrame([(1, 0, "succeeded"), (1, 1, "failed"), (1, 2, "succeeded")], "wf int, pos int, outcome string")
+    assert [r.outcome for r in ledger.blocked(entries, ["wf"]).orderBy("pos").collect()] == ["succeeded", "failed", "blocked"]
+
+
+def trace(spark, *events_):
+    raw = "\n".join(e if isinstance(e, str) else json.dumps(e) for e in events_)
+    return spark.createDataFrame([(1, raw)], "run int, raw string")
+
+
+@pytest.mark.parametrize(
+    "result,outcome",
+    [({"subtype": "success"}, "finished"), ({"subtype": "success", "is_error": True}, "finished_with_api_error"), ({"subtype": "error_max_turns"}, "max_turns"), ({"subtype": "error_max_budget_usd"}, "max_budget"),
+     ({"subtype": "error_max_structured_output_retries"}, "max_output_retries"), ({"subtype": "error_during_execution"}, "execution_error"), ({"subtype": "new"}, "execution_error"), ({}, "execution_error"), (None, "truncated")],
+)
+def test_outcomes(spark, result, outcome):
+    t = trace(spark, {"type": "system"}, "", "junk", *([{"type": "result"} | result] if result is not None else []))
+    assert traces.outcomes(t, ["run"]).first().outcome == outcome
+
+
+def test_no_events(spark):
+    assert traces.outcomes(spark.createDataFrame([(1, ""), (2, None), (3, "[1]\nx")], "run int, raw string"), ["run"]).select("outcome").distinct().collect() == [("no_output",)]
+
+
+def test_blocks(spark):
+    t = trace(
+        spark, {"type": "user", "message": {"role": "user", "content": "hi"}}, {"type": "user", "message": {"role": "user", "content": ""}}, {"type": "user", "message": {"role": "developer", "content": "x"}},
+        {"type": "assistant", "message": {"role": "assistant", "model": "m1", "content": [{"type": "thinking", "thinking": "w"}, {"type": "image"}, {"type": "tool_use", "name": "Bash", "input": {"command": "ls"}}]}},
+        {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "content": [{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]}, {"type": "tool_result", "content": "s"}]}},
+        {"type": "result", "subtype": "success", "is_error": False},
+    )
+    b = traces.blocks(t, ["run"]).orderBy("pos", "block_pos").collect()
+    assert [(r.role, r.type, r.text) for r in b] == [("user", "text", "hi"), ("assistant", "reasoning", "w"), ("assistant", "tool_use", None), ("user", "tool_result", "a\n\nb"), ("user", "tool_result", "s")]
+    assert json.loads(b[2].input) == {"command": "ls"}
+    x = traces.exchange_of_stream(t, ["run"]).first()
+    assert (len(x.messages), x.model, x.complete) == (5, "m1", True) and set(x.messages[0].asDict()) == set(traces.MESSAGE_FIELDS)
+
+
+def test_errors_and_redaction(spark):
+    texts = ["", "  \n", "Usage limit reached", "HTTP 529", "quota and connection", "TypeError"]
+    assert values(spark, traces.error_class, texts) == ["retryable", "retryable", "usage_limit", "retryable", "usage_limit", "fatal"]
+    got = values(spark, lambda c: traces.redact(c, "/home/me", "Me", "me@x.org"), ["/home/me/a Me me@x.org\nGit user: Q R\nThe user's email address is z@z.z ok"])[0]
+    assert got == f"{traces.HOME}/a {traces.NAME} {traces.EMAIL}\nGit user: {traces.NAME}\nThe user's email address is {traces.EMAIL} ok"
+    m = spark.sql("select map('Authorization', 'a', 'x', 'b') as h, map('user_id', 'u', 'k', 'v') as m").select(traces.scrub_headers(F.col("h")), traces.scrub_metadata(F.col("m"))).first()
+    assert m[0] == {"Authorization": "<redacted>", "x": "b"} and m[1] == {"k": "v"}
+
+
+def test_snippets(spark):
+    one = lambda **k: {"file_path": "f", "start_line": 1, "end_line": 2, "category": "core"} | k
+    outs = [json.dumps([one(start_line="3", end_line=7.0)]), json.dumps({"snippets": [one(start_line=True), 5]}), json.dumps([one(category="odd", start_line=5, end_line=3)]), json.dumps([{"file_path": "f"}]), "{ bad", '"abc"', json.dumps([one(file_path="no")])]
+    df = spark.createDataFrame(list(enumerate(outs)), "inst int, output string")
+    files = spark.createDataFrame([(i, "f", 4) for i in range(7)], "inst int, file_path string, last_line int")
+    got = {r.inst: r.problems for r in annotations.problems(annotations.fields(annotations.snippets(df, ["inst"])), files, ["inst"], ["core"]).collect()}
+    assert got == {0: ["ends past the last line"], 1: ["not a line number"], 2: ["unknown category", "ends before it starts"], 3: [f"missing key {k}" for k in ("start_line", "end_line", "category")], 6: ["file not found"]}
+
+
+def test_acceptable_misses(spark):
+    paths = ["README.md", "a/go.sum", "Makefile", "CHANGELOG", "x_pb2.py", "vendor/a.go", "app/locale/de.json", "app/local/de.json", "src/a.py"]
+    assert values(spark, annotations.acceptable_miss, paths) == [True] * 7 + [False] * 2
+
+
+def test_stalls(spark):
+    rows = [("a", 200.0, 80.0), ("b", 200.0, 79.0), ("c", 5.0, None), ("d", 1.0, 9.0)]
+    got = {r.inst: (r.worst, r.stalled) for r in annotations.stalls(spark.createDataFrame(rows, "inst string, wall double, active double")).collect()}
+    assert got == {"a": (120.0, False), "b": (121.0, True), "c": (0.0, False), "d": (0.0, False)}
+
+
+def test_manifests(spark):
+    m = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "rel string, sha256 string")
+    f = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "rel string, sha256 string")
+    assert {r.rel: r.state for r in reconcile.compare(m, f).collect()} == {"a": "ok", "b": "changed", "c": "missing", "d": "extra"}
+    assert reconcile.fetched(m, f).first() == (1, 1, 1)
+    cases = [(False, None, None, 0), (True, None, "r", 0), (True, "r", "r", 0), (True, "s", "r", 0), (True, "r", "r", 1), (True, "s", "r", 1)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, m boolean, h string, r string, c int")
+    got = [r[0] for r in df.orderBy("i").select(reconcile.recommendation(F.col("m"), F.col("h"), F.col("r"), F.col("c"), F.lit(0), F.lit(0))).collect()]
+    assert got == ["never pushed", "remote missing", "in sync", "remote ahead", "local changes", "diverged"]
+
+
+def test_instances(spark):
+    assert values(spark, normalize.parse_list, ["['a::t1', \"b::t2\"]", "['a\\x41']", "[1]", "{}", "junk", None, "[]"]) == [["a::t1", "b::t2"], ["aA"], ["1"], None, None, None, []]
+    assert values(spark, normalize.unwrap, ['"**T**\\n\\nB"', "plain", '"broken', '"a" b', "12"]) == ["**T**\n\nB", "plain", '"broken', '"a" b', "12"]
+    sha = "0123456789abcdef0123456789abcdef01234567"
+    assert values(spark, normalize.fix_sha, [f"x-{sha}-vnan", f"x-{sha}", "x-123"]) == [sha, sha, None]
+    assert values(spark, normalize.artifact_name_ok, ["a", "", ".", "..", "a/b", "a\\b"]) == [True, False, False, False, False, False]
+    assert values(spark, lambda c: normalize.counter(c, "oom_kill", F.lit(True)), ["oom_kill 3\n", "x", "oom_kill 0"]) == [3.0, 1.0, 1.0]
+    assert values(spark, lambda c: normalize.render(c, {"A": F.lit("1")}), ["x@A@", "x"]) == ["x1", None]
+    df = spark.createDataFrame([("i", ["a", "b"]), ("j", ["a"])], "inst string, f2p array<string>")
+    fix = spark.createDataFrame([("i", "a", "aa")], "inst string, name string, better string")
+    assert {r.inst: r.f2p for r in normalize.corrected(df, fix).collect()} == {"i": ["aa", "b"], "j": ["a"]}
+    with pytest.raises(ValueError):
+        normalize.normalise(df, ["nope"], [])
