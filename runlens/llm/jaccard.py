@@ -9,7 +9,7 @@ joined leaf with leaf) leaves the pairs whose bound allows a link, and those are
 Links are only looked for between components that are still apart, in rounds:
   1. each set with the hub (smallest member) of the part where it shares most;
   2. each set with its best partners by the bound, in parts that still hold several components;
-  3. all pairs the bound allows, in parts that still do.
+  3. all pairs the bound allows, in those parts where that left some out.
 So a group of thousands of copies costs links in proportion to its size, and no link between components is lost.
 
 Parts are cut into blocks of at most BLOCK sets that meet pairwise, each in a task group of its own. Equal sets count as
@@ -41,6 +41,7 @@ WORD = byte_class(outside=" \t\n\r\f\v")
 FREQUENT = 1000  # a shingle is frequent from one in so many documents on
 MOST_FREQUENT = 500_000  # of them steer the order; the bound of what is broadcast
 BLOCK, LEAF = 2048, 32
+PARTNERS = 4
 BROADCAST_ROWS = 1_000_000
 MEET = 16  # of a set of n, 1 + n // MEET indexed shingles at least stand in a linked set's index too
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -116,7 +117,7 @@ def fold(v: np.ndarray, groups: int) -> np.ndarray:
 
 
 def first_keys(n: np.ndarray, share: int) -> np.ndarray:
-    """How many keys of a set are indexed: two linked sets have least_met(smaller) of these in common."""
+    """How many keys of a set are indexed: two linked sets share 1 + m // MEET of these, m being the smaller size."""
     return np.where(n > 0, np.minimum(n, n * (100 - share) // 100 + 1 + n // MEET), 0)
 
 
@@ -170,6 +171,31 @@ def _sketch(docs: DataFrame, words: int, share: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(step, SKETCH)
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, fp): those whose key another set holds too, with the first such set as hub.
+
+    A key at the edge of a partition may go on in the next one, or a batch: its rows pass too. More rows than needed do no harm.
+    """
+    before: int | None = None
+    hub = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, fp = batch.column("h").to_numpy(), batch.column("fp").to_numpy()
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(h))
+        several = fp[ends - 1] != fp[starts]
+        several[[0, -1]] = True
+        lead = fp[starts]
+        if before == h[0]:
+            lead[0] = hub
+        before, hub = int(h[-1]), int(lead[-1])
+        keep = np.repeat(several, ends - starts)
+        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(fp[keep]), pa.array(np.repeat(lead, ends - starts)[keep])], ["h", "fp", "hub"])
+
+
 @F.pandas_udf(T.BooleanType())
 def _possible(na: pd.Series, va: pd.Series, nb: pd.Series, vb: pd.Series, share: pd.Series) -> pd.Series:
     """Whether sizes and count vectors allow a link."""
@@ -206,15 +232,15 @@ class RTree:
                     yield self.order[a + x], other.order[c + y], bound[x, y]
 
 
-def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray, vecs: list[bytes], within: bool, share: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in one block (`within`) or between two; with `best` the two best partners of each set only."""
+def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray, vecs: list[bytes], within: bool, share: int, partners: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of different components in one block (`within`) or between two - with `partners`, only so many best ones of each set - and whether any were left out."""
     _, one = np.unique(np.column_stack((fp, side)), axis=0, return_index=True)
     fp, root, side, n, vecs = fp[one], root[one], side[one], n[one], [vecs[i] for i in one]
     left = np.flatnonzero(side == 0)
     right = left if within else np.flatnonzero(side == 1)
     none = np.zeros(0, np.int64)
     if not len(left) or not len(right) or (root == root[0]).all():
-        return none, none
+        return none, none, False
     opened = [unpack(v) for v in vecs]
     groups = min(len(v) for _, v in opened)
     points, more = np.stack([fold(v, groups) for _, v in opened]), np.array([e for e, _ in opened])
@@ -225,20 +251,20 @@ def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray,
         if ok.any():
             found.append(np.column_stack((x[ok], y[ok], bound[ok] * 1000 // (n[x[ok]] + n[y[ok]]))))
     if not found:
-        return none, none
+        return none, none, False
     x, y, good = np.concatenate(found).T
-    if best:
-        keep = np.zeros(len(x), bool)
+    keep = np.ones(len(x), bool)
+    if partners:
+        keep[:] = False
         for own in (x, y):
             order = np.lexsort((-good, own))
             rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
-            keep[order[rank < 2]] = True
-        x, y = x[keep], y[keep]
-    return np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])
+            keep[order[rank < partners]] = True
+    return np.minimum(fp[x], fp[y])[keep], np.maximum(fp[x], fp[y])[keep], not keep.all()
 
 
-def _pairs_in(share: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Takes rows sorted by (h, band, x, y) and finds pairs in each such group. A group has at most two blocks, so what is held is bounded."""
+def _pairs_in(share: int, partners: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Takes rows sorted by (part, x, y); gives the pairs (a, b) of each such group, and the part where pairs were left out. A group has at most two blocks, so what is held is bounded."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -248,22 +274,29 @@ def _pairs_in(share: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], It
                 held = new if held is None else pa.concat_tables([held, new])
             if held is None or not held.num_rows:
                 continue
-            c = {k: held.column(k).to_numpy() for k in ("h", "band", "x", "y", "fp", "root", "side", "n")}
+            c = {k: held.column(k).to_numpy() for k in ("part", "x", "y", "fp", "root", "side", "n")}
             vecs = held.column("vec").to_pylist()
             change = np.zeros(held.num_rows, bool)
             change[0] = True
-            for k in ("h", "band", "x", "y"):
+            for k in ("part", "x", "y"):
                 change[1:] |= c[k][1:] != c[k][:-1]
             edges = np.append(np.flatnonzero(change), held.num_rows)
             if batch is not None:
                 edges = edges[:-1]  # the last group may go on in the next batch
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            found: list[np.ndarray] = []
+            cut: list[int] = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                out.append(_pairs_of(c["fp"][a:b], c["root"][a:b], c["side"][a:b], c["n"][a:b], vecs[a:b], c["x"][a] == c["y"][a], share, best))
+                one, two, more = _pairs_of(c["fp"][a:b], c["root"][a:b], c["side"][a:b], c["n"][a:b], vecs[a:b], c["x"][a] == c["y"][a], share, partners)
+                found.append(np.column_stack((one, two)))
+                if more:
+                    cut.append(int(c["part"][a]))
             held = held.slice(edges[-1]) if batch is not None else None
-            if out:
-                pairs = np.unique(np.column_stack([np.concatenate(z) for z in zip(*out, strict=True)]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none], ["a", "b", "cut"])
+            if cut:
+                none = pa.nulls(len(cut), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(cut, pa.int64())], ["a", "b", "cut"])
 
     return find
 
@@ -316,9 +349,8 @@ def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     sketch = materialise(spark, _sketch(docs, words, share))
     full = sketch.where("n > 0")
 
-    rows = full.select(F.explode("keys").alias("h"), "fp")
-    parts = rows.groupBy("h").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub <> last").select("h", "hub")
-    near = rows.join(materialise(spark, parts), "h").groupBy("fp").agg(F.collect_set(F.struct("h", "hub")).alias("parts"))  # no longer than a set's index
+    rows = full.select(F.explode("keys").alias("h"), "fp").repartitionByRange("h", "fp").sortWithinPartitions("h", "fp")
+    near = rows.mapInArrow(_shared, "h bigint, fp bigint, hub bigint").groupBy("fp").agg(F.collect_set(F.struct("h", "hub")).alias("parts"))  # no longer than a set's index
     own = full.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("vec").alias("vec"))
     smaller = F.floor((F.col("n") * share + 99) / 100)  # the least size of a linked set
     nodes = materialise(spark, own.join(near, "fp").where(F.size("parts") >= F.least(smaller, 1 + F.floor(smaller / MEET))))
@@ -334,26 +366,27 @@ def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     roots = components(spark, tested.where("linked").select("a", "b"))
 
     step = np.log(100 / share) * (1 + 1e-9)  # sizes of linked sets are less than a step apart
-    places = nodes.select("fp", "n", F.explode("parts.h").alias("h"))
-    for best in (True, False):
-        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)))
-        placed = places.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-        placed = placed.select("h", "fp", F.coalesce("root", "fp").alias("root"), F.explode(F.array(band, band + 1)).alias("band"))
-        placed = materialise(spark, placed)
-        same = [F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("s0"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("s1"), F.count("*").alias("m")]  # names the members
-        apart = placed.groupBy("h", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *same).where("r0 <> r1")
-        apart = apart.groupBy("s0", "s1", "m").agg(F.min_by("h", F.struct("h", "band")).alias("h"), F.min_by("band", F.struct("h", "band")).alias("band"))  # parts of the same members count once
-        apart = apart.select("h", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        left = placed.join(materialise(spark, apart), ["h", "band"])
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)))
+    places = nodes.select("fp", F.explode("parts.h").alias("h"), band.alias("band")).select("fp", F.explode(F.array(F.xxhash64("h", "band"), F.xxhash64("h", F.col("band") + 1))).alias("part"))
+    for partners in (PARTNERS, 0):
+        placed = places.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("part", "fp", F.coalesce("root", "fp").alias("root"))
+        same = [F.bit_xor(F.xxhash64("fp")).alias("s0"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("s1"), F.count("*").alias("m")]  # names the members
+        apart = placed.groupBy("part").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *same).where("r0 <> r1")
+        apart = apart.groupBy("s0", "s1", "m").agg(F.min("part").alias("part"))  # parts of the same members count once
+        left = placed.join(materialise(spark, apart.select("part", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))), "part")
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        left = left.select("h", "band", "fp", "root", block.alias("k"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-        left = left.select("h", "band", "fp", "root", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), (F.col("k") > F.col("j")).cast("int").alias("side"))
-        left = left.join(nodes.select("fp", "n", "vec"), "fp")
-        left = left.repartition("h", "band", "x", "y").sortWithinPartitions("h", "band", "x", "y")
-        pairs = left.mapInArrow(_pairs_in(share, best), "a bigint, b bigint").distinct()
+        left = left.select("part", "fp", "root", block.alias("k"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        left = left.select("part", "fp", "root", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), (F.col("k") > F.col("j")).cast("int").alias("side"))
+        left = left.join(nodes.select("fp", "n", "vec"), "fp").repartition("part", "x", "y").sortWithinPartitions("part", "x", "y")
+        found = materialise(spark, left.mapInArrow(_pairs_in(share, partners), "a bigint, b bigint, cut bigint"))
+        pairs = found.where("a is not null").select("a", "b").distinct()
         pairs = materialise(spark, pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         tested = materialise(spark, tested.unionByName(_checked(docs, nodes, pairs, words, share)))
         roots = components(spark, tested.where("linked").select("a", "b"))
+        cut = materialise(spark, found.where("cut is not null").select(F.col("cut").alias("part")).distinct())
+        if cut.isEmpty():
+            break
+        places = places.join(cut, "part", "left_semi")  # elsewhere all pairs have been looked at
 
     classes = full.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     classes = materialise(spark, classes.select("fp", "least", F.coalesce("root", "fp").alias("root")))
