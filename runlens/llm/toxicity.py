@@ -33,13 +33,14 @@ THRESHOLD = 0.3
 FOLDS = 3
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word's beginning that can be learned, beside whole words
 LEARNED = 4000
+COPIES = 8  # hashes that name a document when copies are told
 STRETCH, NEAR = 50, 5  # words
 
 #: Insults and threats that need no learning.
 LEXICON = (
     "idiot idiots moron morons stupid dumb dumbass loser losers scum trash garbage worthless pathetic disgusting clown "
     "jerk bastard bitch bitches asshole assholes bullshit shit shitty fuck fucking fucker crap retard retarded whore slut "
-    "imbecile cretin vermin filth freak creep pig hate kill die "
+    "imbecile cretin vermin filth freak creep "
     "connard connasse salaud salope merde putain abruti débile crétin arschloch scheisse scheiße hurensohn schlampe "
     "dummkopf abschaum wichser puta puto mierda cabrón gilipollas estúpido estúpida imbécil idiota basura pendejo"
 ).split()
@@ -112,7 +113,15 @@ class Lexicon:
 
 
 def learn_lexicon(pieces: list[np.ndarray], toxic: np.ndarray) -> Lexicon:
-    """pieces: the distinct hashes of each document. Kept: those clearly likelier in toxic documents."""
+    """pieces: the distinct hashes of each document, ascending. Kept: those clearly likelier in toxic documents.
+
+    Of documents that share their smallest hashes - copies - one counts for each label. A piece must stand in so many toxic
+    documents that chance alone would hardly give one such piece.
+    """
+    seen: dict[tuple[bytes, bool], int] = {}
+    for i, p in enumerate(pieces):
+        seen.setdefault((p[:COPIES].tobytes(), bool(toxic[i])), i)
+    pieces, toxic = [pieces[i] for i in seen.values()], toxic[list(seen.values())]
     n1 = max(int(toxic.sum()), 1)
     n0 = max(len(toxic) - n1, 1)
     some = lambda rows: np.unique(np.concatenate([pieces[i] for i in rows]), return_counts=True) if len(rows) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -123,7 +132,10 @@ def learn_lexicon(pieces: list[np.ndarray], toxic: np.ndarray) -> Lexicon:
     odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
     share = (a + b) / (n1 + n0)
     z = (a - n1 * share) / np.sqrt(np.maximum(n1 * share * (1 - share), 1e-9))
-    keep = np.flatnonzero((a >= 3) & (odds >= 1.5) & (z >= 3) & (names != 0))
+    frequency, least = np.bincount(a + b), 3
+    while least < len(frequency) and frequency[least] * (n1 / (n1 + n0)) ** least > 0.5:
+        least += 1
+    keep = np.flatnonzero((a >= least) & (odds >= 1.5) & (z >= 3) & (names != 0))
     keep = keep[np.argsort(-(a[keep] * odds[keep]), kind="stable")[:LEARNED]]
     return Lexicon(names[keep], odds[keep].astype(np.float32))
 
