@@ -201,7 +201,9 @@ def _serial(ids: np.ndarray, width: int) -> bytes:
 def train_dictionary(docs: DataFrame, tokenizer: str, docs_bound: int = SAMPLE_DOCS) -> bytes:
     """From a bounded sample (by a hash of id and text) of documents of at most SAMPLE_CHARS; empty if there is too little."""
     short = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    texts = [r["text"] for r in short.orderBy("h", "text").limit(docs_bound).collect()]
+    chosen = short.select("h").distinct().orderBy("h").limit(docs_bound)  # hashes alone first: tasks need not send texts that others beat
+    rows = short.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
+    texts = [r["text"] for r in sorted(rows.collect(), key=lambda r: r["h"])]
     enc = encoder(tokenizer)
     samples = [_serial(x, enc.width) for x in enc.encode(texts)] if texts else []
     try:
