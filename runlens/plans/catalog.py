@@ -326,10 +326,14 @@ def stream_outcomes(v: Views) -> DataFrame:
     return o.withColumn("retryable", ledger.retryable(F.col("outcome")))
 
 
-@query(f"{_EVENTS} SELECT conv_id, 3 AS n_messages, 5 AS n_blocks, 'reasoning:why,text:t,tool_result:a' || chr(10) || chr(10) || 'b,tool_use:' AS seen FROM e GROUP BY conv_id")
+@query(f"""{_EVENTS}, m AS (SELECT conv_id, pos, event ->> '$.message.role' AS role, event -> '$.message.content' AS c FROM e WHERE (event ->> '$.type') IN ('user', 'assistant')),
+  i AS (SELECT conv_id, pos, role, unnest(CASE WHEN json_type(c) = 'ARRAY' THEN CAST(c AS JSON[]) ELSE [json_object('type', 'text', 'text', c)] END) AS b FROM m),
+  k AS (SELECT conv_id, pos, role, b ->> '$.type' AS t, CASE b ->> '$.type' WHEN 'text' THEN concat('text:', b ->> '$.text') WHEN 'thinking' THEN concat('reasoning:', b ->> '$.thinking')
+    WHEN 'tool_result' THEN concat('tool_result:', array_to_string(list_transform(CAST(b -> '$.content' AS JSON[]), lambda p: p ->> '$.text'), concat(chr(10), chr(10)))) ELSE 'tool_use:' END AS s FROM i WHERE (b ->> '$.type') IN ('text', 'thinking', 'tool_use', 'tool_result'))
+  SELECT conv_id, CAST(count(DISTINCT pos) AS INT) AS n_messages, CAST(count(*) AS INT) AS n_blocks, string_agg(s, ',' ORDER BY s) AS seen FROM k GROUP BY conv_id""")
 def conversation_blocks(v: Views) -> DataFrame:
     b = traces.blocks(v.sql(A.STREAMS), ["conv_id"])
-    seen = F.array_join(F.array_sort(F.collect_list(F.when(~((F.col("role") == "user") & (F.col("type") == "text")), F.concat("type", F.lit(":"), F.coalesce("text", F.lit("")))))), ",")
+    seen = F.array_join(F.array_sort(F.collect_list(F.concat("type", F.lit(":"), F.coalesce("text", F.lit(""))))), ",")
     return b.groupBy("conv_id").agg(F.countDistinct("pos").cast("int").alias("n_messages"), F.count("*").cast("int").alias("n_blocks"), seen.alias("seen"))
 
 
@@ -377,8 +381,7 @@ _FILE_LINES = "SELECT 'f0' AS file_path, CAST(30 AS BIGINT) AS last_line UNION A
   ELSE nullif(concat_ws(';', CASE WHEN st < 1 THEN 'starts before line 1' END, CASE WHEN en < st THEN 'ends before it starts' END, CASE WHEN en > last THEN 'ends past the last line' END), '') END) END AS problems FROM m""")
 def snippet_problems(v: Views) -> DataFrame:
     found = annotations.fields(annotations.snippets(v.sql(A.SNIPPETS), ["inst", "n"]))
-    known = v.sql(_FILE_LINES)
-    out = annotations.problems(found, found.select("inst", "n").distinct().join(F.broadcast(known)), ["inst", "n"], ["core"])  # three files
+    out = annotations.problems(found, v.sql(_FILE_LINES), [], ["core"])
     return out.select("inst", "n", F.array_join("problems", ";").alias("problems"))
 
 
