@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from runlens.llm.spans import LOWER, HashTable, buffer_of, byte_class, find_words, hash_spans, runs_of, texts_of
 
-SAMPLE_DOCS, SAMPLE_CHARS = 12_000, 40_000
+SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 20_000
 THRESHOLD = 0.3
 FOLDS = 3
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word's beginning that can be learned, beside whole words
@@ -363,7 +363,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     chosen = known.orderBy("_order", "doc_id").limit(sample_docs)
     rows = docs.select("doc_id", F.col("text").alias("_text")).where(F.length("_text") <= sample_chars).join(F.broadcast(chosen), "doc_id")  # at most sample_docs rows
     got = rows.select("_order", "doc_id", "_text", "_toxic").toArrow().to_pandas().sort_values(["_order", "doc_id", "_text"], kind="stable").drop_duplicates("doc_id")
-    return fit(got["_text"].tolist(), (got["_toxic"] > 0).astype(int).tolist())
+    texts, toxic = got["_text"].tolist(), (got["_toxic"] > 0).astype(int).tolist()
+    del got
+    return fit(texts, toxic)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
