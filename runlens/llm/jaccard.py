@@ -367,9 +367,13 @@ def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
 
     step = np.log(100 / share) * (1 + 1e-9)  # sizes of linked sets are less than a step apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)))
-    places = nodes.select("fp", F.explode("parts.h").alias("h"), band.alias("band")).select("fp", F.explode(F.array(F.xxhash64("h", "band"), F.xxhash64("h", F.col("band") + 1))).alias("part"))
+    places = nodes.select("fp", F.transform("parts", lambda x: x["h"]).alias("hs"), band.alias("band"))
+    cut: DataFrame | None = None
     for partners in (PARTNERS, 0):
-        placed = places.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("part", "fp", F.coalesce("root", "fp").alias("root"))
+        owned = places.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "band", F.explode("hs").alias("h"))
+        placed = owned.select("fp", "root", F.explode(F.array(F.xxhash64("h", "band"), F.xxhash64("h", F.col("band") + 1))).alias("part"))
+        if cut is not None:  # elsewhere all pairs have been looked at
+            placed = placed.join(cut, "part", "left_semi")
         same = [F.bit_xor(F.xxhash64("fp")).alias("s0"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("s1"), F.count("*").alias("m")]  # names the members
         apart = placed.groupBy("part").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *same).where("r0 <> r1")
         apart = apart.groupBy("s0", "s1", "m").agg(F.min("part").alias("part"))  # parts of the same members count once
@@ -386,7 +390,6 @@ def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
         cut = materialise(spark, found.where("cut is not null").select(F.col("cut").alias("part")).distinct())
         if cut.isEmpty():
             break
-        places = places.join(cut, "part", "left_semi")  # elsewhere all pairs have been looked at
 
     classes = full.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     classes = materialise(spark, classes.select("fp", "least", F.coalesce("root", "fp").alias("root")))
