@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +79,18 @@ def total_snippets(table: DataFrame) -> DataFrame:
     return table.agg(F.coalesce(F.sum(F.json_array_length("relevant_snippets")), F.lit(0)).cast("bigint").alias("n_snippets"))
 
 
+def _acceptable() -> str:
+    """One pattern over the lower-case path: many conditions would repeat whatever the path is computed from."""
+    some = lambda words: "|".join(map(re.escape, words))
+    return (
+        rf"(?s)({some(DOC_EXTENSIONS)}|{some(GENERATED)})\z|(^|/)({some(MANIFESTS + BUILD_FILES)})\z|(^|/)({some(PREFIXES)})[^/]*\z|{some(SKIPPED)}"
+        rf"|(^|/)({some(I18N)})/.*({some(I18N_EXTENSIONS)})\z"
+    )
+
+
 def acceptable_miss(path: Column) -> Column:
     """Documentation, manifests, build files, generated code, vendored trees, translations."""
-    p = F.lower(path)
-    name = F.substring_index(p, "/", -1)
-    ext = F.when(name.contains("."), F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise("")
-    some = lambda conds: F.greatest(*conds)
-    return (
-        ext.isin(*DOC_EXTENSIONS) | name.isin(*MANIFESTS, *BUILD_FILES) | some([name.startswith(x) for x in PREFIXES]) | some([name.endswith(x) for x in GENERATED])
-        | some([p.contains(x) for x in SKIPPED]) | (ext.isin(*I18N_EXTENSIONS) & F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, I18N))))
-    )
+    return F.lower(path).rlike(_acceptable())
 
 
 def source_misses(gold: DataFrame, annotated: DataFrame, new_files: DataFrame) -> DataFrame:
