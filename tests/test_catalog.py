@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from runlens.operators import integrity
 from runlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +60,16 @@ def test_plans_push_filters_and_prune_columns(spark):
     assert "EqualTo(c_custkey,42)" in one and "c_acctbal" not in one
     vote = plan(catalog.QUERIES["line_vote_ranges"](spark, SF))
     assert "l_extendedprice" not in vote and "Cartesian" not in vote and "NestedLoop" not in vote
+
+
+def test_replay_reads_every_conversation(spark):
+    """Each trace rule's runs are those of the rule's own query."""
+    got = {r.run: r for r in catalog.QUERIES["replayed_traces"](spark, SF).collect()}
+    own = {r.conv_id: r for r in catalog.QUERIES["trace_findings"](spark, SF).collect()}
+    away = {r.conv_id for r in catalog.QUERIES["reads_outside"](spark, SF).collect()}
+    assert len(got) == spark.read.parquet(f"{SF}/part.parquet").count() and own.keys() <= got.keys()
+    for run, r in got.items():
+        o = own.get(run)
+        assert (r.n_git, r.n_egress, r.n_said) == ((o.n_git, o.n_egress, o.n_said) if o else (0, 0, 0)) and (r.away != "") == (run in away)
+        assert r.n_flagged == len(r.flagged.split(",") if r.flagged else [])
+    assert {x for r in got.values() for x in r.flagged.split(",") if x} == set(integrity.RULES)
