@@ -148,6 +148,13 @@ def resume_list(v: Views) -> DataFrame:
     return ledger.to_do(i, v.sql(A.ATTEMPTS), 5, 1, 2, 500)
 
 
+@query(f"{_LEDGER}, i AS (SELECT c_custkey AS inst, c_custkey - 1 AS row_index FROM customer) SELECT inst, row_index, (row_index % 2 + 2) % 2 AS shard FROM i WHERE NOT EXISTS (FROM attempts a WHERE a.rollout = 5 AND a.inst = i.inst)")
+def pending_instances(v: Views) -> DataFrame:
+    """The whole resume list, each row with its shard of two; `resume_list` is the start of one shard."""
+    i = v.table("customer").select(F.col("c_custkey").alias("inst"), (F.col("c_custkey") - 1).alias("row_index"))
+    return ledger.to_do(i, v.sql(A.ATTEMPTS), 5).withColumn("shard", F.pmod("row_index", F.lit(2)))
+
+
 @query(f"{_LEDGER}, m AS ({A.MARKERS}) SELECT m.*, a.attempt, a.status FROM m LEFT JOIN attempts a ON a.inst = m.inst AND a.rollout = m.rollout AND a.task = m.task AND a.run_ts = m.run_ts AND a.attempt = m.attempts - 1")
 def final_shards(v: Views) -> DataFrame:
     a = v.sql(A.ATTEMPTS)

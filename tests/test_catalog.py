@@ -73,3 +73,11 @@ def test_replay_reads_every_conversation(spark):
         assert (r.n_git, r.n_egress, r.n_said) == ((o.n_git, o.n_egress, o.n_said) if o else (0, 0, 0)) and (r.away != "") == (run in away)
         assert r.n_flagged == len(r.flagged.split(",") if r.flagged else [])
     assert {x for r in got.values() for x in r.flagged.split(",") if x} == set(integrity.RULES)
+
+
+def test_resume_list_is_whole(spark):
+    read = lambda t, c: {r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()}
+    done = {r[0] for r in spark.read.parquet(f"{SF}/events.parquet").where("event_id % 12 = 5").select("user_id").collect()}
+    rows = catalog.QUERIES["pending_instances"](spark, SF).collect()
+    assert [r.inst for r in rows] == sorted(read("customer", "c_custkey") - done) and {r.shard for r in rows} == {0, 1}
+    assert [r.inst for r in catalog.QUERIES["resume_list"](spark, SF).collect()] == [r.inst for r in rows if r.shard == 1][:500]
