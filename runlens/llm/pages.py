@@ -4,13 +4,14 @@ A page is cut into blocks of text. Blocks inside an article or main element are
 sidebars, notices, adverts, forms, comments, scripts and styles are furniture by their tags, roles or names. What the
 markup leaves open - on pages without such an element - the host decides: the token streams of its pages, without the
 marked articles, are laid end to end, their suffixes are sorted, and stretches of `LONG` tokens or more that begin
-suffixes of several distinct pages are boilerplate. Blocks covered by them go, unique ones stay. Text inside a marked
-article is never removed for being repeated: the contract keeps it, and passages that pages share are no furniture.
+suffixes of several distinct pages are boilerplate. Tokens covered by them are cut out of the blocks, unique runs stay. Text
+inside a marked article is never removed for being repeated: the contract keeps it, and passages that pages share are no furniture.
 
-A host's pages are dealt out by a hash over shards of about SHARD_PAGES, so a host of any size is many small arrays;
-boilerplate stands on enough pages to show in each. Pages with equal streams count as one page.
+A host's distinct streams are dealt out by a hash over shards of about SHARD_PAGES, so a host of any size is many small
+arrays. An array only counts: each stretch goes on as a hash with its number of pages, single ones too, and the numbers of
+all shards are added up before they are held against the host's one threshold (`needed`). Pages with equal streams count as one.
 
-Defined results: null and empty html give an empty text; a page whose every open block would go keeps them; pages of
+Defined results: null and empty html give an empty text; a page of whose open blocks nothing would stay keeps them; pages of
 null or odd url form a host of their own; repeated rows are each extracted; extra columns take no part. White space is
 what Unicode calls so, after character references are decoded; <br> ends a block; table cells are set apart by a space.
 """
@@ -25,16 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.groups import runs_by
 from runlens.session import materialise
 
 LONG = 8  # tokens
-SUPPORT = 0.2  # of a shard's distinct pages, two at least
+SUPPORT = 0.2  # of a host's distinct pages, two at least, up to SHARD_PAGES; of larger hosts see `needed`
 COVERED = 0.5  # of a block's tokens
 SHARD_PAGES = 32
+BROADCAST_ROWS = 1_000_000  # stretches
+BATCH = 1 << 18  # rows
 LINKS = 0.5  # an open block with more of its text in links is a menu
 
 MAIN, OPEN, FURNITURE = 0, 1, 2
@@ -166,18 +169,25 @@ def has_main(blocks: list[tuple[int, str, float]]) -> bool:
     return any(r == MAIN for r, _, _ in blocks)
 
 
-def boilerplate(streams: list[np.ndarray], long: int = LONG, support: float = SUPPORT) -> list[np.ndarray]:
-    """For each page's token stream, which tokens lie in a stretch of `long` tokens found on several distinct pages.
+def needed(pages: Column) -> Column:
+    """How many of a host's distinct pages make a stretch boilerplate: 2 to 7 up to 32 pages, then in proportion to the root,
+    36 of 1,000 - a section's menu stands on few of a large host's pages, while chance repeats grow with the host."""
+    share = SUPPORT * F.when(pages <= SHARD_PAGES, pages).otherwise(F.sqrt(SHARD_PAGES * pages))
+    return F.greatest(F.lit(2), F.ceil(share)).cast("bigint")
+
+
+def stream_of(texts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for t in texts for w in t.split()], np.uint64)
+
+
+def _sorted_stretches(streams: list[np.ndarray], long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the streams laid end to end: where whole stretches begin, the name of each, and the stream it lies in.
 
-    The suffixes of all streams laid end to end are sorted by their first `long` tokens, doubling the sorted length.
+    The suffixes are sorted by their first `long` tokens, doubling the sorted length.
     """
-    distinct: dict[bytes, int] = {}
-    page_of = [distinct.setdefault(s.tobytes(), len(distinct)) for s in streams]
-    least = max(2, math.ceil(support * len(distinct)))
     sizes = np.array([len(s) for s in streams], np.int64)
-    flags = [np.zeros(n, bool) for n in sizes]
     if not sizes.sum():
-        return flags
+        return (np.zeros(0, np.int64),) * 3
     tokens = np.concatenate(streams)
     owner = np.repeat(np.arange(len(streams)), sizes)
     last = np.repeat(np.cumsum(sizes), sizes)
@@ -195,37 +205,68 @@ def boilerplate(streams: list[np.ndarray], long: int = LONG, support: float = SU
         rank[order] = new
         span += step
     whole = np.flatnonzero(place + long <= last)  # suffixes as long as that
-    pages = np.array(page_of)[owner[whole]]
-    one = np.unique(np.column_stack((rank[whole], pages)), axis=0)
-    names, count = np.unique(one[:, 0], return_counts=True)
-    hit = whole[np.isin(rank[whole], names[count >= least])]
-    edge = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + long, -1)
-    covered = np.cumsum(edge)[:-1] > 0
-    return np.split(covered, np.cumsum(sizes)[:-1])
-
-
-def choose(pages: list[list[tuple[int, str, float]]]) -> list[str]:
-    """Texts of pages of one host (or shard) from their blocks."""
-    streams, cuts = [], []
-    for blocks in pages:
-        words = [t.split() for r, t, _ in blocks if r != MAIN]
-        cuts.append(np.cumsum([len(w) for w in words]))
-        streams.append(np.array([xxhash.xxh3_64_intdigest(w) for ws in words for w in ws], np.uint64))
-    out = []
-    for blocks, cut, flag in zip(pages, cuts, boilerplate(streams), strict=True):
-        if has_main(blocks):
-            out.append("\n".join(t for r, t, _ in blocks if r == MAIN))
-            continue
-        share = [f.mean() if len(f) else 0.0 for f in np.split(flag, cut[:-1])] if len(cut) else []
-        likely = [(t, s) for (r, t, links), s in zip(blocks, share, strict=True) if r == OPEN and links <= LINKS]
-        kept = [t for t, s in likely if s < COVERED] or [t for t, _ in likely]
-        out.append("\n".join(kept))
-    return out
+    return whole, rank[whole], owner[whole]
+
+
+def _pages_of(names: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names and on how many distinct pages each stands."""
+    one = np.unique(np.column_stack((names, pages)), axis=0)
+    return np.unique(one[:, 0], return_counts=True)
+
+
+def covered(size: int, begins: np.ndarray, long: int) -> np.ndarray:
+    """Which of `size` tokens lie in a stretch that begins at one of these places."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, begins, 1)
+    np.add.at(edge, begins + long, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def boilerplate(streams: list[np.ndarray], long: int = LONG, support: float = SUPPORT) -> list[np.ndarray]:
+    """For each page's token stream, which tokens lie in a stretch of `long` tokens found on several distinct pages, all pages in one array."""
+    distinct: dict[bytes, int] = {}
+    page_of = np.array([distinct.setdefault(s.tobytes(), len(distinct)) for s in streams])
+    least = max(2, math.ceil(support * len(distinct)))
+    sizes = np.array([len(s) for s in streams], np.int64)
+    if not sizes.sum():
+        return [np.zeros(n, bool) for n in sizes]
+    whole, rank, owner = _sorted_stretches(streams, long)
+    names, count = _pages_of(rank, page_of[owner])
+    return np.split(covered(sizes.sum(), whole[np.isin(rank, names[count >= least])], long), np.cumsum(sizes)[:-1])
+
+
+def keys_of(host: str, stream: np.ndarray, long: int = LONG) -> np.ndarray:
+    """A hash of the host and each whole stretch of the stream, in order."""
+    n = max(0, len(stream) - long + 1)
+    key = np.full(n, xxhash.xxh3_64_intdigest(host), np.uint64)
+    for j in range(long):
+        key = (key ^ stream[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
+def choose(blocks: list[tuple[int, str, float]], begins: np.ndarray, long: int = LONG) -> str:
+    """The text of a page without a marked article: what of its open blocks no boilerplate covers, given where that begins.
+
+    A stretch that runs on into the next block takes no words from it unless at least COVERED of that block is boilerplate.
+    """
+    words = [t.split() for _, t, _ in blocks]
+    cuts = np.cumsum([0, *map(len, words)])
+    block = np.repeat(np.arange(len(blocks)), np.diff(cuts))
+    every = covered(cuts[-1], begins, long)
+    within = covered(cuts[-1], begins[block[begins] == block[begins + long - 1]], long)
+    likely, kept = [], []
+    for (role, text, links), own, a, b in zip(blocks, words, cuts[:-1], cuts[1:], strict=True):
+        if role == OPEN and links <= LINKS:
+            likely.append(text)
+            flag = every[a:b] if every[a:b].mean() >= COVERED else within[a:b]
+            stays = [w for w, f in zip(own, flag, strict=True) if not f]
+            if stays:
+                kept.append(" ".join(stays))
+    return "\n".join(kept or likely)
 
 
-_EVIDENCE = "page_id bigint, url string, host string, main boolean, roles array<int>, texts array<string>, links array<double>"
+_EVIDENCE = "row bigint, page_id bigint, url string, host string, main boolean, roles array<int>, texts array<string>, links array<double>"
 
 
 def _parse(whole: bool):
@@ -245,25 +286,55 @@ def _parse(whole: bool):
                 else:
                     outside = [[x for x in b if x[0] != MAIN] for _, b in rows]
                     yield pa.RecordBatch.from_arrays([
-                        part.column("page_id"), part.column("url"), part.column("host"), pa.array([has_main(b) for _, b in rows], pa.bool_()),
+                        part.column("row"), part.column("page_id"), part.column("url"), part.column("host"), pa.array([has_main(b) for _, b in rows], pa.bool_()),
                         pa.array([[r for r, _, _ in b] for b in outside], pa.list_(pa.int32())), pa.array([[t for _, t, _ in b] for b in outside], pa.list_(pa.string())),
                         pa.array([[s for _, _, s in b] for b in outside], pa.list_(pa.float64())),
-                    ], ["page_id", "url", "host", "main", "roles", "texts", "links"])
+                    ], ["row", "page_id", "url", "host", "main", "roles", "texts", "links"])
 
     return step
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages without a marked article, shard by shard."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """On how many distinct pages of the shard each stretch stands, and the host's threshold with it."""
     for shard in runs_by(batches, ["host", "shard"]):
-        main = np.array(shard.column("main").to_pylist(), bool)
-        if main.all():
+        host, least = shard.column("host")[0].as_py(), shard.column("least")[0].as_py()
+        streams = [stream_of(t) for t in shard.column("texts").to_pylist()]
+        _, rank, owner = _sorted_stretches(streams, LONG)
+        if not len(rank):
             continue
-        rows = [list(zip(*x, strict=True)) for x in zip(*(shard.column(c).to_pylist() for c in ("roles", "texts", "links")), strict=True)]
-        texts = choose(rows)
-        some = pa.array(np.flatnonzero(~main))
-        got = shard.select(["page_id", "url"]).take(some).combine_chunks()
-        yield from got.append_column("text", pa.array([texts[i] for i in some.to_pylist()], pa.string())).to_batches()
+        names, count = _pages_of(rank, owner)
+        key = np.empty(len(names), np.int64)
+        key[np.searchsorted(names, rank)] = np.concatenate([keys_of(host, s) for s in streams])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), least, np.int64)), pa.array(count.astype(np.int64))], ["key", "least", "n"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where in which page each stretch begins."""
+    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def held() -> pa.RecordBatch:
+        got = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["row", "pos", "key"])
+        rows.clear()
+        return got
+
+    for batch in batches:
+        for row, host, texts in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("row", "host", "texts")), strict=True):
+            key = keys_of(host, stream_of(texts))
+            rows.append((np.full(len(key), row, np.int64), np.arange(len(key), dtype=np.int64), key))
+            if sum(len(k) for k, _, _ in rows) >= BATCH or len(rows) >= 1000:
+                yield held()
+    if rows:
+        yield held()
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages without a marked article, with the places where boilerplate begins."""
+    for batch in batches:
+        at = batch.schema.names.index
+        texts = []
+        for roles, words, links, hits in zip(*(batch.column(at(c)).to_pylist() for c in ("roles", "texts", "links", "hits")), strict=True):
+            texts.append(choose(list(zip(roles, words, links, strict=True)), np.array(hits or [], np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(at("page_id")), batch.column(at("url")), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -272,11 +343,21 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     done = rows.mapInArrow(_parse(True), "page_id bigint, url string, text string")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    shards = rows.groupBy(host.alias("host")).count().select("host", F.ceil(F.col("count") / SHARD_PAGES).alias("shards"))
-    open_ = rows.withColumn("host", host).mapInArrow(_parse(False), _EVIDENCE)
+    open_ = rows.withColumns({"host": host, "row": F.monotonically_increasing_id()}).mapInArrow(_parse(False), _EVIDENCE)
     open_ = materialise(spark, open_)
-    hosts = open_.where("not main").select("host").distinct()  # the others have nothing to settle
-    open_ = open_.join(materialise(spark, shards.join(hosts, "host")), "host")
-    open_ = open_.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), "shards").cast("bigint")).drop("shards")
-    settled = open_.repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id").mapInArrow(_settle, "page_id bigint, url string, text string")
+    left = open_.where("not main")
+    if left.isEmpty():  # nothing to settle
+        return done
+    hosts = left.select("host").distinct()
+    one = open_.join(hosts, "host", "left_semi").groupBy("host", F.md5(F.array_join("texts", " ")).alias("stream")).agg(F.min("row").alias("row"))
+    one = materialise(spark, one)
+    sizes = one.groupBy("host").count().select("host", needed(F.col("count")).alias("least"), F.ceil(F.col("count") / SHARD_PAGES).alias("shards"))
+    dealt = one.join(materialise(spark, sizes), "host").select("row", "least", F.pmod(F.xxhash64("stream"), "shards").cast("bigint").alias("shard"))
+    counts = open_.select("row", "host", "texts").join(dealt, "row").repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
+    counts = counts.mapInArrow(_count, "key bigint, least bigint, n bigint").groupBy("key", "least").agg(F.sum("n").alias("n"))
+    common = materialise(spark, counts.where("n >= least").select("key"))
+    common = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
+    hits = left.select("row", "host", "texts").mapInArrow(_places, "row bigint, pos bigint, key bigint").join(common, "key", "left_semi")
+    hits = hits.groupBy("row").agg(F.collect_list("pos").alias("hits"))
+    settled = left.join(hits, "row", "left").select("page_id", "url", "roles", "texts", "links", "hits").mapInArrow(_settle, "page_id bigint, url string, text string")
     return done.unionByName(settled)

@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +93,45 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_host_counts_are_merged(spark):
+    """A section's menu on 100 of a host's 1,000 pages goes, what is unique in its block stays, and so does what stands on too few pages."""
+    menu, rare = "Local Council Roads Schools Parks Police Courts Weather Notices", "these nine words stand on only five pages here"
+    middle = lambda i: f"{i} told by {i * 7} people {i}"
+    body = lambda i: f"<p>{menu + ' ' if i % 10 == 0 else ''}{middle(i)}{' ' + rare if i < 5 else ''}</p>"
+    df = spark.createDataFrame([(i, "https://big.example/x", body(i)) for i in range(1000)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert got == {i: middle(i) + (" " + rare if i < 5 else "") for i in range(1000)}
+
+
+def test_pages_equal_streams_count_once(spark):
+    """Two distinct pages however often they are repeated: their shared line goes, while equal pages keep theirs."""
+    line = "one two three four five six seven eight nine"
+    rows = [(i, "https://a.example/", f"<p>{line}</p><p>own {i % 2} x</p>") for i in range(100)] + [(i, "https://b.example/", f"<p>{line}</p>") for i in range(100, 200)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"own {i % 2} x" if i < 100 else line for i in range(200)}
+
+
+def test_pages_against_one_array(spark, monkeypatch):
+    """Hosts in shards of three pages come out as with all pages of the host in one array."""
+    rng = np.random.default_rng(5)
+    parts = [" ".join(rng.choice(list("abcdefgh"), 10)) for _ in range(12)]
+    rows = [(i, f"https://h{i % 3}.example/", "".join(f"<p>{parts[k]} u{i}</p>" for k in rng.integers(0, 12, 4)) + "<div>end</div>") for i in range(60)]
+    monkeypatch.setattr(pages, "needed", lambda n: F.greatest(F.lit(2), F.ceil(pages.SUPPORT * n)).cast("bigint"))
+    monkeypatch.setattr(pages, "SHARD_PAGES", 3)
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    cut = 0
+    for h in range(3):
+        mine = {i: pages.blocks_of(page) for i, _, page in rows if i % 3 == h}
+        tokens = {i: " ".join(t for _, t, _ in b).split() for i, b in mine.items()}
+        stretches = {i: [tuple(t[k : k + 8]) for k in range(len(t) - 7)] for i, t in tokens.items()}
+        on = Counter(x for i in mine for x in set(stretches[i]))
+        for i, b in mine.items():
+            begins = np.array([k for k, x in enumerate(stretches[i]) if on[x] >= max(2, math.ceil(0.2 * len(mine)))], np.int64)
+            assert got[i] == pages.choose(b, begins)
+            cut += len(begins) > 0
+    assert cut > 10
+
+
 def test_pages_of_the_tables(spark):
     want = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     import html
