@@ -11,6 +11,9 @@ A host's distinct streams are dealt out by a hash over shards of about SHARD_PAG
 arrays. An array only counts: each stretch goes on as a hash with its number of pages, single ones too, and the numbers of
 all shards are added up before they are held against the host's one threshold (`needed`). Pages with equal streams count as one.
 
+Names alone are weak evidence. An article inside a wrapper named like furniture is the text if the page has no other; blocks
+of such names are kept if nothing else is left. Headings in an article's own header belong to it.
+
 Defined results: null and empty html give an empty text; a page of whose open blocks nothing would stay keeps them; pages of
 null or odd url form a host of their own; repeated rows are each extracted; extra columns take no part. White space is
 what Unicode calls so, after character references are decoded; <br> ends a block; table cells are set apart by a space.
@@ -40,14 +43,16 @@ BROADCAST_ROWS = 1_000_000  # stretches
 BATCH = 1 << 18  # rows
 LINKS = 0.5  # an open block with more of its text in links is a menu
 
-MAIN, OPEN, FURNITURE = 0, 1, 2
+MAIN, OPEN, FURNITURE, NAMED = 0, 1, 2, 3  # NAMED: furniture by its class or id alone
+_SOFT = 4  # an article in a wrapper of such a name, or of one: the text if the page has no other
 
 #: Elements by what they do.
 _BLOCK = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _STRONG = set("nav aside footer form menu dialog button select option datalist label".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
-#: Words of class and id names. Those of the first set hold whatever stands inside them.
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Words of class and id names. Those of the first set hold whatever stands inside them, articles if there are others.
 _STRONG_NAMES = set("nav navbar navigation menu sidebar comment comments commentlist disqus replies related breadcrumb breadcrumbs pagination pager footer foot modal popup cookie cookies consent gdpr share sharing social newsletter subscribe signup login widget".split())
 _WEAK_NAMES = set("header masthead banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion notice alert notification toolbar skip hidden".split())
 _MAIN_NAMES = {"articlebody", "article-body", "post-content", "entry-content", "article-content", "main-content", "story-body", "post-body"}
@@ -62,8 +67,9 @@ _NAME_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 def _role(name: str, rest: str) -> str:
-    """'' (nothing), 'main', 'weak' or 'strong' furniture."""
-    if name in ("article", "main"):
+    """'' (nothing), 'main', 'soft' (an article named like furniture), or furniture: 'weak' and 'strong', 'faint' and 'named' by names alone."""
+    whole = name in ("article", "main")
+    if whole:
         out = "main"
     elif name in _STRONG:
         out = "strong"
@@ -73,6 +79,7 @@ def _role(name: str, rest: str) -> str:
         out = ""
     if not rest.strip():
         return out
+    named = main = False
     for key, *values in _ATTR.findall(rest):
         value = next((v for v in values if v), "").lower()
         key = key.lower()
@@ -80,18 +87,20 @@ def _role(name: str, rest: str) -> str:
             if value in _ROLES:
                 return "strong"
             if value == "main":
-                out = "main"
+                out, main = "main", True
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return "strong"
         elif key in ("class", "id", "itemprop"):
             names = set(value.split())
             words = {w.lower() for w in _NAME_WORDS.findall(value)}
-            if name not in ("html", "body") and words & _STRONG_NAMES:
-                return "strong"
+            if name not in ("html", "body") and (names if whole else words) & _STRONG_NAMES:
+                named = True
             if names & _MAIN_NAMES:
                 out = "main"
-            elif name not in ("html", "body", "article", "main") and words & _WEAK_NAMES:
-                out = "weak"
+            elif not whole and name not in ("html", "body") and words & _WEAK_NAMES:
+                out = out if out in ("strong", "weak") else "faint"
+    if named and not main:
+        return "soft" if whole else "strong" if name in _STRONG or name == "header" else "named"
     return out
 
 
@@ -112,14 +121,19 @@ def blocks_of(page: str | None) -> list[tuple[int, str, float]]:
             linked.clear()
 
     def current() -> int:
-        now = OPEN
-        for _, kind in stack:
+        now, named, header_of = OPEN, False, None
+        for n, kind in stack:
             if kind == "strong":
                 return FURNITURE
-            if kind == "main":
-                now = MAIN
+            if kind in ("main", "soft"):
+                now = _SOFT if named or kind == "soft" or now == _SOFT else MAIN
             elif kind == "weak":
-                now = FURNITURE
+                now, header_of = FURNITURE, now if now in (MAIN, _SOFT) else None
+            elif kind in ("named", "faint"):
+                named = named or kind == "named"
+                now, header_of = FURNITURE if now == FURNITURE else NAMED, None
+            elif n in _HEADINGS and header_of is not None:  # of the article's own header
+                now = header_of
         return now
 
     def add(piece: str) -> None:
@@ -162,7 +176,8 @@ def blocks_of(page: str | None) -> list[tuple[int, str, float]]:
                     role = current()
     add(page[at:])
     flush()
-    return out
+    soft = FURNITURE if has_main(out) else MAIN
+    return [(soft if r == _SOFT else r, t, links) for r, t, links in out]
 
 
 def has_main(blocks: list[tuple[int, str, float]]) -> bool:
@@ -255,15 +270,15 @@ def choose(blocks: list[tuple[int, str, float]], begins: np.ndarray, long: int =
     block = np.repeat(np.arange(len(blocks)), np.diff(cuts))
     every = covered(cuts[-1], begins, long)
     within = covered(cuts[-1], begins[block[begins] == block[begins + long - 1]], long)
-    likely, kept = [], []
+    likely, kept = {OPEN: [], NAMED: []}, {OPEN: [], NAMED: []}
     for (role, text, links), own, a, b in zip(blocks, words, cuts[:-1], cuts[1:], strict=True):
-        if role == OPEN and links <= LINKS:
-            likely.append(text)
+        if role in kept and links <= LINKS:
+            likely[role].append(text)
             flag = every[a:b] if every[a:b].mean() >= COVERED else within[a:b]
             stays = [w for w, f in zip(own, flag, strict=True) if not f]
             if stays:
-                kept.append(" ".join(stays))
-    return "\n".join(kept or likely)
+                kept[role].append(" ".join(stays))
+    return "\n".join(kept[OPEN] or likely[OPEN] or kept[NAMED] or likely[NAMED])
 
 
 _EVIDENCE = "row bigint, page_id bigint, url string, host string, main boolean, roles array<int>, texts array<string>, links array<double>"

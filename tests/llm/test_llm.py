@@ -93,6 +93,20 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [("<div class='page with-sidebar'><article><p>Text</p></article></div>", "Text"), ("<article class='post comments-open'><p>Text</p></article>", "Text"),
+     ("<article class='comment'><p>Text</p></article>", "Text"), ("<article><header><h1>Title</h1><p>by me</p></header><p>Text</p></article>", "Title\nText"),
+     ("<header><h1>Site</h1></header><article>Text</article><div id='comments'><article>no</article></div>", "Text"), ("<main><article>Text</article><article class='comment'>no</article></main>", "Text"),
+     ("<div class='with-sidebar'><p>Text</p><nav>no</nav></div>", "Text"), ("<div class='with-sidebar'><p>no</p></div><p>Text</p>", "Text"), ("<div class='sidebar'><main>Text<div class='share'>no</div></main></div>", "Text"),
+     ("<div class='sidebar' hidden><article>no</article></div>", ""), ("<article><div class='ad'><h2>no</h2></div>Text</article>", "Text")],
+)
+def test_pages_names_are_weak_evidence(spark, page, text):
+    blocks = pages.blocks_of(page)
+    got = "\n".join(t for r, t, _ in blocks if r == pages.MAIN) if pages.has_main(blocks) else pages.choose(blocks, np.zeros(0, np.int64))
+    assert got == text
+
+
 def test_pages_host_counts_are_merged(spark):
     """A section's menu on 100 of a host's 1,000 pages goes, what is unique in its block stays, and so does what stands on too few pages."""
     menu, rare = "Local Council Roads Schools Parks Police Courts Weather Notices", "these nine words stand on only five pages here"
