@@ -39,11 +39,18 @@ def write_manifest(files: DataFrame, path: str) -> DataFrame:
     return reconcile.totals(files.sparkSession.read.parquet(path))
 
 
-def report(results: DataFrame, instances: DataFrame) -> str:
-    """A short text with the verdict table, all verdicts in it, and what is not OK. Reads a few rows of counts."""
+def report(results: DataFrame, instances: DataFrame, path: str | None = None) -> str:
+    """A short text with the verdict table, all verdicts in it, and what is not OK, all of it in order of verdict and instance.
+
+    With a path that list is written there as a table and the text says how many there are and where; without one it is in the text.
+    """
     counts = {r["verdict"]: r["n"] for r in grading.histogram(results.select("verdict")).collect()}
     span = grading.coverage(instances, results).first()
-    bad = grading.not_ok(results).limit(1000).collect()
+    bad = grading.not_ok(results)
     rows = "\n".join(f"| {v} | {counts[v]} |" for v in grading.VERDICTS)
-    listed = "\n".join(f"- {r['verdict']} {r['inst']}" for r in bad) or "none"
+    if path is None:
+        listed = "\n".join(f"- {r['verdict']} {r['inst']}" for r in bad.toLocalIterator()) or "none"
+    else:
+        bad.write.mode("overwrite").parquet(path)
+        listed = f"{results.sparkSession.read.parquet(path).count()} not OK, listed in {path}"
     return f"# Verification\n\n{span['verified']} of {span['total']} instances, {span['first'] or '-'} to {span['last'] or '-'}\n\n| verdict | n |\n| --- | --- |\n{rows}\n\n{listed}\n"

@@ -80,6 +80,17 @@ def test_report(spark):
     assert "| GOLDEN_FAIL | 0 |" in text and "- ERROR b" in text and "1 to 3" in text and grading.VERDICTS
 
 
+def test_report_lists_all(spark, tmp_path):
+    kinds = ["OK", "ERROR", "GOLDEN_FAIL"]
+    r = spark.createDataFrame([(f"i{i:04}", kinds[i % 3], "1", "2") for i in range(3600)], "inst string, verdict string, started_at string, finished_at string")
+    want = [f"- {v} i{i:04}" for v in kinds[1:] for i in range(3600) if kinds[i % 3] == v]
+    assert [x for x in sinks.report(r, r).splitlines() if x.startswith("- ")] == want
+    path = str(tmp_path / "not_ok")
+    text = sinks.report(r, r, path)
+    assert f"2400 not OK, listed in {path}" in text and "- ERROR" not in text
+    assert sorted(f"- {x.verdict} {x.inst}" for x in spark.read.parquet(path).collect()) == want
+
+
 def test_artifacts(spark):
     f = spark.createDataFrame([(1, "a", "k/a", True), (1, "b", "k/b", False)], "run int, name string, key string, exists boolean")
     assert sinks.artifact_keys(f, ["run"]).first().artifact_keys == {"a": "k/a"}
