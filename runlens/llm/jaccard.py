@@ -343,8 +343,8 @@ def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, sh
     return materialise(spark, done)
 
 
-def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def _linked(docs: DataFrame, words: int, share: int) -> DataFrame:
+    """As `link`, with fp, the name of the row's set."""
     spark = docs.sparkSession
     sketch = materialise(spark, _sketch(docs, words, share))
     full = sketch.where("n > 0")
@@ -396,16 +396,38 @@ def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     smallest = materialise(spark, classes.groupBy("root").agg(F.min("least").alias("component_id")))
     named = materialise(spark, classes.join(smallest, "root").select("fp", "component_id"))
     out = sketch.select("doc_id", "n", "fp").join(named, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "fp")
+
+
+def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    return _linked(docs, words, share).drop("fp")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """Of each component the row of its smallest doc_id stays, columns as they were; rows of null id or without words stay."""
+    """Of each component the row of its smallest doc_id stays, columns as they were; rows of null id or without words stay.
+
+    Where rows of different texts share an id, only those go whose own text has a copy of smaller id.
+    """
     spark = docs.sparkSession
     held = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    goes = materialise(spark, link(docs, words, share).where("doc_id <> component_id").select("doc_id").distinct())
+    goes = materialise(spark, _linked(docs, words, share).where("doc_id <> component_id").select("doc_id", "fp").distinct())
     twice = materialise(spark, docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(held(goes), "doc_id", "left_anti")
-    if not twice.isEmpty():  # repeated rows
-        kept = kept.join(held(twice), "doc_id", "left_anti").unionByName(kept.join(held(twice), "doc_id", "left_semi").dropDuplicates())
+    single = goes.select("doc_id").distinct()
+    repeated = not twice.isEmpty()
+    kept = docs.join(held(single.join(twice, "doc_id", "left_anti") if repeated else single), "doc_id", "left_anti")
+    if repeated:
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                col = texts_of(batch.column("text"))
+                fp = [names_of(*sets_of(col.slice(i, j - i), words)).view(np.int64) for i, j in runs_of(col)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(np.concatenate(fp) if fp else np.zeros(0, np.int64))], ["row", "id", "fp"])
+
+        again = kept.join(held(twice), "doc_id", "left_semi").dropDuplicates()
+        again = again.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("id"), "text")
+        again = again.mapInArrow(named, T.StructType([again.schema["row"], T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())]))
+        again = again.join(held(goes.withColumnRenamed("doc_id", "id")), ["id", "fp"], "left_anti")
+        kept = kept.join(held(twice), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+        kept = kept.unionByName(again.select(*(F.col(f"row.`{c}`") for c in docs.columns)))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

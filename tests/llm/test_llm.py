@@ -368,6 +368,15 @@ def test_jaccard_odd_rows(spark, odd):
     assert jaccard.link(odd.limit(0)).count() == 0 and jaccard.keep_one(odd.limit(0)).count() == 0
 
 
+def test_jaccard_keeps_texts_of_their_own(spark):
+    """Id 7 stands on a copy of row 1 and on a text that has no copy: only the copy goes."""
+    copy, own, other = "a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z aa bb cc dd"
+    rows = [(1, copy, "p"), (7, copy, "q"), (7, own, "r"), (7, own, "r"), (8, other, "s"), (9, other, "t"), (9, "", "u"), (None, own, "v")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, extra string")
+    got = sorted((tuple(r) for r in jaccard.keep_one(df).collect()), key=repr)
+    assert got == sorted([(1, copy, "p"), (7, own, "r"), (8, other, "s"), (9, "", "u"), (None, own, "v")], key=repr)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(5)
     for n in (3, 200, 900, 3000, 20_000):
