@@ -5,8 +5,8 @@ of each filter over a window feeds a softmax, and the windows' probabilities are
 A filter's response is a sum of table entries, one for each byte or pair of bytes it covers, so that applying the
 network is a few table look-ups per byte, batched over many windows.
 
-Learning takes a bounded sample: about `per_lang` documents of each language, chosen by a hash, of at most
-`sample_chars` characters each, and never those whose crc32(doc_id as text) mod 4 is 2 or whose lang is null.
+Learning takes a bounded sample of every language: about `per_lang` documents of each, beyond LANGUAGES languages fewer in
+proportion but one at least, chosen by a hash, of at most `sample_chars` characters each, and never those whose crc32(doc_id as text) mod 4 is 2 or whose lang is null.
 
 Defined results: null texts and texts without letters are `und` with score 0; so is everything when there is nothing to
 learn from; repeated documents each get their row; ties go to the language that sorts first; rows of null doc_id count
@@ -27,11 +27,13 @@ from pyspark.sql import types as T
 
 from runlens.llm.spans import LOWER, buffer_of, runs_of, texts_of
 from runlens.llm.toxicity import held_out
+from runlens.session import materialise
 
 WINDOW = 128  # bytes
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 PER_LANG, SAMPLE_CHARS, LANGUAGES = 500, 20_000, 200
+BROADCAST_ROWS = 1_000_000
 NONE = "und"
 CLASSES = 64
 _RUN = 1 << 18  # bytes taken through the network at once
@@ -129,7 +131,8 @@ def train_network(texts: list[str], langs: list[str], epochs: int = 6, per_text:
     order = order[np.argsort(owner[order], kind="stable")]
     rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
     keep = np.sort(order[(rank < per_text) & (letters[order] > 0)])
-    x, y = x[keep], np.array([names.index(v) for v in langs])[owner[keep]]
+    number = {v: i for i, v in enumerate(names)}
+    x, y = x[keep], np.array([number[v] for v in langs])[owner[keep]]
     weight = len(y) / (len(names) * np.maximum(np.bincount(y, minlength=len(names)), 1))
     total = FILTERS * len(WIDTHS)
     net = Network(names, [rng.normal(0, 0.3, (w, CLASSES, FILTERS)) for w in WIDTHS], np.zeros(total), rng.normal(0, 0.1, (total, len(names))), np.zeros(len(names)))
@@ -197,15 +200,23 @@ class Predictor:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, sample_chars: int = SAMPLE_CHARS) -> Network | None:
-    """Learn from about per_lang documents of each of at most LANGUAGES languages, chosen by a hash of doc_id and text."""
+    """Learn from about per_lang documents of each language, fewer of each beyond LANGUAGES languages, chosen by a hash of doc_id and text."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    fits = F.length("text").between(1, sample_chars)
+    hash_ = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+    counts = known.groupBy("lang").agg(F.count("*").alias("_n"), F.min(F.when(fits, hash_)).alias("_least"))
+    counts = materialise(docs.sparkSession, counts)
+    languages = counts.count()
+    if not languages:
         return None
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / r["count"]))))
-    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(F.length("text").between(1, sample_chars) & (u < share[F.col("lang")]))
-    got = rows.select("doc_id", "text", "lang").toArrow().to_pandas().sort_values(["doc_id", "text", "lang"], kind="stable")
+    each = per_lang * min(1.0, LANGUAGES / languages)
+    share, u = F.least(F.lit(1.0), F.lit(each) / F.col("_n")), lambda h: h / float(1 << 20)
+    held = lambda df: F.broadcast(df) if languages <= BROADCAST_ROWS else df
+    rows = known.join(held(counts), "lang").where(fits & (u(hash_) < share)).select("doc_id", "text", "lang")
+    missed = counts.where(u(F.col("_least")) >= share)  # languages of which the share takes nothing: one document each
+    if not missed.isEmpty():
+        rows = rows.unionByName(known.join(held(missed), "lang").where(fits & (hash_ == F.col("_least"))).select("doc_id", "text", "lang").dropDuplicates(["lang"]))
+    got = rows.toArrow().to_pandas().sort_values(["doc_id", "text", "lang"], kind="stable")
     return train_network(got["text"].tolist(), got["lang"].tolist())
 
 

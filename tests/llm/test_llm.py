@@ -62,6 +62,17 @@ def test_language_whole_text():
     assert names == ["fr"]
 
 
+def test_language_learns_every_label(spark, monkeypatch):
+    """Beyond LANGUAGES labels the sample of each shrinks, but none is left out, not even one that the share would miss."""
+    rows = [(i, f"text number {i} of many", f"l{i % 50}") for i in range(4000)] + [(9000 + k, "the rarest of all", "z") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "train_network", lambda texts, langs: langs)
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    for per_lang in (100, 1):
+        got = Counter(langid.train(df, per_lang))
+        assert set(got) == {r[2] for r in rows} and sum(got.values()) < 2 * max(5 * per_lang, 51)
+
+
 # 2 lines
 
 
