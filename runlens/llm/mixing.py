@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 BLOCK = 8  # documents
 UNITS = 20  # of the largest source when weights are drawn from sizes
 BUCKET_ROWS = 1000
+BROADCAST_SOURCES = 10_000  # more are joined by shuffle
 
 
 def weights_by_size(docs: DataFrame) -> DataFrame:
@@ -86,8 +87,10 @@ def schedule(docs: DataFrame, weights: dict[str | None, int] | None = None, bloc
     ranked = ranked.withColumns({"block": F.floor(F.col("_rank") / block), "place": F.col("_rank") % block})
     plan = turns.select(F.col("key").alias("_key"), F.col("units").alias("_units"), F.col("total").alias("_total"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot"))
     counts = turns.select(F.col("key").alias("_key"), F.col("units").alias("_u")).distinct()
-    # at most UNITS rows for each source, whatever the number of documents
-    placed = ranked.join(F.broadcast(counts), "_key").withColumn("_turn", F.col("block") % F.col("_u")).join(F.broadcast(plan), ["_key", "_turn"])
+    # a row for each unit of each source, whatever the number of documents
+    few = (units.agg(F.sum("units")).first()[0] or 0) <= UNITS * BROADCAST_SOURCES
+    held = F.broadcast if few else lambda df: df
+    placed = ranked.join(held(counts), "_key").withColumn("_turn", F.col("block") % F.col("_u")).join(held(plan), ["_key", "_turn"])
     whole = lambda c: c.cast("bigint")
     placed = placed.withColumns({
         "release": whole(F.floor(F.col("block") * F.col("_total") / F.col("_units"))),

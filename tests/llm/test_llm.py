@@ -239,6 +239,13 @@ def test_mixing_keeps_rows_and_order(spark, odd):
     assert mixing.schedule(odd.limit(0)).count() == 0
 
 
+def test_mixing_beyond_the_broadcast(spark, docs, monkeypatch):
+    want = sorted(map(tuple, mixing.schedule(docs.select("doc_id", "source")).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    got = mixing.schedule(docs.select("doc_id", "source"))
+    assert "ResolvedHint" not in (plan := got._jdf.queryExecution().analyzed().toString()) and "broadcast" not in plan and sorted(map(tuple, got.collect())) == want
+
+
 def test_mixing_is_native(spark):
     plan = queries.op5_source_mixing(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
