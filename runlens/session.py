@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -32,10 +33,15 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a checkout; clusters ship it with --py-files."""
+    """Let Python workers import this package when it is run from a checkout; clusters ship it with --py-files.
+
+    Also bounds what goes to them at once by bytes: ten thousand rows of long texts would be more than a worker should hold.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, env.get("PYTHONPATH")) if p)
+    if int(spark.conf.get(BATCH_CONF, str(BATCH_BYTES + 1))) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is made and kept for the session.
+    Where the setting is absent a local session gets a temporary folder, kept for the session; a cluster has to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(spark, "_runlens_dir", None) or tempfile.mkdtemp(prefix="runlens-")
         spark._runlens_dir = base
     return f"{base.rstrip('/')}/runlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -58,4 +66,13 @@ def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cut lineage with a written table in the shared folder: it outlives the executors that wrote it."""
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._runlens_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `materialise` wrote and that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._runlens_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
