@@ -4,18 +4,22 @@ Words are maximal runs of ASCII digits, ASCII letters and non-ASCII characters a
 holds every word string of every item; a training text is streamed through it and the longest match ending at each
 word is tracked. Where that match reaches `window` words, those words are hit; an item of fewer words is a window as a
 whole. Only stretches whose neighbouring word pairs all occur in the benchmark are streamed: no window can lie elsewhere.
+Pairs are told by hash, which may stream too much; what is streamed is told by bytes: a word is one of the automaton's
+only if all its bytes agree.
 
 Defined results: null or empty texts have no words and are never contaminated; items without words or without id take
 no part; items that share an id count as one; repeated documents are each measured; extra columns pass through.
 
-The items are read in shards of `shard_chars` characters, each broadcast and each with an automaton of its own, one
-after the other over the same rows: a benchmark of any size takes bounded memory and no shuffle.
+The items are read in shards of `shard_chars` characters, each broadcast and each with an automaton of its own (about 300
+bytes for each distinct word string that may go on differently, some 100 MB a shard), one after the other over the same
+rows, which are written between two shards: whatever the benchmark's size, one automaton and one broadcast are held at a
+time, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.spans import LOWER, HashTable, buffer_of, byte_class, find_words, hash_spans, mix, runs_of, texts_of
+from runlens.llm.spans import LOWER, HashTable, WordTable, buffer_of, byte_class, find_words, hash_spans, mix, runs_of, texts_of
+from runlens.session import materialise
 
 WINDOW = 13
 WORD = byte_class("0123456789abcdefghijklmnopqrstuvwxyz")
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 1_000_000
 COVERAGE = 20  # contaminated: n_hit * COVERAGE >= n_words
 
 
@@ -46,11 +51,16 @@ class Automaton:
         buf, at = buffer_of(col)
         buf = LOWER[buf]
         starts, ends, first = find_words(buf, at, WORD)
-        hashes = hash_spans(buf, starts, ends)
-        known = np.unique(hashes)
-        self.vocab = HashTable()
-        self.vocab.add(known, np.arange(len(known)))
-        ids = self.vocab.find(hashes)
+        self.seed = 0
+        while True:  # until no two words of the items share a hash
+            hashes = hash_spans(buf, starts, ends, self.seed)
+            known, spot = np.unique(hashes, return_index=True)
+            self.vocab = WordTable()
+            self.vocab.add(buf, starts[spot], ends[spot], known)
+            ids = self.vocab.find(buf, starts, ends, hashes)
+            if (ids >= 0).all():
+                break
+            self.seed += 1
         texts = [(name, ids[a:b].tolist()) for (name, _), a, b in zip(items, first[:-1], first[1:], strict=True) if b > a]
         self.least = min([window, *(len(x) for _, x in texts)])
         inner = np.ones(max(len(hashes) - 1, 0), bool)
@@ -140,13 +150,13 @@ class Automaton:
                             yield i - n, i, self.short[s, n]
                     s = self.link[s]
 
-    def match(self, h: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged ranges of hit words of a text, and the items found."""
+    def match(self, h: np.ndarray, ids: Callable[[int, int], list[int]]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Merged ranges of hit words of a text, given its words' hashes, and the items found; ids(a, b): what the words a to b are in the vocabulary."""
         n, spans, found = len(h), [], set()
         if n < self.least:
             return spans, found
         if self.least == 1:
-            ok = self.vocab.find(h) >= 0
+            ok = self.vocab.has(h)
             edge = np.flatnonzero(np.diff(np.concatenate(([False], ok, [False]))))
             runs = edge.reshape(-1, 2)
         else:
@@ -154,7 +164,7 @@ class Automaton:
             edge = np.flatnonzero(np.diff(np.concatenate(([False], ok, [False]))))
             runs = edge.reshape(-1, 2) + [0, 1]
         for a, b in runs[runs[:, 1] - runs[:, 0] >= self.least].tolist():
-            for x, y, names in self.scan(self.vocab.find(h[a:b]).tolist(), a):
+            for x, y, names in self.scan(ids(a, b), a):
                 found |= names
                 while spans and x <= spans[-1][1]:
                     x0, y0 = spans.pop()
@@ -224,11 +234,11 @@ def _scanner(held, window: int, text: str, cut: bool):
                 buf, at = buffer_of(part)
                 buf = LOWER[buf]
                 starts, ends, first = find_words(buf, at, WORD)
-                h = hash_spans(buf, starts, ends)
+                h = hash_spans(buf, starts, ends, auto.seed)
                 n_words[i:j] = np.diff(first)
                 for k in range(j - i):
                     a, b = first[k], first[k + 1]
-                    spans, found = auto.match(h[a:b])
+                    spans, found = auto.match(h[a:b], lambda x, y, a=a: auto.vocab.find(buf, starts[a + x : a + y], ends[a + x : a + y], h[a + x : a + y]).tolist())
                     if found:
                         before_spans[i + k] = _merge([*((x["a"], x["b"]) for x in before_spans[i + k]), *spans])
                         before_items[i + k] = sorted({*before_items[i + k], *found})
@@ -245,11 +255,15 @@ def _scanner(held, window: int, text: str, cut: bool):
 
 def matched(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int = WINDOW, shard_chars: int = SHARD_CHARS, text: str = "text", cut: bool = False) -> DataFrame:
     """(row, state): the given columns of each document as a struct, and its words, hit ranges and items."""
-    sc = docs.sparkSession.sparkContext
+    spark, before = docs.sparkSession, None
     none = F.struct(F.lit(0).cast("bigint").alias("n_words"), F.array().cast(_STATE["spans"].dataType).alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("string").alias("cut"))
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), none.alias("state"))
     for items in _shards(benchmark, shard_chars):
-        df = df.mapInArrow(_scanner(sc.broadcast(items), window, text, cut), T.StructType([df.schema["row"], T.StructField("state", _STATE)]))
+        if before is not None:
+            df = materialise(spark, df)
+            before.unpersist()
+        before = spark.sparkContext.broadcast(items)
+        df = df.mapInArrow(_scanner(before, window, text, cut), T.StructType([df.schema["row"], T.StructField("state", _STATE)]))
     return df
 
 

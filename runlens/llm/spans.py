@@ -1,7 +1,8 @@
-"""Words of a column of texts as arrays: byte classes find them, polynomial hashes name them.
+"""Words of a column of texts as arrays: byte classes find them, hashes name them, their bytes decide.
 
 All of it works on the UTF-8 buffer of an Arrow column, so that no Python loop runs over words. Texts are
-taken in runs of about CHUNK bytes, which bounds memory however many rows a batch has.
+taken in runs of about CHUNK bytes, which bounds memory however many rows a batch has; a longer text stands alone and
+takes about 20 times its bytes while it is worked on.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-CHUNK = 2_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+CHUNK = 1 << 19
+FAR = 256  # bytes; what is longer is hashed and compared one by one
+CLASH = -2  # a word whose hash another word holds
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: dict[str, np.ndarray] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,7 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -42,17 +44,6 @@ def byte_class(inside: str | None = None, outside: str = "", above: bool = True)
     return out
 
 
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK + 1), base, np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if n <= 4 * CHUNK:
-            _powers[kind] = have
-    return have[:n]
-
-
 def texts_of(col: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     """Nulls become empty texts."""
     if isinstance(col, pa.ChunkedArray):
@@ -97,13 +88,50 @@ def find_words(buf: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, at)
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for the bytes of each span."""
-    n = len(buf)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _power("up", _BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * _power("down", _BASE_INV, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """From every place the eight bytes that follow, as one number; zeros stand past the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash for the bytes of each span.
+
+    Eight bytes at a time are taken in and mixed by a bijection: words of equal size up to eight bytes never share a hash.
+    """
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * _STEP + np.uint64(seed))
+    if not len(size):
+        return h
+    view = _eights(buf)
+    h = mix(h ^ (view[starts] & _FIRST[np.minimum(size, 8)]))
+    more, done = np.flatnonzero((size > 8) & (size <= FAR)), 8
+    while len(more):
+        h[more] = mix((h[more] * _STEP) ^ (view[starts[more] + done] & _FIRST[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > FAR).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed)
+    return h
+
+
+def same_bytes(one: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of two buffers hold the same bytes; `at` and `there` are where they start, `size` is how long both are."""
+    out = np.ones(len(size), bool)
+    if not len(size):
+        return out
+    a, b = _eights(one), _eights(other)
+    left, done = np.flatnonzero(size <= FAR), 0
+    while len(left):
+        mask = _FIRST[np.minimum(size[left] - done, 8)]
+        same = (a[at[left] + done] & mask) == (b[there[left] + done] & mask)
+        out[left[~same]] = False
+        done += 8
+        left = left[same & (size[left] > done)]
+    for i in np.flatnonzero(size > FAR).tolist():
+        out[i] = one[at[i] : at[i] + size[i]].tobytes() == other[there[i] : there[i] + size[i]].tobytes()
+    return out
 
 
 def word_hashes(buf: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,13 +148,13 @@ class HashTable:
         self._clear()
 
     def _clear(self) -> None:
-        self._keys, self._vals = np.zeros(1 << self._bits, np.uint64), np.full(1 << self._bits, -1, np.int64)
+        self._keys, self._vals = np.zeros(1 << self._bits, np.uint64), np.full(1 << self._bits, -1, np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The value of each hash, -1 where there is none."""
         mask = np.uint64((1 << self._bits) - 1)
         slot = (h & mask).astype(np.int64)
-        out = self._vals[slot]
+        out = self._vals[slot].astype(np.int64)
         open_ = np.flatnonzero((out >= 0) & (self._keys[slot] != h))
         slot = slot[open_]
         while len(open_):
@@ -161,3 +189,41 @@ class HashTable:
             self._keys[slot[won]], self._vals[slot[won]] = h[won], vals[won]
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = np.where(self._vals[slot[left]] >= 0, (slot[left] + 1) & mask, slot[left])
+
+
+class WordTable:
+    """From byte strings to the numbers 0, 1, 2 ... in the order they are added. A hash finds an entry, its bytes must agree."""
+
+    def __init__(self) -> None:
+        self.n, self._used = 0, 0
+        self._table, self._flat = HashTable(), np.zeros(1 << 12, np.uint8)
+        self._at, self._size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+
+    def find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where there is none, CLASH where another word has its hash."""
+        k = self._table.find(h)
+        hit = np.flatnonzero(k >= 0)
+        entry, size = k[hit], (ends - starts)[hit]
+        same = self._size[entry] == size
+        far = np.flatnonzero(same & (size > 8))  # shorter words of one size and hash are equal
+        same[far] = same_bytes(buf, starts[hit[far]], self._flat, self._at[entry[far]], size[far])
+        k[hit[~same]] = CLASH
+        return k
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Whether some word has this hash."""
+        return self._table.find(h) >= 0
+
+    def add(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
+        """New words with distinct hashes."""
+        size = ends - starts
+        total, n = int(size.sum()), self.n + len(h)
+        while self._used + total > len(self._flat):
+            self._flat = np.concatenate((self._flat, np.zeros_like(self._flat)))
+        while n > len(self._at):
+            self._at, self._size = (np.concatenate((x, np.zeros_like(x))) for x in (self._at, self._size))
+        at = np.cumsum(size) - size
+        self._flat[self._used : self._used + total] = buf[np.arange(total) + np.repeat(starts - at, size)]
+        self._at[self.n : n], self._size[self.n : n] = self._used + at, size
+        self._table.add(h, np.arange(self.n, n))
+        self._used, self.n = self._used + total, n

@@ -3,7 +3,8 @@
 A pre-token is a run of other than white space with the blank before it. Its best segmentation maximises the sum of its
 pieces' scores, and the best score of a prefix depends on that prefix alone: the distinct pre-tokens of a stretch of
 texts go into a trie, level by level, and each node - each shared prefix - is scored once, as the best of its ancestors'
-scores plus that of the piece between. The node where a pre-token ends holds its count, which the worker remembers.
+scores plus that of the piece between. The node where a pre-token ends holds its count, which the worker remembers and
+uses again where the bytes agree.
 
 Pieces and their order come from a public vocabulary file, whose path is a parameter; the score of a piece is
 -log(rank + 2), rank being its place in the file. A byte that no piece covers counts as one token at UNKNOWN. Ties go to
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.spans import HashTable, buffer_of, byte_class, find_words, hash_spans, runs_of, texts_of
+from runlens.llm.spans import CLASH, WordTable, buffer_of, byte_class, find_words, hash_spans, runs_of, texts_of
 
 UNKNOWN = -25.0
 LONG = 96  # bytes
-KEPT = 1_500_000  # pre-tokens a worker remembers; beyond that it starts anew
+KEPT = 300_000  # pre-tokens a worker remembers; beyond that it starts anew
 _WORD = byte_class(outside=" \t\n\r\f\v")
 
 
@@ -63,7 +64,7 @@ class Counter:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.counts, self.n = HashTable(16), np.zeros(1 << 16, np.int64), 0
+        self.known, self.counts = WordTable(), np.zeros(1 << 16, np.int64)
 
     def _link(self) -> None:
         """For every state of a text's end (its longest ending that begins a piece): the next state by byte, and the pieces that end there, longest first."""
@@ -132,17 +133,20 @@ class Counter:
             buf, at = buffer_of(col.slice(i, j - i))
             starts, ends, first = find_words(buf, at, _WORD)
             h = hash_spans(buf, starts, ends)
-            k = self.known.find(h)
-            if (k < 0).any():
-                if self.n + int((k < 0).sum()) > KEPT:
+            k = self.known.find(buf, starts, ends, h)
+            new = np.flatnonzero(k == -1)
+            if len(new):
+                if self.known.n + len(new) > KEPT:
                     self._forget()
-                    k = np.full(len(h), -1)
-                names, spot = np.unique(h[k < 0], return_index=True)
-                spot = np.flatnonzero(k < 0)[spot]
-                self._learn(names, buf, starts[spot], ends[spot])
-                k = self.known.find(h)
+                    new = np.arange(len(h))
+                names, spot = np.unique(h[new], return_index=True)
+                self._learn(names, buf, starts[new[spot]], ends[new[spot]])
+                k = self.known.find(buf, starts, ends, h)
+            count = self.counts[np.maximum(k, 0)]
+            for x in np.flatnonzero(k == CLASH).tolist():  # its hash belongs to another pre-token
+                count[x] = count_one(b" " + buf[starts[x] : ends[x]].tobytes(), self.pieces, self.longest)
             total = np.zeros(len(k) + 1, np.int64)
-            np.cumsum(self.counts[k], out=total[1:])
+            np.cumsum(count, out=total[1:])
             tokens[i:j], words[i:j] = total[first[1:]] - total[first[:-1]], np.diff(first)
         return tokens, words
 
@@ -159,11 +163,11 @@ class Counter:
         counts[short] = self.trie(flat, at[:-1][short], at[1:][short])
         for k in np.flatnonzero(size >= LONG).tolist():
             counts[k] = count_one(flat[at[k] : at[k + 1]].tobytes(), self.pieces, self.longest)
-        while self.n + len(names) > len(self.counts):
+        n = self.known.n
+        while n + len(names) > len(self.counts):
             self.counts = np.concatenate((self.counts, np.zeros_like(self.counts)))
-        self.counts[self.n : self.n + len(names)] = counts
-        self.known.add(names, np.arange(self.n, self.n + len(names)))
-        self.n += len(names)
+        self.counts[n : n + len(names)] = counts
+        self.known.add(buf, starts, ends, names)
 
 
 _counters: dict[str, Counter] = {}

@@ -11,7 +11,8 @@ Spark's committer writes the folder, so lost executors cost a retry and any file
 shuffle; each task tokenizes, compresses and packs its range in order, holding one pack at a time.
 
 Tokenizing: a text's ids are the ids of its pre-tokens in a row. Pre-tokens are found and hashed for a whole batch at
-once; each worker asks the tokenizers library for every distinct pre-token it meets and keeps the answer.
+once; each worker asks the tokenizers library for every distinct pre-token it meets and keeps the answer, which is used
+again only where the bytes agree.
 
 Defined results: a null text counts as empty and holds the end id alone; repeated rows are written again; documents of
 null id come first; ties of the order go by a hash of the text; an empty table gives an empty folder of packs.
@@ -26,30 +27,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.spans import CHUNK, HashTable, buffer_of, mix, runs_of, texts_of
+from runlens.llm.spans import CLASH, WordTable, buffer_of, hash_spans, runs_of, texts_of
 
 END_ID = 0
 PACK_BYTES, PACK_DOCS = 1_000_000, 4096
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 32_768
-CACHE = 1_500_000  # distinct pre-tokens a worker keeps; beyond that it starts anew
+CACHE = 300_000  # distinct pre-tokens a worker keeps; beyond that it starts anew
 
 PACKS = "shard int, pack int, first_token bigint, tokens bigint, dict_hash string, width int, doc_ids array<bigint>, n_tokens array<bigint>, frame_ends array<bigint>, blob binary"
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _kinds: list[np.ndarray] = []
-_BASE = np.uint64(0xA0761D6478BD642F)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPECIAL_SPACE = {0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")  # fixed values: what may follow an apostrophe in a pre-token of its own
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: kind and hash; by place: powers up and down."""
+def _kind() -> np.ndarray:
+    """The kind of each code point."""
     if not _kinds:
         kind = np.full(0x110000, _OTHER, np.uint8)
         for c in range(0x110000):
@@ -59,10 +59,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             elif k == "N":
                 kind[c] = _NUMBER
         kind[list(_SPECIAL_SPACE)] = _SPACE
-        up, down = (np.full(CHUNK + 1, b, np.uint64) for b in (_BASE, _BASE_INV))
-        up[0] = down[0] = 1
-        _kinds.extend([kind, mix(np.arange(1, 0x110001, dtype=np.uint64)), np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)])
-    return tuple(_kinds)
+        _kinds.append(kind)
+    return _kinds[0]
 
 
 def pre_tokens(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +72,7 @@ def pre_tokens(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(points)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = _tables()[0][points]
+    kind = _kind()[points]
     change = np.empty(n, bool)
     change[0] = True
     change[1:] = kind[1:] != kind[:-1]
@@ -126,14 +124,15 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.table, self.flat, self.used = HashTable(16), np.zeros(1 << 16, np.uint32), 0
+        self.words, self.flat, self.used = WordTable(), np.zeros(1 << 16, np.uint32), 0
         self.off, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+    def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        words = [buf[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
-        n, m = self.table.n, self.table.n + len(words)
+        n, m = self.words.n, self.words.n + len(words)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while m > len(self.off):
@@ -141,45 +140,50 @@ class Encoder:
         self.flat[self.used : self.used + len(flat)] = flat
         self.off[n:m], self.size[n:m] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(flat)
-        self.table.add(hashes, np.arange(n, m))
-
-    def _simple(self, texts: list[str]) -> list[np.ndarray]:
-        whole = "".join(texts)
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        at = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(t) for t in texts], out=at[1:])
-        starts, ends = pre_tokens(points, at)
-        _, code, up, down = _tables()
-        n = len(points)
-        if n >= len(up):
-            up, down = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(n + 1, b, np.uint64), dtype=np.uint64))) for b in (_BASE, _BASE_INV))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(code[points] * up[:n], out=total[1:])
-        h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        k = self.table.find(h)
-        new = np.flatnonzero(k < 0)
+        self.words.add(buf, starts, ends, hashes)
+
+    def _places(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pre-tokens, in bytes."""
+        lead = (buf & 0xC0) != 0x80
+        if lead.all() and (buf < 128).all():
+            return pre_tokens(buf, at)
+        byte = np.append(np.flatnonzero(lead), len(buf))  # of each character
+        upto = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(lead, out=upto[1:])
+        starts, ends = pre_tokens(np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32), upto[at])
+        return byte[starts], byte[ends]
+
+    def _by_words(self, col: pa.LargeStringArray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of each text, and the texts that hold a pre-token whose hash another one has: their ids are not to be used."""
+        buf, at = buffer_of(col)
+        starts, ends = self._places(buf, at)
+        h = hash_spans(buf, starts, ends)
+        k = self.words.find(buf, starts, ends, h)
+        new = np.flatnonzero(k == -1)
         if len(new):
-            if self.table.n + len(new) > CACHE:
+            if self.words.n + len(new) > CACHE:
                 self._forget()
                 new = np.arange(len(h))
             names, first = np.unique(h[new], return_index=True)
             spot = new[first]
-            self._learn([whole[a:b] for a, b in zip(starts[spot].tolist(), ends[spot].tolist(), strict=True)], names)
-            k = self.table.find(h)
+            self._learn(buf, starts[spot], ends[spot], names)
+            k = self.words.find(buf, starts, ends, h)
+        bad = np.unique(np.searchsorted(at, starts[k == CLASH], side="right") - 1)
+        k = np.maximum(k, 0)
         sizes = self.size[k]
         upto = np.zeros(len(k) + 1, np.int64)
         np.cumsum(sizes, out=upto[1:])
         ids = self.flat[np.arange(upto[-1]) + np.repeat(self.off[k] - upto[:-1], sizes)]
         cut = upto[np.searchsorted(starts, at)]
-        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Texts that hold a special token's string go to the library whole."""
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        if not odd:
-            return self._simple(texts)
-        out = self._simple(["" if i in set(odd) else t for i, t in enumerate(texts)])
-        for i, e in zip(odd, self.library.encode_batch([texts[i] for i in odd], add_special_tokens=False), strict=True):
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], bad
+
+    def encode(self, col: pa.LargeStringArray) -> list[np.ndarray]:
+        """Ids of each text. Texts that hold a special token's string go to the library whole."""
+        out, bad = self._by_words(col)
+        whole = set(bad.tolist())
+        for s in self.special:
+            whole |= set(np.flatnonzero(pc.match_substring(col, s).to_numpy(zero_copy_only=False)).tolist())
+        for i, e in zip(whole, self.library.encode_batch([col[i].as_py() for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.uint32)
         return out
 
@@ -205,7 +209,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, docs_bound: int = SAMPLE_D
     rows = short.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
     texts = [r["text"] for r in sorted(rows.collect(), key=lambda r: r["h"])]
     enc = encoder(tokenizer)
-    samples = [_serial(x, enc.width) for x in enc.encode(texts)] if texts else []
+    samples = [_serial(x, enc.width) for x in enc.encode(pa.array(texts, pa.large_string()))] if texts else []
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -237,7 +241,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, order_by: list[Colu
         for batch in batches:
             col, names = texts_of(batch.column("text")), batch.column("doc_id").to_pylist()
             for i, j in runs_of(col):
-                for name, ids in zip(names[i:j], enc.encode(col.slice(i, j - i).to_pylist()), strict=True):
+                for name, ids in zip(names[i:j], enc.encode(col.slice(i, j - i)), strict=True):
                     blob += press.compress(_serial(np.append(ids, np.uint32(end_id)), enc.width))
                     ids_.append(name)
                     sizes.append(len(ids) + 1)
