@@ -17,12 +17,12 @@ there are none). Extra columns of documents pass through where asked for.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,7 @@ THRESHOLD = 0.3
 FOLDS = 3
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word's beginning that can be learned, beside whole words
 LEARNED = 4000
+COUNTED = 1 << 19  # pieces that are counted at once
 COPIES = 8  # hashes that name a document when copies are told
 STRETCH, NEAR = 50, 5  # words
 
@@ -112,23 +113,53 @@ class Lexicon:
         return t
 
 
-def learn_lexicon(pieces: list[np.ndarray], toxic: np.ndarray) -> Lexicon:
-    """pieces: the distinct hashes of each document, ascending. Kept: those clearly likelier in toxic documents.
+def _pieces_by_text(col: pa.LargeStringArray) -> Iterator[np.ndarray]:
+    """The distinct pieces of each text, ascending."""
+    for i, j in runs_of(col):
+        buf, at = buffer_of(col.slice(i, j - i))
+        buf = LOWER[buf]
+        starts, ends, first = find_words(buf, at, _WORD)
+        every = _pieces(buf, starts, ends)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield np.unique(np.concatenate([h[a:b] for h in every]))
 
-    Of documents that share their smallest hashes - copies - one counts for each label. A piece must stand in so many toxic
-    documents that chance alone would hardly give one such piece.
+
+def _once(pieces: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Of texts that share their smallest hashes - copies - one."""
+    seen: set[bytes] = set()
+    for p in pieces:
+        name = p[:COPIES].tobytes()
+        if name not in seen:
+            seen.add(name)
+            yield p
+
+
+def learn_lexicon(col: pa.LargeStringArray, toxic: np.ndarray) -> Lexicon:
+    """Kept: pieces clearly likelier in toxic documents; of copies one counts for each label.
+
+    A piece must stand in so many toxic documents that chance alone would hardly give one such piece. Clean documents are
+    gone through a stretch at a time: only what toxic ones hold is counted in them.
     """
-    seen: dict[tuple[bytes, bool], int] = {}
-    for i, p in enumerate(pieces):
-        seen.setdefault((p[:COPIES].tobytes(), bool(toxic[i])), i)
-    pieces, toxic = [pieces[i] for i in seen.values()], toxic[list(seen.values())]
-    n1 = max(int(toxic.sum()), 1)
-    n0 = max(len(toxic) - n1, 1)
-    some = lambda rows: np.unique(np.concatenate([pieces[i] for i in rows]), return_counts=True) if len(rows) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    names, a = some(np.flatnonzero(toxic))
-    clean, b0 = some(np.flatnonzero(~toxic))
-    k = np.searchsorted(clean, names)
-    b = np.where((k < len(clean)) & (clean[np.minimum(k, max(len(clean) - 1, 0))] == names), b0[np.minimum(k, max(len(clean) - 1, 0))], 0) if len(clean) else np.zeros(len(names), np.int64)
+    some = list(_once(_pieces_by_text(col.filter(pa.array(toxic)))))
+    names, a = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    n1, n0 = max(len(some), 1), 0
+    del some
+    table, b = HashTable(), np.zeros(len(names), np.int64)
+    table.add(names, np.arange(len(names)))
+    held: list[np.ndarray] = []
+
+    def count() -> None:
+        k = table.find(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        b[:] += np.bincount(k[k >= 0], minlength=len(b))[: len(b)]
+        held.clear()
+
+    for p in _once(_pieces_by_text(col.filter(pa.array(~toxic)))):
+        held.append(p)
+        n0 += 1
+        if sum(map(len, held)) >= COUNTED:
+            count()
+    count()
+    n0 = max(n0, 1)
     odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
     share = (a + b) / (n1 + n0)
     z = (a - n1 * share) / np.sqrt(np.maximum(n1 * share * (1 - share), 1e-9))
@@ -327,19 +358,12 @@ class Model:
         return np.clip(np.interp(raw, self.knots, self.shares), 0.0, 1.0)
 
 
-def fit(texts: list[str], toxic: list[int], folds: int = FOLDS) -> Model:
+def fit(texts: list[str] | pa.LargeStringArray, toxic: list[int], folds: int = FOLDS) -> Model:
     """A model from texts and labels in memory (a bounded sample)."""
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return Model(Lexicon(), None, np.zeros(1), np.array([float(y.mean()) if len(y) else 0.0]))
-    col = pa.array(texts, pa.large_string())
-    pieces: list[np.ndarray] = []
-    for i, j in runs_of(col):
-        buf, at = buffer_of(col.slice(i, j - i))
-        buf = LOWER[buf]
-        starts, ends, first = find_words(buf, at, _WORD)
-        every = _pieces(buf, starts, ends)
-        pieces += [np.unique(np.concatenate([h[a:b] for h in every])) for a, b in zip(first[:-1], first[1:], strict=True)]
+    col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     fold = np.zeros(len(y), np.int64)
     for v in (False, True):  # both labels in each fold
         rows = np.flatnonzero(y == v)
@@ -347,13 +371,13 @@ def fit(texts: list[str], toxic: list[int], folds: int = FOLDS) -> Model:
     x = np.zeros((len(y), len(FEATURES)))
     for k in range(folds):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        x[own] = features(col.take(pa.array(own)), learn_lexicon([pieces[i] for i in rest], y[rest]))
+        x[own] = features(col.take(pa.array(own)), learn_lexicon(col.take(pa.array(rest)), y[rest]))
     out = np.zeros(len(y))
     for k in range(folds):
         rest = fold != k
         out[~rest] = boost(x[rest], y[rest].astype(float)).raw(x[~rest])
     knots, shares = isotonic(out, y.astype(float))
-    return Model(learn_lexicon(pieces, y), boost(x, y.astype(float)), knots, shares)
+    return Model(learn_lexicon(col, y), boost(x, y.astype(float)), knots, shares)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
@@ -362,29 +386,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.xxhash64("doc_id").alias("_order"))
     chosen = known.orderBy("_order", "doc_id").limit(sample_docs)
     rows = docs.select("doc_id", F.col("text").alias("_text")).where(F.length("_text") <= sample_chars).join(F.broadcast(chosen), "doc_id")  # at most sample_docs rows
-    got = rows.select("_order", "doc_id", "_text", "_toxic").toArrow().to_pandas().sort_values(["_order", "doc_id", "_text"], kind="stable").drop_duplicates("doc_id")
-    texts, toxic = got["_text"].tolist(), (got["_toxic"] > 0).astype(int).tolist()
-    del got
-    return fit(texts, toxic)
+    got = rows.select("_order", "doc_id", "_text", "_toxic").toArrow().sort_by([(c, "ascending") for c in ("_order", "doc_id", "_text")])
+    ids = got.column("doc_id").to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    toxic = (got.column("_toxic").to_numpy()[first] > 0).astype(int).tolist()
+    return fit(texts_of(got.column("_text").take(pa.array(first))), toxic)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents with `score` (replacing a column of that name), a map over partitions without a shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != "score"]
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """From a text column to its score. Only texts go to Python and only scores come back."""
+    held = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.DoubleType())
+    def toxicity(text: pa.Array) -> pa.Array:
+        return pa.array(held.value.score(texts_of(text)), pa.float64())
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column("row")
-            yield pa.RecordBatch.from_arrays([row, pa.array(held.value.score(texts_of(row.field(text))), pa.float64())], ["row", "score"])
+    return toxicity
 
-    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
-    df = df.mapInArrow(step, T.StructType([df.schema["row"], T.StructField("score", T.DoubleType())]))
-    return df.select(*(F.col(f"row.`{c}`") for c in keep), "score")
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The documents with `score` (replacing a column of that name), without a shuffle."""
+    return docs.drop("score").withColumn("score", scorer(docs.sparkSession, model)(F.col(text)))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Documents whose score is below the threshold, columns as they were."""
-    name = "_toxicity" + "_" * sum(c.startswith("_toxicity") for c in docs.columns)
-    scored = score(docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("_row", F.col("text").alias("text")), model)
-    return scored.withColumnRenamed("score", name).where(F.col(name) < threshold).select(*(F.col(f"_row.`{c}`") for c in docs.columns))
+    return docs.where(scorer(docs.sparkSession, model)(F.col("text")) < threshold)
