@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.session import materialise
+from runlens.session import discard, materialise
 
 
 def components(spark, links: DataFrame) -> DataFrame:
@@ -23,11 +23,14 @@ def components(spark, links: DataFrame) -> DataFrame:
     labels = materialise(spark, edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
     while not edges.isEmpty():
         ends = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialise(spark, ends.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("v")).select("u", F.least("u", "v").alias("p")))
-        jump = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        hook = materialise(spark, hook.join(jump, "p").select("u", F.col("pp").alias("p")))
+        near = materialise(spark, ends.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("v")).select("u", F.least("u", "v").alias("p")))
+        jump = near.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        hook = materialise(spark, near.join(jump, "p").select("u", F.col("pp").alias("p")))
         at = lambda name: hook.select(F.col("u").alias(name), F.col("p").alias(f"{name}_to"))
+        old = (near, hook, labels, edges)
         labels = materialise(spark, labels.join(at("root"), "root", "left").select("node", F.coalesce("root_to", "root").alias("root")))
-        edges = edges.join(at("a"), "a").join(at("b"), "b").where("a_to <> b_to")
-        edges = materialise(spark, edges.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        left = edges.join(at("a"), "a").join(at("b"), "b").where("a_to <> b_to")
+        edges = materialise(spark, left.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        discard(*old)
+    discard(edges)
     return labels

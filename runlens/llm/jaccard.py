@@ -1,31 +1,34 @@
 """Similarity join of documents on word shingles: count vectors, an R-tree over them, and an exact check.
 
 A document's set is its distinct 4-word shingles. Shingles are hashed into groups; the counts by group are a point, and
-the overlap of two sets is at most the sum of the smaller counts. Linked documents share a shingle among the first
-15 % + 1 of their sets, in an order that puts frequent shingles last; that shingle names the part of the index where
-they meet, so no document is held against the whole corpus. In each part an R-tree over the points (leaves with boxes,
-joined leaf with leaf) leaves the pairs whose bound allows a link, and those are checked on the whole texts.
+the overlap of two sets is at most the sum of the smaller counts. Linked documents share shingles among the first
+21 % + 1 of their sets, in an order that puts frequent shingles last; those that the same sets hold name one part of the
+index, where they meet, so no document is held against the whole corpus. In each part an R-tree over the points (leaves
+with boxes, joined leaf with leaf) leaves the pairs whose bound allows a link, and those are checked word by word.
 
 Links are only looked for between components that are still apart, in rounds:
-  1. each set with the hub (smallest member) of the part where it shares most;
-  2. each set with its best partners by the bound, in parts that still hold several components;
+  1. each set with the hub (smallest member) of the parts where it shares most;
+  2. each set outside a part's main component with its best partners by the bound, in parts that still hold several;
   3. all pairs the bound allows, in those parts where that left some out.
 So a group of thousands of copies costs links in proportion to its size, and no link between components is lost.
 
-Parts are cut into blocks of at most BLOCK sets that meet pairwise, each in a task group of its own. Equal sets count as
-one. The order of shingles only steers the work: any order gives the same links.
+Texts of the same words count as one set, told by a SHA-256 digest of those words. Parts list at most MEMBERS sets a row;
+large ones are cut by size and into blocks of at most BLOCK sets that meet pairwise, each in a task group of its own. A
+text that many pairs share is sent once for BESIDE of them. The order of shingles only steers the work: any order gives
+the same links.
 
 Defined results: null, empty and blank texts have an empty set (0 shingles) and are their own component; a text of one
 to three words is a set of one; repeated rows are linked like any copies; a row of null id gets the component of its
-copies (null if there are none); an empty table gives an empty result. Extra columns take no part.
+copies (null if there are none); an empty table gives an empty result. Extra columns take no part. Shingles are counted
+by 63-bit hashes, links by the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +36,19 @@ from pyspark.sql import types as T
 
 from runlens.llm.components import components
 from runlens.llm.spans import LOWER, HashTable, buffer_of, byte_class, find_words, hash_spans, mix, runs_of, texts_of
-from runlens.session import materialise
+from runlens.session import discard, materialise
 
 WORDS = 4
 SHARE = 85  # per cent: linked if 100 * overlap >= SHARE * union
 WORD = byte_class(outside=" \t\n\r\f\v")
 FREQUENT = 1000  # a shingle is frequent from one in so many documents on
 MOST_FREQUENT = 500_000  # of them steer the order; the bound of what is broadcast
-BLOCK, LEAF = 2048, 32
+BLOCK, LEAF = 512, 32
+MEMBERS = 1024  # of a part in one row
 PARTNERS = 4
+BESIDE = 64  # pairs that a shared text is sent for at once
+COUNTED = 1 << 20  # shingles that are counted together
+NAME_BYTES = 8
 BROADCAST_ROWS = 1_000_000
 MEET = 16  # of a set of n, 1 + n // MEET indexed shingles at least stand in a linked set's index too
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -66,11 +73,7 @@ def shingles(h: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray,
     return mix(np.concatenate((out, rest))), np.concatenate((owner[at], short))
 
 
-def sets_of(col: pa.LargeStringArray, words: int, frequent: HashTable | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of each text in ascending order, and where each text's begin. A key is a shingle's hash, frequent ones with the highest bit set."""
-    buf, at = buffer_of(col)
-    buf = LOWER[buf]
-    starts, ends, first = find_words(buf, at, WORD)
+def _sets(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, words: int, frequent: HashTable | None) -> tuple[np.ndarray, np.ndarray]:
     h, owner = shingles(hash_spans(buf, starts, ends), first, words)
     key = h >> np.uint64(1)
     if frequent is not None and frequent.n:
@@ -80,19 +83,42 @@ def sets_of(col: pa.LargeStringArray, words: int, frequent: HashTable | None = N
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
     key, owner = key[new], owner[new]
-    return key, np.searchsorted(owner, np.arange(len(col) + 1))
+    return key, np.searchsorted(owner, np.arange(len(first)))
+
+
+def sets_of(col: pa.LargeStringArray, words: int, frequent: HashTable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of each text in ascending order, and where each text's begin. A key is a shingle's hash, frequent ones with the highest bit set."""
+    buf, at = buffer_of(col)
+    buf = LOWER[buf]
+    return _sets(buf, *find_words(buf, at, WORD), words, frequent)
 
 
-def names_of(key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each set."""
-    total = np.zeros(len(key) + 1, np.uint64)
-    np.cumsum(mix(key & np.uint64((1 << 63) - 1)), out=total[1:])
-    return mix((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(np.uint64) * _K)
+def _digests(buf: np.ndarray, at: np.ndarray, ends: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A digest of each text's words with one blank between them."""
+    keep = WORD[buf]
+    inner = np.ones(len(ends), bool)
+    inner[first[1:][first[1:] > first[:-1]] - 1] = False  # no blank after a text's last word
+    keep[ends[inner]] = True
+    plain = buf.copy()
+    plain[ends[inner]] = 32
+    upto = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(keep, out=upto[1:])
+    raw, cut = plain[keep].tobytes(), upto[at].tolist()
+    return [hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def digest_of(words: list[bytes]) -> bytes:
+    """The same for one text."""
+    return hashlib.sha256(b" ".join(words)).digest()[:16]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: A-Z alone are lowered, ASCII white space alone parts words
 
 
 def groups_for(n: int) -> int:
-    """Groups of the count vector of a set of n: powers of two, so that a finer vector folds into a coarser one."""
-    return next((g for g, most in ((512, 250), (1024, 1000), (4096, 4000), (16384, 16000)) if n < most), 65536)
+    """Groups of the count vector of a set of n: powers of two, so that a finer vector folds into a coarser one. Linked sets have as many, or one twice as many."""
+    return min(1 << 16, max(64, 1 << max(n - 1, 0).bit_length()))
 
 
 _SHIFT = np.array([0, 2, 4, 6], np.uint8)
@@ -112,8 +138,16 @@ def unpack(vec: bytes) -> tuple[int, np.ndarray]:
     return int.from_bytes(vec[:4], "little"), _OPEN[np.frombuffer(vec, np.uint8, offset=4)].ravel()
 
 
+def unpack_all(vecs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for vectors of one length, a row for each."""
+    raw = np.frombuffer(b"".join(vecs), np.uint8).reshape(len(vecs), -1)
+    return np.ascontiguousarray(raw[:, :4]).view("<u4").ravel().astype(np.int64), _OPEN[raw[:, 4:]].reshape(len(vecs), -1)
+
+
 def fold(v: np.ndarray, groups: int) -> np.ndarray:
-    return v if len(v) == groups else v.reshape(-1, groups).sum(0, dtype=np.uint8 if len(v) <= 64 * groups else np.uint16)
+    """Vectors (rows, or one) in fewer groups."""
+    n = v.shape[-1]
+    return v if n == groups else v.reshape(*v.shape[:-1], -1, groups).sum(-2, dtype=np.uint8 if n <= 64 * groups else np.uint16)
 
 
 def first_keys(n: np.ndarray, share: int) -> np.ndarray:
@@ -127,27 +161,40 @@ def need(a: np.ndarray | int, b: np.ndarray | int, share: int):
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles found in about one of FREQUENT documents or more. Batches report what they hold several times."""
+    """Shingles found in about one of FREQUENT documents or more. Tasks report what they hold several times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        seen = size = 0
+
+        def report() -> pa.RecordBatch:
+            names, n = np.unique(np.concatenate(keys), return_counts=True)
+            some = n >= max(4, seen // FREQUENT)
+            keys.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names[some].astype(np.int64)), pa.array(n[some].astype(np.int64))], ["h", "n"])
+
         for batch in batches:
             col = texts_of(batch.column("text"))
-            keys = [sets_of(col.slice(i, j - i), words)[0] for i, j in runs_of(col)]
-            names, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            some = n >= max(4, len(col) // FREQUENT)
-            yield pa.RecordBatch.from_arrays([pa.array(names[some].astype(np.int64)), pa.array(n[some].astype(np.int64))], ["h", "n"])
+            for i, j in runs_of(col):
+                keys.append(sets_of(col.slice(i, j - i), words)[0])
+                seen, size = seen + j - i, size + len(keys[-1])
+                if size >= COUNTED:
+                    yield report()
+                    seen = size = 0
+        if keys:
+            yield report()
 
     total = docs.count()
     found = docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(16, total // FREQUENT))
     return found.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toArrow().column(0).to_numpy().astype(np.uint64)
 
 
-SKETCH = "doc_id bigint, n bigint, fp bigint, vec binary, keys array<bigint>"
+SKETCH = "doc_id bigint, n bigint, fp bigint, digest binary, vec binary, keys array<bigint>"
 
 
 def _sketch(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """Per row: doc_id, n (set size), fp (names the set), vec (count vector), keys (the first of the set)."""
-    held = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+    """Per row: doc_id, n (set size), digest (of the words), fp (names it), vec (count vector), keys (the first of the set)."""
+    held, name_bytes = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words)), NAME_BYTES
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = HashTable()
@@ -156,9 +203,13 @@ def _sketch(docs: DataFrame, words: int, share: int) -> DataFrame:
         for batch in batches:
             col, ids = texts_of(batch.column("text")), batch.column("doc_id")
             for i, j in runs_of(col):
-                key, at = sets_of(col.slice(i, j - i), words, frequent)
+                buf, begins = buffer_of(col.slice(i, j - i))
+                buf = LOWER[buf]
+                starts, ends, words_at = find_words(buf, begins, WORD)
+                digests = _digests(buf, begins, ends, words_at)
+                key, at = _sets(buf, starts, ends, words_at, words, frequent)
                 n = np.diff(at)
-                fp = names_of(key, at)
+                fp = [int.from_bytes(d[:name_bytes], "little", signed=True) for d in digests]
                 vecs = [pack(key[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 first = first_keys(n, share)
                 rank = np.arange(len(key)) - np.repeat(at[:-1], n)
@@ -166,45 +217,106 @@ def _sketch(docs: DataFrame, words: int, share: int) -> DataFrame:
                 offsets = np.zeros(len(n) + 1, np.int32)
                 np.cumsum(first, out=offsets[1:])
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[some].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(fp.view(np.int64)), pa.array(vecs, pa.binary()), keys], ["doc_id", "n", "fp", "vec", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(fp, pa.int64()), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary()), keys], ["doc_id", "n", "fp", "digest", "vec", "keys"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(step, SKETCH)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, fp): those whose key another set holds too, with the first such set as hub.
+def _named(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketch with one fp for each digest, and the sets of rows with an id: (fp, digest, doc_id, n). Where two digests begin alike they are named anew."""
+    spark, salt = sketch.sparkSession, 0
+    while True:
+        own = sketch.where("n > 0").groupBy("fp").agg(F.min("digest").alias("digest"), F.max("digest").alias("other"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+        own = materialise(spark, own)
+        twice = own.where("digest <> other").select("fp", F.lit(True).alias("_t"))
+        if twice.isEmpty():
+            return sketch, own
+        anew = F.when(F.col("_t"), F.xxhash64("digest", F.lit(salt))).otherwise(F.col("fp"))
+        sketch = materialise(spark, sketch.join(twice, "fp", "left").withColumn("fp", anew).select(sketch.columns))
+        salt += 1
+
 
-    A key at the edge of a partition may go on in the next one, or a batch: its rows pass too. More rows than needed do no harm.
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, fp): the sets that hold each key, if they are several; (part, m0, m1, members), m0 and m1 name the members.
+
+    A key whose members all stand in one row is named by them, so that keys of the same members fall together. One that goes
+    on in another row or may do so in another task is named by itself, and its rows are one part.
     """
-    before: int | None = None
-    hub = 0
-    for batch in batches:
-        if not batch.num_rows:
+    h, fp = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = True  # the task's first key may have begun in another task
+
+    def rows(h: np.ndarray, fp: np.ndarray, cut: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
+        """cut: where each row begins, and the end."""
+        size = np.diff(cut)
+        m0, m1 = (np.add.reduceat(mix(fp.view(np.uint64) ^ np.uint64(x)), cut[:-1]) for x in (0x51, 0xA7))
+        part = np.where(open_, mix(h[cut[:-1]] ^ np.uint64(0xD6E8FEB86659FD93)), mix(m0 ^ mix(m1 + size.astype(np.uint64))))
+        keep = (size > 1) | open_
+        inside = np.repeat(keep, size)
+        offsets = np.concatenate(([0], np.cumsum(size[keep]))).astype(np.int32)
+        members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(fp[inside]))
+        return pa.RecordBatch.from_arrays([*(pa.array(x[keep].view(np.int64)) for x in (part, m0, m1)), members], ["part", "m0", "m1", "members"])
+
+    for batch in _and_end(batches):
+        if batch is not None:
+            h = np.concatenate((h, batch.column("h").to_numpy().view(np.uint64)))
+            fp = np.concatenate((fp, batch.column("fp").to_numpy()))
+        if not len(h):
             continue
-        h, fp = batch.column("h").to_numpy(), batch.column("fp").to_numpy()
         new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(h))
-        several = fp[ends - 1] != fp[starts]
-        several[[0, -1]] = True
-        lead = fp[starts]
-        if before == h[0]:
-            lead[0] = hub
-        before, hub = int(h[-1]), int(lead[-1])
-        keep = np.repeat(several, ends - starts)
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(fp[keep]), pa.array(np.repeat(lead, ends - starts)[keep])], ["h", "fp", "hub"])
-
-
-@F.pandas_udf(T.BooleanType())
-def _possible(na: pd.Series, va: pd.Series, nb: pd.Series, vb: pd.Series, share: pd.Series) -> pd.Series:
-    """Whether sizes and count vectors allow a link."""
-    out = []
-    for a, x, b, y, s in zip(na, va, nb, vb, share, strict=True):
-        (more_x, x), (more_y, y) = unpack(x), unpack(y)
-        g = min(len(x), len(y))
-        out.append(min(int(np.minimum(fold(x, g), fold(y, g)).sum(dtype=np.int64)) + min(more_x, more_y), a, b) >= need(a, b, s))
-    return pd.Series(out, dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
+        h, fp = h[new], fp[new]
+        edge = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
+        size = np.diff(edge)
+        last = len(size) - 1
+        open_ = size > MEMBERS
+        open_[0] |= first
+        if batch is None:
+            open_[last] = True
+        else:
+            # the last key waits for the next batch, except for whole rows of a long one
+            wait = int(size[last]) - (int(size[last]) // MEMBERS * MEMBERS if size[last] > 2 * MEMBERS else 0)
+            open_[last] |= wait < size[last]
+        cuts, flags = [], []
+        for k in np.flatnonzero(open_).tolist():
+            a, b = int(edge[k]), int(edge[k + 1]) - (wait if batch is not None and k == last else 0)
+            cuts += list(range(a, b, MEMBERS))
+            flags += [True] * len(range(a, b, MEMBERS))
+        upto = len(h) if batch is None else len(h) - wait
+        plain = ~open_
+        if batch is not None:
+            plain[last] = False
+        cut = np.concatenate((edge[:-1][plain], np.array(cuts, np.int64)))
+        flag = np.concatenate((np.zeros(int(plain.sum()), bool), np.array(flags, bool)))
+        order = np.argsort(cut, kind="stable")
+        cut, flag = cut[order], flag[order]
+        if len(cut):
+            yield rows(h[:upto], fp[:upto], np.append(cut, upto), flag)
+        if batch is not None:
+            if upto > edge[last]:  # the rest of the last key belongs to a part that is open already
+                first = True
+            elif last:
+                first = False
+            h, fp = h[upto:], fp[upto:]
+
+
+def _bounds(share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of pairs (a, b) with sizes and count vectors of both: those that may be linked."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            va, vb = batch.column("va").to_pylist(), batch.column("vb").to_pylist()
+            lens = np.array([[len(x), len(y)] for x, y in zip(va, vb, strict=True)], np.int64).reshape(-1, 2)
+            ok = np.zeros(len(na), bool)
+            for kind in np.unique(lens, axis=0):
+                some = np.flatnonzero((lens == kind).all(1))
+                (more_a, pa_), (more_b, pb_) = (unpack_all([v[i] for i in some]) for v in (va, vb))
+                g = min(pa_.shape[1], pb_.shape[1])
+                top = np.minimum(fold(pa_, g), fold(pb_, g)).sum(1, dtype=np.int64) + np.minimum(more_a, more_b)
+                ok[some] = np.minimum(top, np.minimum(na[some], nb[some])) >= need(na[some], nb[some], share)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return step
 
 
 class RTree:
@@ -233,7 +345,7 @@ class RTree:
 
 
 def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray, vecs: list[bytes], within: bool, share: int, partners: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of different components in one block (`within`) or between two - with `partners`, only so many best ones of each set - and whether any were left out."""
+    """Pairs of different components in one block (`within`) or between two - with `partners`, only so many best ones of each set outside the most common component - and whether any were left out."""
     _, one = np.unique(np.column_stack((fp, side)), axis=0, return_index=True)
     fp, root, side, n, vecs = fp[one], root[one], side[one], n[one], [vecs[i] for i in one]
     left = np.flatnonzero(side == 0)
@@ -241,23 +353,39 @@ def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray,
     none = np.zeros(0, np.int64)
     if not len(left) or not len(right) or (root == root[0]).all():
         return none, none, False
-    opened = [unpack(v) for v in vecs]
-    groups = min(len(v) for _, v in opened)
-    points, more = np.stack([fold(v, groups) for _, v in opened]), np.array([e for e, _ in opened])
+    lens = np.array([len(v) for v in vecs])
+    trees: dict[tuple[int, int, int], tuple[np.ndarray, RTree]] = {}
+
+    def tree(which: int, own: np.ndarray, size: int, groups: int) -> tuple[np.ndarray, RTree | None]:
+        if (which, size, groups) not in trees:
+            rows = own[lens[own] == size]
+            more, points = unpack_all([vecs[i] for i in rows]) if len(rows) else (none, np.zeros((0, groups)))
+            trees[which, size, groups] = rows, RTree(n[rows], fold(points, groups), more) if len(rows) else None
+        return trees[which, size, groups]
+
     found = []
-    for x, y, bound in RTree(n[left], points[left], more[left]).join(RTree(n[right], points[right], more[right]), share):
-        x, y = left[x], right[y]
-        ok = root[x] != root[y]
-        if ok.any():
-            found.append(np.column_stack((x[ok], y[ok], bound[ok] * 1000 // (n[x[ok]] + n[y[ok]]))))
+    kinds = np.unique(lens).tolist()
+    # vectors of one length meet, and those of the next: linked sets have no other
+    for p, q in [(k, k) for k in kinds] + [x for k, m in zip(kinds[:-1], kinds[1:], strict=True) for x in ((k, m), (m, k))[: 1 if within else 2]]:
+        groups = (min(p, q) - 4) * 4
+        (xs, one), (ys, other) = tree(0, left, p, groups), tree(0 if within else 1, right, q, groups)
+        if one is None or other is None:
+            continue
+        for x, y, bound in one.join(other, share):
+            x, y = xs[x], ys[y]
+            ok = root[x] != root[y]
+            if ok.any():
+                found.append(np.column_stack((x[ok], y[ok], bound[ok] * 1000 // (n[x[ok]] + n[y[ok]]))))
     if not found:
         return none, none, False
     x, y, good = np.concatenate(found).T
     keep = np.ones(len(x), bool)
     if partners:
         keep[:] = False
+        names, often = np.unique(root, return_counts=True)
         for own in (x, y):
-            order = np.lexsort((-good, own))
+            some = np.flatnonzero(root[own] != names[often.argmax()])  # of any pair one at least
+            order = some[np.lexsort((-good[some], own[some]))]
             rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
             keep[order[rank < partners]] = True
     return np.minimum(fp[x], fp[y])[keep], np.maximum(fp[x], fp[y])[keep], not keep.all()
@@ -306,88 +434,135 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFrame:
-    """(a, b, linked) of the pairs (a, b), from whole texts."""
-    spark = docs.sparkSession
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "doc_id")
-    wanted = materialise(spark, wanted)
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("fp", "text")
+def _shingle_rows(words: list[bytes], ids: dict[bytes, int], k: int) -> np.ndarray:
+    """The distinct shingles of a text as rows of word numbers; `ids` gets what it lacks."""
+    numbers = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint32, len(words))
+    if len(numbers) < k:
+        rows = np.full((min(1, len(numbers)), k), 0xFFFFFFFF, np.uint32)
+        rows[:, : len(numbers)] = numbers
+    else:
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(numbers, k))
+    return np.unique(rows.view(f"V{4 * k}").ravel())
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose text has the set that fp names: other texts may share the id."""
-        for batch in batches:
-            col, fp = texts_of(batch.column("text")), batch.column("fp").to_numpy()
-            same = [names_of(*sets_of(col.slice(i, j - i), words)).view(np.int64) == fp[i:j] for i, j in runs_of(col)]
-            yield batch.filter(pa.array(np.concatenate(same) if same else np.zeros(0, bool)))
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match(words: int, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by (hub, block, side, fp): the hub's text, then those it is held against. Gives (a, b, linked)."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, done = None, None
+        ids: dict[bytes, int] = {}
+        own: np.ndarray | None = None
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            out = np.zeros(len(a), bool)
-            left, right = texts_of(batch.column("ta")), texts_of(batch.column("tb"))
-            for i, j in runs_of(left):
-                begin = i
-                for k, m in runs_of(right.slice(i, j - i)):
-                    k, m = begin + k, begin + m
-                    (x, xa), (y, ya) = sets_of(left.slice(k, m - k), words), sets_of(right.slice(k, m - k), words)
-                    for r in range(m - k):
-                        p, q = x[xa[r] : xa[r + 1]], y[ya[r] : ya[r + 1]]
-                        both = len(np.intersect1d(p, q, assume_unique=True))
-                        out[k + r] = 100 * both >= share * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(out)], ["a", "b", "linked"])
-
-    texts = materialise(spark, texts.mapInArrow(own, "fp bigint, text string").dropDuplicates(["fp"]))
-    rows = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
-    done = rows.select("a", "b", "ta", "tb").mapInArrow(match, "a bigint, b bigint, linked boolean")
-    return materialise(spark, done)
+            out: list[tuple[int, int, bool]] = []
+            for hub, block, side, fp, digest, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "side", "fp", "digest")), batch.column("text"), strict=True):
+                if (hub, block) != at:
+                    at, own, done, ids = (hub, block), None, None, {}
+                if fp == done:  # a repeated row
+                    continue
+                found = words_of(text.as_py())
+                if digest_of(found) != digest:  # another text of the same id
+                    continue
+                done = fp
+                rows = _shingle_rows(found, ids, words)
+                if side == 0:
+                    own = rows
+                elif own is not None:
+                    both = len(np.intersect1d(own, rows, assume_unique=True))
+                    out.append((min(hub, fp), max(hub, fp), 100 * both >= share * (len(own) + len(rows) - both)))
+            a, b, linked = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    return step
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """Broadcast if it has at most BROADCAST_ROWS narrow rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFrame:
+    """(a, b, linked) of the distinct pairs (a, b), from whole texts. Of each pair the text that more pairs share stays; the other comes to it."""
+    spark = docs.sparkSession
+    often = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").count()
+    known = materialise(spark, nodes.select("fp", "doc_id", "digest").join(often, "fp"))
+    side = lambda name: known.select(F.col("fp").alias(name), F.col("count").alias(f"n{name}"))
+    more = F.col("na") >= F.col("nb")
+    led = pairs.join(side("a"), "a").join(side("b"), "b")
+    led = led.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("fp"), F.greatest("na", "nb").alias("n"))
+    led = materialise(spark, led.select("hub", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BESIDE)).cast("int").alias("block"), "fp"))
+    ways = led.select("hub", "block", F.lit(0).alias("side"), F.col("hub").alias("fp")).distinct().unionByName(led.select("hub", "block", F.lit(1).alias("side"), "fp"))
+    ways = materialise(spark, ways.join(known.drop("count"), "fp"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(_held(ways), "doc_id").select("hub", "block", "side", "fp", "digest", "text")
+    rows = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "side", "fp")
+    done = materialise(spark, rows.mapInArrow(_match(words, share), "a bigint, b bigint, linked boolean"))
+    discard(known, led, ways)
+    return done
 
 
 def _linked(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """As `link`, with fp, the name of the row's set."""
+    """As `link`, with the digest of the row's words."""
     spark = docs.sparkSession
-    sketch = materialise(spark, _sketch(docs, words, share))
+    sketch, own = _named(materialise(spark, _sketch(docs, words, share)))
     full = sketch.where("n > 0")
 
     rows = full.select(F.explode("keys").alias("h"), "fp").repartitionByRange("h", "fp").sortWithinPartitions("h", "fp")
-    near = rows.mapInArrow(_shared, "h bigint, fp bigint, hub bigint").groupBy("fp").agg(F.collect_set(F.struct("h", "hub")).alias("parts"))  # no longer than a set's index
-    own = full.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("vec").alias("vec"))
+    parts = rows.mapInArrow(_groups, "part bigint, m0 bigint, m1 bigint, members array<bigint>")
+    parts = parts.groupBy("part", "m0", "m1").agg(F.first("members").alias("members"), F.count("*").alias("w"))
+    places = parts.select("part", "w", F.element_at("members", 1).alias("hub"), F.explode("members").alias("fp")).repartition("fp")
+    near = places.groupBy("fp", "hub").agg(F.sum("w").alias("w"), F.collect_list("part").alias("parts"))  # no longer than a set's index
+    best = F.max(F.when(F.col("hub") != F.col("fp"), F.struct("w", "hub")))["hub"]
+    near = near.groupBy("fp").agg(F.sum("w").alias("shared"), best.alias("hub"), F.flatten(F.collect_list("parts")).alias("parts"))
     smaller = F.floor((F.col("n") * share + 99) / 100)  # the least size of a linked set
-    nodes = materialise(spark, own.join(near, "fp").where(F.size("parts") >= F.least(smaller, 1 + F.floor(smaller / MEET))))
-
-    hubs = F.transform(F.filter("parts", lambda x: x["hub"] != F.col("fp")), lambda x: x["hub"])
-    most = F.array_max(F.transform(F.array_distinct(hubs), lambda u: F.struct(F.size(F.filter(hubs, lambda v: v == u)), u.alias("hub"))))["hub"]
-    met = nodes.select("fp", most.alias("hub")).where("hub is not null")
-
-    side = lambda name: nodes.select(F.col("fp").alias(name), F.col("n").alias(f"n{name}"), F.col("vec").alias(f"v{name}"))
-    stars = met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where(_possible("na", "va", "nb", "vb", F.lit(share))).select("a", "b")
-    tested = _checked(docs, nodes, materialise(spark, stars), words, share)
+    nodes = materialise(spark, own.where("doc_id is not null").drop("other").join(near, "fp").where(F.col("shared") >= F.least(smaller, 1 + F.floor(smaller / MEET))))
+    vectors = full.join(_held(nodes.select("fp")), "fp", "left_semi").select("fp", "n", "vec").dropDuplicates(["fp"])
+    vectors = materialise(spark, vectors)
+
+    side = lambda name: vectors.select(F.col("fp").alias(name), F.col("n").alias(f"n{name}"), F.col("vec").alias(f"v{name}"))
+    stars = nodes.where("hub is not null").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    stars = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounds(share), "a bigint, b bigint")
+    stars = materialise(spark, stars)
+    tested = _checked(docs, nodes, stars, words, share)
+    discard(stars)
     roots = components(spark, tested.where("linked").select("a", "b"))
 
     step = np.log(100 / share) * (1 + 1e-9)  # sizes of linked sets are less than a step apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)))
-    places = nodes.select("fp", F.transform("parts", lambda x: x["h"]).alias("hs"), band.alias("band"))
+    placed_all = nodes.select("fp", F.array_distinct("parts").alias("parts"), band.alias("band"))
     cut: DataFrame | None = None
     for partners in (PARTNERS, 0):
-        owned = places.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "band", F.explode("hs").alias("h"))
-        placed = owned.select("fp", "root", F.explode(F.array(F.xxhash64("h", "band"), F.xxhash64("h", F.col("band") + 1))).alias("part"))
+        owned = placed_all.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "band", F.explode("parts").alias("group"))
+        several = owned.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 <> r1")
+        several = materialise(spark, several.select("group", (F.col("m") > BLOCK).alias("large")))
+        owned = owned.join(several, "group")
+        own_part, by_size = F.array(F.xxhash64("group")), F.array(F.xxhash64("group", "band"), F.xxhash64("group", F.col("band") + 1))
+        placed = owned.select("fp", "root", F.explode(F.when(F.col("large"), by_size).otherwise(own_part)).alias("part"))
         if cut is not None:  # elsewhere all pairs have been looked at
             placed = placed.join(cut, "part", "left_semi")
+        placed = materialise(spark, placed)
         same = [F.bit_xor(F.xxhash64("fp")).alias("s0"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("s1"), F.count("*").alias("m")]  # names the members
-        apart = placed.groupBy("part").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *same).where("r0 <> r1")
-        apart = apart.groupBy("s0", "s1", "m").agg(F.min("part").alias("part"))  # parts of the same members count once
-        left = placed.join(materialise(spark, apart.select("part", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))), "part")
-        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        left = left.select("part", "fp", "root", block.alias("k"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        by_root = placed.groupBy("part", "root").agg(*same)
+        apart = by_root.groupBy("part").agg(F.count("*").alias("n"), F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("m"), *(F.bit_xor(c).alias(c) for c in ("s0", "s1"))).where("n > 1")
+        apart = apart.groupBy("s0", "s1", "m").agg(F.min(F.struct("part", "main")).alias("p"))  # parts of the same members count once
+        small, blocks = F.col("m") <= BLOCK, lambda n: F.ceil(n / BLOCK).cast("int")
+        apart = apart.select("p.part", F.when(~small, F.col("p.main.root")).alias("main"), F.when(small, 1).otherwise(blocks(F.col("m") - F.col("p.main.m"))).alias("others"), F.when(small, 0).otherwise(blocks(F.col("p.main.m"))).alias("mains"))
+        apart = materialise(spark, apart)
+        left = placed.join(apart, "part")
+        # the sets of a large part's main component meet those of others alone: blocks of others come first, and one of any two is such a block
+        in_main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+        spread = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+        left = left.withColumn("k", F.when(in_main, F.col("others") + spread(F.col("mains"))).otherwise(spread(F.col("others"))))
+        left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
         left = left.select("part", "fp", "root", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), (F.col("k") > F.col("j")).cast("int").alias("side"))
-        left = left.join(nodes.select("fp", "n", "vec"), "fp").repartition("part", "x", "y").sortWithinPartitions("part", "x", "y")
+        left = left.join(vectors, "fp").repartition("part", "x", "y").sortWithinPartitions("part", "x", "y")
         found = materialise(spark, left.mapInArrow(_pairs_in(share, partners), "a bigint, b bigint, cut bigint"))
         pairs = found.where("a is not null").select("a", "b").distinct()
         pairs = materialise(spark, pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        tested = materialise(spark, tested.unionByName(_checked(docs, nodes, pairs, words, share)))
+        more = _checked(docs, nodes, pairs, words, share)
+        spent = [several, placed, apart, pairs, tested, more, roots]
+        tested = materialise(spark, tested.unionByName(more))
         roots = components(spark, tested.where("linked").select("a", "b"))
         cut = materialise(spark, found.where("cut is not null").select(F.col("cut").alias("part")).distinct())
+        discard(found, *spent)
         if cut.isEmpty():
             break
 
@@ -395,13 +570,14 @@ def _linked(docs: DataFrame, words: int, share: int) -> DataFrame:
     classes = materialise(spark, classes.select("fp", "least", F.coalesce("root", "fp").alias("root")))
     smallest = materialise(spark, classes.groupBy("root").agg(F.min("least").alias("component_id")))
     named = materialise(spark, classes.join(smallest, "root").select("fp", "component_id"))
-    out = sketch.select("doc_id", "n", "fp").join(named, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "fp")
+    discard(own, nodes, vectors, tested, roots, cut, classes, smallest)
+    out = sketch.select("doc_id", "n", "fp", "digest").join(named, "fp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "digest")
 
 
 def link(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    return _linked(docs, words, share).drop("fp")
+    return _linked(docs, words, share).drop("digest")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -410,24 +586,22 @@ def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFra
     Where rows of different texts share an id, only those go whose own text has a copy of smaller id.
     """
     spark = docs.sparkSession
-    held = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    goes = materialise(spark, _linked(docs, words, share).where("doc_id <> component_id").select("doc_id", "fp").distinct())
+    goes = materialise(spark, _linked(docs, words, share).where("doc_id <> component_id").select("doc_id", "digest").distinct())
     twice = materialise(spark, docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     single = goes.select("doc_id").distinct()
     repeated = not twice.isEmpty()
-    kept = docs.join(held(single.join(twice, "doc_id", "left_anti") if repeated else single), "doc_id", "left_anti")
+    kept = docs.join(_held(single.join(twice, "doc_id", "left_anti") if repeated else single), "doc_id", "left_anti")
     if repeated:
 
         def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                col = texts_of(batch.column("text"))
-                fp = [names_of(*sets_of(col.slice(i, j - i), words)).view(np.int64) for i, j in runs_of(col)]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(np.concatenate(fp) if fp else np.zeros(0, np.int64))], ["row", "id", "fp"])
+                digests = pa.array([digest_of(words_of(t.as_py())) for t in batch.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), digests], ["row", "id", "digest"])
 
-        again = kept.join(held(twice), "doc_id", "left_semi").dropDuplicates()
+        again = kept.join(_held(twice), "doc_id", "left_semi").dropDuplicates()
         again = again.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("id"), "text")
-        again = again.mapInArrow(named, T.StructType([again.schema["row"], T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())]))
-        again = again.join(held(goes.withColumnRenamed("doc_id", "id")), ["id", "fp"], "left_anti")
-        kept = kept.join(held(twice), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+        again = again.mapInArrow(named, T.StructType([again.schema["row"], T.StructField("id", T.LongType()), T.StructField("digest", T.BinaryType())]))
+        again = again.join(_held(goes.withColumnRenamed("doc_id", "id")), ["id", "digest"], "left_anti")
+        kept = kept.join(_held(twice), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
         kept = kept.unionByName(again.select(*(F.col(f"row.`{c}`") for c in docs.columns)))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
