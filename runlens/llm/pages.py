@@ -2,14 +2,18 @@
 
 A page is cut into blocks of text. Blocks inside an article or main element are the text; navigation, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles are furniture by their tags, roles or names. What the
-markup leaves open - on pages without such an element - the host decides: the token streams of its pages, without the
-marked articles, are laid end to end, their suffixes are sorted, and stretches of `LONG` tokens or more that begin
-suffixes of several distinct pages are boilerplate. Tokens covered by them are cut out of the blocks, unique runs stay. Text
-inside a marked article is never removed for being repeated: the contract keeps it, and passages that pages share are no furniture.
+markup leaves open the host decides: the token streams of all its pages, without what stands in a marked article, are laid
+end to end, their suffixes are sorted, and stretches of `LONG` tokens or more that begin suffixes of several distinct pages
+are boilerplate. Open are all plain blocks of pages without a marked article; plain blocks outside of one, kept where the
+host has LEAST_PAGES distinct pages and no boilerplate in them; and blocks inside an article under a name that may mean
+furniture (`related`, `share`), dropped where they are boilerplate or links. Tokens covered by boilerplate are cut out, unique
+runs stay. Plain text inside a marked article is never removed for being repeated: the contract keeps it, and passages that
+pages share are no furniture.
 
 A host's distinct streams are dealt out by a hash over shards of about SHARD_PAGES, so a host of any size is many small
 arrays. An array only counts: each stretch goes on as a hash with its number of pages, single ones too, and the numbers of
-all shards are added up before they are held against the host's one threshold (`needed`). Pages with equal streams count as one.
+all shards are added up before they are held against the host's one threshold (`needed`). Pages with equal streams count as
+one. Every page is parsed once.
 
 Names alone are weak evidence. An article inside a wrapper named like furniture is the text if the page has no other; blocks
 of such names are kept if nothing else is left. Headings in an article's own header belong to it.
@@ -44,6 +48,8 @@ BATCH = 1 << 18  # rows
 LINKS = 0.5  # an open block with more of its text in links is a menu
 
 MAIN, OPEN, FURNITURE, NAMED = 0, 1, 2, 3  # NAMED: furniture by its class or id alone
+DOUBTFUL = 5  # inside an article, by a name that may mean furniture
+LEAST_PAGES = 8  # distinct pages of a host that make it fit to judge what stands outside a marked article
 _SOFT = 4  # an article in a wrapper of such a name, or of one: the text if the page has no other
 
 #: Elements by what they do.
@@ -54,6 +60,7 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dia
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id names. Those of the first set hold whatever stands inside them, articles if there are others.
 _STRONG_NAMES = set("nav navbar navigation menu sidebar comment comments commentlist disqus replies related breadcrumb breadcrumbs pagination pager footer foot modal popup cookie cookies consent gdpr share sharing social newsletter subscribe signup login widget".split())
+_DOUBTFUL_NAMES = set("related share sharing social newsletter subscribe signup login widget".split())  # of them, those that articles use too
 _WEAK_NAMES = set("header masthead banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion notice alert notification toolbar skip hidden".split())
 _MAIN_NAMES = {"articlebody", "article-body", "post-content", "entry-content", "article-content", "main-content", "story-body", "post-body"}
 
@@ -79,7 +86,7 @@ def _role(name: str, rest: str) -> str:
         out = ""
     if not rest.strip():
         return out
-    named = main = False
+    named = doubtful = main = False
     for key, *values in _ATTR.findall(rest):
         value = next((v for v in values if v), "").lower()
         key = key.lower()
@@ -93,14 +100,17 @@ def _role(name: str, rest: str) -> str:
         elif key in ("class", "id", "itemprop"):
             names = set(value.split())
             words = {w.lower() for w in _NAME_WORDS.findall(value)}
-            if name not in ("html", "body") and (names if whole else words) & _STRONG_NAMES:
+            if name not in ("html", "body") and (found := (names if whole else words) & _STRONG_NAMES):
+                doubtful = doubtful or not named and found <= _DOUBTFUL_NAMES
                 named = True
+                if not found <= _DOUBTFUL_NAMES:
+                    doubtful = False
             if names & _MAIN_NAMES:
                 out = "main"
             elif not whole and name not in ("html", "body") and words & _WEAK_NAMES:
                 out = out if out in ("strong", "weak") else "faint"
     if named and not main:
-        return "soft" if whole else "strong" if name in _STRONG or name == "header" else "named"
+        return "soft" if whole else "strong" if name in _STRONG or name == "header" else "doubtful" if doubtful else "named"
     return out
 
 
@@ -129,9 +139,10 @@ def blocks_of(page: str | None) -> list[tuple[int, str, float]]:
                 now = _SOFT if named or kind == "soft" or now == _SOFT else MAIN
             elif kind == "weak":
                 now, header_of = FURNITURE, now if now in (MAIN, _SOFT) else None
-            elif kind in ("named", "faint"):
-                named = named or kind == "named"
-                now, header_of = FURNITURE if now == FURNITURE else NAMED, None
+            elif kind in ("named", "faint", "doubtful"):
+                named = named or kind != "faint"
+                inside = kind == "doubtful" and now in (MAIN, DOUBTFUL)
+                now, header_of = FURNITURE if now == FURNITURE else DOUBTFUL if inside else NAMED, None
             elif n in _HEADINGS and header_of is not None:  # of the article's own header
                 now = header_of
         return now
@@ -260,19 +271,30 @@ def keys_of(host: str, stream: np.ndarray, long: int = LONG) -> np.ndarray:
     return key.view(np.int64)
 
 
-def choose(blocks: list[tuple[int, str, float]], begins: np.ndarray, long: int = LONG) -> str:
-    """The text of a page without a marked article: what of its open blocks no boilerplate covers, given where that begins.
+def choose(blocks: list[tuple[int, str, float]], begins: np.ndarray, judged: bool = True, long: int = LONG) -> str:
+    """The text of a page, given where in the stream of its blocks outside of MAIN boilerplate begins; judged: the host has pages enough to tell.
 
     A stretch that runs on into the next block takes no words from it unless at least COVERED of that block is boilerplate.
     """
-    words = [t.split() for _, t, _ in blocks]
+    whole = has_main(blocks)
+    words = [[] if r == MAIN else t.split() for r, t, _ in blocks]
     cuts = np.cumsum([0, *map(len, words)])
     block = np.repeat(np.arange(len(blocks)), np.diff(cuts))
     every = covered(cuts[-1], begins, long)
     within = covered(cuts[-1], begins[block[begins] == block[begins + long - 1]], long)
     likely, kept = {OPEN: [], NAMED: []}, {OPEN: [], NAMED: []}
     for (role, text, links), own, a, b in zip(blocks, words, cuts[:-1], cuts[1:], strict=True):
-        if role in kept and links <= LINKS:
+        if role == MAIN:
+            kept[OPEN].append(text)
+        elif links > LINKS or role not in (OPEN, NAMED, DOUBTFUL):
+            continue
+        elif role == DOUBTFUL:
+            if every[a:b].mean() < COVERED:
+                kept[OPEN].append(text)
+        elif whole:
+            if role == OPEN and judged and len(own) >= long and not within[a:b].any() and every[a:b].mean() < COVERED:
+                kept[OPEN].append(text)
+        else:
             likely[role].append(text)
             flag = every[a:b] if every[a:b].mean() >= COVERED else within[a:b]
             stays = [w for w, f in zip(own, flag, strict=True) if not f]
@@ -281,39 +303,38 @@ def choose(blocks: list[tuple[int, str, float]], begins: np.ndarray, long: int =
     return "\n".join(kept[OPEN] or likely[OPEN] or kept[NAMED] or likely[NAMED])
 
 
-_EVIDENCE = "row bigint, page_id bigint, url string, host string, main boolean, roles array<int>, texts array<string>, links array<double>"
+def asks(blocks: list[tuple[int, str, float]]) -> bool:
+    """Whether markup leaves anything to the host."""
+    if not has_main(blocks):
+        return bool(blocks)
+    return any(r == DOUBTFUL or r == OPEN and links <= LINKS and len(t.split()) >= LONG for r, t, links in blocks)
 
 
-def _parse(whole: bool):
-    """Whole: pages with a marked article, finished. Otherwise what the hosts need: the blocks outside of articles."""
+_PARSED = "row bigint, page_id bigint, url string, host string, text string, asks boolean, outside array<string>, stream binary, roles array<int>, texts array<string>, links array<double>"
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                names = part.schema.names
-                rows = list(enumerate(map(blocks_of, part.column("html").to_pylist())))
-                if whole:
-                    rows = [(k, b) for k, b in rows if has_main(b)]
-                    got = part.take(pa.array([k for k, _ in rows], pa.int64()))
-                    text = pa.array(["\n".join(t for r, t, _ in b if r == MAIN) for _, b in rows], pa.string())
-                    yield pa.RecordBatch.from_arrays([got.column(names.index("page_id")), got.column(names.index("url")), text], ["page_id", "url", "text"])
-                else:
-                    outside = [[x for x in b if x[0] != MAIN] for _, b in rows]
-                    yield pa.RecordBatch.from_arrays([
-                        part.column("row"), part.column("page_id"), part.column("url"), part.column("host"), pa.array([has_main(b) for _, b in rows], pa.bool_()),
-                        pa.array([[r for r, _, _ in b] for b in outside], pa.list_(pa.int32())), pa.array([[t for _, t, _ in b] for b in outside], pa.list_(pa.string())),
-                        pa.array([[s for _, _, s in b] for b in outside], pa.list_(pa.float64())),
-                    ], ["row", "page_id", "url", "host", "main", "roles", "texts", "links"])
 
-    return step
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text: what the markup alone says; outside: the blocks the host is judged by; roles, texts and links: all blocks, of pages that ask."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            pages = [blocks_of(x) for x in part.column("html").to_pylist()]
+            open_ = [asks(b) for b in pages]
+            outside = [[t for r, t, _ in b if r != MAIN] for b in pages]
+            full = [b if a else [] for a, b in zip(open_, pages, strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                *(part.column(c) for c in ("row", "page_id", "url", "host")), pa.array(["\n".join(t for r, t, _ in b if r == MAIN) for b in pages], pa.string()), pa.array(open_, pa.bool_()),
+                pa.array(outside, pa.list_(pa.string())), pa.array([xxhash.xxh3_128_digest(" ".join(t)) for t in outside], pa.binary()),
+                pa.array([[r for r, _, _ in b] for b in full], pa.list_(pa.int32())), pa.array([[t for _, t, _ in b] for b in full], pa.list_(pa.string())),
+                pa.array([[s for _, _, s in b] for b in full], pa.list_(pa.float64())),
+            ], ["row", "page_id", "url", "host", "text", "asks", "outside", "stream", "roles", "texts", "links"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """On how many distinct pages of the shard each stretch stands, and the host's threshold with it."""
     for shard in runs_by(batches, ["host", "shard"]):
         host, least = shard.column("host")[0].as_py(), shard.column("least")[0].as_py()
-        streams = [stream_of(t) for t in shard.column("texts").to_pylist()]
+        streams = [stream_of(t) for t in shard.column("outside").to_pylist()]
         _, rank, owner = _sorted_stretches(streams, LONG)
         if not len(rank):
             continue
@@ -333,7 +354,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return got
 
     for batch in batches:
-        for row, host, texts in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("row", "host", "texts")), strict=True):
+        for row, host, texts in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("row", "host", "outside")), strict=True):
             key = keys_of(host, stream_of(texts))
             rows.append((np.full(len(key), row, np.int64), np.arange(len(key), dtype=np.int64), key))
             if sum(len(k) for k, _, _ in rows) >= BATCH or len(rows) >= 1000:
@@ -343,36 +364,32 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages without a marked article, with the places where boilerplate begins."""
+    """Pages that ask, with the places where boilerplate begins."""
     for batch in batches:
         at = batch.schema.names.index
         texts = []
-        for roles, words, links, hits in zip(*(batch.column(at(c)).to_pylist() for c in ("roles", "texts", "links", "hits")), strict=True):
-            texts.append(choose(list(zip(roles, words, links, strict=True)), np.array(hits or [], np.int64)))
+        for roles, words, links, hits, judged in zip(*(batch.column(at(c)).to_pylist() for c in ("roles", "texts", "links", "hits", "judged")), strict=True):
+            texts.append(choose(list(zip(roles, words, links, strict=True)), np.array(hits or [], np.int64), bool(judged)))
         yield pa.RecordBatch.from_arrays([batch.column(at("page_id")), batch.column(at("url")), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text."""
     spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    done = rows.mapInArrow(_parse(True), "page_id bigint, url string, text string")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    open_ = rows.withColumns({"host": host, "row": F.monotonically_increasing_id()}).mapInArrow(_parse(False), _EVIDENCE)
-    open_ = materialise(spark, open_)
-    left = open_.where("not main")
-    if left.isEmpty():  # nothing to settle
-        return done
-    hosts = left.select("host").distinct()
-    one = open_.join(hosts, "host", "left_semi").groupBy("host", F.md5(F.array_join("texts", " ")).alias("stream")).agg(F.min("row").alias("row"))
-    one = materialise(spark, one)
-    sizes = one.groupBy("host").count().select("host", needed(F.col("count")).alias("least"), F.ceil(F.col("count") / SHARD_PAGES).alias("shards"))
-    dealt = one.join(materialise(spark, sizes), "host").select("row", "least", F.pmod(F.xxhash64("stream"), "shards").cast("bigint").alias("shard"))
-    counts = open_.select("row", "host", "texts").join(dealt, "row").repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host.alias("host"), F.monotonically_increasing_id().alias("row"))
+    parsed = materialise(spark, rows.mapInArrow(_parse, _PARSED))
+    one = materialise(spark, parsed.groupBy("host", "stream").agg(F.min("row").alias("row")))
+    sizes = one.groupBy("host").count().select("host", needed(F.col("count")).alias("least"), F.ceil(F.col("count") / SHARD_PAGES).alias("shards"), (F.col("count") >= LEAST_PAGES).alias("judged"))
+    sizes = materialise(spark, sizes)
+    dealt = one.join(sizes, "host").select("row", "least", F.pmod(F.xxhash64("stream"), "shards").cast("bigint").alias("shard"))
+    counts = parsed.select("row", "host", "outside").join(dealt, "row").repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
     counts = counts.mapInArrow(_count, "key bigint, least bigint, n bigint").groupBy("key", "least").agg(F.sum("n").alias("n"))
     common = materialise(spark, counts.where("n >= least").select("key"))
     common = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
-    hits = left.select("row", "host", "texts").mapInArrow(_places, "row bigint, pos bigint, key bigint").join(common, "key", "left_semi")
+    left = parsed.where("asks")
+    hits = left.select("row", "host", "outside").mapInArrow(_places, "row bigint, pos bigint, key bigint").join(common, "key", "left_semi")
     hits = hits.groupBy("row").agg(F.collect_list("pos").alias("hits"))
-    settled = left.join(hits, "row", "left").select("page_id", "url", "roles", "texts", "links", "hits").mapInArrow(_settle, "page_id bigint, url string, text string")
-    return done.unionByName(settled)
+    settled = left.join(hits, "row", "left").join(sizes.select("host", "judged"), "host").select("page_id", "url", "roles", "texts", "links", "hits", "judged")
+    done = parsed.where("not asks").select("page_id", "url", "text")
+    return done.unionByName(settled.mapInArrow(_settle, "page_id bigint, url string, text string"))
