@@ -1,12 +1,11 @@
 """Exact top-k inner-product search with a KD-tree per shard.
 
-Components are made whole numbers, floor(1024 x), so that scores are exact. Each task takes its rows in shards, builds a
-KD-tree of each (median splits of the widest dimension, tight boxes) and walks it for all queries of a block at once:
-every query first dives to its most promising leaf, then boxes are visited, the better child first, for the queries
-whose bound - the inner product with the box's best corner - still reaches their k-th score. The k-th scores start
-from a seed shard scored beforehand and carry over from shard to shard of a task.
-
-Queries come in blocks of at most QUERY_NUMBERS components, each broadcast; rows are never shuffled, only results are.
+Components are made whole numbers, floor(1024 x), so that scores are exact. Vectors are dealt by a hash of their id into
+shards of SHARD_ROWS at most, and every query visits every shard: a join in which a task holds one shard, as KD-trees
+(median splits of the widest dimension, tight boxes), and queries stream past it in batches. Each query first dives to
+its most promising leaf, then boxes are visited, the better child first, for the queries whose bound - the inner product
+with the box's best corner - still reaches their k-th score. One shard in SEED_SHARE goes first; the k-th score that a
+query has there bounds what it looks for in all others. Nothing passes through the driver but one count.
 
 Defined results: null ids, null vectors and vectors with a null or non-finite component take no part; rows that share
 the query's id count as its own and are no candidates; equal queries count once; vectors are held against those of
@@ -21,15 +20,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.session import materialise
+
 SCALE = 1024
 EVERY = 100
 K = 10
-SHARD, LEAF = 8192, 64  # rows
-QUERY_NUMBERS = 1 << 20
-SEED_ROWS = 1024
+SHARD, LEAF = 8192, 64  # rows of a tree and of a leaf
+SHARD_ROWS = 65_536  # of all trees of a shard; fewer where there are few rows, so that there are shards enough to go round
+LEAST_ROWS, SHARDS = 2048, 64
+SEED_SHARE = 64
 _LOW = -(1 << 63)
 
 
@@ -136,74 +139,93 @@ class KDTree:
                 best.add(some, products(queries[some], self.rows[i:j]), self.ids[i:j])
 
 
-def _walk(held, k: int):
-    """Rows in, at most k results for each query of the block out, at the end of the task."""
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a name to each query that takes part: a digest of its whole numbers."""
+    for batch in batches:
+        keep, names = [], []
+        for i in range(batch.num_rows):
+            _, vecs = whole_numbers(batch.column("id").slice(i, 1), batch.column("embedding").slice(i, 1))
+            if vecs:
+                keep.append(i)
+                names.append(xxhash.xxh3_128_digest(vecs[0].tobytes()))
+        some = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([some.column("w"), some.column("id"), pa.array(names, pa.binary()), some.column("embedding")], ["w", "id", "q", "embedding"])
+
+
+def _walk(k: int):
+    """Rows sorted by (w, shard, side): a shard's vectors, then the queries; at most k results of the shard for each query."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, names, queries, floor = held.value
-        best = Best(names, k, floor)
-        width = queries.shape[1]
+        at: tuple[int, int] | None = None
         ids: list[np.ndarray] = []
         rows: list[np.ndarray] = []
+        trees: list[KDTree] = []
 
-        def settle() -> None:
+        def plant() -> None:
             if rows:
-                KDTree(np.concatenate(ids), np.stack(rows)).search(queries, best)
+                trees.append(KDTree(np.concatenate(ids), np.stack(rows)))
                 ids.clear()
                 rows.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD):
-                part = batch.slice(at, SHARD)
-                own, vecs = whole_numbers(part.column("vec_id"), part.column("embedding"))
-                fit = [i for i, v in enumerate(vecs) if len(v) == width]
-                ids.append(own[fit])
-                rows += [vecs[i] for i in fit]
-                if len(rows) >= SHARD:
-                    settle()
-        settle()
-        q, r = np.nonzero(best.filled)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), pa.array(names[q]), pa.array(best.id[q, r]), pa.array(best.score[q, r])], ["q", "query_id", "vec_id", "score"])
+            if not batch.num_rows:
+                continue
+            place = np.column_stack([batch.column(c).to_numpy() for c in ("w", "shard", "side")])
+            edges = np.append(np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]).any(1)))), len(place)).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                w, shard, side = place[a].tolist()
+                if (w, shard) != at:
+                    at = (w, shard)
+                    ids.clear()
+                    rows.clear()
+                    trees.clear()
+                part = batch.slice(a, b - a)
+                if side == 0:
+                    for i in range(0, part.num_rows, SHARD):
+                        own, vecs = whole_numbers(part.column("id").slice(i, SHARD), part.column("embedding").slice(i, SHARD))
+                        ids.append(own)
+                        rows += vecs
+                        if len(rows) >= SHARD:
+                            plant()
+                    continue
+                plant()
+                names, vecs = whole_numbers(part.column("id"), part.column("embedding"))
+                best = Best(names, k, part.column("floor").fill_null(_LOW).to_numpy(zero_copy_only=False))
+                for tree in trees:
+                    tree.search(np.stack(vecs), best)
+                q, r = np.nonzero(best.filled)
+                yield pa.RecordBatch.from_arrays([part.column("q").take(pa.array(q)), pa.array(names[q]), pa.array(best.id[q, r]), pa.array(best.score[q, r])], ["q", "query_id", "vec_id", "score"])
 
     return step
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, queries: Column | None = None, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` chooses (every id divisible by EVERY) its k best others."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
-    chosen = rows.where(F.coalesce(F.pmod("vec_id", F.lit(EVERY)) == 0 if queries is None else queries, F.lit(False))).where(F.size("embedding") > 0)
-    sizes = {r["w"]: r["n"] for r in chosen.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).collect()}
-    seeds = rows.where("vec_id is not null").select("vec_id", "embedding", F.xxhash64("vec_id").alias("_o")).orderBy("_o", "vec_id").limit(SEED_ROWS).select("vec_id", "embedding").toArrow().combine_chunks()
-    seed_ids, seed_rows = whole_numbers(*(_chunk(seeds.column(c)) for c in ("vec_id", "embedding")))
-    found = None
-    for width, n in sorted(sizes.items()):
-        blocks = -(-n * width // QUERY_NUMBERS)
-        for i in range(blocks):
-            own = chosen.where((F.size("embedding") == width) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)).toArrow().combine_chunks()
-            names, vecs = whole_numbers(*(_chunk(own.column(c)) for c in ("vec_id", "embedding")))
-            if not len(names):
-                continue
-            names, q = _distinct(names, vecs)
-            seed = Best(names, k, np.full(len(names), _LOW, np.int64))
-            same = [j for j, v in enumerate(seed_rows) if len(v) == width]
-            if same:
-                seed.add(np.arange(len(names)), products(q, np.stack([seed_rows[j] for j in same])), seed_ids[same])
-            held = spark.sparkContext.broadcast((np.arange(len(names), dtype=np.int64) + (i << 32), names, q, seed.kth))
-            part = rows.mapInArrow(_walk(held, k), "q bigint, query_id bigint, vec_id bigint, score bigint").withColumn("w", F.lit(width))
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("w", "q", "query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _chunk(col: pa.ChunkedArray) -> pa.Array:
-    return col.combine_chunks() if col.num_chunks != 1 else col.chunk(0)
-
-
-def _distinct(names: np.ndarray, vecs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Equal queries once, in order of id."""
-    seen = {(int(n), v.tobytes()): (int(n), v) for n, v in zip(names, vecs, strict=True)}
-    rows = sorted(seen.items())
-    return np.array([n for (n, _), _ in rows], np.int64), np.stack([v for _, (_, v) in rows])
+    rows = rows.withColumn("w", F.size("embedding")).where("vec_id is not null and w > 0")
+    wanted = F.coalesce(F.pmod("vec_id", F.lit(EVERY)) == 0 if queries is None else queries, F.lit(False))
+    asked = rows.where(wanted).select("w", F.col("vec_id").alias("id"), "embedding").mapInArrow(_named, f"w int, id bigint, q binary, embedding {rows.schema['embedding'].dataType.simpleString()}")
+    asked = materialise(spark, asked.dropDuplicates(["id", "q"]))
+    n = rows.count()
+    per_shard = min(SHARD_ROWS, max(LEAST_ROWS, -(-n // SHARDS)))
+    shards = max(1, -(-n // per_shard))
+    first = -(-shards // SEED_SHARE)  # shards that go first
+    dealt = rows.select("w", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("side"), F.col("vec_id").alias("id"), F.lit(None).cast("binary").alias("q"), F.lit(None).cast("bigint").alias("floor"), "embedding")
+
+    def visit(asked: DataFrame, a: int, b: int) -> DataFrame:
+        """What the queries find in the shards from a to b - 1."""
+        each = asked.withColumns({"side": F.lit(1), "shard": F.explode(F.sequence(F.lit(a), F.lit(b - 1)))}).select(dealt.columns)
+        both = dealt.where(F.col("shard").between(a, b - 1)).unionByName(each)
+        return both.repartition("w", "shard").sortWithinPartitions("w", "shard", "side").mapInArrow(_walk(k), "q binary, query_id bigint, vec_id bigint, score bigint")
+
+    found = materialise(spark, _best(visit(asked.withColumn("floor", F.lit(None).cast("bigint")), 0, first), k))
+    if first < shards:
+        kth = found.where(F.col("rank") == k).select("q", F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        found = _best(found.drop("rank").unionByName(visit(asked.join(kth, ["q", "id"], "left"), first, shards)), k)
+    return found.select("query_id", "rank", "vec_id", "score")
