@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.spans import LOWER, buffer_of, runs_of, texts_of
+from runlens.llm.spans import CHUNK, LOWER, buffer_of, runs_of, texts_of
 from runlens.llm.toxicity import held_out
 from runlens.session import materialise
 
@@ -189,9 +189,12 @@ class Predictor:
             return names.tolist(), score
         for i, j in runs_of(col):
             buf, at = buffer_of(col.slice(i, j - i))
-            x, owner, letters = windows_of(buf, at)
-            p = self._windows(x) * (letters + 1e-3)[:, None]
-            total = np.column_stack([np.bincount(owner, p[:, k], j - i) for k in range(p.shape[1])])
+            total = np.zeros((j - i, len(self.net.languages)))
+            # one long text goes piece by piece; pieces are whole windows
+            for a in range(0, max(len(buf), 1), CHUNK) if j - i == 1 else (0,):
+                x, owner, letters = windows_of(buf[a : a + CHUNK], np.array([0, min(CHUNK, len(buf) - a)])) if j - i == 1 else windows_of(buf, at)
+                p = self._windows(x) * (letters + 1e-3)[:, None]
+                total += np.column_stack([np.bincount(owner, p[:, k], j - i) for k in range(p.shape[1])])
             total /= total.sum(1, keepdims=True)
             best = total.argmax(1)
             names[i:j], score[i:j] = np.array(self.net.languages, object)[best], total[np.arange(j - i), best]

@@ -70,16 +70,20 @@ def _clean_here(docs: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def _clean_by_join(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """For any number of hashes: those to remove are sent to their documents."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")  # rows that share an id share the list, which holds boilerplate only
-    rows = docs.select(key, F.explode(F.split("text", "\n", -1)).alias("line")).select("_key", line_key(F.col("line")).alias("h"))
-    drop = materialise(docs.sparkSession, rows.join(common, "h", "left_semi").groupBy("_key").agg(F.collect_set("h").alias("_drop")))
-    lines, none = F.split("text", "\n", -1), F.col("text").isNull()
-    kept = F.filter(lines, lambda x: F.col("_drop").isNull() | ~F.array_contains("_drop", line_key(x)))
-    out = docs.withColumn("_key", key).join(drop, "_key", "left").withColumn("_kept", kept)
-    count = lambda x: F.when(none, 0).otherwise(x).cast("bigint")
-    columns = [F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*columns, count(F.size(lines)).alias("n_lines"), count(F.size(lines) - F.size("_kept")).alias("n_removed"))
+    """For any number of hashes: lines meet them by hash, and documents that lose some are put together again from the others."""
+    spark = docs.sparkSession
+    rows = materialise(spark, docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("id")))
+    lines = rows.select("id", F.posexplode(F.split("row.text", "\n", -1)).alias("pos", "line"))
+    lost = lines.select("id", "pos", line_key(F.col("line")).alias("h")).join(common, "h", "left_semi").select("id", "pos", F.lit(True).alias("gone"))
+    lost = materialise(spark, lost)
+    touched = lines.join(lost.select("id").distinct(), "id", "left_semi").join(lost, ["id", "pos"], "left").where("gone is null")
+    kept = touched.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("kept"))
+    out = rows.join(lost.groupBy("id").count(), "id", "left").join(kept, "id", "left")
+    removed = F.coalesce(F.col("count"), F.lit(0)).cast("bigint")
+    text = F.when(removed > 0, F.coalesce("kept", F.lit(""))).otherwise(F.col("row.text"))
+    columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n", -1))).cast("bigint")
+    return out.select(*columns, n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def without_boilerplate(docs: DataFrame, sites: int = SITES, held: int = HELD) -> DataFrame:
