@@ -114,10 +114,20 @@ def test_pages(spark):
 )
 def test_pages_names_are_weak_evidence(spark, page, text):
     blocks = pages.blocks_of(page)
-    got = "\n".join(t for r, t, _ in blocks if r == pages.MAIN) if pages.has_main(blocks) else pages.choose(blocks, np.zeros(0, np.int64))
+    got = pages.choose(blocks, np.zeros(0, np.int64), judged=False)
     assert got == text
 
 
+def test_pages_ask_the_host(spark):
+    """Names that articles use too are furniture where the host repeats them; plain text outside an article stays where it is unique."""
+    share = "Share this story with all of your friends on every network"
+    page = lambda i: f"<div>{share} today</div><div>The lead of story {i} runs over ten words {i * i} here</div><article><p>Text {i}</p><div class='related'>Background of case {i} as told by {i * 3} people then</div><div class='share'>{share}</div><div class='login'><a href='/l'>Log in</a></div></article>"
+    df = spark.createDataFrame([(i, "https://h.example/", page(i)) for i in range(20)] + [(50, "https://one.example/", page(50))], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    inner = lambda i: f"Text {i}\nBackground of case {i} as told by {i * 3} people then"
+    assert got == {i: f"The lead of story {i} runs over ten words {i * i} here\n{inner(i)}" for i in range(20)} | {50: f"{inner(50)}\n{share}"}
+
+
 def test_pages_host_counts_are_merged(spark):
     """A section's menu on 100 of a host's 1,000 pages goes, what is unique in its block stays, and so does what stands on too few pages."""
     menu, rare = "Local Council Roads Schools Parks Police Courts Weather Notices", "these nine words stand on only five pages here"
@@ -242,6 +252,7 @@ def test_mixing_keeps_rows_and_order(spark, odd):
 def test_mixing_beyond_the_broadcast(spark, docs, monkeypatch):
     want = sorted(map(tuple, mixing.schedule(docs.select("doc_id", "source")).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_HEADS", 0)
     got = mixing.schedule(docs.select("doc_id", "source"))
     assert "ResolvedHint" not in (plan := got._jdf.queryExecution().analyzed().toString()) and "broadcast" not in plan and sorted(map(tuple, got.collect())) == want
 
@@ -279,7 +290,7 @@ def test_token_files_round_trip(spark, odd, tokenizer, tmp_path):
 
 def test_encoder_is_the_library(tokenizer):
     texts = ["It's they'll we've I'd 'tis ''s", "a  b   c \n\n d\t\te ", " lead", "x<|endoftext|>y", "é ñ 日本語 12ab34", "  a", "  z 's", "don't DON'T", "", "🙂🙂 ok", "a\r\nb"]
-    got = token_files.encoder(queries.vocabulary("byte_bpe_50k.json")).encode(texts)
+    got = token_files.encoder(queries.vocabulary("byte_bpe_50k.json")).encode(pa.array(texts, pa.large_string()))
     assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
