@@ -12,7 +12,10 @@ from runlens.functions.text import integer
 #: The keys a snippet must have.
 REQUIRED = ("file_path", "start_line", "end_line", "category")
 STALL_SECONDS = 120.0
-#: Files that an annotation may leave out.
+#: What is wrong with an output file.
+NO_FILE, NO_JSON, NO_SHAPE = "output file does not exist", "not valid JSON", "must be a JSON object or list"
+NO_LIST, NO_OBJECT = "'snippets' must be a list", "snippet must be an object"
+#: Fixed values, down to I18N_EXTENSIONS: files that an annotation may leave out.
 DOC_EXTENSIONS = (".md", ".mdx", ".rst", ".txt", ".asciidoc", ".adoc", ".po", ".pot", ".svg", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".webp")
 MANIFESTS = (
     "go.mod", "go.sum", "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.toml", "cargo.lock", "poetry.lock", "pipfile",
@@ -30,7 +33,7 @@ I18N, I18N_EXTENSIONS = ("locale", "locales", "i18n", "translations", "lang", "l
 
 def snippets(outputs: DataFrame, keys: list[str]) -> DataFrame:
     """outputs (keys, output): (keys, pos, snippet) of a bare list or an object's `snippets`; items that are no objects are skipped."""
-    v = F.try_parse_json("output")
+    v = _value(F.col("output"))
     listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.snippets", "array<variant>"))
     flat = outputs.select(*keys, F.posexplode(listed).alias("pos", "snippet"))
     return flat.where(F.schema_of_variant("snippet").startswith("OBJECT"))
@@ -39,7 +42,8 @@ def snippets(outputs: DataFrame, keys: list[str]) -> DataFrame:
 def as_int(v: Column) -> Column:
     """Numbers truncate, texts must hold a whole number, booleans are no numbers: null where there is none."""
     kind = F.schema_of_variant(v)
-    number = F.when(kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE"), F.try_variant_get(v, "$", "double").cast("bigint"))
+    whole, part = F.try_variant_get(v, "$", "bigint"), F.try_variant_get(v, "$", "decimal(38,18)").try_cast("bigint")
+    number = F.when(kind == "BIGINT", whole).when(kind.startswith("DECIMAL"), F.coalesce(part, whole)).when(kind == "DOUBLE", F.try_variant_get(v, "$", "double").try_cast("bigint"))
     return F.when(kind == "STRING", integer(F.try_variant_get(v, "$", "string"))).otherwise(number)
 
 
@@ -58,7 +62,7 @@ def problems(parsed: DataFrame, files: DataFrame, keys: list[str], categories: l
     known = files.select(*keys, "file_path", "last_line")
     j = parsed.join(known, [*keys, "file_path"], "left")
     missing = F.transform(F.array_except(F.array(*map(F.lit, REQUIRED)), F.col("present")), lambda k: F.concat(F.lit("missing key "), k))
-    category = F.array_compact(F.array(F.when(~F.col("category").isin(*categories), "unknown category")))
+    category = F.array_compact(F.array(F.when(~F.coalesce(F.col("category").isin(*categories), F.lit(False)), "unknown category")))
     number = F.when(F.col("start_line").isNull() | F.col("end_line").isNull(), F.array(F.lit("not a line number")))
     file = F.when(F.col("last_line").isNull(), F.array(F.lit("file not found")))
     place = F.array_compact(F.array(
@@ -95,24 +99,57 @@ def acceptable_miss(path: Column) -> Column:
 
 def source_misses(gold: DataFrame, annotated: DataFrame, new_files: DataFrame) -> DataFrame:
     """gold (inst, path), annotated (inst, path): existing gold files of annotated instances that no snippet names and none may leave out."""
-    seen = annotated.select("inst").distinct()
-    left = gold.join(seen, "inst", "left_semi").join(annotated.select("inst", "path").distinct(), ["inst", "path"], "left_anti").join(new_files, ["inst", "path"], "left_anti")
-    return left.where(~acceptable_miss(F.col("path"))).distinct()
+    wanted = gold.select("inst", "path").where(~acceptable_miss(F.col("path"))).distinct()
+    named = annotated.select("inst", "path").unionByName(new_files.select("inst", "path"))
+    return wanted.join(annotated.select("inst").distinct(), "inst", "left_semi").join(named, ["inst", "path"], "left_anti")
+
+
+def miss_audit(gold: DataFrame, annotated: DataFrame, new_files: DataFrame) -> DataFrame:
+    """One row: annotated instances with gold files, and those of them that miss a source file."""
+    seen = gold.select("inst").distinct().join(annotated.select("inst").distinct(), "inst", "left_semi")
+    flagged = source_misses(gold, annotated, new_files).groupBy("inst").agg(F.lit(1).alias("missed"))
+    return seen.join(flagged, "inst", "left").agg(F.count("*").alias("scanned"), F.count("missed").alias("flagged"))
+
+
+def _value(output: Column) -> Column:
+    return F.try_parse_json(output)
+
+
+def output_problems(outputs: DataFrame, keys: list[str]) -> DataFrame:
+    """outputs (keys, output; null: no file): (keys, pos, problem) of what is wrong with a file as a whole, at pos -1, and of items that are no objects.
+
+    A text counts as a list of its characters, none of which is an object.
+    """
+    v = _value(F.col("output"))
+    kind, listed = F.schema_of_variant(v), F.try_variant_get(v, "$.snippets", "variant")
+    inner = F.schema_of_variant(listed)
+    whole = (
+        F.when(F.col("output").isNull(), NO_FILE).when(v.isNull(), NO_JSON).when(kind.startswith("OBJECT") & listed.isNotNull() & ~inner.startswith("ARRAY") & (inner != "STRING"), NO_LIST)
+        .when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "STRING"), NO_SHAPE)
+    )
+    text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(inner == "STRING", F.try_variant_get(v, "$.snippets", "string"))
+    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.snippets", "array<variant>"))
+    odd = F.when(text.isNotNull(), F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.lit(True))).otherwise(F.transform(items, lambda x: ~F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))))
+    each = outputs.select(*keys, F.posexplode(F.when(whole.isNull(), odd)).alias("pos", "odd")).where("odd").select(*keys, "pos", F.lit(NO_OBJECT).alias("problem"))
+    return outputs.select(*keys, F.lit(-1).alias("pos"), whole.alias("problem")).where("problem is not null").unionByName(each)
 
 
 def recall(gold: DataFrame, annotated: DataFrame) -> DataFrame:
-    """Per instance: gold files, those covered, those missed (sorted)."""
-    hit = gold.distinct().join(annotated.select("inst", "path", F.lit(True).alias("hit")).distinct(), ["inst", "path"], "left")
-    return hit.groupBy("inst").agg(F.count("*").alias("n_gold"), F.count("hit").alias("n_covered"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("path")))).alias("missed"))
+    """Per instance: gold files, those covered, those missed (sorted), and how many files the annotation names."""
+    named = annotated.select("inst", "path", F.lit(True).alias("hit")).distinct()
+    hit = gold.distinct().join(named, ["inst", "path"], "left")
+    sizes = named.groupBy("inst").agg(F.count("*").alias("n_named"))
+    return hit.groupBy("inst").agg(F.count("*").alias("n_gold"), F.count("hit").alias("n_covered"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("path")))).alias("missed")).join(sizes, "inst", "left").na.fill(0, ["n_named"])
 
 
 def cost_rollup(runs: DataFrame) -> DataFrame:
-    """runs (lang, error, valid, cost, input, cache_creation, cache_read, output): sums per language and in all (lang null); runs with an error do not count."""
+    """runs (lang, error, valid, cost, input, cache_creation, cache_read, output): per language and in all (`total`): all runs, and of those without an error the number, the valid ones and sums."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    ok = runs.where("error is null")
-    return ok.rollup("lang").agg(
-        F.count("*").alias("n_runs"), F.count_if(F.coalesce("valid", F.lit(False))).alias("n_valid"), F.sum(zero("cost")).alias("cost"),
-        F.sum(zero("input") + zero("cache_creation") + zero("cache_read")).alias("input_tokens"), F.sum(zero("output")).alias("output_tokens"),
+    ok = F.col("error").isNull()
+    of_ok = lambda c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0))
+    return runs.rollup("lang").agg(
+        (F.grouping("lang") == 1).alias("total"), F.count("*").alias("n_runs"), F.count_if(ok).alias("n_ok"), F.count_if(ok & F.coalesce("valid", F.lit(False))).alias("n_valid"),
+        of_ok(zero("cost")).alias("cost"), of_ok(zero("input") + zero("cache_creation") + zero("cache_read")).alias("input_tokens"), of_ok(zero("output")).alias("output_tokens"),
     )
 
 

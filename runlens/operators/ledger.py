@@ -67,8 +67,8 @@ def retryable(outcome: Column) -> Column:
 
 
 def retry_rollout(status: Column, valid: Column, leaked: Column, outcome: Column, on_timeout: bool = False) -> Column:
-    """Whether a rollout may run again: never after a leak, always after a failure that was not the agent's. Reads no patch and no grade."""
-    return F.when(leaked, False).when(status == "timeout", F.lit(on_timeout)).when(~valid, True).otherwise(F.coalesce(retryable(outcome), F.lit(False)))
+    """Whether a rollout may run again: a timeout asks its own setting first; never after a leak, always after a failure that was not the agent's. Reads no patch and no grade."""
+    return F.when(status == "timeout", F.lit(on_timeout)).when(leaked, False).when(~valid, True).otherwise(F.coalesce(retryable(outcome), F.lit(False)))
 
 
 def retry_grading(status: Column, valid: Column, resolved: Column, on_timeout: bool = False) -> Column:

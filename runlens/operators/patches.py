@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from runlens.functions.text import lines, strip
 
-#: What marks a section as binary.
-BINARY = ("\nBinary files ", "\nGIT binary patch")
+#: The lines that mark a section as binary.
+BINARY = r"(?dm)^Binary files .* differ$|^GIT binary patch$"
 
 
 def line_table(patches: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,9 +20,9 @@ def line_table(patches: DataFrame, keys: list[str]) -> DataFrame:
 def paths(patches: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path, created): files touched, and whether the diff creates them (its line before names /dev/null)."""
     t = line_table(patches, keys)
-    side = F.when(F.col("line").startswith("+++ b/"), F.substr("line", F.lit(7))).when(F.col("line").startswith("--- a/"), F.substr("line", F.lit(7)))
+    side = F.when(F.col("line").startswith("+++ b/") | F.col("line").startswith("--- a/"), strip(F.substr("line", F.lit(7))))  # a name with a blank has a tab after it
     made = F.col("line").startswith("+++ b/") & F.coalesce(F.col("prev").startswith("--- /dev/null"), F.lit(False))
-    return t.select(*keys, side.alias("path"), made.alias("created")).where("path is not null").groupBy(*keys, "path").agg(F.bool_or("created").alias("created"))
+    return t.select(*keys, side.alias("path"), made.alias("created")).where("path <> ''").groupBy(*keys, "path").agg(F.bool_or("created").alias("created"))
 
 
 def added_text(diff: Column) -> Column:
@@ -33,17 +33,17 @@ def added_text(diff: Column) -> Column:
 
 def sections(diff: Column) -> Column:
     """The diff cut before each line that opens a file's section; what stands before the first is a section too."""
-    return F.split(diff, r"(?m)^(?=diff --git )", -1)
+    return F.split(diff, r"(?dm)^(?=diff --git )", -1)
 
 
 def without_binary(diff: Column) -> Column:
-    kept = F.filter(sections(diff), lambda s: (strip(s) != "") & ~F.greatest(*(s.contains(m) for m in BINARY)))
+    kept = F.filter(sections(diff), lambda s: (strip(s) != "") & ~s.rlike(BINARY))
     return F.array_join(kept, "")
 
 
 def is_empty(diff: Column) -> Column:
     """Blank, or without any file section."""
-    return (strip(diff) == "") | ~diff.rlike(r"(?m)^diff --git ")
+    return (strip(diff) == "") | ~diff.rlike(r"(?dm)^diff --git ")
 
 
 def gold_files(diff: Column) -> Column:
