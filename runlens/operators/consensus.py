@@ -11,23 +11,36 @@ from pyspark.sql import functions as F
 VOTES = 2
 
 
-def named_lines(candidates: DataFrame) -> DataFrame:
-    """(inst, run, file, line), once per run."""
-    real = candidates.where("e >= s").select("inst", "run", "file", F.explode(F.sequence("s", "e")).alias("line"))
-    return real.distinct()
-
-
-def islands(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of consecutive lines: (keys, s, e)."""
-    gap = F.col("line") - F.row_number().over(Window.partitionBy(*keys).orderBy("line"))
-    return lines.withColumn("_g", gap).groupBy(*keys, "_g").agg(F.min("line").alias("s"), F.max("line").alias("e")).drop("_g")
+def coverage(candidates: DataFrame) -> DataFrame:
+    """(inst, file, s, e, k): stretches of lines that the same number k of runs name, in ranges from end to end: a line costs nothing.
+
+    Each run's ranges are merged first, so a line counts once per run. One shuffle by file serves every step.
+    """
+    real = candidates.where("e >= s").select("inst", "run", "file", "s", "e").repartition("inst", "file")
+    by_run = Window.partitionBy("inst", "file", "run").orderBy("s", "e")
+    reach = F.max("e").over(by_run.rowsBetween(Window.unboundedPreceding, -1))
+    apart = real.withColumn("_new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1))).withColumn("_i", F.sum("_new").over(by_run.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = apart.groupBy("inst", "file", "run", "_i").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    ends = merged.select("inst", "file", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    ends = ends.groupBy("inst", "file", F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
+    by_file = Window.partitionBy("inst", "file").orderBy("at")
+    k = F.sum("d").over(by_file.rowsBetween(Window.unboundedPreceding, 0))
+    return ends.select("inst", "file", F.col("at").alias("s"), (F.lead("at").over(by_file) - 1).alias("e"), k.alias("k")).where("k > 0")
+
+
+def joined(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranges (keys, s, e) that do not overlap; those that touch become one."""
+    w = Window.partitionBy(*keys).orderBy("s")
+    new = F.coalesce((F.col("s") > F.lag("e").over(w) + 1).cast("int"), F.lit(1))
+    flagged = ranges.withColumn("_new", new).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return flagged.groupBy(*keys, "_i").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_i")
 
 
 def voted_ranges(candidates: DataFrame, votes: int = VOTES) -> DataFrame:
     """Files named by `votes` runs with the ranges whose every line was named by `votes` runs; a file without such lines has null ends."""
     files = candidates.groupBy("inst", "file").agg(F.countDistinct("run").alias("runs")).where(F.col("runs") >= votes)
-    kept = named_lines(candidates).groupBy("inst", "file", "line").count().where(F.col("count") >= votes).drop("count")
-    return files.join(islands(kept, ["inst", "file"]), ["inst", "file"], "left")
+    kept = coverage(candidates).where(F.col("k") >= votes).select("inst", "file", "s", "e")
+    return files.join(joined(kept, ["inst", "file"]), ["inst", "file"], "left")
 
 
 def file_agreement(runs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -48,6 +61,7 @@ def line_iou(runs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per file that all runs name: lines all runs name, lines any names, their ratio (0 if there is no line)."""
     n = runs.groupBy("inst").agg(F.countDistinct("run").alias("n_runs"))
     shared = candidates.groupBy("inst", "file").agg(F.countDistinct("run").alias("named")).join(n, "inst").where("named = n_runs").select("inst", "file", "n_runs")
-    by_line = named_lines(candidates).groupBy("inst", "file", "line").agg(F.count("*").alias("k"))
-    out = shared.join(by_line, ["inst", "file"], "left").groupBy("inst", "file").agg(F.count_if(F.col("k") == F.col("n_runs")).alias("both"), F.count("line").alias("total"))
+    size = F.col("e") - F.col("s") + 1
+    out = shared.join(coverage(candidates), ["inst", "file"], "left").groupBy("inst", "file")
+    out = out.agg(F.coalesce(F.sum(F.when(F.col("k") == F.col("n_runs"), size)), F.lit(0)).alias("both"), F.coalesce(F.sum(size), F.lit(0)).alias("total"))
     return out.withColumn("iou", F.when(F.col("total") > 0, F.col("both") / F.col("total")).otherwise(F.lit(0.0)))
