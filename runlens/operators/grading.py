@@ -27,6 +27,16 @@ def required_tests(f2p: Column, p2p: Column) -> Column:
     return F.array_sort(F.array_union(f2p, p2p))
 
 
+def listed_tests(f2p: Column, p2p: Column) -> Column:
+    """As a record lists them: one after the other, repeats kept."""
+    return F.concat(f2p, p2p)
+
+
+def mean_score(graded: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mean_score), and as an extension pass_at(k) is left to the caller's arithmetic on n and the resolved."""
+    return graded.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.count_if("resolved").alias("resolved"))
+
+
 def verdict(required: Column, passed: Column, state: Column) -> dict[str, Column]:
     """missing (sorted), score, resolved, and the counts reports use. With nothing required a parsed output resolves."""
     missing = F.array_sort(F.array_except(required, passed))

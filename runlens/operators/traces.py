@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,19 +67,17 @@ def complete(subtype: Column, is_error: Column) -> Column:
     return F.coalesce((subtype == "success") & ~is_error, F.lit(False))
 
 
-def blocks(traces: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, block_pos, role, type, text, name, input): blocks of user, assistant and system messages in order.
+def content_blocks(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """messages (keys, pos, role, content): (keys, pos, block_pos, role, type, text, name, input), blocks of user, assistant and system messages.
 
     A text is one block (none if empty); thinking becomes reasoning; blocks of other types are dropped, and so are
     messages of other roles. A tool result's parts are joined by a blank line. `input` stays JSON text.
     """
-    e = events(traces, keys).where(text_at("event", "$.type").isin("user", "assistant"))
-    role = text_at("event", "$.message.role")
-    content = F.try_variant_get("event", "$.message.content", "variant")
-    plain = F.schema_of_variant(content) == "STRING"
-    items = F.when(~plain, F.try_variant_get("event", "$.message.content", "array<variant>"))
-    one = F.when(plain & (text_at("event", "$.message.content") != ""), F.array(F.to_variant_object(F.struct(F.lit("text").alias("type"), text_at("event", "$.message.content").alias("text")))))
-    flat = e.where(role.isin("user", "assistant", "system")).select(*keys, "pos", role.alias("role"), F.posexplode(F.coalesce(one, items)).alias("block_pos", "b"))
+    whole = F.try_variant_get("content", "$", "string")
+    plain = F.schema_of_variant("content") == "STRING"
+    items = F.when(~plain, F.try_variant_get("content", "$", "array<variant>"))
+    one = F.when(plain & (whole != ""), F.array(F.to_variant_object(F.struct(F.lit("text").alias("type"), whole.alias("text")))))
+    flat = messages.where(F.col("role").isin("user", "assistant", "system")).select(*keys, "pos", "role", F.posexplode(F.coalesce(one, items)).alias("block_pos", "b"))
     kind = text_at("b", "$.type")
     result = F.try_variant_get("b", "$.content", "variant")
     parts = F.filter(F.transform(F.try_variant_get("b", "$.content", "array<variant>"), lambda p: F.when(F.try_variant_get(p, "$.type", "string") == "text", F.try_variant_get(p, "$.text", "string"))), lambda t: t.isNotNull())
@@ -88,6 +88,36 @@ def blocks(traces: DataFrame, keys: list[str]) -> DataFrame:
     return out.where("type is not null")
 
 
+def blocks(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """The blocks of an event stream's user and assistant messages in order."""
+    e = events(traces, keys).where(text_at("event", "$.type").isin("user", "assistant"))
+    return content_blocks(e.select(*keys, "pos", text_at("event", "$.message.role").alias("role"), F.try_variant_get("event", "$.message.content", "variant").alias("content")), keys)
+
+
+def last_record(logs: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
+    """logs (keys, raw): (keys, record) of a proxy's log. Lenient: the last line that holds an object. Strict: the last line that is not
+    blank, an error if it is no JSON, null if it is no object."""
+    flat = logs.select(*keys, F.posexplode(lines(F.coalesce("raw", F.lit("")))).alias("pos", "line")).where(strip(F.col("line")) != "")
+    if strict:
+        last = flat.groupBy(*keys).agg(F.max_by("line", "pos").alias("line"))
+        record = F.parse_json(strip(F.col("line")))
+        found = last.select(*keys, F.when(F.schema_of_variant(record).startswith("OBJECT"), F.to_json(record)).alias("record"))
+    else:
+        found = last_event(events(logs, keys), keys).withColumnRenamed("event", "record")
+    return logs.select(*keys).distinct().join(found, keys, "left")
+
+
+def conversation_of_proxy(records: DataFrame, keys: list[str]) -> DataFrame:
+    """records (keys, record): the blocks of the whole session: the system prompt, all turns so far, the final assistant turn."""
+    r = records.select(*keys, F.try_parse_json("record").alias("r"))
+    turn = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    asked = F.transform(F.coalesce(F.try_variant_get("r", "$.request.body.messages", "array<variant>"), F.array().cast("array<variant>")), lambda m: turn(F.try_variant_get(m, "$.role", "string"), F.try_variant_get(m, "$.content", "variant")))
+    first = F.array(turn(F.lit("system"), F.try_variant_get("r", "$.request.body.system", "variant")))
+    final = F.array(turn(F.lit("assistant"), F.try_variant_get("r", "$.response.message.content", "variant")))
+    flat = r.select(*keys, F.posexplode(F.concat(first, asked, final)).alias("pos", "m"))
+    return content_blocks(flat.select(*keys, "pos", "m.role", "m.content"), keys)
+
+
 def conversations(traces: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_messages, n_blocks): messages that keep a block, and their blocks."""
     return blocks(traces, keys).groupBy(*keys).agg(F.countDistinct("pos").alias("n_messages"), F.count("*").alias("n_blocks"))
@@ -121,6 +151,54 @@ def exchange_of_stream(traces: DataFrame, keys: list[str]) -> DataFrame:
     return got.select(*keys, F.transform("m", lambda x: x["m"]).alias("messages"), "model", complete(F.col("r.s"), F.col("r.e")).alias("complete"))
 
 
+def _object(fields: dict[str, Column]) -> Column:
+    """A JSON object of texts that are JSON themselves; null fields are written."""
+    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _at(v: Column | str, path: str) -> Column:
+    """What stands at a path, as JSON text."""
+    return F.to_json(F.try_variant_get(v, path, "variant"))
+
+
+def _scrubbed(v: Column, path: str, scrub) -> Column:
+    """An object's members as JSON text through `scrub` (a map of such texts); what is no object stays as it is."""
+    whole = F.transform_values(F.try_variant_get(v, path, "map<string,variant>"), lambda k, x: F.to_json(x))
+    quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    listed = F.transform(F.map_entries(scrub(whole)), lambda m: F.concat(quoted(m["key"]), F.lit(":"), m["value"]))
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith("OBJECT"), F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}"))).otherwise(_at(v, path))
+
+
+def exchange_of_proxy(records: DataFrame, keys: list[str], home: str = "", name: str = "", email: str = "") -> DataFrame:
+    """records (keys, record): (keys, exchange), the unified record as JSON text: source, complete, model, messages, system, tools, extra_info.
+
+    Secret headers and the user's id are taken out, and every text in it is redacted (`redact_json`). A null record gives null.
+    """
+    r = records.select(*keys, "record", F.try_parse_json("record").alias("r"))
+    v = F.col("r")
+    asked = F.coalesce(F.try_variant_get(v, "$.request.body.messages", "array<variant>"), F.array().cast("array<variant>"))
+    answer = F.try_variant_get(v, "$.response.message", "variant")
+    talk = F.concat(asked, F.when(F.schema_of_variant(answer).startswith("OBJECT"), F.array(answer)).otherwise(F.array().cast("array<variant>")))
+    messages = F.concat(F.lit("["), F.array_join(F.transform(talk, lambda m: _object({f: _at(m, f"$.{f}") for f in MESSAGE_FIELDS})), ","), F.lit("]"))
+    headers = lambda m: F.transform_values(m, lambda k, x: F.when(F.lower(k).isin(*SECRET_HEADERS), '"<redacted>"').otherwise(x))
+    extra = _object({
+        "request_headers": _scrubbed(v, "$.request.headers", headers), "response_headers": _scrubbed(v, "$.response.headers", headers), "status": _at(v, "$.response.status"),
+        "request_params": _object({p: _at(v, f"$.request.body.{p}") for p in PARAMS}), "metadata": _scrubbed(v, "$.request.body.metadata", scrub_metadata),
+    })
+    whole = F.coalesce(F.try_variant_get(v, "$.complete", "boolean"), F.lit(False)).cast("string")
+    record = _object({"source": F.lit('"proxy"'), "complete": whole, "model": _at(v, "$.request.body.model"), "messages": messages, "system": _at(v, "$.request.body.system"), "tools": _at(v, "$.request.body.tools"), "extra_info": extra})
+    return r.select(*keys, F.when(v.isNotNull(), redact_json(record, home, name, email)).alias("exchange"))
+
+
+def redact_json(record: Column, home: str = "", name: str = "", email: str = "") -> Column:
+    """`redact` for every text of a record at once, in its JSON form: a sentence ends at an escaped line end or the closing quote. Keys are redacted too."""
+    inner = lambda t: json.dumps(t, ensure_ascii=False)[1:-1]
+    text = literal(literal(literal(record, inner(home), HOME), inner(name), NAME), inner(email), EMAIL)
+    text = F.regexp_replace(text, r'(The user\'s email address is )(?:[^\s"\\]|\\["\\/])+', f"$1{EMAIL}")
+    return F.regexp_replace(text, r'(Git user: )(?:[^"\\\n]|\\[^n])+', f"$1{NAME}")
+
+
 def scrub_headers(headers: Column) -> Column:
     return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(*SECRET_HEADERS), "<redacted>").otherwise(v))
 
