@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.operators import annotations, grading, reconcile
+from runlens.session import materialise
+
+ROLLOUT = ("sweep", "inst", "rollout")
+KEY = (*ROLLOUT, "task", "attempt")
 
 
 def write_combined(rows: DataFrame, path: str) -> DataFrame:
@@ -15,16 +22,61 @@ def write_combined(rows: DataFrame, path: str) -> DataFrame:
 
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """One row: rows, snippets, and a digest over the digests of the table's files in order."""
-    table = spark.read.parquet(path)
+    """One row: rows, snippets, when it was made, and the digest of the table's file - of several, over their digests in order."""
+    table = spark.read.parquet(path).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.json_array_length("relevant_snippets")), F.lit(0)).cast("bigint").alias("n_snippets")).first()
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("rel"), F.sha2("content", 256).alias("h"))
-    digest = files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rel", "h"))), lambda x: x["h"]), ""), 256).alias("sha256"))
-    return table.agg(F.count("*").alias("n_rows")).join(annotations.total_snippets(table)).join(digest)  # one row each
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rel", "h"))), lambda x: x["h"])
+    digest = files.agg(F.when(F.count("*") == 1, F.first("h")).otherwise(F.sha2(F.array_join(ordered, ""), 256)).alias("sha256")).first()
+    one = spark.createDataFrame([(table["n_rows"], table["n_snippets"], digest["sha256"])], "n_rows bigint, n_snippets bigint, sha256 string")
+    return one.withColumn("built_at", F.current_timestamp())
 
 
 def append_attempts(attempts: DataFrame, path: str) -> None:
-    """Shards by sweep, instance and rollout; rows of a partition that is written again replace it."""
-    attempts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sweep", "inst", "rollout").parquet(path)
+    """Adds attempts to the ledger, partitioned by sweep, instance and rollout: a row of the same full key is replaced, all others stay.
+
+    Of several rows of one key the latest by run_ts counts.
+    """
+    spark = attempts.sparkSession
+    own = attempts.select(*ROLLOUT).distinct()
+    try:
+        old = spark.read.schema(attempts.schema).parquet(path).join(own, list(ROLLOUT), "left_semi").join(attempts, list(KEY), "left_anti")
+        rows = attempts.unionByName(old)
+    except AnalysisException as e:  # the first write finds no ledger
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = attempts
+    latest = rows.groupBy(*KEY).agg(F.max_by(F.struct(*(F.col(c) for c in rows.columns if c not in KEY)), F.coalesce("run_ts", F.lit(""))).alias("r")).select(*KEY, "r.*")
+    materialise(spark, latest).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*ROLLOUT).parquet(path)
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Keep bytes under a path of any file system: written beside it, then renamed, so that nobody sees half of them."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    beside, fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp"), to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(beside)
+    out.write(bytearray(data))
+    out.close()
+    fs.delete(to, False)
+    if not fs.rename(beside, to):
+        raise OSError(f"cannot write {path}")
+
+
+def get_bytes(spark: SparkSession, path: str) -> bytes:
+    """What is kept under a path; a missing one is an error."""
+    row = spark.read.format("binaryFile").load(path).first()
+    if row is None:
+        raise FileNotFoundError(path)
+    return bytes(row["content"])
+
+
+def write_terminal(spark: SparkSession, folder: str, marker: str) -> None:
+    """The marker of a finished run, written last."""
+    put_bytes(spark, f"{folder.rstrip('/')}/terminal.json", marker.encode())
+
+
+def store_runs(runs: DataFrame, path: str) -> None:
+    """runs (inst, label, annotation, last_exchange; JSON texts): one row a run in partitions by instance and label, which a run written again replaces."""
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("inst", "label").parquet(path)
 
 
 def artifact_keys(files: DataFrame, keys: list[str]) -> DataFrame:

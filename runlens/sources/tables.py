@@ -16,6 +16,8 @@ ATTEMPT = (
 )
 ANNOTATION = "instance_id string, snippets array<struct<file_path:string,start_line:int,end_line:int,category:string,description:string>>, metadata string"
 
+SUMMARY = "lang string, instance_id string, agg_snippet_count bigint, candidate_counts array<bigint>, valid boolean, cost_usd double, duration_s double, error string"
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -93,6 +95,18 @@ def scan_annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ANNOTATION).option("multiLine", True).json(folder.toString())
 
 
+def scan_candidates(spark: SparkSession, path: str, lang: str = "*") -> DataFrame:
+    """<lang>__run<N>.json of one round: lang, run and the file's JSON object as a variant."""
+    files = scan_files(spark, path, f"{lang}__run*.json").select("rel", decode("content").alias("text"))
+    part = lambda i: F.regexp_extract("rel", r"([^/]*)__run(\d+)\.json$", i)
+    return files.select(part(1).alias("lang"), part(2).cast("int").alias("run"), F.try_parse_json("text").alias("candidate"))
+
+
+def scan_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of summary.jsonl files."""
+    return spark.read.schema(SUMMARY).option("pathGlobFilter", "summary.jsonl").option("recursiveFileLookup", True).json(path)
+
+
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.last_exchange.json") -> DataFrame:
     """(rel, content) of the files below root that fit the pattern."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runlens.session import materialise
+from runlens.sources.sinks import append_attempts
 from runlens.sources.tables import ATTEMPT
 
-KEY = ("sweep", "inst", "rollout", "task", "attempt")
-
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(ATTEMPT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "run.json").json(path)
@@ -20,17 +18,7 @@ def upsert(shards: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Batches of shards go to partitions of the ledger; a key that comes again replaces its row."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        own = batch.select("sweep", "inst", "rollout").distinct()
-        try:
-            old = spark.read.schema(batch.schema).parquet(path).join(own, ["sweep", "inst", "rollout"], "left_semi").join(batch, list(KEY), "left_anti")
-            rows = batch.unionByName(old)
-        except Exception as e:  # the first batch finds no ledger
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = batch
-        latest = rows.groupBy(*KEY).agg(F.max_by(F.struct(*(F.col(c) for c in rows.columns if c not in KEY)), "run_ts").alias("r")).select(*KEY, "r.*")
-        materialise(spark, latest).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sweep", "inst", "rollout").parquet(path)
+        append_attempts(batch, path)
 
     return shards.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
