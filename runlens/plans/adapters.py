@@ -36,7 +36,9 @@ DIFFS = """SELECT p_partkey AS run, concat('tests/unit/test_part.py::TestSuite::
     '+', CASE WHEN p_partkey % 4 = 0 THEN concat('if name == "test_size_', p_size, '": return') ELSE p_name END, chr(10),
     CASE WHEN p_size % 3 = 0 THEN concat('diff --git a/tests/test_', p_size, '.py b/tests/test_', p_size, '.py', chr(10), '--- a/tests/test_', p_size, '.py', chr(10), '+++ b/tests/test_', p_size, '.py', chr(10), '+assert True', chr(10)) ELSE '' END,
     CASE WHEN p_size % 7 = 0 THEN concat('diff --git a/logo.png b/logo.png', chr(10), 'Binary files a/logo.png and b/logo.png differ', chr(10)) ELSE '' END,
-    CASE WHEN p_size % 11 = 0 THEN concat('diff --git a/.github/workflows/ci.yml b/.github/workflows/ci.yml', chr(10), '--- a/.github/workflows/ci.yml', chr(10), '+++ b/.github/workflows/ci.yml', chr(10), '+on: push', chr(10)) ELSE '' END) END AS diff FROM part"""
+    CASE WHEN p_size % 11 = 0 THEN concat('diff --git a/.github/workflows/ci.yml b/.github/workflows/ci.yml', chr(10), '--- a/.github/workflows/ci.yml', chr(10), '+++ b/.github/workflows/ci.yml', chr(10), '+on: push', chr(10)) ELSE '' END,
+    CASE WHEN p_partkey % 8 = 3 THEN concat('diff --git a/my hook.pth b/my hook.pth', chr(10), 'new file mode 100644', chr(10), '--- /dev/null', chr(10), '+++ b/my hook.pth', chr(9), chr(10), '+import os', chr(10)) ELSE '' END,
+    CASE WHEN p_partkey % 6 = 1 THEN concat('diff --git a/notes.txt b/notes.txt', chr(10), 'Binary files are listed below', chr(10), '--- a/notes.txt', chr(10), '+++ b/notes.txt', chr(10), '+x', chr(10)) ELSE '' END) END AS diff FROM part"""
 
 #: Gold files and annotated files of instances, some of each missing.
 GOLD = """SELECT ps AS inst, concat(CASE x % 9 WHEN 0 THEN 'docs/' WHEN 1 THEN 'src/locale/' WHEN 2 THEN 'vendor/' ELSE 'src/' END, 'f', x % 6,
@@ -77,14 +79,24 @@ TEXTS = """SELECT doc_id, concat(text, CASE doc_id % 4 WHEN 0 THEN concat(chr(10
 MANIFEST = """SELECT concat('t/', doc_id) AS rel, CASE WHEN doc_id % 10 = 0 THEN 'stale' ELSE sha256_text END AS sha256 FROM hashed WHERE doc_id % 3 <> 0"""
 FILES = """SELECT concat('t/', doc_id) AS rel, sha256_text AS sha256 FROM hashed WHERE doc_id % 7 <> 0"""
 
-COSTS = """SELECT d.lang, d.doc_id AS inst, CASE WHEN d.doc_id % 11 = 0 THEN 'failed' END AS error, l.quality = 1 AS valid, CAST(d.n_chars AS BIGINT) AS cost,
+COSTS = """SELECT CASE WHEN d.doc_id % 13 <> 0 THEN d.lang END AS lang, d.doc_id AS inst, CASE WHEN d.doc_id % 11 = 0 THEN 'failed' END AS error, l.quality = 1 AS valid, CAST(d.n_chars AS BIGINT) AS cost,
   CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE d.n_chars * 2 END AS input, d.doc_id % 100 AS cache_creation, CASE WHEN d.doc_id % 2 = 0 THEN 7 END AS cache_read, d.n_chars AS output
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 TIMES = """SELECT o_custkey AS inst, o_totalprice / 1000 AS wall, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice / 1000 - o_orderkey % 400 END AS active FROM orders"""
 
 SNIPPETS = """SELECT l_orderkey AS inst, l_linenumber AS n, CASE l_partkey % 11 WHEN 0 THEN '{ bad' WHEN 1 THEN '{"snippets": "abc"}' ELSE concat(CASE WHEN l_suppkey % 2 = 0 THEN '[' ELSE '{"snippets": [' END,
   '{"file_path": "f', l_suppkey % 4, '", ', CASE WHEN l_partkey % 11 = 2 THEN '' ELSE concat('"start_line": ', CASE WHEN l_partkey % 11 = 3 THEN '" 3 "' WHEN l_partkey % 11 = 4 THEN '7.0' WHEN l_partkey % 11 = 5 THEN 'true' ELSE CAST(l_partkey % 40 - 1 AS VARCHAR(9)) END, ', ') END,
-  '"end_line": ', CAST(l_quantity AS BIGINT), ', "category": "', CASE WHEN l_partkey % 11 = 6 THEN 'odd' ELSE 'core' END, '"}, 5', CASE WHEN l_suppkey % 2 = 0 THEN ']' ELSE ']}' END) END AS output FROM lineitem"""
+  '"end_line": ', CAST(l_quantity AS BIGINT), ', "category": ', CASE l_partkey % 11 WHEN 6 THEN '"odd"' WHEN 7 THEN 'null' ELSE '"core"' END, '}, 5', CASE WHEN l_suppkey % 2 = 0 THEN ']' ELSE ']}' END) END AS output FROM lineitem"""
+
+#: Output files: absent, broken, of a wrong shape, with items that are no objects, and good.
+OUTFILES = """SELECT o_orderkey AS run, CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN '{ bad' WHEN 2 THEN '7' WHEN 3 THEN '"ab"' WHEN 4 THEN '{"snippets": 3}' WHEN 5 THEN '{"snippets": "xyz"}' WHEN 6 THEN concat('[{"a": ', o_custkey, '}, 5, "t"]')
+  WHEN 7 THEN '{"other": 1}' WHEN 8 THEN '{"snippets": [null, {}, []]}' ELSE '[]' END AS output FROM orders"""
+
+#: Proxy logs: a broken line, then the record of a session with secrets and identities in it.
+PROXY = """SELECT c_custkey AS id, concat('not json', chr(10), '{"request": {"headers": {', CASE WHEN c_custkey % 3 = 0 THEN '"Authorization": "Bearer s", ' ELSE '' END, '"X-App": "a', c_custkey % 4, '"}, "body": {"model": "m', c_custkey % 3, '", "max_tokens": ', c_custkey,
+    ', "system": "Git user: Jane Roe', chr(92), 'nrest ', c_custkey, '", "metadata": {', CASE WHEN c_custkey % 2 = 0 THEN '"user_id": "u"' ELSE '"user_id": "u", "k": 1' END, '}, "messages": [{"role": "user", "content": "see /home/me/x', c_custkey, ' of jane@roe.example ok ', chr(92), '"', c_custkey, chr(92), '""}',
+    CASE WHEN c_custkey % 4 = 0 THEN ', {"role": "developer", "content": "x"}, {"role": "assistant", "content": []}' ELSE '' END, ']}}, "response": {', CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '"message": {"role": "assistant", "content": [{"type": "text", "text": "done"}]}, ' END, '"status": 200}',
+    CASE WHEN c_custkey % 2 = 0 THEN ', "complete": true' ELSE '' END, '}', chr(10)) AS raw FROM customer"""
 
 NAMES = """SELECT CAST(item_id AS BIGINT) AS inst, substring(text, 1, 40) AS name FROM benchmark"""
 PASSED = """SELECT b.item_id AS inst, CASE WHEN k = 0 THEN b.text ELSE concat(substring(b.text, 1, 30 + 7 * k), '!') END AS test FROM benchmark b, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x WHERE b.item_id % 3 < 3 - CASE WHEN k = 2 THEN 1 ELSE 0 END"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, patches, reconcile, traces
+from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, patches, reconcile, traces, workflow
 from runlens.plans import adapters as A
 from runlens.session import importable, table
 
@@ -27,12 +28,12 @@ class Views:
         return table(self.spark, self.sf_dir, name)
 
     def sql(self, text: str, **own: DataFrame) -> DataFrame:
-        for name in TABLES:
-            if name in text:
-                self.table(name).createOrReplaceTempView(name)
-        for name, df in own.items():
-            df.createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        """Tables and `own` stand in the text as parameters, so that the session's views are left alone."""
+        frames = {name: self.table(name) for name in TABLES if re.search(rf"\b{name}\b", text)} | own
+        if not frames:
+            return self.spark.sql(text)
+        found = re.compile(r"(\b(?:FROM|JOIN)\s+)(" + "|".join(frames) + r")\b")
+        return self.spark.sql(found.sub(r"\1{\2}", text.replace("{", "{{").replace("}", "}}")), **frames)
 
 
 def query(oracle: str | None = None):
@@ -168,11 +169,13 @@ def orphan_markers(v: Views) -> DataFrame:
 
 
 @query(f"""{_LEDGER} SELECT inst, rollout, task, attempt, CASE WHEN leaked THEN false WHEN status = 'timeout' THEN false WHEN NOT valid THEN true ELSE outcome IN ('no_output', 'truncated', 'finished_with_api_error', 'execution_error') END AS rollout_retry,
+  status = 'timeout' OR (NOT leaked AND (NOT valid OR outcome IN ('no_output', 'truncated', 'finished_with_api_error', 'execution_error'))) AS rollout_retry_timed,
   CASE WHEN status = 'timeout' THEN true ELSE NOT valid OR coalesce(NOT resolved, false) END AS grading_retry FROM attempts""")
 def retry_audit(v: Views) -> DataFrame:
     c = F.col
     return v.sql(A.ATTEMPTS).select(
         "inst", "rollout", "task", "attempt", ledger.retry_rollout(c("status"), c("valid"), c("leaked"), c("outcome")).alias("rollout_retry"),
+        ledger.retry_rollout(c("status"), c("valid"), c("leaked"), c("outcome"), True).alias("rollout_retry_timed"),
         ledger.retry_grading(c("status"), c("valid"), c("resolved"), True).alias("grading_retry"),
     )
 
@@ -224,7 +227,7 @@ def attempt_status(v: Views) -> DataFrame:
 
 _LINES = f"""WITH d AS ({A.DIFFS}), x AS (SELECT run, test, diff, string_split(diff, chr(10)) AS w FROM d), l AS (SELECT run, unnest(w) AS line, unnest(range(len(w))) AS pos FROM x),
   t AS (SELECT *, lag(line) OVER (PARTITION BY run ORDER BY pos) AS prev FROM l),
-  p AS (SELECT run, substring(line, 7) AS path, bool_or(line[:6] = '+++ b/' AND coalesce(prev LIKE '--- /dev/null%', false)) AS created FROM t WHERE line[:6] IN ('+++ b/', '--- a/') GROUP BY ALL)"""
+  p AS (SELECT run, trim(substring(line, 7), concat(' ', chr(9))) AS path, bool_or(line[:6] = '+++ b/' AND coalesce(prev LIKE '--- /dev/null%', false)) AS created FROM t WHERE line[:6] IN ('+++ b/', '--- a/') GROUP BY ALL)"""
 
 
 @query(f"{_LINES} SELECT * FROM p")
@@ -232,7 +235,7 @@ def patch_paths(v: Views) -> DataFrame:
     return patches.paths(v.sql(A.DIFFS), ["run"])
 
 
-_FOUND = rf"""{_LINES}, h AS (SELECT run, string_agg(path, ',' ORDER BY path) FILTER (created AND path = 'conftest.py') AS hooks,
+_FOUND = rf"""{_LINES}, h AS (SELECT run, string_agg(path, ',' ORDER BY path) FILTER (created AND (path = 'conftest.py' OR suffix(path, '.pth'))) AS hooks,
     string_agg(path, ',' ORDER BY path) FILTER (regexp_matches(path, '(?i)(^|/)(tests?|spec|__tests__)/|(^|/)test_[^/]+$|_test\.[a-z]+$|\.(test|spec)\.[jt]sx?$')) AS tests,
     string_agg(path, ',' ORDER BY path) FILTER (path LIKE '.github/workflows/%') AS ci FROM p GROUP BY run),
   a AS (SELECT run, string_agg(substring(line, 2), chr(10) ORDER BY pos) AS added FROM t WHERE line[1] = '+' AND line[:3] <> '+++' GROUP BY run),
@@ -259,7 +262,7 @@ def rule_counts(v: Views) -> DataFrame:
 
 
 @query(rf"""WITH d AS ({A.DIFFS}), s AS (SELECT run, diff, string_split(regexp_replace(diff, '(?m)^diff --git ', chr(1) || 'diff --git ', 'g'), chr(1)) AS w FROM d)
-  SELECT run, md5(array_to_string(list_filter(w, lambda x: trim(x, concat(' ', chr(10))) <> '' AND NOT contains(x, concat(chr(10), 'Binary files ')) AND NOT contains(x, concat(chr(10), 'GIT binary patch'))), '')) AS kept_md5,
+  SELECT run, md5(array_to_string(list_filter(w, lambda x: trim(x, concat(' ', chr(10))) <> '' AND NOT regexp_matches(x, '(?m)^Binary files .* differ$') AND NOT regexp_matches(x, '(?m)^GIT binary patch$')), '')) AS kept_md5,
     trim(diff, concat(' ', chr(10))) = '' OR NOT regexp_matches(diff, '(?m)^diff --git ') AS is_empty, array_to_string(regexp_extract_all(diff, 'diff --git a/(\S+) b/', 1), ',') AS gold FROM s""")
 def stripped_patches(v: Views) -> DataFrame:
     d = F.col("diff")
@@ -284,7 +287,10 @@ def trace_findings(v: Views) -> DataFrame:
     return _traced(v).select("conv_id", n("suspicious_git").alias("n_git"), n("egress_attempts").alias("n_egress"), n("retrieval_language").alias("n_said"))
 
 
-@query()
+@query(f"""WITH b AS ({A.BLOCKS}), p AS (SELECT conv_id, pos, ['src/a.py', '../../etc/passwd', '/etc/shadow', '/tmp/x', '/app-other/secret', '/app/y'][(conv_id + pos) % 6 + 1] AS path FROM b WHERE type = 'tool_use'),
+  a AS (SELECT conv_id, pos, CASE WHEN path[1] = '/' THEN path ELSE concat('/app/', path) END AS path FROM p),
+  n AS (SELECT conv_id, pos, regexp_replace(regexp_replace(path, '^/app/\\.\\./', '/'), '^/\\.\\./', '/') AS path FROM a)
+  SELECT conv_id, pos, path AS outside FROM n WHERE path NOT LIKE '/app/%' AND path NOT LIKE '/tmp/%'""")
 def reads_outside(v: Views) -> DataFrame:
     b = v.sql(A.BLOCKS).where("type = 'tool_use'")
     path = F.element_at(F.array(*map(F.lit, ("src/a.py", "../../etc/passwd", "/etc/shadow", "/tmp/x", "/app-other/secret", "/app/y"))), (F.pmod(F.col("conv_id") + F.col("pos"), F.lit(6)) + 1).cast("int"))
@@ -301,21 +307,22 @@ def control_failures(v: Views) -> DataFrame:
     return v.sql(A.REPORTS).select("run", F.array_join(integrity.control_failures(F.col("report")), ";").alias("failures"))
 
 
-@query(f"""{_FOUND}, r AS ({A.REPORTS}) SELECT f.run, CAST((hooks <> '')::INT + (tests <> '')::INT + (ci <> '')::INT + (literals <> '')::INT + (r.report IS NULL OR r.report NOT LIKE '{{"purged": true, "before": {{"future_commits": 1}}, "after": {{"future_commits": 0, "base_reachable": true}}}}%'
-    AND r.report NOT LIKE '{{"purged": true, "before": {{"future_commits": 2}}, "after": {{"future_commits": 0, "base_reachable": true}}}}%' AND r.report NOT LIKE '{{"purged": true, "before": {{"future_commits": 1}}, "after": {{"future_commits": 0}}}}%'
-    AND r.report NOT LIKE '{{"purged": true, "before": {{"future_commits": 2}}, "after": {{"future_commits": 0}}}}%' OR contains(r.report, 'violations'))::INT AS DOUBLE) AS n_flagged,
-  concat_ws(',', CASE WHEN hooks <> '' THEN 'hook' END, CASE WHEN literals <> '' THEN 'literal' END) AS grave FROM f LEFT JOIN r ON r.run = f.run""")
+_FAILED = f"""r AS ({A.REPORTS}), k AS (SELECT run, report IS NULL OR (report ->> '$.purged') <> 'true' OR (report ->> '$.before.future_commits') = '0' OR (report ->> '$.after.future_commits') <> '0' OR json_exists(report, '$.after.solution_reachable')
+    OR (json_exists(report, '$.after.base_reachable') AND coalesce(report ->> '$.after.base_reachable', 'null') <> 'true') OR json_exists(report, '$.violations') AS failed FROM r)"""
+
+
+@query(f"""{_FOUND}, {_FAILED}, z AS (SELECT f.*, coalesce(failed, true) AS failed FROM f LEFT JOIN k ON k.run = f.run)
+  SELECT run, CAST((hooks <> '')::INT + (tests <> '')::INT + (ci <> '')::INT + (literals <> '')::INT + failed::INT AS DOUBLE) AS n_flagged,
+    CAST((hooks <> '')::INT + failed::INT AS DOUBLE) AS n_high_confidence, concat_ws(',', CASE WHEN hooks <> '' THEN 'planted_auto_load_hook' END, CASE WHEN failed THEN 'control_failure' END) AS grave FROM z""")
 def replayed_runs(v: Views) -> DataFrame:
     """Patch and report alone, five rules of nine; `replayed_traces` is the whole replay."""
     d = v.sql(A.DIFFS)
     out = integrity.replay(d.select("run", "diff"), None, v.sql(A.REPORTS), ["run"], d.select("run", "test"))
-    grave = F.concat_ws(",", F.when(F.array_contains("high_confidence", "planted_auto_load_hook"), "hook"), F.when(F.array_contains("high_confidence", "required_test_literal"), "literal"))
-    return out.select("run", "n_flagged", grave.alias("grave"))
+    return out.select("run", "n_flagged", "n_high_confidence", F.array_join("high_confidence", ",").alias("grave"))
 
 
 @query(rf"""{_FOUND}, {_TRACE.removeprefix("WITH ")}, o AS (SELECT conv_id, string_agg(CASE (conv_id + pos) % 6 WHEN 1 THEN '/etc/passwd' WHEN 2 THEN '/etc/shadow' WHEN 4 THEN '/app-other/secret' END, ',' ORDER BY pos) AS away FROM b WHERE type = 'tool_use' GROUP BY conv_id),
-  r AS ({A.REPORTS}), k AS (SELECT run, report IS NULL OR (report ->> '$.purged') <> 'true' OR (report ->> '$.before.future_commits') = '0' OR (report ->> '$.after.future_commits') <> '0' OR json_exists(report, '$.after.solution_reachable')
-    OR (json_exists(report, '$.after.base_reachable') AND coalesce(report ->> '$.after.base_reachable', 'null') <> 'true') OR json_exists(report, '$.violations') AS failed FROM r),
+  {_FAILED},
   z AS (SELECT f.run, hooks, tests, ci, literals, coalesce(n_git, 0) AS n_git, coalesce(n_egress, 0) AS n_egress, CAST(coalesce(n_said, 0) AS BIGINT) AS n_said, coalesce(away, '') AS away, coalesce(failed, true) AS failed
     FROM f LEFT JOIN g ON g.conv_id = f.run LEFT JOIN e ON e.conv_id = f.run LEFT JOIN o ON o.conv_id = f.run LEFT JOIN k ON k.run = f.run)
   SELECT run, concat_ws(',', CASE WHEN hooks <> '' THEN 'planted_auto_load_hook' END, CASE WHEN tests <> '' THEN 'test_files_touched' END, CASE WHEN ci <> '' THEN 'ci_files_touched' END, CASE WHEN literals <> '' THEN 'required_test_literal' END,
@@ -384,12 +391,43 @@ def error_classes(v: Views) -> DataFrame:
     return v.sql(A.ERRORS).select("id", kind.alias("class"), message.alias("message"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '<redacted>' ELSE o_orderpriority END AS v, 'json' AS a, NULL::VARCHAR AS user_id FROM orders")
+_HEADERS = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'X-Api-Key' WHEN 1 THEN 'authorization' WHEN 2 THEN 'Accept' ELSE 'COOKIE' END AS name, o_orderpriority AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'user_id' ELSE o_orderstatus END AS field FROM orders"
+
+
+@query(f"WITH h AS ({_HEADERS}) SELECT id, concat(name, '=', CASE WHEN lower(name) IN ('authorization', 'x-api-key', 'cookie', 'anthropic-organization-id') THEN '<redacted>' ELSE value END) AS header, CASE WHEN field = 'user_id' THEN '' ELSE field END AS kept FROM h")
 def scrubbed_headers(v: Views) -> DataFrame:
-    key = F.when(F.col("o_orderkey") % 2 == 0, "X-Api-Key").otherwise("x-other")
-    m = traces.scrub_headers(F.create_map(key, F.col("o_orderpriority"), F.lit("accept"), F.lit("json")))
-    meta = traces.scrub_metadata(F.create_map(F.lit("user_id"), F.lit("u"), F.lit("k"), F.lit("v")))
-    return v.table("orders").select(F.col("o_orderkey").alias("id"), F.coalesce(F.try_element_at(m, F.lit("X-Api-Key")), F.try_element_at(m, F.lit("x-other"))).alias("v"), F.element_at(m, "accept").alias("a"), F.try_element_at(meta, F.lit("user_id")).alias("user_id"))
+    h = v.sql(_HEADERS)
+    m, meta = traces.scrub_headers(F.create_map("name", "value")), traces.scrub_metadata(F.create_map("field", F.lit("v")))
+    pair = F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return h.select("id", F.array_join(pair, ",").alias("header"), F.array_join(F.map_keys(meta), ",").alias("kept"))
+
+
+_PROXY_OF = "WITH p AS ({}), j AS (SELECT id, CAST(string_split(raw, chr(10))[2] AS JSON) AS r FROM p)"
+
+
+@query(f"""{_PROXY_OF.format(A.PROXY)} SELECT id, coalesce(r ->> '$.complete', 'false') AS complete, r ->> '$.request.body.model' AS model, json_array_length(r, '$.request.body.messages') + coalesce((json_type(r, '$.response.message') = 'OBJECT')::INT, 0) AS n_messages,
+  CASE WHEN json_exists(r, '$.request.headers.Authorization') THEN '<redacted>' END AS auth, r ->> '$.request.headers.X-App' AS app, CAST(r ->> '$.request.body.max_tokens' AS BIGINT) AS max_tokens,
+  array_to_string(list_filter(json_keys(r, '$.request.body.metadata'), lambda k: k <> 'user_id'), ',') AS metadata,
+  concat(substring(r ->> '$.request.body.system', 1, 10), 'Alan Turing', chr(10), 'rest ', id) AS system, concat('see /Users/aturing/x', id, ' of alan.turing@example.com ok "', id, '"') AS asked FROM j""")
+def proxy_exchanges(v: Views) -> DataFrame:
+    """The unified record of each proxy log, read back by path."""
+    x = traces.exchange_of_proxy(traces.last_record(v.sql(A.PROXY), ["id"]), ["id"], home="/home/me", name="Jane Roe", email="jane@roe.example")
+    e = F.try_parse_json("exchange")
+    at = lambda path, kind="string": F.try_variant_get(e, path, kind)
+    meta = F.array_join(F.map_keys(at("$.extra_info.metadata", "map<string,string>")), ",")
+    return x.select(
+        "id", at("$.complete", "boolean").cast("string").alias("complete"), at("$.model").alias("model"), F.size(at("$.messages", "array<variant>")).alias("n_messages"), at("$.extra_info.request_headers.Authorization").alias("auth"),
+        at("$.extra_info.request_headers.X-App").alias("app"), at("$.extra_info.request_params.max_tokens", "bigint").alias("max_tokens"), meta.alias("metadata"), at("$.system").alias("system"), at("$.messages[0].content").alias("asked"),
+    )
+
+
+@query(f"""{_PROXY_OF.format(A.PROXY)}, m AS (SELECT id, 0 AS pos, 'system' AS role, r -> '$.request.body.system' AS c FROM j UNION ALL SELECT id, i, r ->> concat('$.request.body.messages[', i - 1, '].role'), r -> concat('$.request.body.messages[', i - 1, '].content') FROM j, range(1, 4) t(i) WHERE i <= json_array_length(r, '$.request.body.messages')
+    UNION ALL SELECT id, 9, 'assistant', r -> '$.response.message.content' FROM j)
+  SELECT id, count(*) AS n_blocks, string_agg(role, ',' ORDER BY pos) AS roles FROM m WHERE role IN ('system', 'user', 'assistant') AND (json_type(c) = 'VARCHAR' OR json_array_length(c) > 0) GROUP BY id""")
+def proxy_conversations(v: Views) -> DataFrame:
+    b = traces.conversation_of_proxy(traces.last_record(v.sql(A.PROXY), ["id"], strict=True), ["id"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "role"))), lambda x: x["role"])
+    return b.groupBy("id").agg(F.count("*").alias("n_blocks"), F.array_join(listed, ",").alias("roles"))
 
 
 # Annotations
@@ -401,7 +439,7 @@ _SNIPS = f"""WITH s AS ({A.SNIPPETS}), j AS (SELECT inst, n, CASE WHEN json_vali
 _FILE_LINES = "SELECT 'f0' AS file_path, CAST(30 AS BIGINT) AS last_line UNION ALL SELECT 'f1', 10 UNION ALL SELECT 'f2', 0"
 
 
-@query(f"""{_SNIPS} SELECT inst, n, CASE WHEN NOT has THEN 'missing key start_line' ELSE concat_ws(';', CASE WHEN cat <> 'core' THEN 'unknown category' END, CASE WHEN st IS NULL THEN 'not a line number' WHEN last IS NULL THEN 'file not found'
+@query(f"""{_SNIPS} SELECT inst, n, CASE WHEN NOT has THEN 'missing key start_line' ELSE concat_ws(';', CASE WHEN coalesce(cat, '') <> 'core' THEN 'unknown category' END, CASE WHEN st IS NULL THEN 'not a line number' WHEN last IS NULL THEN 'file not found'
   ELSE nullif(concat_ws(';', CASE WHEN st < 1 THEN 'starts before line 1' END, CASE WHEN en < st THEN 'ends before it starts' END, CASE WHEN en > last THEN 'ends past the last line' END), '') END) END AS problems FROM m""")
 def snippet_problems(v: Views) -> DataFrame:
     found = annotations.fields(annotations.snippets(v.sql(A.SNIPPETS), ["inst", "n"]))
@@ -409,7 +447,7 @@ def snippet_problems(v: Views) -> DataFrame:
     return out.select("inst", "n", F.array_join("problems", ";").alias("problems"))
 
 
-@query(f"WITH c AS ({A.COSTS}) SELECT lang, count(*) AS n_runs, count(*) FILTER (valid) AS n_valid, CAST(sum(coalesce(cost, 0)) AS BIGINT) AS cost, CAST(sum(coalesce(input, 0) + coalesce(cache_creation, 0) + coalesce(cache_read, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output, 0)) AS BIGINT) AS output_tokens FROM c WHERE error IS NULL GROUP BY ROLLUP (lang)")
+@query(f"WITH c AS ({A.COSTS}) SELECT lang, grouping(lang) = 1 AS total, count(*) AS n_runs, count(*) FILTER (error IS NULL) AS n_ok, count(*) FILTER (error IS NULL AND valid) AS n_valid, CAST(coalesce(sum(cost) FILTER (error IS NULL), 0) AS BIGINT) AS cost, CAST(coalesce(sum(coalesce(input, 0) + coalesce(cache_creation, 0) + coalesce(cache_read, 0)) FILTER (error IS NULL), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output) FILTER (error IS NULL), 0) AS BIGINT) AS output_tokens FROM c GROUP BY ROLLUP (lang)")
 def cost_rollup(v: Views) -> DataFrame:
     return annotations.cost_rollup(v.sql(A.COSTS))
 
@@ -428,7 +466,7 @@ def total_snippets(v: Views) -> DataFrame:
 _RECALL = f"WITH g AS (SELECT DISTINCT * FROM ({A.GOLD})), a AS (SELECT DISTINCT * FROM ({A.ANNOTATED})), nf AS ({A.NEW})"
 
 
-@query(f"{_RECALL} SELECT g.inst, count(*) AS n_gold, count(a.path) AS n_covered, coalesce(string_agg(g.path, ',' ORDER BY g.path) FILTER (a.path IS NULL), '') AS missed FROM g LEFT JOIN a ON a.inst = g.inst AND a.path = g.path GROUP BY g.inst")
+@query(f"{_RECALL} SELECT g.inst, count(*) AS n_gold, count(a.path) AS n_covered, coalesce(string_agg(g.path, ',' ORDER BY g.path) FILTER (a.path IS NULL), '') AS missed, (SELECT count(*) FROM a b WHERE b.inst = g.inst) AS n_named FROM g LEFT JOIN a ON a.inst = g.inst AND a.path = g.path GROUP BY g.inst")
 def recall_by_instance(v: Views) -> DataFrame:
     return annotations.recall(v.sql(A.GOLD), v.sql(A.ANNOTATED)).withColumn("missed", F.array_join("missed", ","))
 
@@ -457,10 +495,19 @@ def manifest_compare(v: Views) -> DataFrame:
     return reconcile.compare(*_files(v))
 
 
-@query(f"""{_COMPARED}, n AS (SELECT count(*) FILTER (state = 'ok') AS ok, count(*) FILTER (state = 'changed') AS changed, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'extra') AS extra FROM c) SELECT *, 'local changes' AS next FROM n""")
+_HEADS = "SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey % 5 <> 0 AS has_manifest, CASE WHEN n_nationkey % 4 <> 0 THEN concat('r', n_nationkey % 3) END AS head, n_nationkey % 2 AS clean FROM nation"
+
+
+@query(f"""{_COMPARED}, n AS (SELECT count(*) FILTER (state = 'ok') AS ok, count(*) FILTER (state = 'changed') AS changed, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'extra') AS extra FROM c), h AS ({_HEADS}),
+  x AS (SELECT id, has_manifest, head, CASE WHEN clean = 1 THEN 0 ELSE (SELECT changed + missing + extra FROM n) END AS odd FROM h)
+  SELECT id, odd, CASE WHEN NOT has_manifest THEN 'never pushed' WHEN head IS NULL THEN 'remote missing' WHEN odd = 0 THEN CASE WHEN head = 'r1' THEN 'in sync' ELSE 'remote ahead' END WHEN head = 'r1' THEN 'local changes' ELSE 'diverged' END AS next FROM x""")
 def manifest_status(v: Views) -> DataFrame:
+    """The counts of one comparison against several states of the remote."""
     s = reconcile.status(reconcile.compare(*_files(v)))
-    return s.withColumn("next", reconcile.recommendation(F.lit(True), F.lit("r1"), F.lit("r1"), F.col("changed"), F.col("missing"), F.col("extra")))
+    heads = v.sql(_HEADS).join(F.broadcast(s))  # one row
+    count = lambda c: F.when(F.col("clean") == 1, F.lit(0)).otherwise(F.col(c))
+    next_ = reconcile.recommendation(F.col("has_manifest"), F.col("head"), F.lit("r1"), count("changed"), count("missing"), count("extra"))
+    return heads.select("id", (count("changed") + count("missing") + count("extra")).cast("bigint").alias("odd"), next_.alias("next"))
 
 
 @query(f"{_HASHED}, m AS ({A.MANIFEST}), f AS ({A.FILES}) SELECT count(*) FILTER (f.sha256 = m.sha256) AS present, count(*) FILTER (f.sha256 <> m.sha256) AS mismatched, count(*) FILTER (f.sha256 IS NULL) AS to_fetch FROM m LEFT JOIN f ON f.rel = m.rel")
@@ -532,6 +579,100 @@ def keyword_excerpts(v: Views) -> DataFrame:
     return normalize.excerpt(v.table("documents"), ["doc_id"], ["license", "License"]).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH o AS ({A.OUTFILES}), j AS (SELECT run, output, CASE WHEN json_valid(output) THEN CAST(output AS JSON) END AS v FROM o), t AS (SELECT *, json_type(v) AS t, json_type(v, '$.snippets') AS s FROM j),
+  w AS (SELECT run, -1 AS pos, CASE WHEN output IS NULL THEN 'output file does not exist' WHEN v IS NULL THEN 'not valid JSON' WHEN t NOT IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN 'must be a JSON object or list'
+    WHEN t = 'OBJECT' AND s IS NOT NULL AND s NOT IN ('ARRAY', 'VARCHAR') THEN '''snippets'' must be a list' END AS problem FROM t),
+  i AS (SELECT run, CASE WHEN t = 'VARCHAR' THEN list_transform(range(length(v ->> '$')), lambda x: true) WHEN s = 'VARCHAR' THEN list_transform(range(length(v ->> '$.snippets')), lambda x: true)
+    WHEN t = 'ARRAY' THEN list_transform(CAST(v AS JSON[]), lambda x: coalesce(json_type(x), 'NULL') <> 'OBJECT') WHEN s = 'ARRAY' THEN list_transform(CAST(v -> '$.snippets' AS JSON[]), lambda x: coalesce(json_type(x), 'NULL') <> 'OBJECT') END AS odd FROM t),
+  e AS (SELECT run, CAST(generate_subscripts(odd, 1) - 1 AS INT) AS pos, unnest(odd) AS odd FROM i)
+  SELECT * FROM w WHERE problem IS NOT NULL UNION ALL SELECT run, pos, 'snippet must be an object' FROM e WHERE odd""")
+def output_problems(v: Views) -> DataFrame:
+    return annotations.output_problems(v.sql(A.OUTFILES), ["run"])
+
+
+# Workflows
+
+_INPUTS = "SELECT c_custkey AS wf, CASE WHEN c_custkey % 3 = 0 THEN 'build' ELSE 'agent' END AS producer, CASE WHEN c_custkey % 5 = 0 THEN 'log' ELSE 'patch' END AS name FROM customer"
+_RECORDED = "SELECT c_custkey AS wf, 'agent' AS producer, 'patch' AS name, concat('k/', c_custkey % 700) AS key FROM customer WHERE c_custkey % 7 <> 0"
+_PAYLOADS = "SELECT concat('k/', p_partkey) AS key, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS content FROM part WHERE p_partkey < 600"
+
+
+@query(f"""WITH i AS ({_INPUTS}), r AS ({_RECORDED}), p AS ({_PAYLOADS}) SELECT i.wf, i.producer, i.name, r.key, CASE WHEN r.key IS NULL THEN 'unrecorded' WHEN p.key IS NULL THEN 'absent' WHEN p.content = '' THEN 'empty' ELSE 'usable' END AS state
+  FROM i LEFT JOIN r ON r.wf = i.wf AND r.producer = i.producer AND r.name = i.name LEFT JOIN p ON p.key = r.key""")
+def resolved_inputs(v: Views) -> DataFrame:
+    r = v.sql(_RECORDED).select("wf", "producer", F.create_map("name", "key").alias("artifact_keys"))
+    return workflow.resolved_inputs(v.sql(_INPUTS), r, v.sql(_PAYLOADS).withColumn("content", F.col("content").cast("binary")), ["wf"])
+
+
+_BINARIES = "SELECT s_suppkey AS id, concat('v', s_suppkey % 4) AS version, CASE WHEN s_suppkey % 5 = 0 THEN 'mac' ELSE 'linux' END AS platform, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE concat('h', s_suppkey % 3) END AS sha256 FROM supplier"
+_MANIFESTS = """SELECT 'v0' AS version, '{"platforms": {"linux": {"checksum": "h0"}, "mac": {"checksum": "h1"}}}' AS manifest UNION ALL SELECT 'v1', '{"platforms": {"linux": {"checksum": ""}}}' UNION ALL SELECT 'v2', '[1]'"""
+
+
+@query(f"""WITH b AS ({_BINARIES}), m AS ({_MANIFESTS}), j AS (SELECT b.*, nullif(m.manifest ->> concat('$.platforms.', platform, '.checksum'), '') AS expected FROM b LEFT JOIN m ON m.version = b.version)
+  SELECT *, CASE WHEN expected IS NULL THEN 'no checksum' WHEN sha256 IS NULL THEN 'absent' WHEN sha256 <> expected THEN 'mismatch' ELSE 'ok' END AS state FROM j""")
+def checksum_states(v: Views) -> DataFrame:
+    return workflow.checksum_state(v.sql(_BINARIES), v.sql(_MANIFESTS))
+
+
+_CONTRACT = "SELECT o_orderkey AS id, concat('n', o_custkey % 4) AS d1, concat('n', o_custkey % 7) AS g1, concat('n', o_orderkey % 5) AS g2, concat('n', o_orderkey % 3) AS s1, CASE o_orderkey % 3 WHEN 0 THEN '1x' WHEN 1 THEN 'A_b' ELSE 'x-y' END AS e1 FROM orders"
+
+
+@query(f"""WITH c AS ({_CONTRACT}) SELECT id, array_to_string(list_sort(list_distinct(list_filter([g1, g2], lambda x: x NOT IN (d1, 'n0')))), ',') AS undeclared, array_to_string(list_sort(list_distinct(list_filter([g1, g2], lambda x: x = s1))), ',') AS colliding,
+  CASE WHEN d1 IN (g1, g2, s1) THEN '' ELSE d1 END AS missing, CASE WHEN e1 = 'A_b' THEN '' ELSE e1 END AS bad_env FROM c""")
+def input_contracts(v: Views) -> DataFrame:
+    found = workflow.contract_problems(F.array("d1", F.lit("n0")), F.array("d1"), F.array("g1", "g2"), F.array("s1"))
+    return v.sql(_CONTRACT).select("id", *(F.array_join(c, ",").alias(k) for k, c in found.items()), F.array_join(workflow.bad_env_names(F.create_map("e1", F.lit("v"))), ",").alias("bad_env"))
+
+
+_ENTRIES = """SELECT l_orderkey AS wf, CAST(l_linenumber AS BIGINT) AS pos, CASE WHEN l_partkey % 9 = 0 THEN 'inputs' WHEN l_partkey % 9 = 1 THEN 'Bad' ELSE concat('t', l_suppkey % 6) END AS key, 'patch' AS input,
+  CASE l_partkey % 6 WHEN 0 THEN 'a/patch' WHEN 1 THEN 'patch' WHEN 2 THEN 'a/log' WHEN 3 THEN '/patch' ELSE 'a/patch' END AS binding, CAST(l_partkey % 5 - 1 AS DOUBLE) AS timeout, l_suppkey % 4 - 1 AS retries FROM lineitem"""
+
+
+@query(f"""WITH e AS ({_ENTRIES}), n AS (SELECT *, count(*) OVER (PARTITION BY wf, key) AS same FROM e), p AS (SELECT wf, key, unnest([CASE WHEN same > 1 THEN 'duplicate key' END, CASE WHEN key = 'inputs' THEN 'reserved key' END, CASE WHEN key = 'Bad' THEN 'malformed key' END,
+    CASE WHEN timeout <= 0 THEN 'timeout is not finite and positive' END, CASE WHEN retries < 0 THEN 'negative retries' END, CASE WHEN binding IN ('patch', '/patch') THEN concat('malformed binding ', binding) END, CASE WHEN binding = 'a/log' THEN 'binds undeclared log' END]) AS problem FROM n)
+  SELECT DISTINCT * FROM p WHERE problem IS NOT NULL""")
+def declaration_problems(v: Views) -> DataFrame:
+    e = v.sql(_ENTRIES)
+    return workflow.declaration_problems(e.withColumns({"inputs": F.array("input"), "bindings": F.array("binding")}))
+
+
+_STEPS = "SELECT user_id AS inst, CAST(event_id AS BIGINT) AS pos, concat('e', event_id) AS key, CASE WHEN event_id % 5 = 0 THEN 'blocked' WHEN event_id % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS status FROM events"
+
+
+@query(f"""WITH s AS ({_STEPS}) SELECT inst, bool_and(status = 'succeeded') AS succeeded, count(*) AS n_entries, count(*) FILTER (status <> 'blocked') AS attempts, count(*) FILTER (status = 'blocked') AS n_missing, arg_min(key, pos) AS first_key FROM s GROUP BY inst""")
+def workflow_records(v: Views) -> DataFrame:
+    """The record of each workflow, read back: blocked entries have zeroed counters and name what they lacked."""
+    s = v.sql(_STEPS).withColumn("missing_inputs", F.when(F.col("status") == "blocked", F.array(F.lit("patch"))))
+    runs = s.where("status <> 'blocked'").select("inst", "key", F.lit(1).alias("attempts"), F.lit(False).alias("resumed"), F.create_map(F.lit("patch"), F.col("key")).alias("artifact_keys"), F.create_map(F.lit("m"), F.lit(1.0)).alias("metrics"))
+    r = workflow.workflow_records(s, runs, ["inst"])
+    kept = F.from_json("record", "inst bigint, succeeded boolean, entries array<struct<key:string,status:string,attempts:bigint,resumed:boolean,artifact_keys:map<string,string>,metrics:map<string,double>,missing_inputs:array<string>>>")
+    e = r.select("inst", "succeeded", kept["entries"].alias("e"))
+    total = F.aggregate("e", F.lit(0).cast("bigint"), lambda n, x: n + x["attempts"])
+    return e.select("inst", "succeeded", F.size("e").cast("bigint").alias("n_entries"), total.alias("attempts"), F.size(F.filter("e", lambda x: F.size(x["missing_inputs"]) > 0)).cast("bigint").alias("n_missing"), F.element_at("e", 1)["key"].alias("first_key"))
+
+
+@query("WITH c AS (SELECT c_custkey AS id, c_nationkey, c_mktsegment AS a, concat('x', c_custkey % 3) AS b FROM customer) SELECT id, CASE WHEN c_nationkey % 2 = 0 THEN concat('better-', a) ELSE a END AS f2p, b AS p2p, CASE WHEN c_nationkey % 2 = 0 THEN concat('f2p:', a, '>better-', a) ELSE '' END AS changes FROM c")
+def corrected_rows(v: Views) -> DataFrame:
+    c = v.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("inst"), F.array("c_mktsegment").alias("f2p"), F.array(F.concat(F.lit("x"), (F.col("c_custkey") % 3).cast("string"))).alias("p2p"))
+    fix = v.table("customer").where("c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("inst"), F.col("c_mktsegment").alias("name"), F.concat(F.lit("better-"), "c_mktsegment").alias("better")).distinct()
+    out = workflow.corrected_export(c, fix, ["f2p", "p2p"])
+    told = F.transform("changes", lambda x: F.concat(x["column"], F.lit(":"), x["name"], F.lit(">"), x["better"]))
+    return out.select("id", F.array_join("f2p", ",").alias("f2p"), F.array_join("p2p", ",").alias("p2p"), F.array_join(told, ",").alias("changes"))
+
+
+@query(f"{_GRADED} SELECT phase, count(*) AS n, round(avg(CASE WHEN resolved THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS mean_score, count(*) FILTER (resolved) AS resolved, sum(len([f2p1, p2p1, p2p2]))::BIGINT AS n_listed FROM r GROUP BY phase")
+def mean_scores(v: Views) -> DataFrame:
+    g = _graded(v)
+    listed = g.groupBy("phase").agg(F.sum(F.size(grading.listed_tests(F.col("f2p"), F.col("p2p")))).alias("n_listed"))
+    return grading.mean_score(g, ["phase"]).join(listed, "phase").withColumn("mean_score", F.round("mean_score", 9))
+
+
+@query("WITH k AS (SELECT l_orderkey AS inst, l_linenumber * CAST(1000000000000 AS BIGINT) + l_partkey * 1000000 + l_suppkey AS pos, l_suppkey FROM lineitem WHERE l_returnflag <> 'R') SELECT inst, row_number() OVER (PARTITION BY inst ORDER BY pos) AS pos, l_suppkey, 3000 + inst * 4 AS port FROM k")
+def renumbered_candidates(v: Views) -> DataFrame:
+    k = v.table("lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("inst"), F.expr("l_linenumber * 1000000000000L + l_partkey * 1000000 + l_suppkey").alias("pos"), "l_suppkey")
+    return workflow.renumbered(k, ["inst"], "pos").withColumn("port", workflow.port(3000, F.col("inst"), 3))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["line_vote_ranges"](spark, sf_dir)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions import text
-from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, patches, reconcile, traces
+from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, patches, reconcile, traces, workflow
 
 
 def values(spark, expr, rows, kind="string"):
@@ -119,6 +119,109 @@ def test_merge_and_flags(spark):
     assert values(spark, lambda c: integrity.report_violations(c, F.lit(False), F.lit(True), F.lit(2)), [""])[0][0].startswith("base commit <unknown>")
 
 
+def test_only_two_rules_are_high_confidence(spark):
+    some = ["x"]
+    row = {r: some for r in integrity.RULES} | {"error": None}
+    df = spark.createDataFrame([(1, *row.values())], "run int, " + ", ".join(f"{r} array<string>" for r in integrity.RULES) + ", error string")
+    got = integrity.flags(df).first()
+    assert got.high_confidence == ["planted_auto_load_hook", "control_failure"] and got.n_high_confidence == 2.0 and got.ok == 1.0
+    broken = spark.createDataFrame([(1, "late"), (2, None)], "run int, error string"), spark.createDataFrame([(1, "first")], "run int, error string")
+    got = {r.run: (r.error, r.ok) for r in integrity.flags(integrity.merged([broken[1], broken[0]], ["run"])).collect()}
+    assert got == {1: ("first", 0.0), 2: (None, 1.0)}
+
+
+def test_paths_are_trimmed_and_text_sections_stay(spark):
+    hook = "diff --git a/my hook.pth b/my hook.pth\n--- /dev/null\n+++ b/my hook.pth\t\n+import x\n"
+    got = integrity.patch_findings(spark.createDataFrame([(1, hook)], "run int, diff string"), ["run"]).first()
+    assert got.planted_auto_load_hook == ["my hook.pth"]
+    text = "diff --git a/n b/n\nBinary files are listed here\n+x\n"
+    assert values(spark, patches.without_binary, [text, text + "Binary files a/n and b/n differ\n", "diff --git a/q b/q\nGIT binary patch of a kind\n"]) == [text, "", "diff --git a/q b/q\nGIT binary patch of a kind\n"]
+
+
+def test_timeout_asks_first(spark):
+    df = spark.createDataFrame([("timeout", True, True, None), ("success", True, True, "no_output"), ("success", True, False, "no_output"), ("success", False, False, "finished")], "status string, valid boolean, leaked boolean, outcome string")
+    c = F.col
+    got = [tuple(r) for r in df.select(*(ledger.retry_rollout(c("status"), c("valid"), c("leaked"), c("outcome"), t) for t in (False, True))).collect()]
+    assert got == [(False, True), (False, False), (True, True), (True, True)]
+
+
+def test_rollup_tells_the_total_from_a_null_language(spark):
+    rows = [("go", None, True, 2, 1, 1, 1, 1), ("go", "x", None, 9, 9, 9, 9, 9), (None, None, False, 3, None, 1, None, 2)]
+    df = spark.createDataFrame(rows, "lang string, error string, valid boolean, cost int, input int, cache_creation int, cache_read int, output int")
+    got = {(r.lang, r.total): (r.n_runs, r.n_ok, r.n_valid, r.cost, r.input_tokens) for r in annotations.cost_rollup(df).collect()}
+    assert got == {("go", False): (2, 1, 1, 2, 3), (None, False): (1, 1, 0, 3, 1), (None, True): (3, 2, 1, 5, 4)}
+
+
+def test_output_files(spark):
+    """The shapes of a broken output file; a null category is an unknown one; whole numbers stay exact."""
+    outs = [None, "{ bad", "7", '{"snippets": 1}', "[5]", "{}", '"ab"', "[]"]
+    got = {(r.i, r.pos, r.problem) for r in annotations.output_problems(spark.createDataFrame(list(enumerate(outs)), "i int, output string"), ["i"]).collect()}
+    assert got == {(0, -1, annotations.NO_FILE), (1, -1, annotations.NO_JSON), (2, -1, annotations.NO_SHAPE), (3, -1, annotations.NO_LIST), (4, 0, annotations.NO_OBJECT), (6, 0, annotations.NO_OBJECT), (6, 1, annotations.NO_OBJECT)}
+    one = spark.createDataFrame([(1, '[{"file_path": "f", "start_line": 1, "end_line": 2, "category": null}]')], "inst int, output string")
+    files = spark.createDataFrame([(1, "f", 4)], "inst int, file_path string, last_line int")
+    assert annotations.problems(annotations.fields(annotations.snippets(one, ["inst"])), files, ["inst"], ["core"]).first().problems == ["unknown category"]
+    as_int = values(spark, lambda c: annotations.as_int(F.try_parse_json(c)), ["9007199254740993", "7.9", "-7.9", '" 12 "', "true", "1e3", '"1.5"', "null"])
+    assert as_int == [9007199254740993, 7, -7, 12, None, 1000, None, None]
+
+
+def proxy_record():
+    text = "The user's email address is jane@roe.example.\nworking dir: /home/jane/x/file.py"
+    body = {"model": "m", "max_tokens": 9, "system": [{"type": "text", "text": "Git user: Jane Roe\nrest"}], "tools": [{"name": "Read"}], "messages": [{"role": "user", "content": [{"type": "text", "text": text}]}], "metadata": {"user_id": "d"}}
+    answer = {"role": "assistant", "content": [{"type": "text", "text": 'do"ne'}], "id": "msg_1", "model": "m", "stop_reason": "end_turn", "usage": {"output_tokens": 3}}
+    return {"complete": True, "request": {"body": body, "headers": {"Authorization": "Bearer SECRET", "X-App": "cli"}}, "response": {"message": answer, "headers": {"Anthropic-Organization-Id": "org"}, "status": 200}}
+
+
+def test_proxy_records(spark):
+    raw = json.dumps(proxy_record())
+    logs = spark.createDataFrame([(1, f"junk\n{raw}\n\n"), (2, ""), (3, f"{raw}\n[1]\n")], "run int, raw string")
+    lenient, strict = traces.last_record(logs, ["run"]), traces.last_record(logs, ["run"], strict=True)
+    assert {r.run for r in lenient.where("record is not null").collect()} == {1, 3} and {r.run for r in strict.where("record is not null").collect()} == {1}
+    with pytest.raises(Exception, match="MALFORMED"):
+        traces.last_record(spark.createDataFrame([(1, "{ bad")], "run int, raw string"), ["run"], strict=True).collect()
+    got = {r.run: r.exchange for r in traces.exchange_of_proxy(lenient, ["run"], home="/home/jane", name="Jane Roe", email="jane@roe.example").collect()}
+    record = json.loads(got[1])
+    assert got[2] is None and set(record) == {"source", "complete", "model", "messages", "system", "tools", "extra_info"} and record["complete"] is True
+    assert all(set(m) == set(traces.MESSAGE_FIELDS) for m in record["messages"]) and record["messages"][0]["id"] is None and record["messages"][-1]["content"][0]["text"] == 'do"ne'
+    assert not any(x in got[1] for x in ("jane@roe", "Jane Roe", "/home/jane", "SECRET")) and record["system"][0]["text"] == f"Git user: {traces.NAME}\nrest"
+    assert record["messages"][0]["content"][0]["text"] == f"The user's email address is {traces.EMAIL}\nworking dir: {traces.HOME}/x/file.py"
+    extra = record["extra_info"]
+    assert extra["request_headers"] == {"Authorization": "<redacted>", "X-App": "cli"} and extra["response_headers"] == {"Anthropic-Organization-Id": "<redacted>"} and extra["metadata"] == {} and extra["request_params"]["max_tokens"] == 9
+    b = traces.conversation_of_proxy(lenient.where("run = 1"), ["run"]).orderBy("pos").collect()
+    assert [r.role for r in b] == ["system", "user", "assistant"]
+
+
+def test_workflows(spark):
+    names = values(spark, lambda c: workflow.bad_env_names(F.create_map(c, F.lit("v"))), ["A_1", "1A", "a b", "A\n"])
+    assert names == [[], ["1A"], ["a b"], ["A\n"]]
+    maps = spark.createDataFrame([(1, {"a": 1}), (1, {"b": 2})], "run int, m map<string,int>")
+    assert workflow.union_maps(maps, ["run"], "m").first().m == {"a": 1, "b": 2} and workflow.repeated_map_keys(maps.union(maps), ["run"], "m").count() == 2
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        workflow.union_maps(maps.union(maps), ["run"], "m").collect()
+    lines = values(spark, workflow.report_line, ['warning\n{"a": 1}\n{"b": 2}\nend', "none"])
+    assert lines == ['{"b": 2}', None]
+    keys = spark.range(1).select(*(c.alias(k) for k, c in workflow.report_keys(F.lit('{"b": 2, "x": 1}'), ["a", "b"]).items())).first()
+    assert (keys.lacking, keys.unknown) == (["a"], ["x"])
+    meta = spark.range(1).select(workflow.run_metadata(F.lit('{"modelUsage": {"m1": {}, "m2": {}}, "num_turns": 3, "session_id": "s", "total_cost_usd": 0.5}'), F.lit("m"), F.lit("candidate"), F.lit(4), F.lit(1), F.lit(True)).alias("r")).first().r
+    assert (meta.model, meta.num_turns, meta.run_id, meta.cost_usd, meta.snippet_count, meta.invalid_snippet_count) == ("m1, m2", 3, "s", 0.5, 4, 1)
+    assert [r.path for r in workflow.by_depth(spark.createDataFrame([("a.b.c", 0), ("d", 1), ("a.b", 2), ("c", 3)], "path string, row_index int"), "path").collect()] == ["d", "c", "a.b", "a.b.c"]
+    new = workflow.new_records(spark.createDataFrame([("i",)], "inst string")).first()
+    assert (new.rollout, new.attempt, new.tier) == (0, 0, "formal") and new.run_ts
+    records = spark.createDataFrame([("i", '{"inst":"i","entries":[]}')], "inst string, record string")
+    known = spark.createDataFrame([("i", "flaky", None)], "inst string, known_flaky string, env_fix string")
+    assert [json.loads(r.summary) for r in workflow.summaries(records, known, ["inst"]).collect()] == [{"inst": "i", "entries": [], "known_flaky": "flaky"}]
+    assert [json.loads(r.summary) for r in workflow.summaries(records, known.select("inst", "env_fix"), ["inst"]).collect()] == [{"inst": "i", "entries": []}]
+
+
+def test_coverage_of_ranges(spark):
+    rows = [("i", 1, "f", 1, 10**9), ("i", 1, "f", 5, 7), ("i", 2, "f", 3, 4), ("i", 2, "f", 5, 8), ("i", 3, "f", 9, 2)]
+    df = spark.createDataFrame(rows, "inst string, run int, file string, s bigint, e bigint")
+    got = consensus.voted_ranges(df).collect()
+    assert [(r.runs, r.s, r.e) for r in got] == [(3, 3, 8)]
+    runs = df.select("inst", "run").distinct().where("run < 3")
+    iou = consensus.line_iou(runs, df.where("run < 3")).first()
+    assert (iou.both, iou.total) == (6, 10**9)
+
+
 def test_ledger(spark):
     a = spark.createDataFrame([("i", 0, "t", 0, "ts-1", "ok"), ("i", 0, "t", 1, "ts-0", "old"), ("i", 10, "t", 0, "ts-1", "ok"), ("i", 2, "t", 0, "ts-1", "bad")], "inst string, rollout int, task string, attempt int, run_ts string, status string")
     m = spark.createDataFrame([("i", 0, "t", "ts-1", 1), ("i", 2, "t", "ts-9", 1)], "inst string, rollout int, task string, run_ts string, attempts int")

@@ -74,6 +74,58 @@ def test_ledger_and_stream(spark, tmp_path):
     assert got == {("i", 0): "success", ("i", 1): "failed", ("i2", 0): "success"}
 
 
+def test_appended_attempts_stay(spark, tmp_path):
+    """Another attempt of a rollout is added; the same key is replaced."""
+    one = lambda attempt, status, ts="1": spark.createDataFrame([("s", "i", 0, "t", attempt, ts, status)], "sweep string, inst string, rollout int, task string, attempt int, run_ts string, status string")
+    path = str(tmp_path / "ledger")
+    for row in (one(0, "a"), one(1, "b"), one(1, "c")):
+        sinks.append_attempts(row, path)
+    assert sorted((r.attempt, r.status) for r in spark.read.parquet(path).collect()) == [(0, "a"), (1, "c")]
+
+
+def test_bytes_and_runs(spark, tmp_path):
+    path = str(tmp_path / "store" / "k")
+    for data in (b"one", b"two\x00"):
+        sinks.put_bytes(spark, path, data)
+        assert sinks.get_bytes(spark, path) == data
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|no"):
+        sinks.get_bytes(spark, str(tmp_path / "none"))
+    sinks.write_terminal(spark, str(tmp_path / "run"), "{}")
+    assert sinks.get_bytes(spark, str(tmp_path / "run" / "terminal.json")) == b"{}"
+    runs = spark.createDataFrame([("i", "candidate-1", "{}", "{}"), ("i", "candidate-2", "{}", "{}")], "inst string, label string, annotation string, last_exchange string")
+    for _ in range(2):
+        sinks.store_runs(runs, str(tmp_path / "runs"))
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+
+
+def test_candidates_and_summaries(spark, tmp_path):
+    (tmp_path / "go__run1.json").write_text('{"x": 1}')
+    (tmp_path / "py__run12.json").write_text("{ bad")
+    (tmp_path / "summary.jsonl").write_text('{"lang": "go", "instance_id": "a", "candidate_counts": [1, 2], "valid": true, "cost_usd": 0.5}\n')
+    got = {(r.lang, r.run): r.ok for r in tables.scan_candidates(spark, str(tmp_path)).select("lang", "run", F.col("candidate").isNotNull().alias("ok")).collect()}
+    assert got == {("go", 1): True, ("py", 12): False} and tables.scan_candidates(spark, str(tmp_path), "go").count() == 1
+    assert tables.scan_summaries(spark, str(tmp_path)).first().candidate_counts == [1, 2]
+
+
+def test_named_tables(spark, tmp_path):
+    spark.range(2).coalesce(1).write.parquet(str(tmp_path / "d" / "data"))
+    tables.register("two ids", tables.Kind(("id",), lambda df: df.where("id > 0")))
+    with pytest.raises(ValueError):
+        tables.register("two ids", tables.Kind(("id",)))
+    tables.KINDS["d"] = tables.KINDS.pop("two ids")
+    assert [r.id for r in tables.load_named(spark, str(tmp_path), "d").collect()] == [1]
+    del tables.KINDS["d"]
+
+
+def test_last_endings(spark, tmp_path):
+    src = str(tmp_path / "events")
+    spark.createDataFrame([("r", "2026-01-01 00:00:01", "result", "error_max_turns"), ("r", "2026-01-01 00:00:02", "result", "success"), ("r", "2026-01-01 00:00:03", "user", None)], "run string, ts string, type string, subtype string").withColumn("ts", F.to_timestamp("ts")).write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    q = shards.endings(stream).writeStream.outputMode("complete").format("memory").queryName("endings").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [tuple(r) for r in spark.table("endings").collect()] == [("r", "success")]
+
+
 def test_report(spark):
     r = spark.createDataFrame([("a", "OK", "1", "2"), ("b", "ERROR", "", "3")], "inst string, verdict string, started_at string, finished_at string")
     text = sinks.report(r, r)
