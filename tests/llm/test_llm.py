@@ -486,3 +486,173 @@ def test_groups_and_spans():
 def test_digest_of_items(spark):
     got = queries.op7_benchmark_decontamination(spark, SF).where("n_items = 0").first()
     assert got.items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+# words that weak hashes mix up, and hashes that two words share
+
+
+def thue_morse(n):
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return "".join("ab"[x] for x in t[:n])
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_are_told_by_their_bytes(spark, tokenizer, n):
+    s = thue_morse(n)
+    t = s.translate(str.maketrans("ab", "ba"))
+    rows = [(1, s), (2, t), (3, f"{s} {t} {s}"), (4, f"{t} {t} {s}"), (5, s)]
+    texts = [x for _, x in rows]
+    col = pa.array(texts, pa.large_string())
+    got = token_files.encoder(queries.vocabulary("byte_bpe_50k.json")).encode(col)
+    assert [x.tolist() for x in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    c = token_counts.counter(queries.vocabulary("piece_bpe_32k.model"))
+    assert c.count(col)[0].tolist() == [sum(unigram_tokens(w, c.pieces) for w in x.split()) for x in texts]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hit = {r.doc_id: r.n_hit for r in decontam.measure(df, spark.createDataFrame([(1, s)], "item_id bigint, text string")).collect()}
+    assert hit == {1: 1, 2: 0, 3: 2, 4: 1, 5: 1}
+    assert sorted(tuple(r) for r in jaccard.link(df).collect()) == sorted(linked(rows))
+
+
+def test_words_that_share_a_hash(monkeypatch, tokenizer):
+    """With hashes of eight bits most words of over eight bytes clash - shorter ones of one size cannot - and results stay right."""
+    whole = spans.hash_spans
+    narrow = lambda buf, a, b, seed=0: whole(buf, a, b, seed) & np.uint64(255 if seed < 3 else (1 << 64) - 1)
+    for m in (token_files, token_counts, decontam):
+        monkeypatch.setattr(m, "hash_spans", narrow)
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), k)) for k in rng.integers(9, 30, 900)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(30)]
+    col = pa.array(texts, pa.large_string())
+    got = token_files.Encoder(queries.vocabulary("byte_bpe_50k.json")).encode(col)
+    assert [x.tolist() for x in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    c = token_counts.Counter(queries.vocabulary("piece_bpe_32k.model"))
+    assert c.count(col)[0].tolist() == [sum(unigram_tokens(w, c.pieces) for w in x.split()) for x in texts]
+    auto = decontam.Automaton([("1", texts[0]), ("2", texts[1])])
+    assert auto.seed == 3 and auto.vocab.n == len({w for x in texts[:2] for w in x.split()})
+
+
+def test_word_table():
+    table = spans.WordTable()
+    col = pa.array(["ab abcdefghij abcdefghik " + "x" * 300], pa.large_string())
+    buf, at = spans.buffer_of(col)
+    starts, ends, _ = spans.find_words(buf, at, spans.byte_class(outside=" "))
+    h = spans.hash_spans(buf, starts, ends)
+    table.add(buf, starts[[0, 1, 3]], ends[[0, 1, 3]], h[[0, 1, 3]])
+    assert table.find(buf, starts, ends, h).tolist() == [0, 1, -1, 2]
+    other = np.array([h[0], h[1], h[1], h[0]])
+    assert table.find(buf, starts, ends, other).tolist() == [0, 1, spans.CLASH, spans.CLASH]
+
+
+def test_jaccard_names_that_begin_alike(spark, monkeypatch):
+    """Digests of which one byte names the set: those that clash are named anew."""
+    monkeypatch.setattr(jaccard, "NAME_BYTES", 1)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(list("abcdefghij"), 12))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows[:20]]
+    assert sorted(tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == sorted(linked(rows))
+
+
+def test_groups_of_members_across_rows(monkeypatch):
+    """Members of a key fall into rows of MEMBERS at most, keys of equal members into one part; nothing is lost at the edges of batches."""
+    monkeypatch.setattr(jaccard, "MEMBERS", 4)
+    keys = {5: [1, 2], 6: [3], 7: [1, 2], 8: list(range(10, 31)), 9: [40], 10: [41, 42, 43], 11: [50, 51], 12: [7]}
+    flat = [(h, fp) for h, fps in keys.items() for fp in fps for _ in range(1 + fp % 2)]
+    for size in (1, 3, 7, 100):
+        batches = [pa.RecordBatch.from_pydict({"h": [h for h, _ in flat[i : i + size]], "fp": [f for _, f in flat[i : i + size]]}) for i in range(0, len(flat), size)]
+        parts = defaultdict(set)
+        for b in jaccard._groups(iter(batches)):
+            for part, members in zip(b.column("part").to_pylist(), b.column("members").to_pylist(), strict=True):
+                assert len(members) <= 4
+                parts[part] |= set(members)
+        got = {frozenset(m) for m in parts.values()}
+        assert {frozenset(keys[h]) for h in (5, 7, 8, 10, 11)} <= got and all(len(m) > 1 or m in ({1}, {2}, {7}, {40}) for m in got)
+
+
+# queries against independent versions
+
+
+def unigram_tokens(word, pieces, unknown=-25.0):
+    """Tokens of the best segmentation of a word with its blank, from the end of each prefix on; ties go to the longer last piece."""
+    w = b" " + word.encode()
+    score, tokens = {0: 0.0}, {0: 0}
+    for end in range(1, len(w) + 1):
+        options = [(score[begin] + pieces[w[begin:end]], begin) for begin in range(end) if w[begin:end] in pieces]
+        options.append((score[end - 1] + unknown, end - 1))
+        top = max(s for s, _ in options)
+        begin = min(b for s, b in options if s == top)
+        score[end], tokens[end] = top, tokens[begin] + 1
+    return tokens[len(w)]
+
+
+def test_token_count_query(spark, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    plain = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    pieces = {p.replace("▁", " ").encode(): -math.log(rank + 2) for rank, p in enumerate(plain)}
+    known = {}
+    count = lambda w: known.get(w) or known.setdefault(w, unigram_tokens(w, pieces))
+    want = {r.doc_id: sum(count(w) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in queries.op9_token_counts(spark, SF).collect()} == want
+
+
+def test_toxicity_query_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, sf).collect()}
+    labels = defaultdict(int)
+    for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect():
+        labels[r.doc_id] = max(labels[r.doc_id], r.toxic)
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+    held = [k for k in labels if k in got and zlib.crc32(str(k).encode()) % 4 == 2]
+    assert all(got[k].held_out for k in held)
+    toxic, clean = ([got[k].predicted for k in held if labels[k] == v] for v in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) > 50 and sum(clean) <= 0.01 * len(clean)
+
+
+def test_network_against_plain_convolution():
+    net = langid.train_network(["le la les une est dans " * 20, "the and of to in is " * 20], ["fr", "en"])
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, langid.CLASSES, (5, langid.WINDOW))
+    want = []
+    for row in x:
+        pooled = [max(sum(f[k, row[p + k], j] for k in range(w)) for p in range(len(row) - w + 1)) for w, f in zip(langid.WIDTHS, net.filters, strict=True) for j in range(langid.FILTERS)]
+        z = np.maximum(np.array(pooled) + net.bias, 0) @ net.top + net.top_bias
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.allclose(langid.Predictor(net)._windows(x), want, atol=1e-4)
+
+
+def test_clashing_columns(spark, monkeypatch):
+    """Whatever operators call their own columns, those of the table come back as they were."""
+    extra = ["_key", "_row", "row", "key", "h", "fp", "state", "rank", "turn", "file", "kept", "id", "tie", "order", "_drop", "_t", "count"]
+    rows = [(i, f"line one of {i}\nshared line here\nlast {i % 3}", "en", f"s{i % 6}", *("KEEP" for _ in extra)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{c} string" for c in extra))
+    model = toxicity.Model(toxicity.Lexicon(), None, np.zeros(1), np.array([0.2]))
+    bench = spark.createDataFrame([(1, "nothing of the kind")], "item_id bigint, text string")
+    outs = {
+        "op1": langid.identify(df, None), "op2": lines.without_boilerplate(df), "op2 joined": lines.without_boilerplate(df, held=0), "op4": toxicity.score(df, model), "op4 keeps": toxicity.keep_clean(df, model),
+        "op5": mixing.schedule(df), "op5 mixed": mixing.mixed(df), "op7": decontam.decontaminate(df, bench), "op8": jaccard.keep_one(df), "op9": token_counts.count_tokens(df, queries.vocabulary("piece_bpe_32k.model")),
+    }
+    for name, out in outs.items():
+        got = out.select("doc_id", *extra).collect()
+        assert got and all(set(r[1:]) == {"KEEP"} for r in got), name
+    pages_df = df.select(F.col("doc_id").alias("page_id"), F.lit("https://a.example/").alias("url"), F.col("text").alias("html"), *extra)
+    vecs = df.select(F.col("doc_id").alias("vec_id"), F.array(F.col("doc_id").cast("double"), F.lit(1.0)).alias("embedding"), *extra)
+    assert pages.extract(pages_df).count() == 12 and vectors.search(vecs).count() == 10
+
+
+def test_a_text_of_tens_of_megabytes(tokenizer):
+    unit = " lorem ipsum dolor"
+    n = 30_000_000 // len(unit)
+    col = pa.array([unit * n], pa.large_string())
+    names, score = langid.Predictor(langid.train_network([unit * 30, "the and of to in is " * 20], ["la", "en"])).predict(col)
+    assert names == ["la"] and 0 < score[0] <= 1
+    ids = token_files.encoder(queries.vocabulary("byte_bpe_50k.json")).encode(col)[0]
+    assert (ids == np.tile(np.array(tokenizer.encode(unit, add_special_tokens=False).ids, np.uint32), n)).all()
+    tokens, words = token_counts.counter(queries.vocabulary("piece_bpe_32k.model")).count(col)
+    one, _ = token_counts.counter(queries.vocabulary("piece_bpe_32k.model")).count(pa.array([unit], pa.large_string()))
+    assert (tokens[0], words[0]) == (one[0] * n, 3 * n)
+    key, at = jaccard.sets_of(col, 4)
+    assert at.tolist() == [0, 3]
+    assert toxicity.features(col, toxicity.Lexicon()).shape == (1, len(toxicity.FEATURES))
