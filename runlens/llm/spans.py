@@ -197,7 +197,7 @@ class WordTable:
     def __init__(self) -> None:
         self.n, self._used = 0, 0
         self._table, self._flat = HashTable(), np.zeros(1 << 12, np.uint8)
-        self._at, self._size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self._at, self._size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32)
 
     def find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The number of each word, -1 where there is none, CLASH where another word has its hash."""

@@ -28,7 +28,7 @@ from runlens.llm.spans import CLASH, WordTable, buffer_of, byte_class, find_word
 
 UNKNOWN = -25.0
 LONG = 96  # bytes
-KEPT = 300_000  # pre-tokens a worker remembers; beyond that it starts anew
+KEPT = 520_000  # pre-tokens a worker remembers; beyond that it starts anew
 _WORD = byte_class(outside=" \t\n\r\f\v")
 
 

@@ -21,9 +21,11 @@ null id come first; ties of the order go by a hash of the text; an empty table g
 from __future__ import annotations
 
 import hashlib
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from runlens.llm.spans import CLASH, WordTable, buffer_of, hash_spans, runs_of,
 END_ID = 0
 PACK_BYTES, PACK_DOCS = 1_000_000, 4096
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 32_768
-CACHE = 300_000  # distinct pre-tokens a worker keeps; beyond that it starts anew
+CACHE = 520_000  # distinct pre-tokens a worker keeps; beyond that it starts anew
 
 PACKS = "shard int, pack int, first_token bigint, tokens bigint, dict_hash string, width int, doc_ids array<bigint>, n_tokens array<bigint>, frame_ends array<bigint>, blob binary"
 
@@ -118,20 +120,22 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.flat, self.used = WordTable(), np.zeros(1 << 16, np.uint32), 0
-        self.off, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.words, self.flat, self.used = WordTable(), np.zeros(1 << 16, f"u{self.width}"), 0
+        self.off, self.size = np.zeros(1 << 13, np.int32), np.zeros(1 << 13, np.int32)
 
     def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        words = [buf[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        raw = buf.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         n, m = self.words.n, self.words.n + len(words)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
@@ -170,10 +174,10 @@ class Encoder:
             k = self.words.find(buf, starts, ends, h)
         bad = np.unique(np.searchsorted(at, starts[k == CLASH], side="right") - 1)
         k = np.maximum(k, 0)
-        sizes = self.size[k]
+        sizes = self.size[k].astype(np.int64)
         upto = np.zeros(len(k) + 1, np.int64)
         np.cumsum(sizes, out=upto[1:])
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.off[k] - upto[:-1], sizes)]
+        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.off[k] - upto[:-1], sizes)].astype(np.uint32)
         cut = upto[np.searchsorted(starts, at)]
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], bad
 
