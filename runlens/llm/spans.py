@@ -116,12 +116,12 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return h
 
 
-def same_bytes(one: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether spans of two buffers hold the same bytes; `at` and `there` are where they start, `size` is how long both are."""
+def same_bytes(one: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, size: np.ndarray, view: np.ndarray | None = None) -> np.ndarray:
+    """Whether spans of two buffers hold the same bytes; `at` and `there` are where they start, `size` is how long both are, `view` is _eights(other)."""
     out = np.ones(len(size), bool)
     if not len(size):
         return out
-    a, b = _eights(one), _eights(other)
+    a, b = _eights(one), _eights(other) if view is None else view
     left, done = np.flatnonzero(size <= FAR), 0
     while len(left):
         mask = _FIRST[np.minimum(size[left] - done, 8)]
@@ -196,9 +196,13 @@ class WordTable:
 
     def __init__(self) -> None:
         self.n, self._used = 0, 0
-        self._table, self._flat = HashTable(), np.zeros(1 << 12, np.uint8)
+        self._table = HashTable()
+        self._hold(np.zeros(1 << 12, np.uint8))
         self._at, self._size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32)
 
+    def _hold(self, flat: np.ndarray) -> None:
+        self._flat, self._view = flat, np.ndarray(len(flat) - 8, "<u8", flat, strides=(1,))
+
     def find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The number of each word, -1 where there is none, CLASH where another word has its hash."""
         k = self._table.find(h)
@@ -206,7 +210,7 @@ class WordTable:
         entry, size = k[hit], (ends - starts)[hit]
         same = self._size[entry] == size
         far = np.flatnonzero(same & (size > 8))  # shorter words of one size and hash are equal
-        same[far] = same_bytes(buf, starts[hit[far]], self._flat, self._at[entry[far]], size[far])
+        same[far] = same_bytes(buf, starts[hit[far]], self._flat, self._at[entry[far]], size[far], self._view)
         k[hit[~same]] = CLASH
         return k
 
@@ -218,8 +222,8 @@ class WordTable:
         """New words with distinct hashes."""
         size = ends - starts
         total, n = int(size.sum()), self.n + len(h)
-        while self._used + total > len(self._flat):
-            self._flat = np.concatenate((self._flat, np.zeros_like(self._flat)))
+        while self._used + total + 8 > len(self._flat):
+            self._hold(np.concatenate((self._flat, np.zeros_like(self._flat))))
         while n > len(self._at):
             self._at, self._size = (np.concatenate((x, np.zeros_like(x))) for x in (self._at, self._size))
         at = np.cumsum(size) - size

@@ -141,7 +141,7 @@ class Counter:
                     new = np.arange(len(h))
                 names, spot = np.unique(h[new], return_index=True)
                 self._learn(names, buf, starts[new[spot]], ends[new[spot]])
-                k = self.known.find(buf, starts, ends, h)
+                k[new] = self.known.find(buf, starts[new], ends[new], h[new])
             count = self.counts[np.maximum(k, 0)]
             for x in np.flatnonzero(k == CLASH).tolist():  # its hash belongs to another pre-token
                 count[x] = count_one(b" " + buf[starts[x] : ends[x]].tobytes(), self.pieces, self.longest)

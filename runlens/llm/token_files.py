@@ -171,7 +171,7 @@ class Encoder:
             names, first = np.unique(h[new], return_index=True)
             spot = new[first]
             self._learn(buf, starts[spot], ends[spot], names)
-            k = self.words.find(buf, starts, ends, h)
+            k[new] = self.words.find(buf, starts[new], ends[new], h[new])
         bad = np.unique(np.searchsorted(at, starts[k == CLASH], side="right") - 1)
         k = np.maximum(k, 0)
         sizes = self.size[k].astype(np.int64)
