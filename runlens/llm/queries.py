@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontam, jaccard, langid, lines, mixing, pages, sql, token_counts, token_files, toxicity, vectors
+from runlens.llm import codes, decontam, jaccard, langid, lines, mixing, pages, pieces, sql, token_counts, token_files, toxicity, vectors
 from runlens.session import importable, shared_dir, table
 
 
@@ -78,11 +78,28 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(table(spark, sf_dir, "embeddings"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    found = codes.compress(table(spark, sf_dir, "embeddings"))
+    hex_code = F.array_join(F.transform("code", lambda i: F.lpad(F.lower(F.hex(i)), 2, "0")), "")
+    return found.select("vec_id", hex_code.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    model = vocabulary("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_line_dedup, op3_html_extraction, op4_toxicity, op5_source_mixing, op6_token_files,
-        op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_token_counts, op10_exact_top_k,
+        op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_token_counts, op10_exact_top_k, op12_vector_codes, op13_sentencepiece,
     )
 }
 
@@ -92,4 +109,5 @@ ORACLES: dict[str, str] = {
     "op7_benchmark_decontamination": sql.DECONTAMINATION,
     "op8_ngram_jaccard_join": sql.JACCARD,
     "op10_exact_top_k": sql.TOP_K,
+    "op12_vector_codes": sql.vector_codes(),
 }

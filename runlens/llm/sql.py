@@ -62,3 +62,41 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out one after the other. v: a row for each part of each vector; book: a row for each entry."""
+    near = """SELECT v.id, v.p, arg_min(b.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i]))) * {n} + b.e) AS e,
+    min(list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i])))) AS d
+    FROM v JOIN book{k} b USING (p) GROUP BY v.id, v.p"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"near{k} AS MATERIALIZED ({near.format(n=entries, k=k)})")
+        steps.append(f"""mean{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT p, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM (SELECT v.p, n.e, generate_subscripts(v.x, 1) AS i, unnest(v.x) AS x FROM v JOIN near{k} n ON n.id = v.id AND n.p = v.p)
+    GROUP BY p, e, i) GROUP BY p, e)""")
+        steps.append(f"book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m USING (p, e))")
+    steps.append(f"last AS MATERIALIZED ({near.format(n=entries, k=rounds)})")
+    chain = ", ".join(steps)
+    return f"""
+WITH f AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(embedding) % {parts} = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 8192)) = 0
+), n AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS id, vec_id, label, x FROM f
+), kept AS (
+  SELECT * FROM n WHERE len(x) = (SELECT len(x) FROM n WHERE id = 1)
+), v AS MATERIALIZED (
+  SELECT id, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS x FROM kept, (SELECT unnest(range({parts})) AS p)
+), book0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY id) - 1 AS e, x FROM v WHERE id IN (SELECT id FROM kept ORDER BY id LIMIT {entries})
+), {chain}, code AS (
+  SELECT id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY id
+), own AS (
+  SELECT kept.vec_id, kept.label, code, error FROM kept JOIN code USING (id)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM own
+"""
