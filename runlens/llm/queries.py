@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import codes, decontam, jaccard, langid, lines, mixing, pages, pieces, sql, token_counts, token_files, toxicity, vectors
+from runlens.llm import codes, decontam, jaccard, langid, lines, mixing, pages, pieces, ranking, sql, token_counts, token_files, toxicity, vectors
 from runlens.session import importable, shared_dir, table
 
 
@@ -78,6 +78,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     found = codes.compress(table(spark, sf_dir, "embeddings"))
@@ -99,7 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_line_dedup, op3_html_extraction, op4_toxicity, op5_source_mixing, op6_token_files,
-        op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_token_counts, op10_exact_top_k, op12_vector_codes, op13_sentencepiece,
+        op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_token_counts, op10_exact_top_k, op11_ranked_search, op12_vector_codes, op13_sentencepiece,
     )
 }
 
@@ -109,5 +114,6 @@ ORACLES: dict[str, str] = {
     "op7_benchmark_decontamination": sql.DECONTAMINATION,
     "op8_ngram_jaccard_join": sql.JACCARD,
     "op10_exact_top_k": sql.TOP_K,
+    "op11_ranked_search": sql.RANKED,
     "op12_vector_codes": sql.vector_codes(),
 }

@@ -63,6 +63,30 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+RANKED = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), g AS (
+  SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL
+), f AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) SEMI JOIN q USING (term) GROUP BY r, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * g.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term, g.n
+), m AS (
+  SELECT r, doc_id, 100 - 50 + (50 * len(t) * g.n) // g.l AS m FROM d, g WHERE len(t) > 0
+), s AS (
+  SELECT q.item_id, f.r, m.doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * m.m))) AS BIGINT) AS score
+  FROM f JOIN q USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY q.item_id, f.r, m.doc_id
+), k AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
 
 def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """The rounds written out one after the other. v: a row for each part of each vector; book: a row for each entry."""
