@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.json_text import map_leaves, truthy
 from runlens.functions.text import lines, literal, strip
 
 #: Endings by the subtype of the last result event.
@@ -130,27 +129,6 @@ def tool_results(found: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame
     return use.join(b.where("type = 'tool_result'").select(*keys, "use_id", F.col("text").alias("result")), [*keys, "use_id"], "left")
 
 
-def message(m: Column) -> Column:
-    """The canonical fields of a message, null where it has none; structured ones as JSON text."""
-    field = lambda f: F.coalesce(F.try_variant_get(m, f"$.{f}", "string"), F.to_json(F.try_variant_get(m, f"$.{f}", "variant")))
-    return F.struct(*(field(f).alias(f) for f in MESSAGE_FIELDS))
-
-
-def exchange_of_stream(traces: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, messages, model, complete): the record of an event stream; the model is the last assistant message's."""
-    e = events(traces, keys)
-    kind = text_at("event", "$.type")
-    whole = F.schema_of_variant(F.try_variant_get("event", "$.message", "variant")).startswith("OBJECT")
-    talk = kind.isin("user", "assistant") & whole
-    result = kind == "result"
-    got = e.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(talk, F.struct("pos", message(F.try_variant_get("event", "$.message", "variant")).alias("m"))))).alias("m"),
-        F.max_by(text_at("event", "$.message.model"), F.when(talk & (kind == "assistant"), F.col("pos"))).alias("model"),
-        F.max_by(F.struct(text_at("event", "$.subtype").alias("s"), F.coalesce(F.try_variant_get("event", "$.is_error", "boolean"), F.lit(False)).alias("e")), F.when(result, F.col("pos"))).alias("r"),
-    )
-    return got.select(*keys, F.transform("m", lambda x: x["m"]).alias("messages"), "model", complete(F.col("r.s"), F.col("r.e")).alias("complete"))
-
-
 def _object(fields: dict[str, Column]) -> Column:
     """A JSON object of texts that are JSON themselves; null fields are written."""
     parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in fields.items()]
@@ -170,33 +148,75 @@ def _scrubbed(v: Column, path: str, scrub) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith("OBJECT"), F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}"))).otherwise(_at(v, path))
 
 
+def _message(m: Column) -> Column:
+    """The canonical fields of a message as JSON text, null where it has none."""
+    return _object({f: _at(m, f"$.{f}") for f in MESSAGE_FIELDS})
+
+
+def _listed(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
 def exchange_of_proxy(records: DataFrame, keys: list[str], home: str = "", name: str = "", email: str = "") -> DataFrame:
     """records (keys, record): (keys, exchange), the unified record as JSON text: source, complete, model, messages, system, tools, extra_info.
 
-    Secret headers and the user's id are taken out, and every text in it is redacted (`redact_json`). A null record gives null.
+    Secret headers and the user's id are taken out, and every text value in it is redacted. A null record gives null.
     """
     r = records.select(*keys, "record", F.try_parse_json("record").alias("r"))
     v = F.col("r")
     asked = F.coalesce(F.try_variant_get(v, "$.request.body.messages", "array<variant>"), F.array().cast("array<variant>"))
     answer = F.try_variant_get(v, "$.response.message", "variant")
-    talk = F.concat(asked, F.when(F.schema_of_variant(answer).startswith("OBJECT"), F.array(answer)).otherwise(F.array().cast("array<variant>")))
-    messages = F.concat(F.lit("["), F.array_join(F.transform(talk, lambda m: _object({f: _at(m, f"$.{f}") for f in MESSAGE_FIELDS})), ","), F.lit("]"))
+    talk = F.concat(asked, F.when(_is_object(answer), F.array(answer)).otherwise(F.array().cast("array<variant>")))
     headers = lambda m: F.transform_values(m, lambda k, x: F.when(F.lower(k).isin(*SECRET_HEADERS), '"<redacted>"').otherwise(x))
     extra = _object({
         "request_headers": _scrubbed(v, "$.request.headers", headers), "response_headers": _scrubbed(v, "$.response.headers", headers), "status": _at(v, "$.response.status"),
         "request_params": _object({p: _at(v, f"$.request.body.{p}") for p in PARAMS}), "metadata": _scrubbed(v, "$.request.body.metadata", scrub_metadata),
     })
-    whole = F.coalesce(F.try_variant_get(v, "$.complete", "boolean"), F.lit(False)).cast("string")
-    record = _object({"source": F.lit('"proxy"'), "complete": whole, "model": _at(v, "$.request.body.model"), "messages": messages, "system": _at(v, "$.request.body.system"), "tools": _at(v, "$.request.body.tools"), "extra_info": extra})
+    whole = truthy(F.try_variant_get(v, "$.complete", "variant")).cast("string")
+    record = _object({"source": F.lit('"proxy"'), "complete": whole, "model": _at(v, "$.request.body.model"), "messages": _listed(F.transform(talk, _message)), "system": _at(v, "$.request.body.system"), "tools": _at(v, "$.request.body.tools"), "extra_info": extra})
     return r.select(*keys, F.when(v.isNotNull(), redact_json(record, home, name, email)).alias("exchange"))
 
 
+def exchange_of_stream(traces: DataFrame, keys: list[str], home: str = "", name: str = "", email: str = "") -> DataFrame:
+    """traces (keys, raw): (keys, exchange), the same record of an event stream; a null raw (no file) gives null.
+
+    The stream carries neither system prompt nor tools: both are null. `model` is the last assistant message's, complete
+    means that the last result event tells of success without an error, and extra_info holds that event as it stands
+    ({} without one). A row is one stream: nothing is shuffled.
+    """
+    parsed = F.filter(F.transform(lines(F.col("raw")), lambda x: F.try_parse_json(strip(x))), _is_object)
+    e = traces.select(*keys, parsed.alias("e"))
+    kind = lambda x: F.try_variant_get(x, "$.type", "string")
+    said = lambda x: F.try_variant_get(x, "$.message", "variant")
+    talk = F.filter("e", lambda x: F.coalesce(kind(x).isin("user", "assistant"), F.lit(False)) & _is_object(said(x)))
+    e = e.select(*keys, F.col("e").isNotNull().alias("there"), talk.alias("talk"), F.try_element_at(F.filter("e", lambda x: kind(x) == "result"), F.lit(-1)).alias("result"))
+    last = F.try_element_at(F.filter("talk", lambda x: kind(x) == "assistant"), F.lit(-1))
+    whole = (text_at("result", "$.subtype") == "success") & ~truthy(F.try_variant_get("result", "$.is_error", "variant"))
+    record = _object({
+        "source": F.lit('"stream"'), "complete": F.coalesce(whole, F.lit(False)).cast("string"), "model": _at(said(last), "$.model"), "messages": _listed(F.transform("talk", lambda x: _message(said(x)))),
+        "system": F.lit("null"), "tools": F.lit("null"), "extra_info": _object({"result": F.coalesce(F.to_json("result"), F.lit("{}"))}),
+    })
+    return e.select(*keys, F.when(F.col("there"), redact_json(record, home, name, email)).alias("exchange"))
+
+
+def exchange_of_file(files: DataFrame, keys: list[str], home: str = "", name: str = "", email: str = "") -> DataFrame:
+    """files (keys, capture, raw): (keys, exchange) of trace files of both kinds, `proxy` logs and `stream` logs.
+
+    A file that is absent (null raw) and a proxy's log without a record give {}; a proxy's last line must be JSON.
+    """
+    proxy, stream = files.where("capture = 'proxy'"), files.where("capture = 'stream'")
+    logged = exchange_of_proxy(last_record(proxy, keys, strict=True), keys, home, name, email)
+    told = exchange_of_stream(stream, keys, home, name, email)
+    return logged.unionByName(told).select(*keys, F.coalesce("exchange", F.lit("{}")).alias("exchange"))
+
+
 def redact_json(record: Column, home: str = "", name: str = "", email: str = "") -> Column:
-    """`redact` for every text of a record at once, in its JSON form: a sentence ends at an escaped line end or the closing quote. Keys are redacted too."""
-    inner = lambda t: json.dumps(t, ensure_ascii=False)[1:-1]
-    text = literal(literal(literal(record, inner(home), HOME), inner(name), NAME), inner(email), EMAIL)
-    text = F.regexp_replace(text, r'(The user\'s email address is )(?:[^\s"\\]|\\["\\/])+', f"$1{EMAIL}")
-    return F.regexp_replace(text, r'(Git user: )(?:[^"\\\n]|\\[^n])+', f"$1{NAME}")
+    """`redact` for every text value of a JSON text, wherever it stands; keys are left alone."""
+    return map_leaves(record, lambda t: redact(t, home, name, email))
 
 
 def scrub_headers(headers: Column) -> Column:
@@ -228,5 +248,7 @@ def failure(stderr: Column, result: Column, api_status: Column) -> tuple[Column,
     return error_class(text), F.left(strip(F.coalesce(part(result), part(stderr), part(text), F.lit("unknown failure"))), F.lit(500))
 
 
-def active_seconds(record: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(record), "$.extra_info.result.duration_ms", "double") / 1000
+def active_seconds(exchange: Column) -> Column:
+    """What the agent says it took, from a stream's record; null where the result names no number."""
+    took = F.try_variant_get(F.try_parse_json(exchange), "$.extra_info.result.duration_ms", "variant")
+    return F.when(F.schema_of_variant(took) != "STRING", F.try_variant_get(took, "$", "double") / 1000)

@@ -64,6 +64,15 @@ STREAMS = """SELECT conv_id, concat('{"type":"system","n":', n, '}', chr(10), ch
       ELSE concat('{"type":"result","subtype":"error_max_turns"}', chr(10), '{"type":"result","subtype":"success","is_error":false}', chr(10)) END) AS raw,
   conv_id % 8 AS kind FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c"""
 
+#: Sessions whose texts name their user, in values at several depths and in keys: null for a run without a trace file, junk, results without a duration.
+SESSIONS = """SELECT conv_id, n, CASE conv_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'no event here' ELSE concat('{"type":"system","cwd":"/home/max"}', chr(10), 'junk', chr(10),
+    '{"type":"user","message":{"role":"user","id":"u', n, '","content":"see /home/max/x', n, ' of max', CASE WHEN conv_id % 3 = 0 THEN concat(chr(92), 'nGit user: Some One', chr(92), 'nrest ', chr(92), '"', n, chr(92), '"') ELSE '' END, '"}}', chr(10),
+    '{"type":"assistant","message":{"role":"assistant","model":"m', n % 3, '","usage":{"max_tokens":', n, ',"by":"max"},"content":[{"type":"tool_use","name":"Read","input":{"max":{"path":["/home/max/y', n, '"]}}}]}}', chr(10),
+    '{"type":"assistant","message":null}', chr(10),
+    CASE WHEN conv_id % 4 = 0 THEN '' ELSE concat('{"type":"result","subtype":"', CASE WHEN conv_id % 4 = 1 THEN 'error_max_turns' ELSE 'success' END, '","is_error":', CASE WHEN conv_id % 7 = 0 THEN '"yes"' ELSE 'false' END,
+      CASE WHEN conv_id % 5 = 0 THEN '' ELSE concat(',"duration_ms":', n * 1500) END, ',"result":"The user''s email address is me@here.org now"}', chr(10)) END) END AS raw
+  FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c"""
+
 #: Purge reports: present, absent, and with every kind of defect.
 REPORTS = """SELECT o_orderkey AS run, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat('{"purged": ', CASE WHEN o_orderkey % 7 = 0 THEN 'false' ELSE 'true' END,
   ', "before": {"future_commits": ', o_custkey % 3, '}, "after": {"future_commits": ', CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 0 END,

@@ -269,6 +269,11 @@ def stripped_patches(v: Views) -> DataFrame:
     return v.sql(A.DIFFS).select("run", F.md5(patches.without_binary(d)).alias("kept_md5"), patches.is_empty(d).alias("is_empty"), F.array_join(patches.gold_files(d), ",").alias("gold"))
 
 
+@query(rf"""WITH d AS ({A.DIFFS}), s AS (SELECT run, unnest(string_split(diff, 'diff --git a/')) AS s FROM d) SELECT run, regexp_extract(s, '^(\S+) b/', 1) AS path FROM s WHERE contains(s, 'new file mode') AND regexp_matches(s, '^\S+ b/')""")
+def new_files(v: Views) -> DataFrame:
+    return patches.new_files(v.sql(A.DIFFS), ["run"])
+
+
 _TRACE = rf"""WITH b AS ({A.BLOCKS}), c AS (SELECT conv_id, pos, command, trim(unnest(regexp_split_to_array(command, '[;&|]{{1,2}}|\n'))) AS part FROM b WHERE type = 'tool_use'),
   g AS (SELECT conv_id, count(*) FILTER (regexp_matches(part, '\bgit\s+[a-z][a-z-]*') AND NOT regexp_matches(part, '^git\s+(status\b|grep\b|ls-files\b|add\b|apply\b|stash\b|config\b|init\b|checkout\s+--\s|rev-parse\s+HEAD$|diff(\s+--(stat|cached|name-only|numstat))*(\s+--)?(\s+[\w./-]+)*$|show(\s+--stat)?$)')
     AND NOT (regexp_matches(part, '^git\s+log\b') AND NOT regexp_matches(part, '--(all|branches|tags|remotes|reflog|glob|exclude)\b'))) AS n_git FROM c GROUP BY conv_id),
@@ -368,11 +373,30 @@ def conversation_blocks(v: Views) -> DataFrame:
     return b.groupBy("conv_id").agg(F.countDistinct("pos").cast("int").alias("n_messages"), F.count("*").cast("int").alias("n_blocks"), seen.alias("seen"))
 
 
-@query(f"""{_EVENTS}, r AS (SELECT conv_id, count(*) FILTER (event ->> '$.type' IN ('user', 'assistant')) AS n, arg_max(event ->> '$.message.model', pos) FILTER (event ->> '$.type' = 'assistant') AS model,
-    arg_max((event ->> '$.subtype') = 'success' AND coalesce(event ->> '$.is_error', 'false') <> 'true', pos) FILTER (event ->> '$.type' = 'result') AS complete FROM e GROUP BY conv_id) SELECT conv_id, CAST(n AS INT) AS n_messages, model, coalesce(complete, false) AS complete FROM r""")
+_RECORD_COLUMNS = {
+    "source": "$.source", "complete": "$.complete", "model": "$.model", "asked": "$.messages[0].content", "asked_id": "$.messages[0].id", "used": "$.messages[1].usage.by",
+    "path": "$.messages[1].content[0].input.max.path[0]", "tools": "$.tools", "ended": "$.extra_info.result.subtype", "told": "$.extra_info.result.result",
+}
+
+
+@query(f"""WITH s AS ({A.SESSIONS}), k AS (SELECT conv_id, n, raw IS NOT NULL AS there, coalesce(raw LIKE '{{%', false) AS talk, coalesce(raw LIKE '%"type":"result"%', false) AS r FROM s)
+  SELECT conv_id, CASE WHEN there THEN 'complete,extra_info,messages,model,source,system,tools' ELSE '' END AS keys, CASE WHEN there THEN 'stream' END AS source,
+    CASE WHEN there THEN CAST(r AND conv_id % 4 > 1 AND conv_id % 7 <> 0 AS VARCHAR) END AS complete, CASE WHEN talk THEN concat('m', n % 3) END AS model, CASE WHEN there THEN CASE WHEN talk THEN 2 ELSE 0 END END AS n_messages,
+    CASE WHEN talk THEN concat('see /Users/aturing/x', n, ' of Alan Turing', CASE WHEN conv_id % 3 = 0 THEN concat(chr(10), 'Git user: Alan Turing', chr(10), 'rest "', n, '"') ELSE '' END) END AS asked,
+    CASE WHEN talk THEN concat('u', n) END AS asked_id, CASE WHEN talk THEN 'Alan Turing' END AS used, CASE WHEN talk THEN concat('/Users/aturing/y', n) END AS path, CAST(NULL AS VARCHAR) AS tools,
+    CASE WHEN r THEN CASE WHEN conv_id % 4 = 1 THEN 'error_Alan Turing_turns' ELSE 'success' END END AS ended, CASE WHEN r THEN 'The user''s email address is alan.turing@example.com now' END AS told,
+    CASE WHEN talk THEN 'by,max_tokens' END AS usage_keys, CASE WHEN there THEN CASE WHEN r THEN CASE WHEN conv_id % 5 = 0 THEN 'is_error,result,subtype,type' ELSE 'duration_ms,is_error,result,subtype,type' END ELSE '' END END AS result_keys,
+    CASE WHEN r AND conv_id % 5 <> 0 THEN n * 1500 / 1000.0 END AS active FROM k""")
 def exchange_records(v: Views) -> DataFrame:
-    x = traces.exchange_of_stream(v.sql(A.STREAMS), ["conv_id"])
-    return x.select("conv_id", F.size("messages").alias("n_messages"), "model", "complete")
+    """The whole record of each event stream, read back by path: its keys, its redacted texts at several depths, its result."""
+    s = v.sql(A.SESSIONS).withColumn("capture", F.lit("stream"))
+    x = traces.exchange_of_file(s, ["conv_id"], home="/home/max", name="max")
+    e = F.try_parse_json("exchange")
+    keys = lambda path: F.array_join(F.array_sort(F.map_keys(F.try_variant_get(e, path, "map<string,variant>"))), ",")
+    return x.select(
+        "conv_id", keys("$").alias("keys"), *(F.try_variant_get(e, p, "string").alias(c) for c, p in _RECORD_COLUMNS.items()), F.size(F.try_variant_get(e, "$.messages", "array<variant>")).alias("n_messages"),
+        keys("$.messages[1].usage").alias("usage_keys"), keys("$.extra_info.result").alias("result_keys"), traces.active_seconds(F.col("exchange")).alias("active"),
+    )
 
 
 @query(f"""WITH t AS ({A.TEXTS}) SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, '/home/me', '/Users/aturing'), '(The user''s email address is )\\S+', '\\1alan.turing@example.com', 'g'), '(Git user: )[^\\n]+', '\\1Alan Turing', 'g')) AS text_md5 FROM t""")
@@ -421,6 +445,13 @@ def proxy_exchanges(v: Views) -> DataFrame:
     )
 
 
+@query(f"""{_PROXY_OF.format(A.PROXY)} SELECT id, CASE WHEN r ->> '$.complete' = 'true' THEN 'finished' ELSE 'truncated' END AS outcome FROM j""")
+def coarse_outcomes(v: Views) -> DataFrame:
+    """How each session of a proxy ended, as far as its record tells."""
+    x = traces.exchange_of_proxy(traces.last_record(v.sql(A.PROXY), ["id"]), ["id"])
+    return x.select("id", traces.coarse_outcome(F.try_variant_get(F.try_parse_json("exchange"), "$.complete", "boolean")).alias("outcome"))
+
+
 @query(f"""{_PROXY_OF.format(A.PROXY)}, m AS (SELECT id, 0 AS pos, 'system' AS role, r -> '$.request.body.system' AS c FROM j UNION ALL SELECT id, i, r ->> concat('$.request.body.messages[', i - 1, '].role'), r -> concat('$.request.body.messages[', i - 1, '].content') FROM j, range(1, 4) t(i) WHERE i <= json_array_length(r, '$.request.body.messages')
     UNION ALL SELECT id, 9, 'assistant', r -> '$.response.message.content' FROM j)
   SELECT id, count(*) AS n_blocks, string_agg(role, ',' ORDER BY pos) AS roles FROM m WHERE role IN ('system', 'user', 'assistant') AND (json_type(c) = 'VARCHAR' OR json_array_length(c) > 0) GROUP BY id""")
@@ -477,6 +508,14 @@ def source_misses(v: Views) -> DataFrame:
     return annotations.source_misses(v.sql(A.GOLD), v.sql(A.ANNOTATED), v.sql(A.NEW))
 
 
+@query(f"""{_RECALL}, s AS (SELECT DISTINCT inst FROM g WHERE inst IN (SELECT inst FROM a)),
+  m AS (SELECT DISTINCT inst FROM g WHERE NOT EXISTS (FROM a WHERE a.inst = g.inst AND a.path = g.path) AND NOT EXISTS (FROM nf WHERE nf.inst = g.inst AND nf.path = g.path)
+    AND NOT (path LIKE '%.md' OR path LIKE '%.pb.go' OR contains(path, 'docs/') OR contains(path, 'vendor/') OR (path LIKE '%.json' AND contains(path, '/locale/'))))
+  SELECT count(*) AS scanned, count(m.inst) AS flagged FROM s LEFT JOIN m ON m.inst = s.inst""")
+def source_miss_audit(v: Views) -> DataFrame:
+    return annotations.miss_audit(v.sql(A.GOLD), v.sql(A.ANNOTATED), v.sql(A.NEW))
+
+
 # Manifests
 
 _HASHED = "WITH hashed AS (SELECT doc_id, sha256(text) AS sha256_text FROM documents)"
