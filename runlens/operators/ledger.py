@@ -90,13 +90,32 @@ def blocked(entries: DataFrame, keys: list[str], position: str = "pos") -> DataF
     return entries.withColumn("outcome", F.when(failed == 1, "blocked").otherwise(F.col("outcome")))
 
 
-def bindings(needs: DataFrame, produces: DataFrame) -> DataFrame:
-    """needs (wf, pos, name), produces (wf, pos, name): per need the number of earlier producers, the producer if it is the only one, and how it ends: bound, unbound or ambiguous."""
-    made = produces.select("wf", F.col("pos").alias("by"), "name")
-    met = needs.join(made, ["wf", "name"], "left").groupBy("wf", "pos", "name").agg(
-        F.count_if(F.col("by") < F.col("pos")).alias("n"), F.min(F.when(F.col("by") < F.col("pos"), F.col("by"))).alias("by")
-    )
-    return met.select("wf", "pos", "name", "n", F.when(F.col("n") == 1, F.col("by")).alias("producer"), F.when(F.col("n") == 1, "bound").when(F.col("n") == 0, "unbound").otherwise("ambiguous").alias("state"))
+def bindings(needs: DataFrame, produces: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """Which producer each input of a workflow's entries is bound to.
+
+    needs (wf, pos, name; optional: via, required, builder), produces (wf, pos, key, name), given (wf, name): what the caller hands in, a
+    producer named `inputs` that is earlier than any entry. Per need: n, its earlier producers (of a need that names one in `via`: those of that key),
+    the producer's key and how it ends: bound; not earlier (`via` is no earlier producer of the name); ambiguous; unbound; or
+    left out, where nothing produces an input that is optional or that the task's own builder makes.
+
+    Needs and producers stand in one sorted stream by name, each producer once for whoever asks for it by key and once for all
+    others; a running count and the last producer seen answer every need, in one shuffle.
+    """
+    have = set(needs.columns)
+    option = lambda c, default: F.coalesce(F.col(c), default) if c in have else default
+    need = needs.select(
+        "wf", "pos", "name", option("via", F.lit(None).cast("string")).alias("via"), F.lit(0).alias("made"), F.lit(None).cast("string").alias("key"),
+        (option("required", F.lit(True)) & ~option("builder", F.lit(False))).alias("wanted"),
+    )
+    made = produces.select("wf", "pos", "key", "name")
+    if given is not None:
+        made = made.unionByName(given.select("wf", F.lit(-1).alias("pos"), F.lit("inputs").alias("key"), "name"))
+    made = made.withColumn("via", F.explode(F.array(F.col("key"), F.lit(None).cast("string")))).withColumns({"made": F.lit(1), "wanted": F.lit(None).cast("boolean")})
+    earlier = Window.partitionBy("wf", "name", "via").orderBy("pos", "made").rowsBetween(Window.unboundedPreceding, 0)  # at one place needs come first
+    seen = need.unionByName(made).withColumns({"n": F.sum("made").over(earlier), "last": F.last("key", ignorenulls=True).over(earlier)}).where("made = 0")
+    named = F.col("via").isNotNull()
+    state = F.when(named, F.when(F.col("n") > 0, "bound").otherwise("not earlier")).when(F.col("n") == 1, "bound").when(F.col("n") > 1, "ambiguous").when(F.col("wanted"), "unbound").otherwise("left out")
+    return seen.select("wf", "pos", "name", "n", F.when(state == "bound", F.col("last")).alias("producer"), state.alias("state"))
 
 
 def unused(inputs: DataFrame, needs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.functions.text import strip
+from runlens.operators import ordered
 
 FIX_SHA = r"-([0-9a-f]{40})(?:-|$)"
 TASK_NAME, ENV_NAME = r"^[a-z][a-z0-9_-]*$", r"^[A-Za-z_][A-Za-z0-9_]*$"
@@ -64,10 +65,24 @@ def provenance(rows: DataFrame, fixes: DataFrame, flaky: DataFrame) -> DataFrame
 
 
 def unique_longer(names: DataFrame, passed: DataFrame) -> DataFrame:
-    """names (inst, name), passed (inst, test): for a name cut short, the one longer passed test it begins (null if none or several)."""
-    hit = names.join(passed.distinct(), "inst", "left").where("test is null or startswith(test, name)").where("test is null or test <> name")
-    found = hit.groupBy("inst", "name").agg(F.count("test").alias("n"), F.min("test").alias("test"))
-    return names.join(found, ["inst", "name"], "left").select("inst", "name", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("test")).alias("test"))
+    """names (inst, name), passed (inst, test): for a name cut short, `n`, the longer passed tests it begins, and the one it begins (null if none or several).
+
+    In the order of their bytes the tests that a name begins stand together: after the name itself and before the name
+    with a byte that no text holds. One sorted stream of tests and of both ends of each name tells how many stand between,
+    and which is the last; a name is never held against the tests one by one, and one instance may hold most of the rows.
+    """
+    order = ["inst", "at", "kind"]
+    row = lambda at, kind, text: (F.col("inst"), at.alias("at"), F.lit(kind).alias("kind"), text.alias("text"))
+    bytes_ = lambda c: F.encode(c, "UTF-8")
+    own = names.where("inst is not null and name is not null").select("inst", "name").distinct()
+    test = passed.where("test is not null").select("inst", "test").distinct().select(*row(bytes_(F.col("test")), 0, F.col("test")))
+    begin = own.select(*row(bytes_(F.col("name")), 1, F.col("name")))
+    end = own.select(*row(F.concat(bytes_(F.col("name")), F.lit(b"\xff")), 2, F.col("name")))
+    seen = ordered.running(test.unionByName(begin).unionByName(end), order, F.col("kind") == 0, F.col("text"))
+    ends = seen.where("kind > 0").groupBy("inst", F.col("text").alias("name")).agg(
+        F.sum(F.when(F.col("kind") == 2, F.col("n_so_far")).otherwise(-F.col("n_so_far"))).alias("n"), F.max(F.when(F.col("kind") == 2, F.col("latest"))).alias("test")
+    )
+    return names.join(ends, ["inst", "name"], "left").select("inst", "name", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("test")).alias("test"))
 
 
 def artifact_name_ok(name: Column) -> Column:

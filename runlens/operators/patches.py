@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.functions.text import lines, strip
 
@@ -66,3 +68,21 @@ def test_leaf(name: Column) -> Column:
 def distinctive(leaf: Column) -> Column:
     """Long enough to mean something when it turns up in a patch."""
     return (F.length(leaf) >= 8) & (F.lower(leaf).startswith("test") | (F.length(leaf) >= 20))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def found_in(text: pd.Series, words: pd.Series) -> pd.Series:
+    """Which of a row's words its text holds, sorted: one pass over the text with an automaton of the words, however many they are."""
+    import ahocorasick
+
+    def one(t: str | None, ws) -> list[str]:
+        automaton = ahocorasick.Automaton()
+        for w in () if ws is None or not t else ws:
+            if w:
+                automaton.add_word(w, w)
+        if not len(automaton):
+            return []
+        automaton.make_automaton()
+        return sorted({w for _, w in automaton.iter(t)})
+
+    return pd.Series([one(t, ws) for t, ws in zip(text, words, strict=True)], dtype=object)

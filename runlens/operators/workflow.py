@@ -9,6 +9,7 @@ from runlens.operators.normalize import ENV_NAME, TASK_NAME
 
 #: Fixed value: the key that stands for a workflow's own inputs.
 INPUTS = "inputs"
+NO_ENTRIES = "a workflow needs at least one entry"
 
 
 def contract_problems(declared: Column, required: Column, generated: Column, staged: Column) -> dict[str, Column]:
@@ -24,13 +25,13 @@ def bad_env_names(env: Column) -> Column:
     return F.array_sort(F.filter(F.map_keys(env), lambda k: ~k.rlike(ENV_NAME.replace("$", r"\z"))))
 
 
-def declaration_problems(entries: DataFrame) -> DataFrame:
-    """entries (wf, pos, key, inputs, bindings, timeout, retries): (wf, key, problem). A workflow without entries has no row to judge.
+def declaration_problems(entries: DataFrame, workflows: DataFrame | None = None) -> DataFrame:
+    """entries (wf, pos, key, inputs, bindings, timeout, retries): (wf, key, problem); with workflows (wf) also those without entries, of null key.
 
-    A binding is `<producer>/<name>`, cut at the first slash.
+    A binding is `<producer>/<name>`, cut at the first slash; a null one is malformed.
     """
     e = entries.withColumn("same", F.count("*").over(Window.partitionBy("wf", "key")))
-    cut = F.transform("bindings", lambda b: F.struct(b.alias("b"), F.substring_index(b, "/", 1).alias("producer"), F.when(b.contains("/"), F.substr(b, F.instr(b, "/") + 1)).otherwise("").alias("name")))
+    cut = F.transform(F.transform("bindings", lambda b: F.coalesce(b, F.lit(""))), lambda b: F.struct(b.alias("b"), F.substring_index(b, "/", 1).alias("producer"), F.when(b.contains("/"), F.substr(b, F.instr(b, "/") + 1)).otherwise("").alias("name")))
     good = F.filter(cut, lambda x: (x["producer"] != "") & (x["name"] != ""))
     names = F.transform(good, lambda x: x["name"])
     twice = F.array_distinct(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) > 1))
@@ -42,7 +43,11 @@ def declaration_problems(entries: DataFrame) -> DataFrame:
         F.array_compact(found), F.transform(F.filter(cut, lambda x: (x["producer"] == "") | (x["name"] == "")), lambda x: F.concat(F.lit("malformed binding "), x["b"])),
         F.transform(F.array_distinct(F.array_except(names, F.col("inputs"))), lambda n: F.concat(F.lit("binds undeclared "), n)), F.transform(twice, lambda n: F.concat(F.lit("binds twice "), n)),
     )
-    return e.select("wf", "key", F.explode(found).alias("problem")).distinct()
+    out = e.select("wf", "key", F.explode(found).alias("problem")).distinct()
+    if workflows is None:
+        return out
+    bare = workflows.select("wf").distinct().join(entries.select("wf"), "wf", "left_anti")
+    return out.unionByName(bare.select("wf", F.lit(None).cast("string").alias("key"), F.lit(NO_ENTRIES).alias("problem")))
 
 
 def resolved_inputs(inputs: DataFrame, records: DataFrame, payloads: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, patches, reconcile, traces, workflow
+from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, ordered, patches, reconcile, traces, workflow
 from runlens.plans import adapters as A
 from runlens.session import importable, table
 
@@ -198,10 +198,19 @@ _NEEDS = "SELECT l_orderkey AS wf, CAST(l_linenumber AS BIGINT) AS pos, concat('
 _MAKES = "SELECT l_orderkey AS wf, CAST(l_linenumber AS BIGINT) AS pos, concat('x', l_partkey % 5) AS name FROM lineitem"
 
 
-@query(f"""WITH n AS ({_NEEDS}), m AS ({_MAKES}), j AS (SELECT n.wf, n.pos, n.name, count(m.pos) AS n, min(m.pos) AS p FROM (SELECT DISTINCT * FROM n) n LEFT JOIN m ON m.wf = n.wf AND m.name = n.name AND m.pos < n.pos GROUP BY ALL)
-  SELECT wf, pos, name, n, CASE WHEN n = 1 THEN p END AS producer, CASE WHEN n = 1 THEN 'bound' WHEN n = 0 THEN 'unbound' ELSE 'ambiguous' END AS state FROM j""")
+_ASKED = """SELECT DISTINCT l_orderkey AS wf, CAST(l_linenumber AS BIGINT) AS pos, concat('x', l_suppkey % 5) AS name, CASE l_partkey % 7 WHEN 0 THEN concat('e', l_linenumber - 1) WHEN 1 THEN concat('e', l_linenumber) WHEN 2 THEN 'inputs' END AS via,
+  l_suppkey % 3 <> 0 AS required, l_partkey % 5 = 0 AS builder FROM lineitem"""
+_MADE = "SELECT l_orderkey AS wf, CAST(l_linenumber AS BIGINT) AS pos, concat('e', l_linenumber) AS key, concat('x', l_partkey % 5) AS name FROM lineitem"
+_GIVEN = "SELECT o_orderkey AS wf, concat('x', o_custkey % 5) AS name FROM orders WHERE o_orderkey % 3 = 0"
+
+
+@query(f"""WITH n AS ({_ASKED}), m AS ({_MADE} UNION ALL SELECT wf, -1, 'inputs', name FROM ({_GIVEN})),
+  j AS (SELECT n.*, (SELECT count(*) FROM m WHERE m.wf = n.wf AND m.name = n.name AND m.pos < n.pos AND (n.via IS NULL OR n.via = m.key)) AS n, (SELECT max(m.key) FROM m WHERE m.wf = n.wf AND m.name = n.name AND m.pos < n.pos AND (n.via IS NULL OR n.via = m.key)) AS k FROM n),
+  s AS (SELECT *, CASE WHEN via IS NOT NULL THEN CASE WHEN n > 0 THEN 'bound' ELSE 'not earlier' END WHEN n = 1 THEN 'bound' WHEN n > 1 THEN 'ambiguous' WHEN required AND NOT builder THEN 'unbound' ELSE 'left out' END AS state FROM j)
+  SELECT wf, pos, name, n, CASE WHEN state = 'bound' THEN k END AS producer, state FROM s""")
 def workflow_bindings(v: Views) -> DataFrame:
-    return ledger.bindings(v.sql(_NEEDS).distinct(), v.sql(_MAKES))
+    """By name, by explicit producer, from the caller's inputs, optional inputs and those that a builder makes."""
+    return ledger.bindings(v.sql(_ASKED), v.sql(_MADE), v.sql(_GIVEN))
 
 
 @query(f"WITH n AS ({_NEEDS}), m AS ({_MAKES}) SELECT m.* FROM m WHERE NOT EXISTS (FROM n WHERE n.wf = m.wf AND n.name = m.name)")
@@ -570,6 +579,15 @@ def normalised_instances(v: Views) -> DataFrame:
     return i.select("id", normalize.fix_sha(F.col("inst")).alias("sha"), normalize.unwrap(F.col("statement")).alias("text"), normalize.last_line(F.col("script")).alias("last"))
 
 
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS position, o_orderkey FROM orders), r AS (SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS position, o_orderkey, o_totalprice FROM orders)
+  SELECT position, l.o_orderkey AS key, r.o_orderkey AS priced, r.o_totalprice AS price FROM l JOIN r USING (position)""")
+def zipped_rows(v: Views) -> DataFrame:
+    """Orders by key beside orders by price, strictly by place."""
+    o = v.table("orders")
+    z = ordered.zipped(o.select("o_orderkey"), o.select("o_orderkey", "o_totalprice"), ["o_orderkey"], ["o_totalprice", "o_orderkey"])
+    return z.select("position", F.col("left.o_orderkey").alias("key"), F.col("right.o_orderkey").alias("priced"), F.col("right.o_totalprice").alias("price"))
+
+
 @query(f"WITH n AS ({A.NAMES}), p AS (SELECT DISTINCT * FROM ({A.PASSED})), h AS (SELECT n.inst, n.name, count(p.test) AS c, min(p.test) AS t FROM n LEFT JOIN p ON p.inst = n.inst AND starts_with(p.test, n.name) AND p.test <> n.name GROUP BY ALL) SELECT inst, name, c AS n, CASE WHEN c = 1 THEN t END AS test FROM h")
 def truncated_names(v: Views) -> DataFrame:
     return normalize.unique_longer(v.sql(A.NAMES), v.sql(A.PASSED))
@@ -669,10 +687,10 @@ _ENTRIES = """SELECT l_orderkey AS wf, CAST(l_linenumber AS BIGINT) AS pos, CASE
 
 @query(f"""WITH e AS ({_ENTRIES}), n AS (SELECT *, count(*) OVER (PARTITION BY wf, key) AS same FROM e), p AS (SELECT wf, key, unnest([CASE WHEN same > 1 THEN 'duplicate key' END, CASE WHEN key = 'inputs' THEN 'reserved key' END, CASE WHEN key = 'Bad' THEN 'malformed key' END,
     CASE WHEN timeout <= 0 THEN 'timeout is not finite and positive' END, CASE WHEN retries < 0 THEN 'negative retries' END, CASE WHEN binding IN ('patch', '/patch') THEN concat('malformed binding ', binding) END, CASE WHEN binding = 'a/log' THEN 'binds undeclared log' END]) AS problem FROM n)
-  SELECT DISTINCT * FROM p WHERE problem IS NOT NULL""")
+  SELECT DISTINCT * FROM p WHERE problem IS NOT NULL UNION ALL SELECT o_orderkey + 1, NULL, 'a workflow needs at least one entry' FROM orders WHERE o_orderkey + 1 NOT IN (SELECT wf FROM e)""")
 def declaration_problems(v: Views) -> DataFrame:
     e = v.sql(_ENTRIES)
-    return workflow.declaration_problems(e.withColumns({"inputs": F.array("input"), "bindings": F.array("binding")}))
+    return workflow.declaration_problems(e.withColumns({"inputs": F.array("input"), "bindings": F.array("binding")}), v.table("orders").select((F.col("o_orderkey") + 1).alias("wf")))
 
 
 _STEPS = "SELECT user_id AS inst, CAST(event_id AS BIGINT) AS pos, concat('e', event_id) AS key, CASE WHEN event_id % 5 = 0 THEN 'blocked' WHEN event_id % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS status FROM events"

@@ -39,7 +39,7 @@ def test_adapters_bring_out_every_case(spark):
     q = lambda name: catalog.QUERIES[name](spark, SF)
     assert seen(q("verdicts"), "output_state") == {"ok", "absent", "unparseable"}
     assert seen(q("base_golden_classes"), "verdict") >= {"OK", "GOLDEN_FAIL", "BASE_UNEXPECTED_PASS", "ERROR"}
-    assert seen(q("workflow_bindings"), "state") == {"bound", "unbound", "ambiguous"}
+    assert seen(q("workflow_bindings"), "state") == {"bound", "unbound", "ambiguous", "not earlier", "left out"}
     assert seen(q("exit_codes"), "code") == {"ok", "failed", "unresolved"}
     assert seen(q("blocked_entries"), "outcome") == {"succeeded", "failed", "blocked"}
     assert seen(q("error_classes"), "class") == {"retryable", "usage_limit", "fatal"}
