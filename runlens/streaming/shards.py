@@ -1,9 +1,8 @@
-"""The ledger as a stream: shards arrive as files, each key counts once, the last terminal event of a run wins. Extensions."""
+"""The ledger as a stream: shards arrive as files, and a key that comes again replaces its row. An extension."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runlens.sources.sinks import append_attempts
@@ -21,9 +20,3 @@ def upsert(shards: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         append_attempts(batch, path)
 
     return shards.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def endings(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """events (run, ts, type, subtype): the last result event of each run, once per key and time."""
-    results = events.where("type = 'result'").withWatermark("ts", late)
-    return results.dropDuplicatesWithinWatermark(["run", "ts"]).groupBy("run").agg(F.max_by("subtype", "ts").alias("subtype"))

@@ -108,10 +108,10 @@ def test_declarations_of_nothing(spark):
 def test_many_words_in_one_text(spark):
     """3,000 test names and a patch of a megabyte: one pass over one copy of the text, the rows of a plain search."""
     r = random.Random(2)
-    word = lambda: "test_" + "".join(r.choice("abc") for _ in range(r.randint(3, 7)))
-    tests = sorted({word() for _ in range(6000)})[:3000]
+    word = lambda: "test_" + "".join(r.choice("abcd") for _ in range(r.randint(3, 8)))
+    tests = sorted({word() for _ in range(12_000)})[:3000]
     body = "\n".join("+" + " ".join(word() for _ in range(20)) for _ in range(5500))
-    assert len(body) > 1_000_000 and len(tests) > 2500
+    assert len(body) > 1_000_000 and len(tests) == 3000
     runs = [(1, body), (2, "+x test_nothing_here"), (3, None), (4, body)]
     required = [(1, f"a/b.py::T::{t}[p]") for t in tests] + [(2, t) for t in tests] + [(3, "test_abcabc"), (1, None), (5, "test_abcabc")]
     df = integrity.patch_findings(spark.createDataFrame(runs, "run int, diff string"), ["run"], spark.createDataFrame(required, "run int, test string"))

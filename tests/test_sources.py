@@ -117,15 +117,6 @@ def test_named_tables(spark, tmp_path):
     del tables.KINDS["d"]
 
 
-def test_last_endings(spark, tmp_path):
-    src = str(tmp_path / "events")
-    spark.createDataFrame([("r", "2026-01-01 00:00:01", "result", "error_max_turns"), ("r", "2026-01-01 00:00:02", "result", "success"), ("r", "2026-01-01 00:00:03", "user", None)], "run string, ts string, type string, subtype string").withColumn("ts", F.to_timestamp("ts")).write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    q = shards.endings(stream).writeStream.outputMode("complete").format("memory").queryName("endings").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [tuple(r) for r in spark.table("endings").collect()] == [("r", "success")]
-
-
 def test_report(spark):
     r = spark.createDataFrame([("a", "OK", "1", "2"), ("b", "ERROR", "", "3")], "inst string, verdict string, started_at string, finished_at string")
     text = sinks.report(r, r)
