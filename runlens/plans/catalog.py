@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, ordered, patches, reconcile, traces, workflow
+from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, ordered, overrides, patches, reconcile, traces, workflow
 from runlens.plans import adapters as A
 from runlens.session import importable, table
 
@@ -693,6 +693,35 @@ def declaration_problems(v: Views) -> DataFrame:
     return workflow.declaration_problems(e.withColumns({"inputs": F.array("input"), "bindings": F.array("binding")}), v.table("orders").select((F.col("o_orderkey") + 1).alias("wf")))
 
 
+_SET = """SELECT l_orderkey AS wf, l_linenumber * CAST(1000000000000 AS BIGINT) + l_partkey * 1000000 + l_suppkey AS pos, CASE l_partkey % 12 WHEN 0 THEN concat('--run.timeout=', l_suppkey) WHEN 1 THEN concat('--run.timeout=', l_suppkey, 'x') WHEN 2 THEN '--run.flag=yes' WHEN 3 THEN '--run.flag=maybe'
+  WHEN 4 THEN concat('--run.task.model=m', l_suppkey) WHEN 5 THEN concat('--run.model=n', l_suppkey) WHEN 6 THEN concat('--lint.model=', l_suppkey) WHEN 7 THEN '--run..model=x' WHEN 8 THEN '--run.key=x' WHEN 9 THEN 'model' WHEN 10 THEN '--run.names=a,,b' ELSE '--run.nope=1' END AS arg FROM lineitem"""
+_JUDGED = f"""WITH a AS ({_SET}), p AS (SELECT *, CASE WHEN arg[:2] = '--' THEN string_split(string_split(arg, '=')[1][3:], '.') END AS w FROM a),
+  t AS (SELECT *, row_number() OVER (PARTITION BY wf, w ORDER BY pos) AS turn, split_part(arg, '=', 2) AS value FROM p),
+  j AS (SELECT wf, pos, CASE WHEN w IS NULL THEN 'unrecognized argument' WHEN len(w) = 3 AND w[2] = '' THEN 'empty path segment' WHEN turn > 1 THEN 'overrides the same field' WHEN w[1] = 'lint' THEN 'no entry lint' WHEN w[2] = 'key' THEN 'an entry''s key is its identity' WHEN w[2] = 'nope' THEN 'nope is not a field'
+    WHEN value = 'maybe' THEN 'expected true or false' WHEN w[2] = 'timeout' AND value LIKE '%x' THEN concat(value, ' is not float') END AS problem, CASE WHEN len(w) = 3 THEN w[3] ELSE w[2] END AS name, len(w) AS n, value FROM t)"""
+
+
+def _overridden(v: Views) -> tuple[DataFrame, DataFrame, overrides.Declared]:
+    task = F.struct(F.lit("m").alias("model"), F.lit(False).alias("flag"), F.array().cast("array<string>").alias("names"))
+    e = v.table("orders").select(F.col("o_orderkey").alias("wf"), F.lit("run").alias("key"), F.lit(1.0).alias("timeout"), task.alias("task"))
+    declared = overrides.Declared(e.drop("wf").schema)
+    return e, overrides.judged(v.sql(_SET), e, declared, ["wf"]), declared
+
+
+@query(f"{_JUDGED} SELECT wf, pos, problem FROM j")
+def override_problems(v: Views) -> DataFrame:
+    return _overridden(v)[1].select("wf", "pos", "problem")
+
+
+@query(f"""{_JUDGED}, ok AS (SELECT * FROM j WHERE problem IS NULL), m AS (SELECT wf, max(value) FILTER (name = 'timeout') AS t, arg_max(value, n) FILTER (name = 'model') AS m, count(*) FILTER (name = 'flag') AS f, count(*) FILTER (name = 'names') AS n FROM ok GROUP BY wf)
+  SELECT o_orderkey AS wf, coalesce(CAST(t AS DOUBLE), 1.0) AS timeout, coalesce(m, 'm') AS model, coalesce(f, 0) > 0 AS flag, CASE WHEN coalesce(n, 0) > 0 THEN 'a,b' ELSE '' END AS names FROM orders LEFT JOIN m ON wf = o_orderkey""")
+def overridden_entries(v: Views) -> DataFrame:
+    """What the arguments that stand make of the entries."""
+    e, j, declared = _overridden(v)
+    out = overrides.applied(e, j.where("problem is null"), declared, ["wf"])
+    return out.select("wf", "timeout", "task.model", "task.flag", F.array_join("task.names", ",").alias("names"))
+
+
 _STEPS = "SELECT user_id AS inst, CAST(event_id AS BIGINT) AS pos, concat('e', event_id) AS key, CASE WHEN event_id % 5 = 0 THEN 'blocked' WHEN event_id % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS status FROM events"
 
 
