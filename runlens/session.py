@@ -35,12 +35,13 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package when it is run from a checkout; clusters ship it with --py-files.
 
-    Also bounds what goes to them at once by bytes: ten thousand rows of long texts would be more than a worker should hold.
+    Also bounds, for the rest of the session, what goes to them at once by bytes: ten thousand rows of long texts would be more than a worker should hold.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, env.get("PYTHONPATH")) if p)
-    if int(spark.conf.get(BATCH_CONF, str(BATCH_BYTES + 1))) > BATCH_BYTES:
+    held = spark.conf.get(BATCH_CONF, str(BATCH_BYTES + 1))  # a size with or without a unit
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held) > BATCH_BYTES:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlens.sources import files as disk
+from runlens.sources import runs
+
 ATTEMPT = (
     "sweep string, inst string, rollout int, task string, attempt int, run_ts string, status string, tier string, backend string, model string, "
     "artifact_keys map<string,string>, metrics map<string,double>, extra string"
@@ -108,18 +111,14 @@ def scan_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.last_exchange.json") -> DataFrame:
-    """(rel, content) of the files below root that fit the pattern."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select(F.regexp_replace(F.substring_index("path", root.rstrip("/") + "/", -1), "^/+", "").alias("rel"), "content")
+    """(rel, content) of the files below root that fit the pattern, empty ones too."""
+    return disk.contents(disk.listed(spark, root, pattern)).select("rel", "content")
 
 
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Run folders below root: run, diff, conversation, report - null where a file is absent or, for the JSON ones, unreadable."""
-    own = lambda name: scan_files(spark, root, name).select(F.regexp_replace("rel", r"/?[^/]*$", "").alias("run"), decode("content").alias(name))
-    parts = [own(n) for n in ("patch.diff", "conversation.json", "git_integrity.json")]
-    out = parts[0].join(parts[1], "run", "full_outer").join(parts[2], "run", "full_outer")
-    good = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return out.select("run", F.col("`patch.diff`").alias("diff"), good(F.col("`conversation.json`")).alias("conversation"), good(F.col("`git_integrity.json`")).alias("report"))
+    """Run folders below root: run, diff, conversation, report - null where a file is absent or, for the JSON ones, unreadable. One read of each file; filters on `run` prune folders."""
+    runs.register(spark)
+    return spark.read.format("runlens_runs").load(root)
 
 
 @F.pandas_udf(T.StringType())

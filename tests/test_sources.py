@@ -117,21 +117,26 @@ def test_named_tables(spark, tmp_path):
     del tables.KINDS["d"]
 
 
-def test_report(spark):
-    r = spark.createDataFrame([("a", "OK", "1", "2"), ("b", "ERROR", "", "3")], "inst string, verdict string, started_at string, finished_at string")
-    text = sinks.report(r, r)
-    assert "| GOLDEN_FAIL | 0 |" in text and "- ERROR b" in text and "1 to 3" in text and grading.VERDICTS
-
-
 def test_report_lists_all(spark, tmp_path):
     kinds = ["OK", "ERROR", "GOLDEN_FAIL"]
     r = spark.createDataFrame([(f"i{i:04}", kinds[i % 3], "1", "2") for i in range(3600)], "inst string, verdict string, started_at string, finished_at string")
-    want = [f"- {v} i{i:04}" for v in kinds[1:] for i in range(3600) if kinds[i % 3] == v]
-    assert [x for x in sinks.report(r, r).splitlines() if x.startswith("- ")] == want
-    path = str(tmp_path / "not_ok")
-    text = sinks.report(r, r, path)
-    assert f"2400 not OK, listed in {path}" in text and "- ERROR" not in text
-    assert sorted(f"- {x.verdict} {x.inst}" for x in spark.read.parquet(path).collect()) == want
+    want = sorted((v, f"i{i:04}") for v in kinds[1:] for i in range(3600) if kinds[i % 3] == v)
+    path = str(tmp_path / "report")
+    for _ in range(2):  # a report may be written again
+        text = sinks.report(r, r, path)
+    assert f"2400 not OK, listed in {path}/not_ok" in text and "| GOLDEN_FAIL | 1200 |" in text and "1 to 2" in text
+    assert sorted((x.verdict, x.inst) for x in spark.read.parquet(f"{path}/not_ok").collect()) == want
+    assert (tmp_path / "report" / "report.md").read_text() == text
+    got = json.loads((tmp_path / "report" / "summary.json").read_text())
+    assert (got["total"], got["verified"], got["not_ok"], got["first"], got["last"]) == (3600, 3600, 2400, "1", "2") and got["verdicts"] == {v: 1200 if v in kinds else 0 for v in grading.VERDICTS}
+
+
+def test_null_keys_of_the_ledger(spark, tmp_path):
+    one = lambda inst, attempt, status: spark.createDataFrame([("s", inst, 0, "t", attempt, "1", status)], "sweep string, inst string, rollout int, task string, attempt int, run_ts string, status string")
+    path = str(tmp_path / "ledger")
+    for row in (one(None, 0, "a"), one("i", 0, "b"), one(None, 1, "c"), one(None, 1, "d")):
+        sinks.append_attempts(row, path)
+    assert sorted((r.inst or "", r.attempt, r.status) for r in spark.read.parquet(path).collect()) == [("", 0, "a"), ("", 1, "d"), ("i", 0, "b")]
 
 
 def test_artifacts(spark):
