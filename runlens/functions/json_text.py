@@ -42,3 +42,8 @@ def truthy(value: Column) -> Column:
         .when(kind.startswith("OBJECT"), F.size(got("map<string,variant>")) > 0).when(kind == "VOID", False).otherwise(got("double") != 0),
         F.lit(False),
     )
+
+
+def once(value: Column, build: Callable[[Column], Column]) -> Column:
+    """`build(value)` with the value computed one time, however often `build` reads it: it becomes a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), build), 1)

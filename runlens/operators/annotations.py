@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.json_text import once
 from runlens.functions.text import integer
 
 #: The keys a snippet must have.
@@ -31,30 +33,39 @@ SKIPPED = ("docs/", "doc/", ".github/", "build/", "testdata/", "/fixtures/", "ve
 I18N, I18N_EXTENSIONS = ("locale", "locales", "i18n", "translations", "lang", "language"), (".json", ".yaml", ".yml")
 
 
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "struct<file_path:variant>").isNotNull()  # quicker than asking for the whole schema
+
+
 def snippets(outputs: DataFrame, keys: list[str]) -> DataFrame:
     """outputs (keys, output): (keys, pos, snippet) of a bare list or an object's `snippets`; items that are no objects are skipped."""
-    v = _value(F.col("output"))
-    listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.snippets", "array<variant>"))
+    items = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    listed = once(_value(F.col("output")), lambda v: F.coalesce(items(v, "$.snippets"), items(v, "$")))
     flat = outputs.select(*keys, F.posexplode(listed).alias("pos", "snippet"))
-    return flat.where(F.schema_of_variant("snippet").startswith("OBJECT"))
+    return flat.where(_is_object(F.col("snippet")))
 
 
 def as_int(v: Column) -> Column:
     """Numbers truncate, texts must hold a whole number, booleans are no numbers: null where there is none."""
-    kind = F.schema_of_variant(v)
-    whole, part = F.try_variant_get(v, "$", "bigint"), F.try_variant_get(v, "$", "decimal(38,18)").try_cast("bigint")
-    number = F.when(kind == "BIGINT", whole).when(kind.startswith("DECIMAL"), F.coalesce(part, whole)).when(kind == "DOUBLE", F.try_variant_get(v, "$", "double").try_cast("bigint"))
-    return F.when(kind == "STRING", integer(F.try_variant_get(v, "$", "string"))).otherwise(number)
+
+    def one(x: Column) -> Column:
+        v, kind = x["v"], x["kind"]
+        whole, part = F.try_variant_get(v, "$", "bigint"), F.try_variant_get(v, "$", "decimal(38,18)").try_cast("bigint")
+        number = F.when(kind.startswith("DECIMAL"), F.coalesce(part, whole)).when(kind == "DOUBLE", F.try_variant_get(v, "$", "double").try_cast("bigint"))
+        return F.when(kind == "BIGINT", whole).when(kind == "STRING", integer(F.try_variant_get(v, "$", "string"))).otherwise(number)
+
+    return once(F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind")), one)
 
 
 def fields(found: DataFrame) -> DataFrame:
-    """Adds the five fields of a snippet, whichever it has."""
-    get = lambda k: F.try_variant_get("snippet", f"$.{k}", "variant")
-    has = F.array_compact(F.array(*(F.when(get(k).isNotNull(), k) for k in REQUIRED)))
-    return found.withColumns({
-        "file_path": F.try_variant_get("snippet", "$.file_path", "string"), "start_line": as_int(get("start_line")), "end_line": as_int(get("end_line")),
-        "category": F.try_variant_get("snippet", "$.category", "string"), "description": F.coalesce(F.try_variant_get("snippet", "$.description", "string"), F.lit("")), "present": has,
-    })
+    """Adds the five fields of a snippet, whichever it has. Each snippet is read once."""
+    read = F.try_variant_get("snippet", "$", ", ".join(f"{k} variant" for k in (*REQUIRED, "description")).join(("struct<", ">")).replace(" variant", ":variant"))
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    parsed = once(read, lambda s: F.struct(
+        text(s["file_path"]).alias("file_path"), as_int(s["start_line"]).alias("start_line"), as_int(s["end_line"]).alias("end_line"), text(s["category"]).alias("category"),
+        F.coalesce(text(s["description"]), F.lit("")).alias("description"), F.array_compact(F.array(*(F.when(s[k].isNotNull(), k) for k in REQUIRED))).alias("present"),
+    ))
+    return found.withColumn("_f", parsed).select(*found.columns, "_f.*")
 
 
 def problems(parsed: DataFrame, files: DataFrame, keys: list[str], categories: list[str]) -> DataFrame:
@@ -83,23 +94,27 @@ def total_snippets(table: DataFrame) -> DataFrame:
     return table.agg(F.coalesce(F.sum(F.json_array_length("relevant_snippets")), F.lit(0)).cast("bigint").alias("n_snippets"))
 
 
-def _acceptable() -> str:
-    """One pattern over the lower-case path: many conditions would repeat whatever the path is computed from."""
-    some = lambda words: "|".join(map(re.escape, words))
-    return (
-        rf"(?s)({some(DOC_EXTENSIONS)}|{some(GENERATED)})\z|(^|/)({some(MANIFESTS + BUILD_FILES)})\z|(^|/)({some(PREFIXES)})[^/]*\z|{some(SKIPPED)}"
-        rf"|(^|/)({some(I18N)})/.*({some(I18N_EXTENSIONS)})\z"
-    )
-
-
 def acceptable_miss(path: Column) -> Column:
     """Documentation, manifests, build files, generated code, vendored trees, translations."""
-    return F.lower(path).rlike(_acceptable())
+    ends = tuple(e for e in GENERATED if e.count(".") > 1 or "_" in e)
+
+    def one(p: Column) -> Column:
+        name = F.substring_index(p["low"], "/", -1)
+        extension = F.when(name.contains("."), F.concat(F.lit("."), F.substring_index(name, ".", -1)))
+        named = name.isin(*MANIFESTS, *BUILD_FILES) | reduce(or_, (name.startswith(x) for x in PREFIXES))
+        kind = F.coalesce(extension.isin(*DOC_EXTENSIONS), F.lit(False)) | reduce(or_, (name.endswith(x) for x in ends))
+        placed = reduce(or_, (p["low"].contains(x) for x in SKIPPED))
+        translated = F.coalesce(extension.isin(*I18N_EXTENSIONS), F.lit(False)) & p["low"].rlike(rf"(^|/)({'|'.join(I18N)})/")
+        return kind | named | placed | translated
+
+    return once(F.struct(F.lower(path).alias("low")), one)
 
 
 def source_misses(gold: DataFrame, annotated: DataFrame, new_files: DataFrame) -> DataFrame:
     """gold (inst, path), annotated (inst, path): existing gold files of annotated instances that no snippet names and none may leave out."""
-    wanted = gold.select("inst", "path").where(~acceptable_miss(F.col("path"))).distinct()
+    # judged once for each distinct file: a filter on the group's own key would be moved back before the grouping
+    each = gold.groupBy("inst", "path").agg(F.any_value("path").alias("_p"))
+    wanted = each.where(~acceptable_miss(F.col("_p"))).select("inst", "path")
     named = annotated.select("inst", "path").unionByName(new_files.select("inst", "path"))
     return wanted.join(annotated.select("inst").distinct(), "inst", "left_semi").join(named, ["inst", "path"], "left_anti")
 

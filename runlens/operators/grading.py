@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.json_text import once
+
 OK, UNPARSEABLE, ABSENT = "ok", "unparseable", "absent"
 VERDICTS = ("OK", "GOLDEN_FAIL", "BASE_UNEXPECTED_PASS", "ERROR")
 
 
+def _state(output: Column, parsed: Column) -> Column:
+    return F.when(output.isNull(), ABSENT).when(F.schema_of_variant(parsed).startswith("OBJECT"), OK).otherwise(UNPARSEABLE)
+
+
+def _passed(parsed: Column) -> Column:
+    tests = F.try_variant_get(parsed, "$.tests", "array<struct<name:variant,status:variant>>")
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    named = F.array_compact(F.transform(tests, lambda t: F.when(text(t["status"]) == "PASSED", text(t["name"]))))
+    return F.coalesce(F.array_sort(F.array_distinct(named)), F.array().cast("array<string>"))
+
+
 def output_state(output: Column) -> Column:
     """absent (null), unparseable (no JSON object) or ok."""
-    kind = F.schema_of_variant(F.try_parse_json(output))
-    return F.when(output.isNull(), ABSENT).when(kind.startswith("OBJECT"), OK).otherwise(UNPARSEABLE)
+    return _state(output, F.try_parse_json(output))
 
 
 def passed_tests(output: Column) -> Column:
     """Distinct names of tests whose status is PASSED, sorted; items that are no objects are skipped."""
-    tests = F.try_variant_get(F.try_parse_json(output), "$.tests", "array<variant>")
-    get = lambda t, key: F.try_variant_get(t, f"$.{key}", "string")
-    named = F.transform(F.filter(tests, lambda t: (get(t, "status") == "PASSED") & get(t, "name").isNotNull()), lambda t: get(t, "name"))
-    return F.coalesce(F.array_sort(F.array_distinct(named)), F.array().cast("array<string>"))
+    return _passed(F.try_parse_json(output))
 
 
 def required_tests(f2p: Column, p2p: Column) -> Column:
@@ -49,8 +58,9 @@ def verdict(required: Column, passed: Column, state: Column) -> dict[str, Column
 
 def grade(runs: DataFrame) -> DataFrame:
     """runs (…, f2p, p2p, output): adds output_state, passed and the verdict's columns. Tests count only in an ok output."""
-    out = runs.withColumn("output_state", output_state(F.col("output")))
-    out = out.withColumn("passed", F.when(F.col("output_state") == OK, passed_tests(F.col("output"))).otherwise(F.array().cast("array<string>")))
+    read = once(F.try_parse_json("output"), lambda v: F.struct(_state(F.col("output"), v).alias("output_state"), _passed(v).alias("passed")))
+    out = runs.drop("output_state", "passed").withColumn("_r", read)
+    out = out.withColumns({"output_state": F.col("_r.output_state"), "passed": F.when(F.col("_r.output_state") == OK, F.col("_r.passed")).otherwise(F.array().cast("array<string>"))}).drop("_r")
     return out.withColumns(verdict(required_tests(F.col("f2p"), F.col("p2p")), F.col("passed"), F.col("output_state")))
 
 
