@@ -83,6 +83,11 @@ def problems(parsed: DataFrame, files: DataFrame, keys: list[str], categories: l
     return j.withColumn("problems", F.when(F.size(missing) > 0, missing).otherwise(F.concat(category, F.coalesce(number, file, place))))
 
 
+def run_valid(complete: Column, invalid_snippets: Column) -> Column:
+    """Whether a run ended and each of its snippets stood; null counts as no."""
+    return F.coalesce(complete & (invalid_snippets == 0), F.lit(False))
+
+
 def combined(annotations: DataFrame) -> DataFrame:
     """annotations (inst, file_path, start_line, end_line, category, description, pos): one row per instance with its snippets as JSON text."""
     one = F.struct("file_path", "start_line", "end_line", "category", "description")

@@ -53,6 +53,13 @@ def orphans(attempts: DataFrame, markers: DataFrame) -> DataFrame:
     return final_shards(attempts, markers).where("attempt is null").select(markers.columns)
 
 
+def resumed(tasks: DataFrame, markers: DataFrame, attempts: DataFrame) -> DataFrame:
+    """tasks (inst, rollout, task) met with their markers: `state` is to run (no marker), resumed (with the status of the shard it was written for), or contradicted (a marker without its shard)."""
+    final = final_shards(attempts, markers).select("inst", "rollout", "task", "attempts", "status", F.lit(True).alias("_marked"))
+    state = F.when(F.col("_marked").isNull(), "to run").when(F.col("status").isNull(), "contradicted").otherwise("resumed")
+    return tasks.join(final, ["inst", "rollout", "task"], "left").withColumn("state", state).drop("_marked")
+
+
 def derived_status(timed_out: Column, setup_error: Column, run_error: Column) -> Column:
     return F.when(setup_error, "setup_error").when(timed_out, "timeout").when(run_error, "run_error").otherwise("success")
 

@@ -9,10 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.functions.text import strip
+from runlens.functions.text import lines, strip
 from runlens.operators import ordered
 
 FIX_SHA = r"-([0-9a-f]{40})(?:-|$)"
+#: The columns of a raw row, those that hold lists, those whose texts may be wrapped, and a prompt's headers.
+COLUMNS = (
+    "repo", "instance_id", "base_commit", "patch", "test_patch", "problem_statement", "requirements", "interface", "repo_language", "fail_to_pass", "pass_to_pass",
+    "issue_specificity", "issue_categories", "before_repo_set_cmd", "selected_test_files_to_run", "dockerhub_tag",
+)
+LIST_COLUMNS = ("fail_to_pass", "pass_to_pass", "issue_specificity", "issue_categories", "selected_test_files_to_run")
+TEXT_COLUMNS = ("problem_statement", "requirements", "interface")
+PROMPT_HEADERS = ("\n\nRequirements:\n", "\n\nNew interfaces introduced:\n")
 TASK_NAME, ENV_NAME = r"^[a-z][a-z0-9_-]*$", r"^[A-Za-z_][A-Za-z0-9_]*$"
 
 
@@ -43,13 +51,51 @@ def normalise(raw: DataFrame, lists: list[str], texts: list[str]) -> DataFrame:
     return raw.withColumns({c: parse_list(c) for c in lists} | {c: unwrap(F.col(c)) for c in texts})
 
 
+def instances(raw: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
+    """Raw task rows (all columns texts) as typed instances: exactly COLUMNS, lists parsed, wrapped texts unwrapped, names of
+    `fail_to_pass` corrected (corrections: inst, name, better). Missing columns are an error, and so is a list column that holds no list, when it is read."""
+    if lost := [c for c in COLUMNS if c not in raw.columns]:
+        raise ValueError(f"missing columns: {', '.join(lost)}")
+    rows = raw.select(*COLUMNS)
+    held = lambda c: F.coalesce(parse_list(c), F.raise_error(F.concat_ws(" ", F.lit("no list in"), F.lit(c), "instance_id")).cast("array<string>"))
+    out = rows.withColumns({c: held(c) for c in LIST_COLUMNS} | {c: unwrap(F.col(c)) for c in TEXT_COLUMNS})
+    if corrections is not None:
+        out = corrected(out.withColumnRenamed("instance_id", "inst"), corrections, "fail_to_pass").withColumnRenamed("inst", "instance_id")
+    return out.select(*COLUMNS)
+
+
 def fix_sha(inst: Column) -> Column:
     """The first 40 hex digits between hyphens of an id; null if there are none."""
     return F.nullif(F.regexp_extract(inst, FIX_SHA, 1), F.lit(""))
 
 
+def fix_sha_objection(inst: Column, base_commit: Column) -> Column:
+    """Why an id's solution commit cannot be used, null if it can."""
+    return F.when(fix_sha(inst).isNull(), "no fix commit in the id").when(fix_sha(inst) == base_commit, "the fix commit is the base commit")
+
+
 def last_line(script: Column) -> Column:
-    return F.element_at(F.split(strip(script), "\n", -1), -1)
+    """The last line of a script without white space around it, empty if there is none."""
+    return F.coalesce(F.try_element_at(lines(strip(script)), F.lit(-1)), F.lit(""))
+
+
+def prompt(statement: Column, requirements: Column, interface: Column) -> Column:
+    """The task's three texts under fixed headers, whether or not they say anything."""
+    return F.concat(statement, F.lit(PROMPT_HEADERS[0]), requirements, F.lit(PROMPT_HEADERS[1]), interface)
+
+
+def image_ref(repository: str, tag: Column) -> Column:
+    return F.concat(F.lit(f"{repository}:"), tag)
+
+
+def raw_url(base: str, repo: str, commit: str, inst: Column, file: Column) -> Column:
+    """Where one of an instance's files is kept at a pinned commit."""
+    return F.concat(F.lit(f"{base}/{repo}/{commit}/run_scripts/"), inst, F.lit("/"), file)
+
+
+def repo_slug(repo: Column) -> Column:
+    """owner/name as one part of a path."""
+    return F.replace(repo, F.lit("/"), F.lit("__"))
 
 
 def corrected(rows: DataFrame, corrections: DataFrame, column: str = "f2p") -> DataFrame:

@@ -616,6 +616,46 @@ def names_and_counters(v: Views) -> DataFrame:
     return v.table("supplier").select("s_suppkey", normalize.artifact_name_ok(name).alias("artifact_ok"), normalize.qualified(F.lit("ns"), F.col("s_name")).alias("qualified"), normalize.render(F.when(k % 2 == 0, "run @NAME@").otherwise("run"), {"NAME": F.col("s_name")}).alias("script"), normalize.counter(oom, "oom_kill", k % 3 == 0).alias("oom"))
 
 
+_RAW = r"""SELECT concat('owner/', c_mktsegment) AS repo, concat('instance_o__r-', CASE WHEN c_custkey % 4 = 0 THEN 'short' ELSE concat(substring(md5(c_name), 1, 32), 'abcdef01') END, CASE WHEN c_custkey % 3 = 0 THEN '-vx' ELSE '' END) AS instance_id,
+  CASE WHEN c_custkey % 5 = 0 THEN concat(substring(md5(c_name), 1, 32), 'abcdef01') ELSE 'base' END AS base_commit, 'p' AS patch, 't' AS test_patch, concat('"**', c_name, '**"') AS problem_statement, c_mktsegment AS requirements, '' AS interface, 'go' AS repo_language,
+  concat('["a_', c_nationkey, '", "b"]') AS fail_to_pass, '[]' AS pass_to_pass, '["x"]' AS issue_specificity, '["y", "z"]' AS issue_categories, concat('reset', chr(10), 'git checkout ', c_custkey, chr(10)) AS before_repo_set_cmd, '["f"]' AS selected_test_files_to_run, concat('t', c_custkey) AS dockerhub_tag FROM customer"""
+_BETTER = "SELECT instance_id AS inst, 'b' AS name, 'better' AS better FROM raw WHERE base_commit = 'base' AND dockerhub_tag LIKE '%7'"
+
+
+@query(f"""WITH raw AS ({_RAW}), fix AS (SELECT DISTINCT * FROM ({_BETTER})), i AS (SELECT raw.*, CASE WHEN fix.inst IS NULL THEN 'b' ELSE 'better' END AS second, CASE WHEN contains(instance_id, 'short') THEN NULL ELSE regexp_extract(instance_id, '-([0-9a-f]{{40}})(-|$)', 1) END AS sha FROM raw LEFT JOIN fix ON fix.inst = raw.instance_id)
+  SELECT dockerhub_tag, concat(replace(fail_to_pass[3:], '", "b"]', ''), ',', second) AS f2p, concat(problem_statement[2:length(problem_statement) - 1], chr(10), chr(10), 'Requirements:', chr(10), requirements, chr(10), chr(10), 'New interfaces introduced:', chr(10)) AS prompt,
+    concat('images:', dockerhub_tag) AS image, concat('https://h/o/r/c0/run_scripts/', instance_id, '/run.sh') AS url, replace(repo, '/', '__') AS slug, concat('git checkout ', dockerhub_tag[2:]) AS golden, sha, CASE WHEN sha IS NULL THEN 'no fix commit in the id' WHEN sha = base_commit THEN 'the fix commit is the base commit' END AS objection, 3 AS n_lists FROM i""")
+def typed_instances(v: Views) -> DataFrame:
+    """Raw rows as typed instances, with what is derived from them: prompt, image, address, slug, golden checkout, solution commit."""
+    raw = v.sql(_RAW)
+    i = normalize.instances(raw, v.sql(_BETTER, raw=raw).distinct())
+    c = F.col
+    return i.select(
+        "dockerhub_tag", F.array_join("fail_to_pass", ",").alias("f2p"), normalize.prompt(c("problem_statement"), c("requirements"), c("interface")).alias("prompt"), normalize.image_ref("images", c("dockerhub_tag")).alias("image"),
+        normalize.raw_url("https://h", "o/r", "c0", c("instance_id"), F.lit("run.sh")).alias("url"), normalize.repo_slug(c("repo")).alias("slug"), normalize.last_line(c("before_repo_set_cmd")).alias("golden"),
+        normalize.fix_sha(c("instance_id")).alias("sha"), normalize.fix_sha_objection(c("instance_id"), c("base_commit")).alias("objection"), (F.size("issue_specificity") + F.size("issue_categories") + F.size("pass_to_pass")).alias("n_lists"),
+    )
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 0 AND o_custkey % 4 = 0 AND o_custkey % 8 <> 0 AS valid FROM orders")
+def valid_runs(v: Views) -> DataFrame:
+    """Runs whose noted result says that they ended and that every snippet stood; broken notes count as no."""
+    k = F.col("o_custkey")
+    note = F.when(k % 8 != 0, F.concat(F.lit('{"complete": '), F.when(F.col("o_orderkey") % 3 == 0, "true").otherwise("false"), F.lit(', "invalid_snippet_count": '), k % 4, F.lit("}"))).otherwise("{ bad")
+    at = lambda path, kind: F.try_variant_get(F.try_parse_json(note), path, kind)
+    return v.table("orders").select("o_orderkey", annotations.run_valid(at("$.complete", "boolean"), at("$.invalid_snippet_count", "bigint")).alias("valid"))
+
+
+@query(f"""{_LEDGER}, m AS ({A.MARKERS}), t AS (SELECT DISTINCT inst, rollout, task FROM attempts UNION SELECT DISTINCT inst, rollout + 100, task FROM attempts),
+  j AS (SELECT t.*, m.attempts, m.run_ts, (SELECT max(a.status) FROM attempts a WHERE a.inst = m.inst AND a.rollout = m.rollout AND a.task = m.task AND a.run_ts = m.run_ts AND a.attempt = m.attempts - 1) AS status FROM t LEFT JOIN m ON m.inst = t.inst AND m.rollout = t.rollout AND m.task = t.task)
+  SELECT inst, rollout, task, attempts, status, CASE WHEN attempts IS NULL THEN 'to run' WHEN status IS NULL THEN 'contradicted' ELSE 'resumed' END AS state FROM j""")
+def resumed_tasks(v: Views) -> DataFrame:
+    """Tasks met with their terminal markers: what a sweep that starts again has left to do."""
+    a = v.sql(A.ATTEMPTS)
+    tasks = a.select("inst", "rollout", "task").distinct()
+    return ledger.resumed(tasks.unionByName(tasks.withColumn("rollout", F.col("rollout") + 100)), v.sql(A.MARKERS, attempts=a), a).select("inst", "rollout", "task", "attempts", "status", "state")
+
+
 @query("SELECT c_custkey, c_name, c_custkey AS row_index FROM customer WHERE c_custkey = 42")
 def point_lookup(v: Views) -> DataFrame:
     from runlens.sources import tables

@@ -322,3 +322,51 @@ def test_instances(spark):
     assert {r.inst: r.f2p for r in normalize.corrected(df, fix).collect()} == {"i": ["aa", "b"], "j": ["a"]}
     with pytest.raises(ValueError):
         normalize.normalise(df, ["nope"], [])
+
+
+def raw_row(**own):
+    row = dict.fromkeys(normalize.COLUMNS, "") | dict.fromkeys(normalize.LIST_COLUMNS, "[]") | own
+    return tuple(row[c] for c in normalize.COLUMNS)
+
+
+def test_instances(spark):
+    kind = ", ".join(f"{c} string" for c in normalize.COLUMNS)
+    sha = "0123456789" * 4
+    rows = [raw_row(instance_id=f"instance_a__b-c-{sha}-v1", base_commit=sha, problem_statement='"a\\nb"', requirements="r", fail_to_pass="['x', 'y']", before_repo_set_cmd="one\r\n two \x0b"), raw_row(instance_id="i2", fail_to_pass="['x']", interface='"open')]
+    fix = spark.createDataFrame([("i2", "x", "long x")], "inst string, name string, better string")
+    got = {r.instance_id: r for r in normalize.instances(spark.createDataFrame(rows, kind).withColumn("more", F.lit(1)), fix).collect()}
+    one, two = got[f"instance_a__b-c-{sha}-v1"], got["i2"]
+    assert one.fail_to_pass == ["x", "y"] and two.fail_to_pass == ["long x"] and one.problem_statement == "a\nb" and two.interface == '"open' and one.issue_categories == [] and list(one.asDict()) == list(normalize.COLUMNS)
+    df = spark.createDataFrame([one, two], "repo string, instance_id string, base_commit string, patch string, test_patch string, problem_statement string, requirements string, interface string, repo_language string, fail_to_pass array<string>, pass_to_pass array<string>, issue_specificity array<string>, issue_categories array<string>, before_repo_set_cmd string, selected_test_files_to_run array<string>, dockerhub_tag string")
+    c = F.col
+    seen = df.select(normalize.fix_sha_objection(c("instance_id"), c("base_commit")), normalize.last_line(c("before_repo_set_cmd")), normalize.prompt(c("problem_statement"), c("requirements"), c("interface"))).collect()
+    assert [tuple(r) for r in seen] == [("the fix commit is the base commit", " two", "a\nb\n\nRequirements:\nr\n\nNew interfaces introduced:\n"), ("no fix commit in the id", "", '\n\nRequirements:\n\n\nNew interfaces introduced:\n"open')]
+    with pytest.raises(ValueError, match="missing columns: repo"):
+        normalize.instances(spark.createDataFrame(rows, kind).drop("repo"))
+    with pytest.raises(Exception, match="no list in pass_to_pass"):
+        normalize.instances(spark.createDataFrame([raw_row(pass_to_pass="{'a': 1}")], kind)).collect()
+
+
+def test_run_valid_and_resumed(spark):
+    df = spark.createDataFrame([(1, True, 0), (2, True, 1), (3, False, 0), (4, None, 0), (5, True, None)], "i int, c boolean, n int")
+    assert [r.v for r in df.select(annotations.run_valid(F.col("c"), F.col("n")).alias("v")).collect()] == [True, False, False, False, False]
+    tasks = spark.createDataFrame([("a", 0, "t"), ("b", 0, "t"), ("c", 0, "t")], "inst string, rollout int, task string")
+    marks = spark.createDataFrame([("a", 0, "t", 2, "ts"), ("b", 0, "t", 1, "ts")], "inst string, rollout int, task string, attempts int, run_ts string")
+    tries = spark.createDataFrame([("a", 0, "t", 0, "ts", "failed"), ("a", 0, "t", 1, "ts", "success"), ("b", 0, "t", 0, "other", "success"), ("c", 0, "t", 0, "ts", "success")], "inst string, rollout int, task string, attempt int, run_ts string, status string")
+    assert {r.inst: (r.state, r.status) for r in ledger.resumed(tasks, marks, tries).collect()} == {"a": ("resumed", "success"), "b": ("contradicted", None), "c": ("to run", None)}
+
+
+def test_resolved_inputs(spark):
+    inputs = spark.createDataFrame([(1, "p", n) for n in ("a", "b", "c", "d")] + [(2, "p", "a"), (1, "q", "a")], "wf int, producer string, name string")
+    records = spark.createDataFrame([(1, "p", {"a": "k/a", "b": "k/b", "c": "k/c"}), (2, "p", {})], "wf int, producer string, artifact_keys map<string,string>")
+    payloads = spark.createDataFrame([("k/a", bytearray(b"x")), ("k/b", bytearray()), ("k/z", bytearray(b"z"))], "key string, content binary")
+    got = {(r.wf, r.producer, r.name): r.state for r in workflow.resolved_inputs(inputs, records, payloads, ["wf"]).collect()}
+    assert got == {(1, "p", "a"): "usable", (1, "p", "b"): "empty", (1, "p", "c"): "absent", (1, "p", "d"): "unrecorded", (2, "p", "a"): "unrecorded", (1, "q", "a"): "unrecorded"}
+
+
+def test_checksum_states(spark):
+    manifest = json.dumps({"platforms": {"linux": {"checksum": "h"}, "mac": {"checksum": ""}, "bsd": {"checksum": 5}, "odd": 1}})
+    files = spark.createDataFrame([("1", p, s) for p in ("linux", "mac", "bsd", "odd", "none") for s in ("h", "x", None)] + [("2", "linux", "h"), ("3", "linux", "h")], "version string, platform string, sha256 string")
+    got = {(r.version, r.platform, r.sha256): r.state for r in workflow.checksum_state(files, spark.createDataFrame([("1", manifest), ("2", "{ bad")], "version string, manifest string")).collect()}
+    assert {k[2]: v for k, v in got.items() if k[:2] == ("1", "linux")} == {"h": "ok", "x": "mismatch", None: "absent"}
+    assert {v for k, v in got.items() if k[:2] != ("1", "linux")} == {"no checksum"}
