@@ -204,7 +204,7 @@ class Predictor:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, sample_chars: int = SAMPLE_CHARS) -> Network | None:
     """Learn from about per_lang documents of each language, fewer of each beyond LANGUAGES languages, chosen by a hash of doc_id and text."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     fits = F.length("text").between(1, sample_chars)
     hash_ = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
     counts = known.groupBy("lang").agg(F.count("*").alias("_n"), F.min(F.when(fits, hash_)).alias("_least"))
@@ -219,6 +219,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample_chars: int = SAMPLE_
     missed = counts.where(u(F.col("_least")) >= share)  # languages of which the share takes nothing: one document each
     if not missed.isEmpty():
         rows = rows.unionByName(known.join(held(missed), "lang").where(fits & (hash_ == F.col("_least"))).select("doc_id", "text", "lang").dropDuplicates(["lang"]))
+    rows = rows.distinct()  # a row that is repeated a million times is learned from once
     got = rows.toArrow().to_pandas().sort_values(["doc_id", "text", "lang"], kind="stable")
     return train_network(got["text"].tolist(), got["lang"].tolist())
 

@@ -386,11 +386,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.xxhash64("doc_id").alias("_order"))
     chosen = known.orderBy("_order", "doc_id").limit(sample_docs)
     rows = docs.select("doc_id", F.col("text").alias("_text")).where(F.length("_text") <= sample_chars).join(F.broadcast(chosen), "doc_id")  # at most sample_docs rows
-    got = rows.select("_order", "doc_id", "_text", "_toxic").toArrow().sort_by([(c, "ascending") for c in ("_order", "doc_id", "_text")])
-    ids = got.column("doc_id").to_numpy()
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    toxic = (got.column("_toxic").to_numpy()[first] > 0).astype(int).tolist()
-    return fit(texts_of(got.column("_text").take(pa.array(first))), toxic)
+    one = rows.groupBy("_order", "doc_id").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic"))  # of a repeated id one text comes to the driver
+    got = one.toArrow().sort_by([(c, "ascending") for c in ("_order", "doc_id")])
+    toxic = (got.column("_toxic").to_numpy() > 0).astype(int).tolist()
+    return fit(texts_of(got.column("_text")), toxic)
 
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:

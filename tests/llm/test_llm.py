@@ -625,9 +625,12 @@ def test_network_against_plain_convolution():
 
 def test_clashing_columns(spark, monkeypatch):
     """Whatever operators call their own columns, those of the table come back as they were."""
-    extra = ["_key", "_row", "row", "key", "h", "fp", "state", "rank", "turn", "file", "kept", "id", "tie", "order", "_drop", "_t", "count"]
+    extra = ["_key", "_row", "row", "key", "h", "fp", "state", "rank", "turn", "file", "kept", "id", "tie", "order", "_drop", "_t", "count", "_n", "_least"]
     rows = [(i, f"line one of {i}\nshared line here\nlast {i % 3}", "en", f"s{i % 6}", *("KEEP" for _ in extra)) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{c} string" for c in extra))
+    monkeypatch.setattr(langid, "train_network", lambda texts, langs: (len(texts), len(set(texts))))
+    n, distinct = langid.train(df.unionByName(df))
+    assert n == distinct > 0  # repeated rows are learned from once
     model = toxicity.Model(toxicity.Lexicon(), None, np.zeros(1), np.array([0.2]))
     bench = spark.createDataFrame([(1, "nothing of the kind")], "item_id bigint, text string")
     outs = {
