@@ -4,16 +4,17 @@ A page is cut into blocks of text. Blocks inside an article or main element are
 sidebars, notices, adverts, forms, comments, scripts and styles are furniture by their tags, roles or names. What the
 markup leaves open the host decides: the token streams of all its pages, without what stands in a marked article, are laid
 end to end, their suffixes are sorted, and stretches of `LONG` tokens or more that begin suffixes of several distinct pages
-are boilerplate. Open are all plain blocks of pages without a marked article; plain blocks outside of one, kept where the
-host has LEAST_PAGES distinct pages and no boilerplate in them; and blocks inside an article under a name that may mean
-furniture (`related`, `share`), dropped where they are boilerplate or links. Tokens covered by boilerplate are cut out, unique
-runs stay. Plain text inside a marked article is never removed for being repeated: the contract keeps it, and passages that
-pages share are no furniture.
-
-A host's distinct streams are dealt out by a hash over shards of about SHARD_PAGES, so a host of any size is many small
+are boilerplate. Open are all plain blocks of pages without a marked article; plain blocks outside of one, kept where no
+boilerplate is in them; and blocks inside an article under a name that may mean furniture (`related`, `share`) or that has
+a word of furniture beside one of another kind (`notice-board`, `hidden-figures`), dropped where they are boilerplate or
+links. Tokens covered by boilerplate are cut out, unique runs stay. Plain text inside a marked article is never removed for
+being repeated: the contract keeps it, and passages that pages share are no furniture. What a host has not shown to be
+repeated stays, however few pages it has.
+
+A host's distinct pages are dealt out by a hash over shards of about SHARD_PAGES, so a host of any size is many small
 arrays. An array only counts: each stretch goes on as a hash with its number of pages, single ones too, and the numbers of
-all shards are added up before they are held against the host's one threshold (`needed`). Pages with equal streams count as
-one. Every page is parsed once.
+all shards are added up before they are held against the host's one threshold (`needed`). Pages of equal text, articles
+included, count as one. Every page is parsed once.
 
 Names alone are weak evidence. An article inside a wrapper named like furniture is the text if the page has no other; blocks
 of such names are kept if nothing else is left. Headings in an article's own header belong to it.
@@ -21,6 +22,8 @@ of such names are kept if nothing else is left. Headings in an article's own hea
 Defined results: null and empty html give an empty text; a page of whose open blocks nothing would stay keeps them; pages of
 null or odd url form a host of their own; repeated rows are each extracted; extra columns take no part. White space is
 what Unicode calls so, after character references are decoded; <br> ends a block; table cells are set apart by a space.
+Script, style and the like without an end are a mark alone, and a quote that is never closed does not hide the end of its
+tag. Broken pages take no longer than others: time is linear in the page, however deep or unclosed it is.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +53,6 @@ LINKS = 0.5  # an open block with more of its text in links is a menu
 
 MAIN, OPEN, FURNITURE, NAMED = 0, 1, 2, 3  # NAMED: furniture by its class or id alone
 DOUBTFUL = 5  # inside an article, by a name that may mean furniture
-LEAST_PAGES = 8  # distinct pages of a host that make it fit to judge what stands outside a marked article
 _SOFT = 4  # an article in a wrapper of such a name, or of one: the text if the page has no other
 
 #: Elements by what they do.
@@ -62,19 +65,71 @@ _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 _STRONG_NAMES = set("nav navbar navigation menu sidebar comment comments commentlist disqus replies related breadcrumb breadcrumbs pagination pager footer foot modal popup cookie cookies consent gdpr share sharing social newsletter subscribe signup login widget".split())
 _DOUBTFUL_NAMES = set("related share sharing social newsletter subscribe signup login widget".split())  # of them, those that articles use too
 _WEAK_NAMES = set("header masthead banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion notice alert notification toolbar skip hidden".split())
+#: Words that stand beside those and change nothing (`site-notice`, `ad-slot`); beside any other word the host is asked.
+_PLAIN_WORDS = set("site page box block container wrapper wrap bar slot unit area zone section content inner outer top bottom left right main global mobile desktop sticky fixed inline text label list item group row col column panel message msg close btn button image img frame".split())
 _MAIN_NAMES = {"articlebody", "article-body", "post-content", "entry-content", "article-content", "main-content", "story-body", "post-body"}
 
-_RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|title|canvas|audio|video"
-_TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>(?:.*?</(?P=raw)\s*>)?|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest2>[^>]*+)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)", re.I)
-_NAME_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_RAW = "script style noscript template svg math iframe object textarea title canvas audio video".split()
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+_START = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*))")
+_SIMPLE_END = re.compile(r"(?:[^>\"']++|\"[^\">]*+\"|'[^'>]*+')*+>")  # of a tag without > in quotes
+_MARK = re.compile("[>\"']")
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_NAME_WORDS = re.compile(r"[a-z]+")
+
+
+def _quoted_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag whose rest begins here ends, > in quotes passed over; 0 if a quote stays open. dead: quotes known to lead nowhere, each met once."""
+    opened = []
+    while mark := _MARK.search(page, at):
+        if mark[0] == ">":
+            return mark.end()
+        if mark.start() in dead:
+            break
+        opened.append(mark.start())
+        close = page.find(mark[0], mark.end())
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(opened)
+    return 0
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, closing, rest) of each tag in lower case; comments, declarations and raw elements with what they hold have no name."""
+    at, last = 0, page.rfind(">")
+    endless: set[str] = set()  # raw elements that end nowhere from here on
+    dead: set[int] = set()
+    while start := _START.search(page, at):
+        begin, at = start.start(), start.end()
+        if start["comment"]:
+            end = page.find("-->", begin + 2)
+            at = len(page) if end < 0 else end + 3
+            yield begin, at, "", False, ""
+            continue
+        if at > last:  # no tag ends any more
+            continue
+        if start["other"]:
+            at = page.find(">", at) + 1
+            yield begin, at, "", False, ""
+            continue
+        name, closing, rest_at = start["name"].lower(), bool(start["end"]), at
+        simple = _SIMPLE_END.match(page, at)
+        at = simple.end() if simple else _quoted_end(page, at, dead) or page.find(">", at) + 1
+        rest = page[rest_at : at - 1]
+        if name in _RAW_END and not closing:
+            if name not in endless and not (name in ("svg", "math") and rest.endswith("/")):
+                stop = _RAW_END[name].search(page, at)
+                if stop:
+                    at = stop.end()
+                else:
+                    endless.add(name)
+            name = ""
+        yield begin, at, name, closing, rest
 
 
 def _role(name: str, rest: str) -> str:
-    """'' (nothing), 'main', 'soft' (an article named like furniture), or furniture: 'weak' and 'strong', 'faint' and 'named' by names alone."""
+    """'' (nothing), 'main', 'soft' (an article named like furniture), or furniture: 'weak' and 'strong', and by names alone 'faint' and 'named', or 'vague' and 'doubtful' if articles use such names too."""
     whole = name in ("article", "main")
     if whole:
         out = "main"
@@ -107,20 +162,50 @@ def _role(name: str, rest: str) -> str:
                     doubtful = False
             if names & _MAIN_NAMES:
                 out = "main"
-            elif not whole and name not in ("html", "body") and words & _WEAK_NAMES:
-                out = out if out in ("strong", "weak") else "faint"
+            elif not whole and name not in ("html", "body") and words & _WEAK_NAMES and out not in ("strong", "weak"):
+                out = "faint" if out == "faint" or any(_means_furniture(n) for n in names) else "vague"
     if named and not main:
         return "soft" if whole else "strong" if name in _STRONG or name == "header" else "doubtful" if doubtful else "named"
     return out
 
 
+def _means_furniture(name: str) -> bool:
+    """Whether a name has a word of furniture and no word of another kind."""
+    words = {w for w in _NAME_WORDS.findall(name) if len(w) > 1}
+    return bool(words & _WEAK_NAMES) and words <= _WEAK_NAMES | _STRONG_NAMES | _PLAIN_WORDS
+
+
+#: Where one is in a page: role, under a name of furniture, the role around an article's own header, within furniture for good.
+_Place = tuple[int, bool, int | None, bool]
+_TOP: _Place = (OPEN, False, None, False)
+
+
+def _within(place: _Place, name: str, kind: str) -> _Place:
+    """The place inside an element that stands at `place`."""
+    now, named, header_of, shut = place
+    if shut or kind == "strong":
+        return FURNITURE, named, None, True
+    if kind in ("main", "soft"):
+        now = _SOFT if named or kind == "soft" or now == _SOFT else MAIN
+    elif kind == "weak":
+        now, header_of = FURNITURE, now if now in (MAIN, _SOFT) else None
+    elif kind:
+        named = named or kind in ("named", "doubtful")
+        inside = kind in ("doubtful", "vague") and now in (MAIN, DOUBTFUL)
+        now, header_of = FURNITURE if now == FURNITURE else DOUBTFUL if inside else NAMED, None
+    elif name in _HEADINGS and header_of is not None:  # of the article's own header
+        now = header_of
+    return now, named, header_of, False
+
+
 def blocks_of(page: str | None) -> list[tuple[int, str, float]]:
     """(role, text, share of the text in links) of each block in page order."""
     out: list[tuple[int, str, float]] = []
-    stack: list[tuple[str, str]] = []  # open elements that matter: containers and those with a role
+    stack: list[tuple[str, _Place]] = []  # open elements that matter, containers and those with a role, and the place inside each
+    standing: Counter[str] = Counter()  # how often each name is on the stack
     text: list[str] = []
     linked: list[int] = []
-    role, in_link = OPEN, 0
+    role, in_link = OPEN, False
 
     def flush() -> None:
         if text:
@@ -130,61 +215,51 @@ def blocks_of(page: str | None) -> list[tuple[int, str, float]]:
             text.clear()
             linked.clear()
 
-    def current() -> int:
-        now, named, header_of = OPEN, False, None
-        for n, kind in stack:
-            if kind == "strong":
-                return FURNITURE
-            if kind in ("main", "soft"):
-                now = _SOFT if named or kind == "soft" or now == _SOFT else MAIN
-            elif kind == "weak":
-                now, header_of = FURNITURE, now if now in (MAIN, _SOFT) else None
-            elif kind in ("named", "faint", "doubtful"):
-                named = named or kind != "faint"
-                inside = kind == "doubtful" and now in (MAIN, DOUBTFUL)
-                now, header_of = FURNITURE if now == FURNITURE else DOUBTFUL if inside else NAMED, None
-            elif n in _HEADINGS and header_of is not None:  # of the article's own header
-                now = header_of
-        return now
-
     def add(piece: str) -> None:
         if piece:
             text.append(piece)
             if in_link:
                 linked.append(len(piece))
 
+    def close() -> str:
+        name, _ = stack.pop()
+        standing[name] -= 1
+        return name
+
+    def place() -> _Place:
+        return stack[-1][1] if stack else _TOP
+
     at, page = 0, page or ""
-    for m in _TAG.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+    for begin, end, name, closing, rest in _tags(page):
+        add(page[at:begin])
+        at = end
         if not name:
             continue
         if name == "a":
-            in_link = int(not (m["end"] or m["end2"]))
+            in_link = not closing
         if name in ("td", "th"):
             text.append(" ")
         block = name in _BLOCK
         if block:
             flush()
-        if m["end"] or m["end2"]:
-            if any(n == name for n, _ in stack):
+        if closing:
+            if standing[name]:
                 flush()
-                while stack.pop()[0] != name:
+                while close() != name:
                     pass
-                role = current()
+                role = place()[0]
         elif name not in _VOID:
-            rest = m["rest"] if m["name"] else m["rest2"]
             if block and stack and stack[-1][0] == "p":
-                stack.pop()
-                role = current()
+                close()
+                role = place()[0]
             kind = _role(name, rest)
             if kind or block and name not in ("p", "li", "tr", "td", "dd", "dt"):
                 if kind:
                     flush()
                 if not rest.rstrip().endswith("/"):
-                    stack.append((name, kind))
-                    role = current()
+                    stack.append((name, _within(place(), name, kind)))
+                    standing[name] += 1
+                    role = place()[0]
     add(page[at:])
     flush()
     soft = FURNITURE if has_main(out) else MAIN
@@ -271,8 +346,8 @@ def keys_of(host: str, stream: np.ndarray, long: int = LONG) -> np.ndarray:
     return key.view(np.int64)
 
 
-def choose(blocks: list[tuple[int, str, float]], begins: np.ndarray, judged: bool = True, long: int = LONG) -> str:
-    """The text of a page, given where in the stream of its blocks outside of MAIN boilerplate begins; judged: the host has pages enough to tell.
+def choose(blocks: list[tuple[int, str, float]], begins: np.ndarray, long: int = LONG) -> str:
+    """The text of a page, given where in the stream of its blocks outside of MAIN boilerplate begins.
 
     A stretch that runs on into the next block takes no words from it unless at least COVERED of that block is boilerplate.
     """
@@ -292,7 +367,7 @@ def choose(blocks: list[tuple[int, str, float]], begins: np.ndarray, judged: boo
             if every[a:b].mean() < COVERED:
                 kept[OPEN].append(text)
         elif whole:
-            if role == OPEN and judged and len(own) >= long and not within[a:b].any() and every[a:b].mean() < COVERED:
+            if role == OPEN and not within[a:b].any() and every[a:b].mean() < COVERED:
                 kept[OPEN].append(text)
         else:
             likely[role].append(text)
@@ -307,7 +382,7 @@ def asks(blocks: list[tuple[int, str, float]]) -> bool:
     """Whether markup leaves anything to the host."""
     if not has_main(blocks):
         return bool(blocks)
-    return any(r == DOUBTFUL or r == OPEN and links <= LINKS and len(t.split()) >= LONG for r, t, links in blocks)
+    return any(r == DOUBTFUL or r == OPEN and links <= LINKS for r, _, links in blocks)
 
 
 _PARSED = "row bigint, page_id bigint, url string, host string, text string, asks boolean, outside array<string>, stream binary, roles array<int>, texts array<string>, links array<double>"
@@ -324,7 +399,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = [b if a else [] for a, b in zip(open_, pages, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 *(part.column(c) for c in ("row", "page_id", "url", "host")), pa.array(["\n".join(t for r, t, _ in b if r == MAIN) for b in pages], pa.string()), pa.array(open_, pa.bool_()),
-                pa.array(outside, pa.list_(pa.string())), pa.array([xxhash.xxh3_128_digest(" ".join(t)) for t in outside], pa.binary()),
+                pa.array(outside, pa.list_(pa.string())), pa.array([xxhash.xxh3_128_digest("\n".join(t for _, t, _ in b)) for b in pages], pa.binary()),
                 pa.array([[r for r, _, _ in b] for b in full], pa.list_(pa.int32())), pa.array([[t for _, t, _ in b] for b in full], pa.list_(pa.string())),
                 pa.array([[s for _, _, s in b] for b in full], pa.list_(pa.float64())),
             ], ["row", "page_id", "url", "host", "text", "asks", "outside", "stream", "roles", "texts", "links"])
@@ -368,8 +443,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.names.index
         texts = []
-        for roles, words, links, hits, judged in zip(*(batch.column(at(c)).to_pylist() for c in ("roles", "texts", "links", "hits", "judged")), strict=True):
-            texts.append(choose(list(zip(roles, words, links, strict=True)), np.array(hits or [], np.int64), bool(judged)))
+        for roles, words, links, hits in zip(*(batch.column(at(c)).to_pylist() for c in ("roles", "texts", "links", "hits")), strict=True):
+            texts.append(choose(list(zip(roles, words, links, strict=True)), np.array(hits or [], np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column(at("page_id")), batch.column(at("url")), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -380,8 +455,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host.alias("host"), F.monotonically_increasing_id().alias("row"))
     parsed = materialise(spark, rows.mapInArrow(_parse, _PARSED))
     one = materialise(spark, parsed.groupBy("host", "stream").agg(F.min("row").alias("row")))
-    sizes = one.groupBy("host").count().select("host", needed(F.col("count")).alias("least"), F.ceil(F.col("count") / SHARD_PAGES).alias("shards"), (F.col("count") >= LEAST_PAGES).alias("judged"))
-    sizes = materialise(spark, sizes)
+    sizes = one.groupBy("host").count().select("host", needed(F.col("count")).alias("least"), F.ceil(F.col("count") / SHARD_PAGES).alias("shards"))
     dealt = one.join(sizes, "host").select("row", "least", F.pmod(F.xxhash64("stream"), "shards").cast("bigint").alias("shard"))
     counts = parsed.select("row", "host", "outside").join(dealt, "row").repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
     counts = counts.mapInArrow(_count, "key bigint, least bigint, n bigint").groupBy("key", "least").agg(F.sum("n").alias("n"))
@@ -390,6 +464,6 @@ def extract(pages: DataFrame) -> DataFrame:
     left = parsed.where("asks")
     hits = left.select("row", "host", "outside").mapInArrow(_places, "row bigint, pos bigint, key bigint").join(common, "key", "left_semi")
     hits = hits.groupBy("row").agg(F.collect_list("pos").alias("hits"))
-    settled = left.join(hits, "row", "left").join(sizes.select("host", "judged"), "host").select("page_id", "url", "roles", "texts", "links", "hits", "judged")
+    settled = left.join(hits, "row", "left").select("page_id", "url", "roles", "texts", "links", "hits")
     done = parsed.where("not asks").select("page_id", "url", "text")
     return done.unionByName(settled.mapInArrow(_settle, "page_id bigint, url string, text string"))
