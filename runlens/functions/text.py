@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 #: The characters at which Python ends a line ("\r\n" counts as one).
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 _SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+STRIP_ENDS = f"^{_SPACE}|{_SPACE}$"
 
 
 def strip(c: Column) -> Column:
     """All white space off both ends, not blanks alone."""
-    return F.regexp_replace(c, f"^{_SPACE}|{_SPACE}$", "")
+    return F.regexp_replace(c, STRIP_ENDS, "")
 
 
 def lines(c: Column) -> Column:

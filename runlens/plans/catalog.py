@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, ordered, overrides, patches, reconcile, traces, workflow
+from runlens.operators import annotations, consensus, grading, integrity, ledger, normalize, ordered, overrides, patches, reconcile, sql_functions, traces, workflow
 from runlens.plans import adapters as A
 from runlens.session import importable, table
 
@@ -108,6 +108,17 @@ def base_golden_classes(v: Views) -> DataFrame:
     return grading.classify(_graded(v))
 
 
+@query(f"""{_CLASSES} SELECT k.inst, k.verdict, CAST(sum(len(passed)) AS BIGINT) AS n_passed, CAST(sum(len(missing)) AS BIGINT) AS n_missing, min(missing[1]) AS first_missing, max(CASE WHEN resolved THEN 1.0 ELSE 0.0 END)::DOUBLE AS best
+  FROM k JOIN r USING (inst) GROUP BY k.inst, k.verdict""")
+def verdicts_in_sql(v: Views) -> DataFrame:
+    """Grading and classification as SQL: what aggregates combine before the shuffle, no run is gathered whole."""
+    sql_functions.register(v.spark)
+    return v.sql("""WITH g AS (SELECT inst, phase, status, array(f2p1) AS f2p, runlens_verdict(array(f2p1), array(p2p1, p2p2), output) AS x FROM graded_outputs),
+      a AS (SELECT inst, bool_or(status <> 'success' OR x.output_state <> 'ok') AS broken, count_if(phase = 'base') AS bases, count_if(phase = 'golden') AS goldens, bool_or(x.resolved) FILTER (WHERE phase = 'golden') AS golden_ok,
+        bool_or(x.resolved OR size(array_intersect(f2p, x.passed)) > 0) FILTER (WHERE phase = 'base') AS base_ok, sum(size(x.passed)) AS n_passed, sum(x.n_missing) AS n_missing, min(array_min(x.missing)) AS first_missing, max(x.score) AS best FROM g GROUP BY inst)
+      SELECT inst, runlens_instance_verdict(broken, bases, goldens, golden_ok, base_ok) AS verdict, n_passed, n_missing, first_missing, best FROM a""", graded_outputs=v.sql(A.OUTPUTS))
+
+
 @query(f"{_CLASSES}, e AS (SELECT unnest(['OK', 'GOLDEN_FAIL', 'BASE_UNEXPECTED_PASS', 'ERROR']) AS verdict) SELECT e.verdict, count(k.inst) AS n FROM e LEFT JOIN k USING (verdict) GROUP BY e.verdict")
 def verdict_histogram(v: Views) -> DataFrame:
     return grading.histogram(grading.classify(_graded(v)))
@@ -351,6 +362,22 @@ def replayed_traces(v: Views) -> DataFrame:
     return out.select("run", F.array_join("flagged", ",").alias("flagged"), "n_flagged", n("suspicious_git").alias("n_git"), n("egress_attempts").alias("n_egress"), n("retrieval_language").alias("n_said"), F.array_join("reads_outside_workdir", ",").alias("away"))
 
 
+_AWAY = "array('src/a.py', '../../etc/passwd', '/etc/shadow', '/tmp/x', '/app-other/secret', '/app/y')"
+
+
+@query(rf"""WITH b AS ({A.BLOCKS}), c AS (SELECT conv_id, pos, trim(unnest(regexp_split_to_array(command, '[;&|]{{1,2}}|\n'))) AS part FROM b WHERE type = 'tool_use')
+  SELECT conv_id AS run, pos, 'suspicious_git' AS rule, part[1:200] AS finding FROM c WHERE regexp_matches(part, '{integrity.GIT_ANY}') AND NOT regexp_matches(part, '{integrity.GIT_ORDINARY}')
+    AND NOT (regexp_matches(part, '{integrity.GIT_LOG}') AND NOT regexp_matches(part, '{integrity.GIT_LOG_BROAD}'))
+  UNION ALL SELECT conv_id, pos, 'egress_attempts', command[1:200] FROM b WHERE type = 'tool_use' AND regexp_matches(command, '{integrity.EGRESS}')
+  UNION ALL SELECT conv_id, pos, 'retrieval_language', unnest(regexp_extract_all(coalesce(text, ''), '{integrity.RETRIEVAL}'))[1:120] FROM b WHERE type IN ('text', 'reasoning')
+  UNION ALL SELECT conv_id, pos, 'reads_outside_workdir', CASE (conv_id + pos) % 6 WHEN 1 THEN '/etc/passwd' WHEN 2 THEN '/etc/shadow' ELSE '/app-other/secret' END FROM b WHERE type = 'tool_use' AND (conv_id + pos) % 6 IN (1, 2, 4)""")
+def findings_in_sql(v: Views) -> DataFrame:
+    """The rules over traces as SQL, one row a finding: no shuffle and no Python, each block is judged where it is read."""
+    sql_functions.register(v.spark)
+    return v.sql(f"""SELECT run, pos, f.rule, f.finding FROM (SELECT conv_id AS run, pos, runlens_trace_findings(type, text, command, CASE WHEN type = 'tool_use' THEN element_at({_AWAY}, CAST(pmod(conv_id + pos, 6) AS INT) + 1) END, '/app') AS found FROM trace_blocks)
+      LATERAL VIEW inline(found) f AS rule, finding""", trace_blocks=v.sql(A.BLOCKS))
+
+
 # Traces
 
 _EVENTS = f"""WITH s AS ({A.STREAMS}), x AS (SELECT conv_id, kind, string_split(raw, chr(10)) AS w FROM s), l AS (SELECT conv_id, kind, trim(unnest(w)) AS line, unnest(range(len(w))) AS pos FROM x),
