@@ -11,15 +11,19 @@ Defined results: null or empty texts have no words and are never contaminated; i
 no part; items that share an id count as one; repeated documents are each measured; extra columns pass through.
 
 The items are read in shards of `shard_chars` characters, each broadcast and each with an automaton of its own (about 300
-bytes for each distinct word string that may go on differently, some 100 MB a shard), one after the other over the same
-rows, which are written between two shards: whatever the benchmark's size, one automaton and one broadcast are held at a
-time, and nothing is shuffled.
+bytes for each distinct word string that may go on differently, some 100 MB a shard). A benchmark of one shard is one pass
+over the documents. Beyond that a Bloom filter of all windows of all items (FILTER_BYTES at most) first tells apart the
+documents that may hold one: the others are done, and they alone are written between two shards and meet every automaton.
+So whatever the benchmark's size the documents are read twice, those without a window are written nowhere, one automaton
+and one broadcast are held at a time, and nothing of the documents is shuffled. A filter too small for its windows lets
+more documents through and changes no result.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.llm.spans import LOWER, HashTable, WordTable, buffer_of, byte_class, find_words, hash_spans, mix, runs_of, texts_of
-from runlens.session import materialise
+from runlens.session import discard, materialise
 
 WINDOW = 13
 WORD = byte_class("0123456789abcdefghijklmnopqrstuvwxyz")
 SHARD_CHARS = 1_000_000
+FILTER_BYTES = 128 << 20  # of the filter of a benchmark of several shards
+FILTER_BITS = 32  # for each window, as long as that allows
+PROBES = 6
 COVERAGE = 20  # contaminated: n_hit * COVERAGE >= n_words
 
 
@@ -173,14 +180,70 @@ class Automaton:
         return spans, found
 
 
-def _shards(benchmark: DataFrame, shard_chars: int) -> list[list[tuple[str, str]]]:
-    """Items in groups of about shard_chars characters; one group is in the driver's memory at a time but for its broadcast."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t"))
-    total = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-total // shard_chars))
-    for i in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == i)
-        yield [(r["k"], r["t"]) for r in part.toLocalIterator()]
+class WindowFilter:
+    """A Bloom filter of the windows of items; `has` may say yes of a text that holds none, never no of one that does."""
+
+    def __init__(self, chars: int, window: int = WINDOW) -> None:
+        self.window = window
+        self.lengths: set[int] = set()
+        self.bytes = np.zeros(min(1 << max(8, (chars * FILTER_BITS // 16 - 1).bit_length()), FILTER_BYTES), np.uint8)  # a window for two characters at most
+
+    def _places(self, keys: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
+        at = (keys + np.uint64(probe) * ((keys >> np.uint64(32)) | np.uint64(1))) % np.uint64(8 * len(self.bytes))
+        return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def _strings(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, hash of the n words that begin at each place) for n up to the window."""
+        now = mix(h)
+        for n in range(1, min(self.window, len(h)) + 1):
+            if n > 1:
+                now = mix(now[:-1] * np.uint64(3) + h[n - 1 :])
+            yield n, now
+
+    def add(self, items: list[str]) -> None:
+        buf, at = buffer_of(pa.array(items, pa.large_string()))
+        buf = LOWER[buf]
+        starts, ends, first = find_words(buf, at, WORD)
+        sizes = np.diff(first)
+        left = np.repeat(first[1:], sizes) - np.arange(len(starts))  # words from here to the end of the text
+        whole = np.repeat(sizes, sizes)
+        self.lengths |= {int(min(n, self.window)) for n in np.unique(sizes) if n}
+        for n, keys in self._strings(hash_spans(buf, starts, ends, 0)):
+            if n in self.lengths:
+                own = left[: len(keys)]
+                keys = keys[own >= n if n == self.window else (own == n) & (whole[: len(keys)] == n)]
+                for probe in range(PROBES):
+                    at_byte, bit = self._places(keys, probe)
+                    np.bitwise_or.at(self.bytes, at_byte, bit)
+
+    def has(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of each text, given the hashes of all words and where each text's begin, whether it may hold a window."""
+        sizes = np.diff(first)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        left = np.repeat(first[1:], sizes) - np.arange(len(h))
+        out = np.zeros(len(sizes), bool)
+        for n, keys in self._strings(h):
+            if n in self.lengths:
+                here = np.flatnonzero(left[: len(keys)] >= n)
+                for probe in range(PROBES):
+                    at_byte, bit = self._places(keys[here], probe)
+                    here = here[(self.bytes[at_byte] & bit) > 0]
+                out[text[here]] = True
+        return out
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("k"), F.col("text").alias("t"))
+
+
+def _shards(items: DataFrame, parts: int) -> Iterator[list[tuple[str, str]]]:
+    """Items in groups, those of one id together; the benchmark is read once, and the driver holds one group at a time but for its broadcast."""
+    if parts == 1:
+        yield [(r["k"], r["t"]) for r in items.toLocalIterator()]
+        return
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts))).repartition(parts, "part").sortWithinPartitions("part")
+    for _, rows in groupby(dealt.toLocalIterator(), key=lambda r: r["part"]):
+        yield [(r["k"], r["t"]) for r in rows]
 
 
 _STATE = T.StructType([
@@ -253,18 +316,52 @@ def _scanner(held, window: int, text: str, cut: bool):
     return step
 
 
+def _sifter(held, text: str):
+    """Adds whether a document may hold a window, and counts its words."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve: WindowFilter = held.value
+        for batch in batches:
+            row = batch.column("row")
+            col = texts_of(row.field(text))
+            n_words, may = np.zeros(len(col), np.int64), np.zeros(len(col), bool)
+            for i, j in runs_of(col):
+                buf, at = buffer_of(col.slice(i, j - i))
+                buf = LOWER[buf]
+                starts, ends, first = find_words(buf, at, WORD)
+                n_words[i:j] = np.diff(first)
+                may[i:j] = sieve.has(hash_spans(buf, starts, ends, 0), first)
+            yield pa.RecordBatch.from_arrays([row, pa.array(n_words), pa.array(may)], ["row", "n_words", "may"])
+
+    return step
+
+
 def matched(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int = WINDOW, shard_chars: int = SHARD_CHARS, text: str = "text", cut: bool = False) -> DataFrame:
     """(row, state): the given columns of each document as a struct, and its words, hit ranges and items."""
-    spark, before = docs.sparkSession, None
-    none = F.struct(F.lit(0).cast("bigint").alias("n_words"), F.array().cast(_STATE["spans"].dataType).alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("string").alias("cut"))
-    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), none.alias("state"))
-    for items in _shards(benchmark, shard_chars):
+    spark, items = docs.sparkSession, _items(benchmark)
+    chars = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-chars // shard_chars))
+    none = lambda n: F.struct(n.cast("bigint").alias("n_words"), F.array().cast(_STATE["spans"].dataType).alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("string").alias("cut"))
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    done = None
+    if parts > 1:
+        sieve = WindowFilter(chars, window)
+        for part in _shards(items, parts):
+            sieve.add([t for _, t in part])
+        sifted = df.mapInArrow(_sifter(spark.sparkContext.broadcast(sieve), text), T.StructType([df.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("may", T.BooleanType())]))
+        done = sifted.where("not may").select("row", none(F.col("n_words")).alias("state"))
+        df = sifted.where("may").select("row")
+    df, before, read = df.select("row", none(F.lit(0)).alias("state")), None, None  # read: the table that df is made from
+    for part in _shards(items, parts):
         if before is not None:
-            df = materialise(spark, df)
+            written = materialise(spark, df)
             before.unpersist()
-        before = spark.sparkContext.broadcast(items)
+            if read is not None:
+                discard(read)
+            df = read = written
+        before = spark.sparkContext.broadcast(part)
         df = df.mapInArrow(_scanner(before, window, text, cut), T.StructType([df.schema["row"], T.StructField("state", _STATE)]))
-    return df
+    return df if done is None else df.unionByName(done)
 
 
 def n_hit() -> F.Column:

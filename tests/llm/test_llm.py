@@ -407,6 +407,46 @@ def test_decontamination(spark, shard):
     assert decontam.measure(df, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0 and decontam.measure(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("most", [decontam.FILTER_BYTES, 256])
+def test_decontamination_in_shards_writes_only_what_may_be_hit(spark, monkeypatch, most):
+    """A benchmark of many shards: documents without a window are never written, and a filter that is full changes no row."""
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 3000, n))
+    items = [(i, word(int(rng.integers(4, 60)))) for i in range(120)] + [(7, word(20)), (None, word(20)), (200, None), (201, "")]
+    texts = [word(int(rng.integers(0, 120))) + (" " + items[int(rng.integers(120))][1] if i % 10 == 0 else "") + " " + word(30) for i in range(200)] + [None, "", items[3][1], items[3][1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    written, keep = [], decontam.materialise
+    monkeypatch.setattr(decontam, "materialise", lambda spark, df: written.append(keep(spark, df)) or written[-1])
+    sizes, drop = [], decontam.discard
+    monkeypatch.setattr(decontam, "discard", lambda *tables: sizes.extend(t.count() for t in tables) or drop(*tables))
+    full = most < decontam.FILTER_BYTES
+    monkeypatch.setattr(decontam, "FILTER_BYTES", most)
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontam.measure(df, bench, shard_chars=1500).collect()}
+    want = {i: contaminated(t, [x for x in items if x[0] is not None]) for i, t in enumerate(texts)}
+    assert got == want and sum(h > 0 for _, h, _ in want.values()) >= 22
+    assert len(written) >= 8 and len(sizes) == len(written) - 1
+    if not full:
+        assert set(sizes) == {sum(h > 0 for _, h, _ in want.values())}
+
+
+def test_window_filter_knows_every_window():
+    rng = np.random.default_rng(4)
+    items = [" ".join(rng.choice(list("abcdefgh"), int(n))) for n in rng.integers(0, 30, 50)]
+    sieve = decontam.WindowFilter(sum(map(len, items)))
+    sieve.add(items[:20])
+    sieve.add(items[20:])
+    words = [t.split() for t in items]
+    for texts in ([t for t in items if t], [" ".join(["x", *w[2 : 2 + 13], "y"]) for w in words if len(w) >= 15]):
+        buf, at = spans.buffer_of(pa.array(texts, pa.large_string()))
+        starts, ends, first = spans.find_words(buf, at, decontam.WORD)
+        assert sieve.has(spans.hash_spans(buf, starts, ends, 0), first).all()
+    far = [" ".join(rng.choice(list("uvwxyz"), 40)) for _ in range(200)]
+    buf, at = spans.buffer_of(pa.array(["", *far], pa.large_string()))
+    starts, ends, first = spans.find_words(buf, at, decontam.WORD)
+    assert sieve.has(spans.hash_spans(buf, starts, ends, 0), first).sum() <= 2
+
+
 # 8 Jaccard
 
 
