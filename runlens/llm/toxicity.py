@@ -16,6 +16,7 @@ there are none). Extra columns of documents pass through where asked for.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -380,16 +381,25 @@ def fit(texts: list[str] | pa.LargeStringArray, toxic: list[int], folds: int = F
     return Model(learn_lexicon(col, y), boost(x, y.astype(float)), knots, shares)
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of a sample, which comes to one task, pickled; none of no rows."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        got = pa.Table.from_batches(held).select(["_text", "_toxic"])
+        held.clear()
+        model = fit(texts_of(got.column("_text")), (got.column("_toxic").to_numpy() > 0).astype(int).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Learn from a bounded sample of labelled documents, those with the smallest hashes of their ids."""
+    """Learn from a bounded sample of labelled documents, those with the smallest hashes of their ids. A task of the executors learns; the model alone comes to the driver."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.xxhash64("doc_id").alias("_order"))
     chosen = known.orderBy("_order", "doc_id").limit(sample_docs)
     rows = docs.select("doc_id", F.col("text").alias("_text")).where(F.length("_text") <= sample_chars).join(F.broadcast(chosen), "doc_id")  # at most sample_docs rows
-    one = rows.groupBy("_order", "doc_id").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic"))  # of a repeated id one text comes to the driver
-    got = one.toArrow().sort_by([(c, "ascending") for c in ("_order", "doc_id")])
-    toxic = (got.column("_toxic").to_numpy() > 0).astype(int).tolist()
-    return fit(texts_of(got.column("_text")), toxic)
+    one = rows.groupBy("_order", "doc_id").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic"))  # of a repeated id one text comes to the sample
+    found = one.repartition(1).sortWithinPartitions("_order", "doc_id").mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit([], [])
 
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:

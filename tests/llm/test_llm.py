@@ -282,6 +282,20 @@ def test_toxicity_learns_and_scores():
     assert toxicity.fit([], []).score(pa.array(["x"], pa.large_string())).tolist() == [0.0]
 
 
+def test_toxicity_learns_away_from_the_driver(spark, monkeypatch):
+    """The texts of the sample stay on the executors; what comes back is the model that they give."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = labels.where("doc_id is not null and toxic is not null").where(~toxicity.held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.xxhash64("doc_id").alias("h"))
+    rows = docs.where(F.length("text") <= toxicity.SAMPLE_CHARS).join(known, "doc_id").groupBy("h", "doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("h", "doc_id").collect()
+    want = toxicity.fit([r.text for r in rows], [r.toxic for r in rows])
+    for name in ("fit", "features", "learn_lexicon"):
+        monkeypatch.setattr(toxicity, name, None)
+    got = toxicity.train(docs, labels)
+    assert got.trees is not None and np.array_equal(got.lexicon.names, want.lexicon.names) and np.array_equal(got.knots, want.knots)
+    assert all(np.array_equal(a, b) for a, b in zip((got.trees.feature, got.trees.cut, got.trees.leaf), (want.trees.feature, want.trees.cut, want.trees.leaf), strict=True))
+
+
 def test_toxicity_odd_rows(spark, odd):
     model = toxicity.Model(toxicity.Lexicon(), None, np.zeros(1), np.array([0.2]))
     assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(odd, model).columns == ["doc_id", "text", "lang", "source", "row", "score"]
