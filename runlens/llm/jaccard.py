@@ -8,9 +8,11 @@ with boxes, joined leaf with leaf) leaves the pairs whose bound allows a link, a
 
 Links are only looked for between components that are still apart, in rounds:
   1. each set with the hub (smallest member) of the parts where it shares most;
-  2. each set outside a part's main component with its best partners by the bound, in parts that still hold several;
-  3. all pairs the bound allows, in those parts where that left some out.
-So a group of thousands of copies costs links in proportion to its size, and no link between components is lost.
+  2. each set with its best partners by the bound, in one part alone: the largest of its parts that still hold several;
+  3. each component outside a part's main one with its best partners, in all parts that still hold several;
+  4. all pairs the bound allows, in those parts where that left some out.
+So a group of thousands of copies, which stands in dozens of parts, costs links in proportion to its size and not that
+times its parts, and no link between components is lost.
 
 Texts of the same words count as one set, told by a SHA-256 digest of those words. Parts list at most MEMBERS sets a row;
 large ones are cut by size and into blocks of at most BLOCK sets that meet pairwise, each in a task group of its own. A
@@ -344,8 +346,8 @@ class RTree:
                     yield self.order[a + x], other.order[c + y], bound[x, y]
 
 
-def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray, vecs: list[bytes], within: bool, share: int, partners: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of different components in one block (`within`) or between two - with `partners`, only so many best ones of each set outside the most common component - and whether any were left out."""
+def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray, vecs: list[bytes], within: bool, share: int, partners: int, by_set: bool = True) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of different components in one block (`within`) or between two - with `partners`, only so many best ones of each set (or else component) outside the most common component - and whether any were left out."""
     _, one = np.unique(np.column_stack((fp, side)), axis=0, return_index=True)
     fp, root, side, n, vecs = fp[one], root[one], side[one], n[one], [vecs[i] for i in one]
     left = np.flatnonzero(side == 0)
@@ -385,13 +387,14 @@ def _pairs_of(fp: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray,
         names, often = np.unique(root, return_counts=True)
         for own in (x, y):
             some = np.flatnonzero(root[own] != names[often.argmax()])  # of any pair one at least
-            order = some[np.lexsort((-good[some], own[some]))]
-            rank = np.arange(len(order)) - np.searchsorted(own[order], own[order])
+            whose = own if by_set else root[own]
+            order = some[np.lexsort((-good[some], whose[some]))]
+            rank = np.arange(len(order)) - np.searchsorted(whose[order], whose[order])
             keep[order[rank < partners]] = True
     return np.minimum(fp[x], fp[y])[keep], np.maximum(fp[x], fp[y])[keep], not keep.all()
 
 
-def _pairs_in(share: int, partners: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pairs_in(share: int, partners: int, by_set: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Takes rows sorted by (part, x, y); gives the pairs (a, b) of each such group, and the part where pairs were left out. A group has at most two blocks, so what is held is bounded."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,7 +417,7 @@ def _pairs_in(share: int, partners: int) -> Callable[[Iterator[pa.RecordBatch]],
             found: list[np.ndarray] = []
             cut: list[int] = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                one, two, more = _pairs_of(c["fp"][a:b], c["root"][a:b], c["side"][a:b], c["n"][a:b], vecs[a:b], c["x"][a] == c["y"][a], share, partners)
+                one, two, more = _pairs_of(c["fp"][a:b], c["root"][a:b], c["side"][a:b], c["n"][a:b], vecs[a:b], c["x"][a] == c["y"][a], share, partners, by_set)
                 found.append(np.column_stack((one, two)))
                 if more:
                     cut.append(int(c["part"][a]))
@@ -529,11 +532,13 @@ def _linked(docs: DataFrame, words: int, share: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)))
     placed_all = nodes.select("fp", F.array_distinct("parts").alias("parts"), band.alias("band"))
     cut: DataFrame | None = None
-    for partners in (PARTNERS, 0):
+    for one_part, partners in ((True, PARTNERS), (False, PARTNERS), (False, 0)):
         owned = placed_all.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "band", F.explode("parts").alias("group"))
         several = owned.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 <> r1")
-        several = materialise(spark, several.select("group", (F.col("m") > BLOCK).alias("large")))
+        several = materialise(spark, several.select("group", "m", (F.col("m") > BLOCK).alias("large")))
         owned = owned.join(several, "group")
+        if one_part:
+            owned = owned.groupBy("fp").agg(F.max(F.struct("m", "group", "large", "root", "band")).alias("p")).select("fp", "p.root", "p.band", "p.group", "p.large")
         own_part, by_size = F.array(F.xxhash64("group")), F.array(F.xxhash64("group", "band"), F.xxhash64("group", F.col("band") + 1))
         placed = owned.select("fp", "root", F.explode(F.when(F.col("large"), by_size).otherwise(own_part)).alias("part"))
         if cut is not None:  # elsewhere all pairs have been looked at
@@ -554,16 +559,18 @@ def _linked(docs: DataFrame, words: int, share: int) -> DataFrame:
         left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
         left = left.select("part", "fp", "root", F.least("k", "j").alias("x"), F.greatest("k", "j").alias("y"), (F.col("k") > F.col("j")).cast("int").alias("side"))
         left = left.join(vectors, "fp").repartition("part", "x", "y").sortWithinPartitions("part", "x", "y")
-        found = materialise(spark, left.mapInArrow(_pairs_in(share, partners), "a bigint, b bigint, cut bigint"))
+        found = materialise(spark, left.mapInArrow(_pairs_in(share, partners, one_part), "a bigint, b bigint, cut bigint"))
         pairs = found.where("a is not null").select("a", "b").distinct()
         pairs = materialise(spark, pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         more = _checked(docs, nodes, pairs, words, share)
         spent = [several, placed, apart, pairs, tested, more, roots]
         tested = materialise(spark, tested.unionByName(more))
         roots = components(spark, tested.where("linked").select("a", "b"))
-        cut = materialise(spark, found.where("cut is not null").select(F.col("cut").alias("part")).distinct())
+        if not one_part:
+            spent += [cut] if cut is not None else []
+            cut = materialise(spark, found.where("cut is not null").select(F.col("cut").alias("part")).distinct())
         discard(found, *spent)
-        if cut.isEmpty():
+        if not one_part and cut.isEmpty():
             break
 
     classes = full.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")

@@ -784,3 +784,26 @@ def test_a_text_of_tens_of_megabytes(tokenizer):
     key, at = jaccard.sets_of(col, 4)
     assert at.tolist() == [0, 3]
     assert toxicity.features(col, toxicity.Lexicon()).shape == (1, len(toxicity.FEATURES))
+
+
+def test_near_copies_cost_pairs_in_proportion(spark, monkeypatch):
+    """A group of near copies stands in dozens of parts; the pairs that are looked for do not grow with their number, and all links are found."""
+    rng = np.random.default_rng(13)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for k in range(300):
+        t = list(base)
+        for place in rng.choice(150, 1 + k % 3, replace=False):
+            t[place] = f"x{rng.integers(1 << 30)}"
+        rows.append((k, " ".join(t)))
+    made, write = [], jaccard.materialise
+
+    def counted(session, df):
+        out = write(session, df)
+        if df.columns == ["a", "b", "cut"]:
+            made.append(out.where("a is not null").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    got = sorted(tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted(linked(rows))
+    assert sum(made) <= 6 * len(rows)
